@@ -156,7 +156,7 @@ def harmonic_partners(spark, sf):
 
 def eligible(spark, sf):
     scored_df = scoring.scored_playlist_pairs(rel.tracks(spark, sf), TOL)
-    kept = pairs.eligible_pairs(scored_df, same_genre=False)
+    kept = pairs.eligible_pairs(scored_df, min_overall=0.5, min_groove=0.02)
     return canon(kept.select("playlist_id", "a_track_id", "b_track_id", "overall_score", "groove_match"))
 
 
@@ -232,7 +232,7 @@ SQL = {
           FROM all_pairs WHERE bpm_diff <= 3e0)) WHERE partner_rank <= 5"""),
         "playlist_id a_track_id b_track_id harmonic partner_rank"),
     "j13_eligible_pairs": sql(with_ctes(rel.CTES, ["scored"], """
-        SELECT * FROM scored WHERE bpm_diff <= 2e0 AND harmonic >= 60 AND overall_score >= 0.7e0 AND groove_match >= 0.5e0
+        SELECT * FROM scored WHERE bpm_diff <= 2e0 AND harmonic >= 60 AND overall_score >= 0.5e0 AND groove_match >= 0.02e0
           AND bass_continuity IS NOT NULL AND timbre_match IS NOT NULL AND mood_match IS NOT NULL"""),
         "playlist_id a_track_id b_track_id", "overall_score groove_match"),
     "j2_genre_affinity": sql(with_ctes(rel.CTES, ["tracks", "affinity"], """

@@ -322,7 +322,7 @@ SELECT t.playlist_id, t.input_pos + 1 AS number,
     {', '.join(f"'{n}: ' || {_percent(f's.{c} * 100e0')}" for n, c in (('BPM', 'bpm_smoothness'), ('Energie', 'energy_flow'),
       ('Genre', 'genre_compatibility'), ('Groove', 'groove_match'), ('Bassdruck', 'bass_continuity'),
       ('Klangfarbe', 'timbre_match'), ('Stimmung', 'mood_match')))}) END AS factors,
-  '[' || t.ai_sub_genre || '] ' || t.ai_mood_1 || ', ' || t.ai_mood_2 AS ai
+  trim('[' || t.ai_sub_genre || '] ' || t.ai_mood_1 || ', ' || t.ai_mood_2) AS ai
 FROM tracks t LEFT JOIN wheel w ON w.note = t.key_note AND w.mode = t.key_mode
 LEFT JOIN (SELECT *, {_TEXTURE} AS x FROM adj) s ON s.playlist_id = t.playlist_id AND s.b_input_pos = t.input_pos"""
 

@@ -126,7 +126,7 @@ def playlist_view(ordered: DataFrame, tol: float, **options) -> DataFrame:
     scored = adjacent_scores(ordered, tol, **options)
 
     def percent(value, scale=100.0):
-        return F.coalesce(F.format_string("%.0f %%", value * scale), F.lit("nicht bestimmbar"))
+        return F.when(value.isNull(), "nicht bestimmbar").otherwise(F.format_string("%.0f %%", value * scale))
 
     factors = F.concat_ws(
         "\n", F.concat(F.lit("Harmonik: "), percent(c("harmonic").cast("double"), 1.0)),

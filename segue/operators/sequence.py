@@ -431,7 +431,7 @@ def sequence(tracks: DataFrame, strategies: str | list[str], tol: float = 3.0,
         args = dict(distinct.pop())
         pairs_scored = scoring.scored_playlist_pairs(
             usable, tol, strictness=args["harmonic_strictness"], experimental=args["allow_experimental"])
-    edges = pairs_scored.select("playlist_id", "a_input_pos", "b_input_pos", "objective", "harmonic")
+    edges = pairs_scored.select(F.col("playlist_id").alias("edge_playlist"), "a_input_pos", "b_input_pos", "objective", "harmonic")
 
     def order(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
@@ -446,4 +446,4 @@ def sequence(tracks: DataFrame, strategies: str | list[str], tol: float = 3.0,
         return pd.concat(parts)
 
     slim = _slim(usable, config.peak_position)
-    return slim.groupBy("playlist_id").cogroup(edges.groupBy("playlist_id")).applyInPandas(order, ORDER_SCHEMA)
+    return slim.groupBy("playlist_id").cogroup(edges.groupBy("edge_playlist")).applyInPandas(order, ORDER_SCHEMA)
