@@ -491,7 +491,7 @@ SQL = {
     "a3_timeline_unplanned": sql(with_ctes(C, ["timeline_plain"], "SELECT * FROM timeline_plain"), **_TIME),
     "a6_timing_summary": sql(with_ctes(C, ["timeline"], f"""
         SELECT *, {_mmss('m * 60e0')} AS total_time, '60:00' AS target_time, {_mmss('overflow_seconds')} AS overflow, {_mmss('peak_start')} AS peak_time
-        FROM (SELECT *, round_even(total / 60e0, 2) AS m, round_even(total / 60e0 - 60e0, 2) * 60e0 AS overflow_seconds
+        FROM (SELECT *, round_even(total / 60e0, 2) AS m, CAST(format('{{:.2f}}', total / 60e0 - 60e0) AS DOUBLE) * 60e0 AS overflow_seconds
          FROM (SELECT playlist_id, count(*) AS track_count, arg_max(end_time, pos) AS total, max(CASE WHEN is_peak THEN title END) AS peak_track,
             max(CASE WHEN is_peak THEN start_time END) AS peak_start, round_even(avg(playing_duration), 1) AS avg_track_duration,
             {', '.join(f"count(CASE WHEN energy_phase = '{p}' THEN 1 END) AS n_{p}" for p in timing.PHASES)} FROM timeline GROUP BY 1))"""),
