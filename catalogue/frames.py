@@ -495,7 +495,7 @@ SELECT track_id, CASE WHEN tag IS NOT NULL THEN tag WHEN sure < 0.4e0 THEN 'Unkn
      unnest([{', '.join(_score(n) for n in R.CANONICAL_GENRES)}]) AS s FROM (
     SELECT track_id, 118e0 + track_id * 7 % 64 AS bpm, (track_id % 90) / 10e0 AS onset_rate, track_id * 7 % 101 AS bass,
       800e0 + track_id * 31 % 3800 AS centroid, (track_id % 18) / 100e0 AS flatness, (track_id % 60) / 100e0 AS rms_variance,
-      coalesce((SELECT canonical FROM genre_tags WHERE g.tag = lower(genre)),
+      coalesce(g.canonical,
         (SELECT first(canonical ORDER BY length(g2.tag) DESC) FROM genre_tags g2 WHERE contains(lower(genre), g2.tag))) AS tag
     FROM frame_tracks LEFT JOIN genre_tags g ON g.tag = lower(genre)))) GROUP BY 1, 2)"""
 
@@ -508,8 +508,8 @@ C["voters"] = """SELECT *, (bass_env - avg(bass_env) OVER w) / stddev_pop(bass_e
      / (count(*) OVER (PARTITION BY track_id) - 1) AS bar FROM change) WHERE rms >= loudest * 0.3e0 WINDOW w AS (PARTITION BY track_id)"""
 _VOTE = f"""
 SELECT track_id, p AS phase, CASE WHEN n >= 2 THEN {mod('atan2(s, k)', '2e0 * pi()')} * bar / (2e0 * pi()) ELSE {mod('seed', 'bar')} END AS bar_start,
-  least(1e0, greatest(0e0, (v - v2) / spread / (2e0 / 3e0))) AS bar_confidence FROM (
- SELECT *, lead(v) OVER w AS v2, sum(abs(v)) OVER (PARTITION BY track_id) AS spread, row_number() OVER w AS rk FROM (
+  least(1e0, greatest(0e0, (v - CASE WHEN nb < 4 THEN greatest(coalesce(v2, 0e0), 0e0) ELSE v2 END) / spread / (2e0 / 3e0))) AS bar_confidence FROM (
+ SELECT *, lead(v) OVER w AS v2, count(*) OVER (PARTITION BY track_id) AS nb, sum(abs(v)) OVER (PARTITION BY track_id) AS spread, row_number() OVER w AS rk FROM (
   SELECT track_id, frame_idx % 4 AS p, sum(vote) AS v, count(*) AS n, any_value(bar) AS bar,
     avg(sin({mod('t_sec', 'bar')} / bar * 2e0 * pi())) AS s, avg(cos({mod('t_sec', 'bar')} / bar * 2e0 * pi())) AS k
   FROM voters WHERE n_valid >= 16 GROUP BY 1, 2) JOIN (SELECT track_id, frame_idx AS p, t_sec AS seed FROM frames WHERE frame_idx < 4) USING (track_id, p)
