@@ -47,7 +47,7 @@ def catalog_raw(spark, sf):
     part = rel.read(spark, sf, "part").withColumnRenamed("p_partkey", "k")
     return part.select(
         F.expr("CAST(CASE WHEN k % 3 = 0 THEN k % 40 ELSE k END AS STRING)").alias("content_id"),
-        F.expr("concat('C:\\\\\\\\Cat\\\\\\\\', CAST(k % 700 AS STRING), '\\\\\\\\', CASE WHEN k % 700 < 300 THEN p_name ELSE CAST(k % 700 AS STRING) END, '.mp3')").alias("path"),
+        F.expr("concat('C:/Cat/', CAST(k % 700 AS STRING), '/', CASE WHEN k % 700 < 300 THEN p_name ELSE CAST(k % 700 AS STRING) END, '.mp3')").alias("path"),
         F.expr("CASE WHEN k % 11 = 0 THEN 0 WHEN k % 7 = 0 THEN 100 + k % 700 % 60 ELSE (100 + k % 700 % 60) * 100 END").alias("raw_bpm"),
         F.expr(rel.pick(["Am", "Bb", "F#m", "8A", "Dbm", "x"], "k % 700 % 6")).alias("key_text"),
         F.expr("180 + k % 700 % 200").alias("length"), F.col("p_name").alias("title"),
@@ -431,7 +431,7 @@ SQL = {
           CASE WHEN count(*) OVER (PARTITION BY concat_ws('|', least(ha, hb), greatest(ha, hb))) > 1 THEN 'clip pair repeated' END,
           CASE WHEN ra <> rb THEN 'format differs' END, CASE WHEN abs(da - db) > 0.01e0 THEN 'duration differs' END) AS problem
         FROM (SELECT 'p' || (l.doc_id % 350) AS pair_id, count(*) OVER (PARTITION BY l.doc_id % 350) AS same_id, 'h' || (l.doc_id % 300) AS ha, CASE WHEN b.doc_id IS NOT NULL THEN 'h' || (b.doc_id % 300) END AS hb,
-            CASE WHEN l.doc_id % 50 = 0 THEN 48000 ELSE 44100 END AS ra, CASE WHEN b.doc_id % 50 = 0 THEN 48000 ELSE 44100 END AS rb,
+            CASE WHEN l.doc_id % 50 = 0 THEN 48000 ELSE 44100 END AS ra, CASE WHEN b.doc_id % 50 = 0 THEN 48000 WHEN b.doc_id IS NOT NULL THEN 44100 END AS rb,
             30e0 + (l.doc_id % 3) * 0.008e0 AS da, 30e0 + (b.doc_id % 3) * 0.008e0 AS db
           FROM labels l LEFT JOIN labels b ON b.doc_id = l.doc_id * 7 % 390)) WHERE problem <> ''""", texts="pair_id problem"),
     "s2_parsed_tracks": sql(with_ctes(C, ["records"], """SELECT arg_max(path, e) AS "filePath", max(CASE WHEN e = m AND e % 23 <> 0 THEN 90e0 + e % 60 END) AS bpm,
@@ -455,8 +455,8 @@ SQL = {
     "s7_predictions": sql(with_ctes(C, ["tracks", "track_sections"], f"""SELECT CAST(t.track_id AS VARCHAR) AS track_id, bpm, nullif(key_note, '') AS key_note, nullif(key_mode, '') AS key_mode, {resolved()} AS genre,
         nullif(mix_in_point, -1) AS mix_in_seconds, nullif(mix_out_point, -1) AS mix_out_seconds, (SELECT count(*) FROM track_sections s WHERE s.track_id = t.track_id) AS n_sections FROM tracks t"""),
         "n_sections", "bpm mix_in_seconds mix_out_seconds", "track_id key_note key_mode genre"),
-    "s8_m3u8": sql(with_ctes(C, ["exported"], """SELECT playlist_id, row_number() OVER (PARTITION BY playlist_id ORDER BY pos, at) - 1 AS line_no, line FROM (
-        SELECT playlist_id, -1 AS pos, unnest([0, 1, 2, 3]) AS at, unnest(['#EXTM3U', '#EXTENC:UTF-8', '#PLAYLIST:Set', '']) AS line FROM (SELECT DISTINCT playlist_id FROM exported)
+    "s8_m3u8": sql(with_ctes(C, ["exported"], """SELECT playlist_id, row_number() OVER (PARTITION BY playlist_id ORDER BY pos, ln) - 1 AS line_no, line FROM (
+        SELECT playlist_id, -1 AS pos, unnest([0, 1, 2, 3]) AS ln, unnest(['#EXTM3U', '#EXTENC:UTF-8', '#PLAYLIST:Set', '']) AS line FROM (SELECT DISTINCT playlist_id FROM exported)
         UNION ALL SELECT playlist_id, pos, unnest([0, 1, 2]), unnest(['#EXTINF:' || CAST(duration AS BIGINT) || ',' || artist || ' - ' || title, xpath, '']) FROM exported WHERE xpath <> '')"""),
         "playlist_id line_no", texts="line"),
     "u2_deduplicated": sql(with_ctes(C, ["exported"], "SELECT * FROM exported"), "playlist_id pos xml_id", texts="export_error"),
