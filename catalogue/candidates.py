@@ -84,7 +84,7 @@ def _spots(spark, sf):
 
 def measured(spark, sf):
     out = cand.measure_candidates(_spots(spark, sf), fr.frame_rows(spark, sf), fr.frame_tracks(spark, sf))
-    return canon(out.drop("mfcc_local", "key_confidence_local", "camelot_local"))
+    return canon(out.drop("mfcc_local", "key_confidence_local", "camelot_local", "flatness_local"))
 
 
 def confidence(spark, sf):
@@ -188,7 +188,7 @@ SQL = {
                              "track_id", "first_downbeat"),
     "c5_c6_c7_candidates": sql(with_ctes(C, ["candidates"], "SELECT * FROM candidates").replace(*_REC), "track_id", "t", "side schemes provenance section_label phrase_label"),
     "c8_measured": sql(with_ctes(C, ["frames", "frame_tracks"], _MEASURED), "track_id n_frames energy_local brightness_local",
-                       "t mids_local highs_local flatness_local bass_db novelty_local", "side energy_trend", "kick_active"),
+                       "t mids_local highs_local bass_db novelty_local", "side energy_trend", "kick_active"),
     "c9_confidence": sql(with_ctes(C, ["frame_tracks"], """SELECT track_id, round_even(greatest(0e0, least(1e0, CASE WHEN track_id % 4 = 0 THEN p / 3e0 ELSE (p + (track_id % 11) / 10e0) / 4e0 END)), 3) AS confidence
         FROM (SELECT track_id, downbeat_confidence + CASE WHEN track_id % 3 = 0 THEN 1e0 ELSE (track_id % 7) / 7e0 END + CASE WHEN track_id % 5 <> 0 THEN 1e0 ELSE 0e0 END AS p FROM frame_tracks)"""),
         "track_id", "confidence"),

@@ -307,7 +307,7 @@ _EVAL = f"""SELECT *, matched_tracks / adjudicated_tracks AS track_coverage, {',
   2 * precision * recall / (precision + recall) AS f1 FROM eval_row"""
 _VALUE = {"bpm": "bpm_mae", "genre": "genre_accuracy", "mix_in": "mix_in_mae", "mix_out": "mix_out_mae"}
 
-C["windows"] = """SELECT vec_id // 50 AS mix_id, vec_id % 50 AS idx, vec_id % 2 AS side, groove_pattern AS gp, CASE WHEN vec_id % 9 = 0 THEN NULL ELSE bass_pattern END AS bp,
+C["windows"] = """SELECT vec_id // 50 AS mix_id, vec_id % 50 AS idx, vec_id % 2 AS side, groove_pattern AS gp, bass_pattern AS bp, vec_id % 9 <> 0 AS has_bp,
   (vec_id * 7 % 50) / 50e0 AS sub, 1e0 + vec_id * 3 % 20 / 10e0 AS punch, vec_id * 11 % 100 * 1e0 AS bright, timbre FROM vectors"""
 
 
@@ -317,7 +317,7 @@ def _cyc(a: str, b: str) -> str:
 
 
 def _delta(join: str) -> str:
-    return f"""SELECT x.mix_id, x.idx AS i, y.idx AS j, CASE WHEN x.bp IS NOT NULL AND y.bp IS NOT NULL THEN {_cyc('x.bp', 'y.bp')} ELSE {_cyc('x.gp', 'y.gp')} END AS groove_sim,
+    return f"""SELECT x.mix_id, x.idx AS i, y.idx AS j, CASE WHEN x.has_bp AND y.has_bp THEN {_cyc('x.bp', 'y.bp')} ELSE {_cyc('x.gp', 'y.gp')} END AS groove_sim,
   abs(x.sub - y.sub) AS sub_delta, abs(x.punch - y.punch) AS punch_delta, abs(x.bright - y.bright) AS brightness_delta, list_cosine_similarity(x.timbre, y.timbre) AS timbre_sim
  FROM windows x JOIN windows y ON y.mix_id = x.mix_id AND x.side = 0 AND y.side = 1 AND {join}"""
 
@@ -344,7 +344,7 @@ C["new_weights"] = """SELECT factor, CASE WHEN sum(raw) OVER () > 0 THEN 0.3e0 *
   SELECT factor, CASE WHEN median - 0.499e0 > 0 THEN median - 0.499e0 ELSE 0e0 END AS raw FROM spread WHERE factor IN ('groove', 'bass', 'timbre', 'mood'))"""
 _MIDS = "[1e0 + (doc_id * 7 + s * 13) % 50 / 50e0 FOR s IN range(121)]"
 C["blends"] = f"SELECT doc_id, {_MIDS} AS mids, doc_id % 40 AS half FROM documents"
-_AROUND = "(list_median(list_concat(mids[17:41], mids[82:106])) + 0.000000001e0)".replace("list_median(", "list_aggregate(").replace("mids[82:106])", "mids[82:106]), 'median'")
+_AROUND = "(list_median(list_concat(mids[16:40], mids[81:105])) + 0.000000001e0)".replace("list_median(", "list_aggregate(").replace("mids[81:105])", "mids[81:105]), 'median'")
 C["blend_rows"] = f"""SELECT *, CASE WHEN w <= 8 THEN 'kurz' WHEN w <= 25 THEN 'mittel' ELSE 'lang' END AS grp FROM (SELECT *, {_AROUND} AS around, 2e0 * half + 1 AS w FROM blends)"""
 C["diffs"] = """SELECT track_id, frame_idx, t_sec, sqrt(sum(((nx - x) / (sd + 0.000000001e0)) ** 2)) AS d FROM (
   SELECT track_id, frame_idx, t_sec, i, x, lead(x) OVER (PARTITION BY track_id, i ORDER BY frame_idx) AS nx, stddev_pop(x) OVER (PARTITION BY track_id, i) AS sd FROM (

@@ -94,16 +94,19 @@ def band_at_centre(level: Column) -> Column:
 
 
 def blend_width(onset: Column) -> Column:
-    """Seconds of raised onset density around the centre, 0 if it is not raised there."""
+    """Seconds of raised onset density around the centre, 0 if it is not raised there.
+
+    The reference level is zipped in once per row; inside a lambda it would be
+    recomputed for every second.
+    """
     n = F.size(onset)
     mid = (n / 2).cast("int")
-    base = _median(F.concat(F.slice(onset, F.lit(1), F.lit(15)), F.slice(onset, n - 14, F.lit(15))))
-    up = F.transform(onset, lambda v: v > base * 1.10)
-    near = F.exists(F.slice(up, mid, 3), lambda v: v)
-    # nearest lower second strictly left and right of the centre
-    at = F.sequence(F.lit(0), n - 1)
-    left = F.array_max(F.filter(at, lambda i: (i < mid) & ~F.get(up, i)))
-    right = F.array_min(F.filter(at, lambda i: (i > mid) & ~F.get(up, i)))
+    base = _median(F.concat(F.slice(onset, F.lit(1), F.lit(15)), F.slice(onset, n - 14, F.lit(15)))) * 1.10
+    low = F.zip_with(F.zip_with(onset, F.array_repeat(base, n), lambda v, b: v <= b), F.sequence(F.lit(0), n - 1),
+                     lambda is_low, i: F.when(is_low, i))
+    near = F.exists(F.slice(low, mid, 3), lambda i: i.isNull())
+    left = F.array_max(F.filter(low, lambda i: i < mid))
+    right = F.array_min(F.filter(low, lambda i: i > mid))
     width = F.coalesce(right, n) - F.coalesce(left, F.lit(-1)) - 1
     return F.when(near, width.cast("double")).otherwise(0.0)
 
