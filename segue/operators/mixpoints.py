@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segue import refdata as R
 from segue.functions import grid, sections, tempo
+from segue.operators import ordered
 from segue.operators.pairs import mix_profile
 
 EPS = 1e-9
@@ -127,19 +128,18 @@ def fallback_sections(frames: DataFrame, tracks: DataFrame, frame_seconds: float
     """Intro, main and outro of a track without sections, from its loudness curve.
 
     A frame is active if the RMS averaged over four bars reaches 0.4 of its
-    maximum.  The moving average is a difference of running sums per track.
+    maximum.  The moving average is a difference of running sums, built in
+    blocks, so a long track is spread over tasks.
     """
     c = F.col
     span = F.greatest(F.lit(1), F.least(
         F.floor(tempo.seconds_per_bar(c("bpm")) * 4.0 / frame_seconds), c("n_frames")).cast("long"))
-    ordered = Window.partitionBy("track_id").orderBy("frame_idx")
-    whole = Window.partitionBy("track_id")
-    base = (frames.join(tracks.select("track_id", "bpm", "duration"), "track_id")
-            .withColumn("n_frames", F.count("*").over(whole))
-            .withColumn("span", span)
-            .withColumn("total", F.sum("rms").over(ordered.rowsBetween(Window.unboundedPreceding, 0))))
+    sizes = frames.groupBy("track_id").agg(F.count("*").alias("n_frames"))
+    info = tracks.select("track_id", "bpm", "duration").join(sizes, "track_id").withColumn("span", span)
+    totals = ordered.running_sum(frames.select("track_id", "frame_idx", "t_sec", "rms"), ["track_id"], "frame_idx", "rms", "total")
+    base = ordered.attach(totals, info, "track_id", "frame_idx")
     # frame i averages frames i - span//2 .. i + (span - 1)//2, cut at the ends
-    ends = base.select("track_id", c("frame_idx").alias("at"), c("total").alias("sum_at"))
+    ends = totals.select("track_id", c("frame_idx").alias("at"), c("total").alias("sum_at"))
     hi = F.least(c("frame_idx") + F.floor((c("span") - 1) / 2), c("n_frames") - 1)
     lo = c("frame_idx") - F.floor(c("span") / 2) - 1
     curve = (base.withColumns({"hi": hi.cast("long"), "lo": lo.cast("long")})
@@ -148,7 +148,7 @@ def fallback_sections(frames: DataFrame, tracks: DataFrame, frame_seconds: float
              .select("track_id", "t_sec", "bpm", "duration",
                      ((c("sum_hi") - F.coalesce("sum_lo", F.lit(0.0))) / c("span")).alias("level")))
     peaks = curve.groupBy("track_id").agg(F.max("level").alias("peak"))
-    curve = curve.join(peaks, "track_id")
+    curve = curve.join(peaks, "track_id")   # one number per track
     active = (c("peak") > 1e-6) & (c("level") >= c("peak") * R.RMS_THRESHOLD)
     edges = curve.groupBy("track_id").agg(
         F.first("bpm").alias("bpm"), F.first("duration").alias("duration"), F.first("peak").alias("peak"),

@@ -63,6 +63,21 @@ def blockwise(rows: DataFrame, index: str, size: int, before: int = 0, after: in
             .select("*", "cell.block", "cell.own").drop("cell"))
 
 
+def running_sum(rows: DataFrame, keys: Sequence[str], index: str, value: str, name: str, block: int = 4096) -> DataFrame:
+    """Sum of ``value`` up to and including each row of its key, in ``index`` order.
+
+    Rows are summed inside blocks; the totals of earlier blocks are added.
+    """
+    keys = list(keys)
+    blocked = rows.withColumn("block", F.floor(F.col(index) / block))
+    totals = blocked.groupBy(*keys, "block").agg(F.sum(value).alias("total"))
+    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "block", F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("offset"))
+    inside = Window.partitionBy(*keys, "block").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    return (blocked.withColumn("partial", F.sum(value).over(inside)).join(offsets, [*keys, "block"])
+            .withColumn(name, F.col("partial") + F.col("offset")).drop("block", "partial", "offset"))
+
+
 def value_bucket(value: str, low: str, high: str, buckets: int = BUCKETS) -> Column:
     """Order-preserving bucket of a value between its known extremes."""
     span = F.col(high) - F.col(low)

@@ -62,7 +62,17 @@ def prefixed(df: DataFrame, prefix: str, shared: Sequence[str] = ("playlist_id",
     return df.select(*shared, *[F.col(c).alias(prefix + c) for c in df.columns if c not in shared])
 
 
-def candidate_pairs(features: DataFrame, tol: float) -> DataFrame:
+def require_bounded(rows: DataFrame, key: str, limit: int) -> Column:
+    """Condition that is true, or fails the job if any ``key`` has more than ``limit`` rows.
+
+    One extra aggregate over the key column alone.
+    """
+    oversized = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit).agg(F.count("*")).scalar()
+    return F.when(oversized > 0, F.raise_error(F.lit(
+        f"a {key} exceeds {limit} rows; apply_limits first")).cast("boolean")).otherwise(True)
+
+
+def candidate_pairs(features: DataFrame, tol: float, max_tracks: int = R.MAX_PLAYLIST_TRACKS) -> DataFrame:
     """All ordered slot pairs of a playlist within ``tol`` BPM, half and double time included.
 
     A range join on buckets.  The B side appears as its three tempo images (as
@@ -76,7 +86,8 @@ def candidate_pairs(features: DataFrame, tol: float) -> DataFrame:
     def bucket(value: Column) -> Column:
         return F.floor(value / width)
 
-    a = prefixed(features, "a_").withColumn(
+    bounded = require_bounded(features, "playlist_id", max_tracks)
+    a = prefixed(features.where(bounded), "a_").withColumn(
         "bucket", F.explode(F.array(*[bucket(F.col("a_bpm")) + d for d in (-1, 0, 1)])))
     b = (prefixed(features, "b_")
          .withColumn("image", F.explode(F.array(

@@ -143,3 +143,10 @@ def test_pair_join_is_complete(spark, tol):
     got = {(r["a_input_pos"], r["b_input_pos"]) for r in pairs.candidate_pairs(df, tol).collect()}
     want = {(i, j) for _, i, _, a in rows for _, j, _, b in rows if i != j and gap(a, b) <= tol}
     assert got == want
+
+
+def test_pair_join_refuses_an_oversized_playlist(spark):
+    df = spark.range(30).selectExpr("0L AS playlist_id", "id AS input_pos", "id AS track_id", "120e0 + id AS bpm")
+    assert pairs.candidate_pairs(df, TOL, max_tracks=30).count() > 0
+    with pytest.raises(Exception, match="exceeds 29"):
+        pairs.candidate_pairs(df, TOL, max_tracks=29).count()
