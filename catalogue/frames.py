@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from catalogue import relations as rel
 from catalogue.harness import canon, sql, with_ctes
 from segue import refdata as R
-from segue.functions import tempo
 from segue.operators import downbeat, frames, genre, ordered, structure
 
 C = rel.CTES

@@ -425,6 +425,6 @@ SQL = {
         floats=" ".join(f"{f}_weight" for f in FACTORS)),
     "q13_strided": sql(with_ctes(C, ["tracks"], """SELECT folder, path FROM (SELECT artist AS folder, file_path AS path, row_number() OVER (PARTITION BY artist ORDER BY file_path) - 1 AS p, count(*) OVER (PARTITION BY artist) AS n FROM tracks)
         WHERE n <= 20 OR p IN (SELECT floor(i * (n / 20e0)) FROM range(20) r(i))"""), texts="folder path"),
-    "q14_blind": sql("""SELECT unnest(['HPG', 'baseline']) AS system_a, unnest([n // 2, n - n // 2]) AS n, unnest([n // 2, n - n // 2]) AS pairs, unnest([n // 2, n - n // 2]) AS labels FROM (SELECT count(*) AS n FROM labels)""",
+    "q14_blind": sql("""SELECT unnest(['candidate', 'baseline']) AS system_a, unnest([n // 2, n - n // 2]) AS n, unnest([n // 2, n - n // 2]) AS pairs, unnest([n // 2, n - n // 2]) AS labels FROM (SELECT count(*) AS n FROM labels)""",
                      "n pairs labels", texts="system_a"),
 }

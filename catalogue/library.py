@@ -9,7 +9,6 @@ from catalogue.harness import canon, sql, with_ctes
 from catalogue.pairs import resolved
 from catalogue.plans import q
 from catalogue.sets import ordered
-from segue import refdata as R
 from segue.functions import bands, grid, keys, tempo, text, vectors
 from segue.operators import quality
 from segue.sources import exports, library

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalogue import pairs as pair_queries
@@ -10,7 +9,7 @@ from catalogue import relations as rel
 from catalogue.harness import canon, sql, with_ctes
 from catalogue.sets import ANCHOR, C, ordered
 from segue import refdata as R
-from segue.functions import grid, sections, text
+from segue.functions import grid, sections
 from segue.operators import mixpoints, transitions
 from segue.plans import timeline as timing
 
@@ -45,9 +44,7 @@ def risks(spark, sf):
 
 
 def note_lines(spark, sf):
-    return canon(recommendations(spark, sf).select("playlist_id", "idx", F.length("notes").alias("n_chars"),
-                                                   F.col("notes").contains("! ").alias("warns"),
-                                                   F.col("notes").startswith("Mix: ").alias("planned")))
+    return canon(recommendations(spark, sf).select("playlist_id", "idx", "notes"))
 
 
 def clips(spark, sf):
@@ -345,6 +342,22 @@ _DESCRIPTION = f"""concat_ws('; ',
    WHEN objective >= 55 THEN 'Machbar, aber anspruchsvoll -- Timing und EQ muessen stimmen'
    ELSE 'Riskante Transition -- nur fuer erfahrene DJs oder mit langem Breakdown' END)"""
 
+_WARNINGS = "list_filter([" + _RISKS[len("concat_ws('; ',"):-1] + "], lambda r: r IS NOT NULL)"
+
+
+def _warned(rule: str) -> str:
+    return f"nullif(array_to_string(list_transform(list_filter({_WARNINGS}, lambda r: {rule} starts_with(r, 'Bass-Kollision')), lambda r: '! ' || r), '; '), '')"
+
+
+def _tag(label: str, expr: str) -> str:
+    return f"'{label}: ' || nullif({expr}, '')"
+
+
+_NOTES_LINE = f"""concat_ws('; ', {', '.join(_when_planned(e) for e in (
+    _tag('Mix', _cross(0)), _tag('EQ', _cross(1)), "'Transition: ' || transition_bars || ' bars'", f"nullif({_STRUCTURE}, '')",
+    "'[' || x.detected_genre || ' -> ' || y.detected_genre || ']'", _warned('NOT'), _tag('BPM', _TEMPO), _tag('Key', _KEY),
+    _tag('Energy', _ENERGY), _tag('Gain', _GAIN), _tag('Rhythmus', _RHYTHM), _warned('')))}, {_DESCRIPTION})"""
+
 _RATE = """CASE WHEN abs(x.bpm - y.bpm) > 0.05e0 THEN x.bpm / (CASE WHEN abs(y.bpm * 2e0 - x.bpm) < x.bpm * 0.04e0 THEN y.bpm * 2e0
    WHEN abs(y.bpm / 2e0 - x.bpm) < x.bpm * 0.04e0 THEN y.bpm / 2e0 ELSE y.bpm END) ELSE 1e0 END"""
 _ID = "x.playlist_id AS playlist_id, x.input_pos AS idx"
@@ -453,6 +466,7 @@ SQL = {
     "p19_risk_notes": sql(with_ctes(C, ["plan"], f"""
         SELECT {_ID}, {_when_planned(_RISKS)} AS risk_notes, {_DESCRIPTION} AS description FROM plan"""),
         "playlist_id idx", texts="risk_notes description"),
+    "p20_note_lines": sql(with_ctes(C, ["plan"], f"SELECT {_ID}, {_NOTES_LINE} AS notes FROM plan"), "playlist_id idx", texts="notes"),
     "p22_clip_requests": sql(with_ctes(C, ["plan"], f"""
         SELECT playlist_id, transition_type, count(*) AS n, sum(CASE WHEN abs(w - r) <= 0.000001e0 THEN 1 ELSE 0 END) AS n_in_sync,
           avg(r) AS rate, avg(w) AS rate_wanted, sum(overlap) AS crossfade_sec, sum(reliable) AS reliable_a,

@@ -16,7 +16,7 @@ c = F.col
 
 # fixed values: candidate sources in order of priority, with their provenance
 SCHEMES = {"benannter_cue": "rekordbox_manual", "pssi_phrase": "rekordbox_pssi", "auto_cue": "rekordbox_auto",
-           "analyzer": "hpg_analyzer", "sektion": "hpg_analyzer", "energie_neuheit": "hpg_analyzer"}
+           "analyzer": "analyzer", "sektion": "analyzer", "energie_neuheit": "analyzer"}
 # fixed values: phrase labels by mood (1 high; 2 and 3 mid, low)
 PHRASES_HIGH = {1: "Intro", 2: "Up", 3: "Down", 5: "Chorus", 6: "Outro"}
 PHRASES_MID_LOW = {1: "Intro", 2: "Verse 1", 3: "Verse 2", 4: "Verse 3", 5: "Verse 4",

@@ -107,9 +107,7 @@ def maximin_sample(points: DataFrame, k: int, columns: Sequence[str] = FACTORS,
         recent.append(best)
         if len(recent) >= every:
             state = lineage.cut(state.withColumn("nearest", F.least(c("nearest"), *[distance(r) for r in recent])))
-            recent = []
-            nearest = c("nearest")
-            recent.append(best)
+            recent = [best]
     schema = points.select(key).schema
     out = spark.createDataFrame([(r[key], i) for i, r in enumerate(chosen)],
                                 f"{key} {schema[0].dataType.simpleString()}, round int")
@@ -128,7 +126,8 @@ def strided_sample(files: DataFrame, n: int, folder: str = "folder", path: str =
     return rows.where((c("size") <= n) | hit).drop("position", "size")
 
 
-def blind_assignment(pairs: DataFrame, seed: int = 42, session: str = "session") -> DataFrame:
+def blind_assignment(pairs: DataFrame, seed: int = 42, session: str = "session",
+                     systems: tuple[str, str] = ("candidate", "baseline")) -> DataFrame:
     """Shuffle pairs and put the first system on side A for exactly half of them.
 
     Order and sides are two independent hash orders of the pair ids.
@@ -144,8 +143,8 @@ def blind_assignment(pairs: DataFrame, seed: int = 42, session: str = "session")
     label = F.lpad((c("place") + 1).cast("string"), 3, "0")
     return rows.select(F.lit(session).alias("session_id"), "pair_id", F.concat(F.lit("pair_"), label, F.lit("_A")).alias("candidate_a_id"),
                        F.concat(F.lit("pair_"), label, F.lit("_B")).alias("candidate_b_id"),
-                       F.when(first_on_a, "HPG").otherwise("baseline").alias("system_a"),
-                       F.when(first_on_a, "baseline").otherwise("HPG").alias("system_b"))
+                       F.when(first_on_a, systems[0]).otherwise(systems[1]).alias("system_a"),
+                       F.when(first_on_a, systems[1]).otherwise(systems[0]).alias("system_b"))
 
 
 # --------------------------------------------------------------------------- fit

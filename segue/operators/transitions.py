@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segue import refdata as R
-from segue.functions import grid, keys, sections, tempo, text
+from segue.functions import grid, keys, sections, tempo
 from segue.operators import mixpoints, pairs, scoring
 
 a = lambda name: F.col(f"a_{name}")
