@@ -259,8 +259,7 @@ def candidate_confidence(downbeat: Column, has_phrase_grid: Column, phrase: Colu
 def candidate_summary(candidates: DataFrame, info: DataFrame) -> DataFrame:
     """Counts per side: tracks without candidates, median, guard violations, use of every source."""
     per_track = candidates.groupBy("track_id", "side").agg(F.count("*").alias("n"))
-    every = info.select("track_id").crossJoin(F.broadcast(
-        candidates.sparkSession.createDataFrame([("in",), ("out",)], "side string")))
+    every = info.select("track_id", F.explode(F.array(F.lit("in"), F.lit("out"))).alias("side"))
     counts = every.join(per_track, ["track_id", "side"], "left").fillna(0, ["n"])
     # counts are at most the limit per side, so the histogram behind the median has a handful of rows
     medians = counts.groupBy("side").agg(F.count("*").alias("tracks"), F.sum((c("n") == 0).cast("int")).alias("without"),

@@ -310,9 +310,8 @@ def auc_interval(scores: DataFrame, key: str = "factor", cluster: str = "mix_id"
 
     # one row per bucket and factor: at most ``buckets`` rows per group
     bounds = parts.groupBy(key).applyInPandas(stitch, f"{key} string, lower double, upper double")
-    n_clusters = base.agg(F.count("*").alias("n_clusters"))
     point = auc(scores, [key])
-    out = point.join(bounds, key).crossJoin(F.broadcast(n_clusters))
+    out = point.join(bounds, key).withColumn("n_clusters", scores.agg(F.count_distinct(cluster)).scalar())
     few = c("n_clusters") < 2
     return out.select(key, "auc", F.when(few, 0.0).otherwise(c("lower")).alias("lower"),
                       F.when(few, 1.0).otherwise(c("upper")).alias("upper"))
@@ -357,13 +356,13 @@ def factor_scales(deltas: DataFrame) -> DataFrame:
 def combined_score(deltas: DataFrame, weights: dict[str, float], scales: DataFrame) -> DataFrame:
     """Weighted score of a pair; distances are turned so that higher is better."""
     used = {f: w for f, w in weights.items() if w > 0}
-    rows = deltas.crossJoin(F.broadcast(scales))
+    rows = deltas.withColumn("scales", scales.select(F.struct("*")).scalar())
     total = F.lit(0.0)
     for f, w in used.items():
-        share = F.least(F.lit(1.0), F.abs(c(f)) / c(f"scale_{f}"))
+        share = F.least(F.lit(1.0), F.abs(c(f)) / c(f"scales.scale_{f}"))
         total = total + (share if DIRECTIONS[f] else 1.0 - share) * w
     return rows.withColumn("score", total / sum(used.values()) if used else F.lit(0.0)) \
-        .drop(*[f"scale_{f}" for f in DIRECTIONS])
+        .drop("scales")
 
 
 def holdout_passed(scored: DataFrame, minimum: float = HOLDOUT_MIN_AUC) -> DataFrame:

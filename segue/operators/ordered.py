@@ -87,8 +87,10 @@ def value_bucket(value: str, low: str, high: str, buckets: int = BUCKETS) -> Col
 
 def _with_extremes(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Attach the smallest and largest value of the key (one row per key, a small set of keys)."""
+    if not keys:
+        return values.withColumns({"low": values.agg(F.min(value)).scalar(), "high": values.agg(F.max(value)).scalar()})
     ends = values.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    return values.join(F.broadcast(ends), keys) if keys else values.crossJoin(F.broadcast(ends))
+    return values.join(F.broadcast(ends), keys)
 
 
 def running_totals(rows: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str],
@@ -120,8 +122,10 @@ def quantiles(rows: DataFrame, keys: Sequence[str], value: str, points: dict[str
     keys = list(keys)
     known = rows.where(F.col(value).isNotNull()).select(*keys, value, F.lit(1).cast("long").alias("n"))
     counts = running_totals(known, keys, value, ["n"])
-    sizes = known.groupBy(*keys).agg(F.count("*").alias("size"))
-    placed = counts.join(F.broadcast(sizes), keys) if keys else counts.crossJoin(F.broadcast(sizes))
+    if keys:
+        placed = counts.join(F.broadcast(known.groupBy(*keys).agg(F.count("*").alias("size"))), keys)
+    else:
+        placed = counts.withColumn("size", known.agg(F.count("*")).scalar())
     first, last = F.col("below_n"), F.col("below_n") + F.col("n") - 1
     columns, parts = [], []
     for name, share in points.items():

@@ -137,8 +137,7 @@ def blind_assignment(pairs: DataFrame, seed: int = 42, session: str = "session",
         return ordered.dense_index(keyed, [], ["h", "pair_id"], F.floor(c("h") / (2 ** 54)), name).drop("h")
 
     rows = shuffled(shuffled(pairs, 1, "place"), 2, "side_rank")
-    size = pairs.agg(F.count("*").alias("size"))
-    rows = rows.crossJoin(F.broadcast(size))
+    rows = rows.withColumn("size", pairs.agg(F.count("*")).scalar())
     first_on_a = c("side_rank") < F.floor(c("size") / 2)
     label = F.lpad((c("place") + 1).cast("string"), 3, "0")
     return rows.select(F.lit(session).alias("session_id"), "pair_id", F.concat(F.lit("pair_"), label, F.lit("_A")).alias("candidate_a_id"),
@@ -151,10 +150,12 @@ def blind_assignment(pairs: DataFrame, seed: int = 42, session: str = "session",
 def design(rated: DataFrame, factors: Sequence[str] = FACTORS) -> DataFrame:
     """Target (good from 4) and z-scored factors; constant columns become 0."""
     rows = rated.where(c("rating").isNotNull())
-    stats = rows.agg(*[x for f in factors for x in (F.avg(f).alias(f"{f}_avg"), F.stddev_pop(f).alias(f"{f}_std"))])
-    joined = rows.crossJoin(F.broadcast(stats))   # one row
+    stats = rows.agg(F.struct(*[x for f in factors for x in (
+        F.avg(f).alias(f"{f}_avg"), F.stddev_pop(f).alias(f"{f}_std"))]).alias("s")).scalar()
+    joined = rows.withColumn("stats", stats)
     return joined.select("pair_id", (c("rating") >= GOOD_FROM).cast("double").alias("y"), *[
-        F.when(c(f"{f}_std") > 1e-12, (c(f) - c(f"{f}_avg")) / c(f"{f}_std")).otherwise(0.0).alias(f) for f in factors])
+        F.when(c(f"stats.{f}_std") > 1e-12, (c(f) - c(f"stats.{f}_avg")) / c(f"stats.{f}_std")).otherwise(0.0).alias(f)
+        for f in factors])
 
 
 def fit_logistic(rows: DataFrame, factors: Sequence[str] = FACTORS, l2: float = L2_STRENGTH) -> DataFrame:
