@@ -8,6 +8,7 @@ from catalogue import frames as fr
 from catalogue import relations as rel
 from catalogue.harness import canon, sql, with_ctes
 from catalogue.plans import q
+from segue import refdata as R
 from segue.operators import candidates as cand
 
 C = rel.CTES
@@ -41,11 +42,11 @@ def phrase_rows(spark, sf):
     return cand.phrases(entries, headers, b)
 
 
-def _collected(spark, sf):
+def _collected(spark, sf, limit=None):
     i = info(spark, sf)
     cues = cand.normalize_cues(cue_rows(spark, sf)).select("track_id", F.explode("cues").alias("q")).select("track_id", "q.*")
     raw = cand.raw_candidates(i, cues, phrase_rows(spark, sf), fr.frame_sections(spark, sf))
-    return cand.collect_candidates(raw, i), i
+    return cand.collect_candidates(raw, i, limit), i
 
 
 def cues(spark, sf):
@@ -67,8 +68,15 @@ def downbeats(spark, sf):
     return canon(cand.first_downbeat(ticks))
 
 
+def first_eight(spark, sf):
+    return _shown(_collected(spark, sf, R.CANDIDATES_PER_SIDE)[0])
+
+
 def collected(spark, sf):
-    rows, _ = _collected(spark, sf)
+    return _shown(_collected(spark, sf)[0])
+
+
+def _shown(rows):
     return canon(rows.select("track_id", "side", "t", F.array_join("schemes", ",").alias("schemes"), "provenance", "section_label", "phrase_label"))
 
 
@@ -95,7 +103,7 @@ def confidence(spark, sf):
 
 
 QUERIES = {"c1_cues": cues, "c2_phrases": phrases, "c3_phrase_grid": grid_points, "c4_first_downbeat": downbeats,
-           "c5_c6_c7_candidates": collected, "c8_measured": measured, "c9_confidence": confidence, "c10_summary": summary}
+           "c5_c6_c7_candidates": collected, "c7_first_eight": first_eight, "c8_measured": measured, "c9_confidence": confidence, "c10_summary": summary}
 
 # ------------------------------------------------------------------- SQL twins
 C["cue_rows"] = f"""SELECT user_id AS track_id, e AS cue_no, round_even((e * 13 % 3600) / 10e0 - 10e0, 3) AS t, name,
@@ -147,8 +155,9 @@ _NM = "[" + ", ".join(f"'{s}'" for s in cand.SCHEMES) + "]"
 _PV = "[" + ", ".join(f"'{s}'" for s in cand.SCHEMES.values()) + "]"
 C["candidates"] = f"""SELECT track_id, side, t, ranks, section_label, list_reduce(list_transform(ranks, lambda r: {_NM}[r + 1]), lambda x, y: x || ',' || y) AS schemes, {_PV}[ranks[1] + 1] AS provenance,
    coalesce((SELECT first(label ORDER BY phrase_idx) FROM phrases p WHERE p.track_id = m.track_id AND p.start_s <= m.t AND (m.t < p.end_s OR (m.t = p.end_s AND p.phrase_idx = (SELECT max(phrase_idx) FROM phrases z WHERE z.track_id = m.track_id)))), '') AS phrase_label
- FROM (SELECT track_id, side, t, list_sort(list(DISTINCT rk)) AS ranks, any_value(section_label) AS section_label FROM cand_gated WHERE section_label <> 'unanalysed' GROUP BY 1, 2, 3
-   QUALIFY row_number() OVER (PARTITION BY track_id, side ORDER BY ranks[1], -len(ranks), CASE WHEN side = 'in' THEN t ELSE -t END) <= 8) m"""
+ FROM (SELECT track_id, side, t, list_sort(list(DISTINCT rk)) AS ranks, any_value(section_label) AS section_label FROM cand_gated WHERE section_label <> 'unanalysed' GROUP BY 1, 2, 3) m"""
+C["first_candidates"] = """SELECT * FROM candidates
+   QUALIFY row_number() OVER (PARTITION BY track_id, side ORDER BY ranks[1], -len(ranks), CASE WHEN side = 'in' THEN t ELSE -t END) <= 8"""
 
 _E = "trunc(least(100e0, {} / 0.4e0 * 100e0))"
 
@@ -187,6 +196,7 @@ SQL = {
     "c4_first_downbeat": sql(with_ctes(C, ["frames"], "SELECT track_id, min(CASE WHEN frame_idx % 4 + 1 - track_id % 3 = 1 THEN t_sec END) AS first_downbeat FROM frames GROUP BY 1"),
                              "track_id", "first_downbeat"),
     "c5_c6_c7_candidates": sql(with_ctes(C, ["candidates"], "SELECT * FROM candidates").replace(*_REC), "track_id", "t", "side schemes provenance section_label phrase_label"),
+    "c7_first_eight": sql(with_ctes(C, ["first_candidates"], "SELECT * FROM first_candidates").replace(*_REC), "track_id", "t", "side schemes provenance section_label phrase_label"),
     "c8_measured": sql(with_ctes(C, ["frames", "frame_tracks"], _MEASURED), "track_id n_frames energy_local brightness_local",
                        "t mids_local highs_local bass_db novelty_local", "side energy_trend", "kick_active"),
     "c9_confidence": sql(with_ctes(C, ["frame_tracks"], """SELECT track_id, round_even(greatest(0e0, least(1e0, CASE WHEN track_id % 4 = 0 THEN p / 3e0 ELSE (p + (track_id % 11) / 10e0) / 4e0 END)), 3) AS confidence

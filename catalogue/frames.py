@@ -47,7 +47,7 @@ def frame_rows(spark, sf):
     indexed = ordered.dense_index(e, ["track_id"], ["t_sec", "e"], F.floor(F.col("t_sec") / 30.0), "frame_idx")
     v = rel.vectors(spark, sf).select("vec_id", F.transform(F.slice("raw", 1, 12), F.abs).alias("chroma"),
                                       F.transform(F.slice("raw", 13, 13), lambda x: x * 100.0).alias("mfcc"))
-    return indexed.withColumn("vec_id", F.expr("e % 500")).join(v, "vec_id").select(
+    return indexed.withColumn("vec_id", rel.vector_number(spark, sf, "e")).join(v, "vec_id").select(
         "track_id", "frame_idx", "t_sec", *[F.expr(x).alias(n) for n, x in FRAME_COLUMNS.items()], "chroma", "mfcc")
 
 
@@ -130,9 +130,12 @@ def downbeat_votes(spark, sf):
         span.select("track_id", (F.lit(60.0) / F.col("ibi")).alias("bpm")), "track_id")))
 
 
+BINS = 1024
+
+
 def beat_fold(spark, sf):
     env = frame_rows(spark, sf).select("track_id", "frame_idx", "t_sec", F.col("bass_env").alias("level"))
-    return canon(downbeat.fold_beat_phase(env, frame_tracks(spark, sf), 16))
+    return canon(downbeat.fold_beat_phase(env, frame_tracks(spark, sf), BINS))
 
 
 def phrase_votes(spark, sf):
@@ -153,8 +156,12 @@ def phrase(spark, sf):
     return canon(structure.phrase_unit(structure.bar_novelty(frame_rows(spark, sf), frame_tracks(spark, sf)), frame_tracks(spark, sf)))
 
 
-def _picked(spark, sf):
-    return structure.pick_boundaries(frame_rows(spark, sf), frame_tracks(spark, sf))
+def _picked(spark, sf, most=None):
+    return structure.pick_boundaries(frame_rows(spark, sf), frame_tracks(spark, sf), most)
+
+
+def first_boundaries(spark, sf):
+    return canon(_picked(spark, sf, structure.MOST_BOUNDARIES).select("track_id", F.posexplode("boundaries").alias("idx", "t")))
 
 
 def boundaries(spark, sf):
@@ -249,6 +256,7 @@ QUERIES = {
     "g17_bar_novelty": bar_curve,
     "g18_phrase_unit": phrase,
     "g19_boundaries": boundaries,
+    "g19_first_eleven": first_boundaries,
     "g20_quantized_boundaries": snapped,
     "g21_section_stats": stats,
     "g22_section_labels": labels,
@@ -267,7 +275,7 @@ SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY t_s
   list_transform(CAST(embedding[1:12] AS DOUBLE[]), lambda x: abs(x)) AS chroma,
   list_transform(CAST(embedding[13:25] AS DOUBLE[]), lambda x: x * 100e0) AS mfcc
 FROM (SELECT *, event_id AS e, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 8640000000e0 AS t_sec FROM events)
-JOIN embeddings ON vec_id = e % 500"""
+JOIN embeddings ON vec_id = e % {rel.VECTORS}"""
 C["frame_tracks"] = (f"SELECT track_id, {', '.join(f'{x} AS {n}' for n, x in TRACK_COLUMNS.items())} "
                      "FROM (SELECT DISTINCT user_id AS track_id FROM events)")
 C["frame_sections"] = """SELECT track_id, section_idx, label, start_time / duration * 300e0 AS start_time,
@@ -403,7 +411,7 @@ C["greedy"] = """
     SELECT g.track_id, g.step, g.taken, {'h': max({'h': p.h, 'b': -p.frame_idx, 't': p.t_sec}).h, 'i': -max({'h': p.h, 'b': -p.frame_idx, 't': p.t_sec}).b,
            't': max({'h': p.h, 'b': -p.frame_idx, 't': p.t_sec}).t} AS best
     FROM greedy g JOIN apart USING (track_id) JOIN peaks p ON p.track_id = g.track_id
-    WHERE g.step < 11 AND len(list_filter(g.taken, lambda q: abs(q.i - p.frame_idx) < apart)) = 0
+    WHERE len(list_filter(g.taken, lambda q: abs(q.i - p.frame_idx) < apart)) = 0
     GROUP BY 1, 2, 3) g"""
 C["picked"] = """
 SELECT track_id, CASE WHEN len(ts) = 0 OR ts[1] > 1 THEN list_concat([0e0], ts) ELSE list_concat([0e0], ts[2:]) END AS boundaries FROM (
@@ -413,6 +421,10 @@ SELECT track_id, CASE WHEN len(ts) = 0 OR ts[1] > 1 THEN list_concat([0e0], ts)
   FROM greedy QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY step DESC) = 1))"""
 
 
+C["greedy_eleven"] = C["greedy"].replace("FROM greedy g", "FROM greedy_eleven g").replace("WHERE len(", "WHERE g.step < 11 AND len(")
+C["picked_eleven"] = C["picked"].replace("FROM greedy ", "FROM greedy_eleven ")
+
+
 def _snapped(source: str) -> str:
     """Snap to the phrase grid, then keep points two bars apart (a reduce over the sorted list)."""
     return f"""
@@ -514,11 +526,11 @@ SELECT track_id, p AS phase, CASE WHEN n >= 2 THEN {mod('atan2(s, k)', '2e0 * pi
   FROM voters WHERE n_valid >= 16 GROUP BY 1, 2) JOIN (SELECT track_id, frame_idx AS p, t_sec AS seed FROM frames WHERE frame_idx < 4) USING (track_id, p)
  WINDOW w AS (PARTITION BY track_id ORDER BY v DESC, p)) WHERE rk = 1"""
 _FOLD = f"""
-SELECT track_id, ((pk - coalesce(b, 0) + 16) % 16) / 16e0 * 60e0 / bpm AS beat_phase, (top - flo) / top AS lock FROM (
- SELECT track_id, bpm, top, flo, pk, min(CASE WHEN lv <= flo + 0.15e0 * (top - flo) THEN (pk - slot + 16) % 16 END) AS b FROM (
+SELECT track_id, ((pk - coalesce(b, 0) + {BINS}) % {BINS}) / {BINS}e0 * 60e0 / bpm AS beat_phase, (top - flo) / top AS lock FROM (
+ SELECT track_id, bpm, top, flo, pk, min(CASE WHEN lv <= flo + 0.15e0 * (top - flo) THEN (pk - slot + {BINS}) % {BINS} END) AS b FROM (
   SELECT *, max(lv) OVER w AS top, min(lv) OVER w AS flo, first(slot) OVER (PARTITION BY track_id ORDER BY lv DESC, slot) AS pk FROM (
-   SELECT t.track_id, t.bpm, r.slot, coalesce(x.lv, 0e0) AS lv FROM frame_tracks t CROSS JOIN range(16) r(slot) LEFT JOIN (
-    SELECT track_id, least(15, CAST(floor({mod('t_sec', '60e0 / bpm')} / (60e0 / bpm) * 16) AS BIGINT)) AS slot, avg(bass_env) AS lv
+   SELECT t.track_id, t.bpm, r.slot, coalesce(x.lv, 0e0) AS lv FROM frame_tracks t CROSS JOIN range({BINS}) r(slot) LEFT JOIN (
+    SELECT track_id, least({BINS} - 1, CAST(floor({mod('t_sec', '60e0 / bpm')} / (60e0 / bpm) * {BINS}) AS BIGINT)) AS slot, avg(bass_env) AS lv
     FROM frames JOIN frame_tracks USING (track_id) GROUP BY 1, 2) x ON x.track_id = t.track_id AND x.slot = r.slot) WINDOW w AS (PARTITION BY track_id))
  GROUP BY 1, 2, 3, 4, 5)"""
 _PVOTE = f"""
@@ -597,6 +609,7 @@ SQL = {
     "g17_bar_novelty": sql(with_ctes(C, ["bars"], "SELECT * FROM bars"), "track_id bar", "novelty"),
     "g18_phrase_unit": sql(with_ctes(C, ["lagged", "frame_tracks", "mix_profiles"], _PHRASE), "track_id n_bars phrase_unit", "s8 s16 s32"),
     "g19_boundaries": sql(with_ctes(C, ["picked"], _EXPLODED + "picked").replace("WITH ", "WITH RECURSIVE ", 1), "track_id idx", "t"),
+    "g19_first_eleven": sql(with_ctes(C, ["picked_eleven"], _EXPLODED + "picked_eleven").replace("WITH ", "WITH RECURSIVE ", 1), "track_id idx", "t"),
     "g20_quantized_boundaries": sql(with_ctes(C, ["picked", "frame_tracks"], f"{_EXPLODED} ({_snapped('picked')})").replace(
         "WITH ", "WITH RECURSIVE ", 1), "track_id idx", "t"),
     "g21_section_stats": sql(with_ctes(C, ["spans", "frames"], _STATS), "track_id section_idx", "start_time end_time avg_energy", "trend"),

@@ -59,7 +59,7 @@ def windows(spark, sf):
 def scores(spark, sf):
     """Labelled scores per mix: quality labels against embedding values."""
     v = rel.vectors(spark, sf).select(F.col("vec_id"), "raw")
-    d = rel.read(spark, sf, "labels").withColumn("vec_id", F.col("doc_id") % 500)
+    d = rel.read(spark, sf, "labels").withColumn("vec_id", rel.vector_number(spark, sf, "doc_id"))
     return d.join(v, "vec_id").select(
         (F.col("doc_id") % 20).alias("mix_id"), (F.col("quality") == 1).alias("positive"),
         F.explode(F.array(F.struct(F.lit("first").alias("factor"), F.floor(F.get("raw", F.lit(0)) * 100.0).alias("value")),
@@ -69,7 +69,7 @@ def scores(spark, sf):
 
 def features(spark, sf):
     v = rel.vectors(spark, sf).select("vec_id", "raw")
-    d = rel.read(spark, sf, "labels").withColumn("vec_id", F.col("doc_id") % 500)
+    d = rel.read(spark, sf, "labels").withColumn("vec_id", rel.vector_number(spark, sf, "doc_id"))
     return d.join(v, "vec_id").select(
         F.col("doc_id").cast("string").alias("pair_id"), "doc_id",
         *[F.when((F.col("doc_id") % 41 == i) & (i < 3), F.lit(None)).otherwise((F.get("raw", F.lit(i)) + 1.0) / 2.0).alias(f) for i, f in enumerate(FACTORS)])
@@ -117,10 +117,13 @@ def deltas(spark, sf):
     return canon(mining.true_deltas(windows(spark, sf)))
 
 
+def gapped(spark, sf):
+    """Windows with gaps in their numbers, as cut-off transitions leave them."""
+    return windows(spark, sf).where("(transition_idx + mix_id) % 4 <> 1")
+
+
 def negatives(spark, sf):
-    n = mining.negative_pairs(windows(spark, sf))
-    return canon(n.groupBy("mix_id").agg(F.count("*").alias("pairs"), F.count_distinct(F.struct("i", "j")).alias("distinct_pairs"),
-                                         F.sum((F.floor(F.col("i") / 2) == F.floor(F.col("j") / 2)).cast("int")).alias("true_pairs")))
+    return canon(mining.negative_deltas(gapped(spark, sf)))
 
 
 def auc(spark, sf):
@@ -128,7 +131,7 @@ def auc(spark, sf):
 
 
 def auc_interval(spark, sf):
-    return canon(mining.auc_interval(scores(spark, sf), draws=200))
+    return canon(mining.auc_interval(scores(spark, sf)))
 
 
 def tolerances(spark, sf):
@@ -155,7 +158,7 @@ def holdout(spark, sf):
 
 
 def report(spark, sf):
-    return canon(mining.mining_report(mining.mix_deltas(windows(spark, sf)), draws=100).select("factor", "auc", "weight", "n_true"))
+    return canon(mining.mining_report(mining.mix_deltas(gapped(spark, sf))).select("factor", "auc", "weight", "n_true"))
 
 
 def transitions(spark, sf):
@@ -164,7 +167,7 @@ def transitions(spark, sf):
 
 
 def bounds(spark, sf):
-    t = fr.frame_rows(spark, sf).where("frame_idx % 9 = 4").select(F.col("track_id").alias("mix_id"), F.col("frame_idx").alias("transition_idx"), F.col("t_sec").alias("t"))
+    t = fr.frame_rows(spark, sf).select(F.col("track_id").alias("mix_id"), F.col("frame_idx").alias("transition_idx"), F.col("t_sec").alias("t"))
     lengths = fr.frame_tracks(spark, sf).select(F.col("track_id").alias("mix_id"), F.col("duration").alias("length"))
     return canon(mining.window_bounds(t, lengths))
 
@@ -223,7 +226,7 @@ def logistic(spark, sf):
 
 
 def intervals(spark, sf):
-    return canon(ratings.bootstrap_ci(ratings.design(rated(spark, sf)), draws=60))
+    return canon(ratings.bootstrap_ci(ratings.design(rated(spark, sf))))
 
 
 def _made_up_intervals(spark, sf):
@@ -241,11 +244,11 @@ def filled(spark, sf):
 
 
 def fit_report(spark, sf):
-    return canon(ratings.fit_report(rated(spark, sf), draws=40).select("factor", "coefficient", "n_good", "n_bad", "sufficient"))
+    return canon(ratings.fit_report(rated(spark, sf)).select("factor", "coefficient", "n_good", "n_bad", "sufficient"))
 
 
 def maximin(spark, sf):
-    points = features(spark, sf).select(F.col("doc_id").alias("pair_id"), *FACTORS).dropna()
+    points = features(spark, sf).select(F.concat(F.lit("p"), F.lpad("pair_id", 6, "0")).alias("pair_id"), *FACTORS).dropna()
     return canon(ratings.maximin_sample(points, 12))
 
 
@@ -255,9 +258,7 @@ def strided(spark, sf):
 
 
 def blind(spark, sf):
-    b = ratings.blind_assignment(rel.read(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("pair_id")))
-    return canon(b.groupBy("system_a").agg(F.count("*").alias("n"), F.count_distinct("pair_id").alias("pairs"),
-                                           F.count_distinct("candidate_a_id").alias("labels")))
+    return canon(ratings.blind_assignment(rel.read(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("pair_id"))).drop("session_id"))
 
 
 QUERIES = {
@@ -322,9 +323,31 @@ def _delta(join: str) -> str:
  FROM windows x JOIN windows y ON y.mix_id = x.mix_id AND x.side = 0 AND y.side = 1 AND {join}"""
 
 
+def _number(*parts: str) -> str:
+    return f"('0x' || substr(md5({" || '/' || ".join(f'CAST({p} AS VARCHAR)' for p in parts)}), 1, 15))::BIGINT"
+
+
+C["gapped"] = "SELECT *, row_number() OVER (PARTITION BY mix_id ORDER BY idx) - 1 AS place FROM windows WHERE (idx // 2 + mix_id) % 4 <> 1"
+C["neg_mixes"] = f"""SELECT mix_id, count(*) AS n, greatest(30, count(*) FILTER (WHERE side = 0)) AS wanted, count(*) * (count(*) - 1) // 2 AS total,
+  count(*) - count(DISTINCT idx // 2) AS same, {_number("'42'", 'mix_id')} AS start FROM gapped GROUP BY 1 HAVING count(*) >= 2"""
+C["neg_steps"] = """SELECT mix_id, wanted, step, (start % total + step * 2147483647 % total) % total AS number
+  FROM (SELECT *, unnest(range(least(wanted + same, total))) AS step FROM neg_mixes)"""
+C["neg_places"] = "SELECT *, number - b * (b - 1) // 2 AS a FROM (SELECT *, CAST(floor((1e0 + sqrt(1e0 + 8e0 * number)) / 2e0) AS BIGINT) AS b FROM neg_steps)"
+C["negatives"] = f"""SELECT x.mix_id, x.idx AS i, y.idx AS j, CASE WHEN x.has_bp AND y.has_bp THEN {_cyc('x.bp', 'y.bp')} ELSE {_cyc('x.gp', 'y.gp')} END AS groove_sim,
+  abs(x.sub - y.sub) AS sub_delta, abs(x.punch - y.punch) AS punch_delta, abs(x.bright - y.bright) AS brightness_delta, list_cosine_similarity(x.timbre, y.timbre) AS timbre_sim
+ FROM neg_places p JOIN gapped x ON x.mix_id = p.mix_id AND x.place = p.a JOIN gapped y ON y.mix_id = p.mix_id AND y.place = p.b WHERE x.idx // 2 <> y.idx // 2
+ QUALIFY row_number() OVER (PARTITION BY p.mix_id ORDER BY step) <= wanted"""
+C["mix_clusters"] = f"SELECT mix_id, row_number() OVER (ORDER BY {_number('mix_id')}, mix_id) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT mix_id FROM scores)"
+C["cluster_picks"] = f"""SELECT id // (2 * n) AS draw, id % 2 AS side, {_number("'42'", 'id')} % n AS k FROM (SELECT n, unnest(range(2000 * n * 2)) AS id FROM (SELECT count(*) AS n FROM mix_clusters))"""
+C["drawn_clusters"] = "SELECT draw, side, mix_id, count(*) AS times FROM cluster_picks JOIN mix_clusters USING (k) GROUP BY 1, 2, 3"
+C["drawn_scores"] = """SELECT factor, draw, value, sum(CASE WHEN positive THEN times ELSE 0 END) AS p, sum(CASE WHEN positive THEN 0 ELSE times END) AS q
+  FROM scores JOIN drawn_clusters d ON d.mix_id = scores.mix_id AND side = CASE WHEN positive THEN 0 ELSE 1 END GROUP BY 1, 2, 3"""
+C["auc_bounds"] = """SELECT factor, quantile_cont(a, 0.025) AS lower, quantile_cont(a, 0.975) AS upper FROM (
+  SELECT factor, draw, sum(p * (below + q / 2e0)) / (sum(p) * sum(q)) AS a FROM (
+    SELECT *, sum(q) OVER (PARTITION BY factor, draw ORDER BY value) - q AS below FROM drawn_scores) GROUP BY 1, 2 HAVING sum(p) > 0 AND sum(q) > 0) GROUP BY 1"""
 C["deltas"] = _delta("y.idx = x.idx + 1")
 C["moved"] = _delta("(y.idx + 2) % 50 = x.idx + 1")
-C["scores"] = """SELECT doc_id % 20 AS mix_id, quality = 1 AS positive, unnest(['first', 'second']) AS factor, unnest([floor(raw[1] * 100e0), raw[8]]) AS value FROM labels JOIN vectors ON vec_id = doc_id % 500"""
+C["scores"] = """SELECT doc_id % 20 AS mix_id, quality = 1 AS positive, unnest(['first', 'second']) AS factor, unnest([floor(raw[1] * 100e0), raw[8]]) AS value FROM labels JOIN vectors ON vec_id = doc_id % """ + rel.VECTORS
 
 
 def _auc(source: str, value: str = "value", key: str = "factor") -> str:
@@ -335,7 +358,7 @@ def _auc(source: str, value: str = "value", key: str = "factor") -> str:
 
 C["aucs"] = _auc("scores")
 C["features"] = f"""SELECT doc_id, quality, {', '.join(f'CASE WHEN doc_id % 41 = {i} AND {i} < 3 THEN NULL ELSE (raw[{i + 1}] + 1e0) / 2e0 END AS {f}' for i, f in enumerate(FACTORS))}
-  FROM labels JOIN vectors ON vec_id = doc_id % 500"""
+  FROM labels JOIN vectors ON vec_id = doc_id % """ + rel.VECTORS
 C["rated"] = """SELECT *, CASE WHEN doc_id % 29 = 0 THEN 'missing' WHEN doc_id % 31 = 0 OR doc_id % 37 = 0 OR doc_id % 41 < 3 THEN 'invalid' ELSE 'ok' END AS status,
   CASE WHEN quality = 1 THEN 4 + doc_id % 2 ELSE 1 + doc_id % 3 END AS note FROM features"""
 C["spread"] = "SELECT factor, min(v) AS low, max(v) AS high, stddev_pop(v) AS spread, median(v) AS median FROM (" + " UNION ALL ".join(
@@ -357,6 +380,14 @@ C["taken"] = """
   SELECT track_id, step + 1, list_append(ts, best.t) FROM (SELECT x.track_id, x.step, x.ts, max({'z': b.z, 't': b.t_sec}) AS best FROM taken x JOIN breaks b ON b.track_id = x.track_id
     WHERE len(list_filter(x.ts, lambda g: abs(g - b.t_sec) < 60)) = 0 GROUP BY 1, 2, 3)"""
 
+C["points"] = f"SELECT 'p' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS k, [{', '.join(FACTORS)}] AS x FROM features WHERE {' AND '.join(f'{f} IS NOT NULL' for f in FACTORS)}"
+C["maximin"] = f"""
+  SELECT k, x, 0 AS round, [k] AS taken, [x] AS spots FROM (SELECT * FROM points ORDER BY {_number("'42'", 'k')}, k LIMIT 1)
+  UNION ALL
+  SELECT best.k, best.x, round + 1, list_append(taken, best.k), list_append(spots, best.x) FROM (
+    SELECT m.round, m.taken, m.spots, min({{'d': -list_min(list_transform(m.spots, lambda s: list_distance(s, p.x))), 'k': p.k, 'x': p.x}}) AS best
+    FROM maximin m, points p WHERE m.round < 11 AND NOT list_contains(m.taken, p.k) GROUP BY 1, 2, 3)"""
+
 _EVAL_INTS = ("adjudicated_tracks matched_tracks bpm_truth bpm_labeled key_truth key_labeled key_exact key_relative key_fifth key_wrong key_invalid genre_truth genre_labeled "
               "mix_in_truth mix_in_labeled mix_out_truth mix_out_labeled sections_truth sections_labeled boundaries_matched boundaries_predicted boundaries_true")
 _EVAL_FLOATS = "bpm_mae bpm_within_0_5 genre_accuracy mix_in_mae mix_out_mae track_coverage precision recall f1 " + " ".join(f"{n}_coverage" for n in _COVER)
@@ -383,8 +414,8 @@ SQL = {
     "a12_factor_spread": sql(with_ctes(C, ["spread"], "SELECT *, factor IN ('groove', 'bass', 'timbre', 'mood') OR spread >= 0.05e0 AS active FROM spread"), "",
                              "low high spread median", "factor", "active"),
     "m1_mix_deltas": sql(with_ctes(C, ["deltas"], "SELECT * FROM deltas"), "mix_id i j", " ".join(mining.DIRECTIONS)),
-    "m2_negative_pairs": sql(with_ctes(C, ["windows"], """SELECT mix_id, greatest(30, sum((side = 0)::INT)) AS pairs, greatest(30, sum((side = 0)::INT)) AS distinct_pairs, 0 AS true_pairs
-        FROM windows GROUP BY 1"""), "mix_id pairs distinct_pairs true_pairs"),
+    "m2_negative_pairs": sql(with_ctes(C, ["negatives"], "SELECT * FROM negatives"), "mix_id i j", " ".join(mining.DIRECTIONS)),
+    "m4_auc_interval": sql(with_ctes(C, ["auc_bounds", "aucs"], "SELECT factor, auc, lower, upper FROM aucs JOIN auc_bounds USING (factor)"), floats="auc lower upper", texts="factor"),
     "m3_auc": sql(with_ctes(C, ["aucs"], "SELECT * FROM aucs"), "n_pos n_neg", "auc", "factor"),
     "m5_tolerances": sql(with_ctes(C, ["deltas"], """SELECT quantile_cont(groove_sim, 0.1) AS groove_sim_min, quantile_cont(sub_delta, 0.9) AS sub_delta_max,
         quantile_cont(brightness_delta, 0.9) AS brightness_delta_max FROM deltas"""), floats="groove_sim_min sub_delta_max brightness_delta_max"),
@@ -399,14 +430,14 @@ SQL = {
     "g27_transitions": sql(with_ctes(C, ["taken"], """SELECT track_id AS mix_id, unnest(range(len(ts))) AS transition_idx, unnest(list_sort(ts)) AS t FROM (
         SELECT track_id, arg_max(ts, step) AS ts FROM taken GROUP BY 1)""").replace(*_R), "mix_id transition_idx", "t"),
     "g28_window_bounds": sql(with_ctes(C, ["frames"], """SELECT track_id AS mix_id, frame_idx AS transition_idx, unnest([0, 1]) AS side, unnest([t_sec - 50, t_sec + 20]) AS start_s, unnest([t_sec - 20, t_sec + 50]) AS end_s
-        FROM frames WHERE frame_idx % 9 = 4 AND t_sec >= 50 AND t_sec + 50 <= 300"""), "mix_id transition_idx side", "start_s end_s"),
+        FROM frames WHERE t_sec >= 50 AND t_sec + 50 <= 300"""), "mix_id transition_idx side", "start_s end_s"),
     "g29_second_profile": sql(with_ctes(C, ["frames"], f"""SELECT mix_id, second, {', '.join(f'{n} / (median({n}) OVER w + 0.000000001e0) AS {n}' for n in ('bass', 'mids', 'highs', 'onset'))} FROM (
         SELECT track_id AS mix_id, floor(t_sec) AS second, {', '.join(f'sqrt(avg({b}_ms)) AS {b}' for b in ('bass', 'mids', 'highs'))}, avg(onset) AS onset FROM frames GROUP BY 1, 2)
         WINDOW w AS (PARTITION BY mix_id)"""), "mix_id second", "bass mids highs onset"),
     "g30_bands": sql(with_ctes(C, ["blend_rows"], "SELECT doc_id, list_sum(mids[58:64]) / 7e0 / around AS centre, CASE WHEN half >= 46 THEN 0e0 ELSE w END AS width FROM blend_rows"), "doc_id", "centre width"),
-    "w8_blend_report": sql(with_ctes(C, ["blend_rows"], """SELECT grp, n, blend_s, 1e0 - median(mids[61] / around) / median(mids[61 + r] / around) AS dip_depth FROM (
+    "w8_blend_report": sql(with_ctes(C, ["blend_rows"], """SELECT grp, n, blend_s, n >= 30 AS sufficient, 1e0 - median(mids[61] / around) / median(mids[61 + r] / around) AS dip_depth FROM (
         SELECT *, greatest(1, least(CAST(round_even(blend_s / 2e0, 0) AS BIGINT), 59)) AS r FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n, median(w) OVER (PARTITION BY grp) AS blend_s FROM blend_rows))
-        WHERE n >= 30 GROUP BY 1, 2, 3"""), "n", "blend_s dip_depth", "grp"),
+        GROUP BY 1, 2, 3"""), "n", "blend_s dip_depth", "grp", "sufficient"),
     "j8_rating_status": sql(with_ctes(C, ["rated"], "SELECT status, count(*) AS n, avg(CASE WHEN status = 'ok' THEN note END) AS avg_rating FROM rated GROUP BY 1"), "n", "avg_rating", "status"),
     "j9_u3_merged_ratings": sql("""SELECT CAST(doc_id AS VARCHAR) AS pair_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 9 <> 0 THEN CASE WHEN doc_id % 12 = 3 THEN '' ELSE CAST(doc_id % 5 + 1 AS VARCHAR) END
           WHEN doc_id % 29 = 0 THEN '' WHEN doc_id % 31 = 0 THEN 'x' WHEN doc_id % 37 = 0 THEN '7' WHEN quality = 1 THEN CAST(4 + doc_id % 2 AS VARCHAR) ELSE CAST(1 + doc_id % 3 AS VARCHAR) END AS rating, 'known' AS kind FROM labels
@@ -425,6 +456,9 @@ SQL = {
         floats=" ".join(f"{f}_weight" for f in FACTORS)),
     "q13_strided": sql(with_ctes(C, ["tracks"], """SELECT folder, path FROM (SELECT artist AS folder, file_path AS path, row_number() OVER (PARTITION BY artist ORDER BY file_path) - 1 AS p, count(*) OVER (PARTITION BY artist) AS n FROM tracks)
         WHERE n <= 20 OR p IN (SELECT floor(i * (n / 20e0)) FROM range(20) r(i))"""), texts="folder path"),
-    "q14_blind": sql("""SELECT unnest(['candidate', 'baseline']) AS system_a, unnest([n // 2, n - n // 2]) AS n, unnest([n // 2, n - n // 2]) AS pairs, unnest([n // 2, n - n // 2]) AS labels FROM (SELECT count(*) AS n FROM labels)""",
-                     "n pairs labels", texts="system_a"),
+    "q12_maximin": sql(with_ctes(C, ["maximin"], "SELECT k AS pair_id, round FROM maximin").replace(*_R), "round", texts="pair_id"),
+    "q14_blind": sql(f"""SELECT pair_id, 'pair_' || lpad(CAST(place AS VARCHAR), 3, '0') || '_A' AS candidate_a_id, 'pair_' || lpad(CAST(place AS VARCHAR), 3, '0') || '_B' AS candidate_b_id,
+        CASE WHEN side <= n // 2 THEN 'candidate' ELSE 'baseline' END AS system_a, CASE WHEN side <= n // 2 THEN 'baseline' ELSE 'candidate' END AS system_b FROM (
+        SELECT pair_id, row_number() OVER (ORDER BY {_number("'42'", "'1'", 'pair_id')}, pair_id) AS place, row_number() OVER (ORDER BY {_number("'42'", "'2'", 'pair_id')}, pair_id) AS side, count(*) OVER () AS n
+        FROM (SELECT CAST(doc_id AS VARCHAR) AS pair_id FROM labels))""", texts="pair_id candidate_a_id candidate_b_id system_a system_b"),
 }

@@ -148,11 +148,18 @@ def validated(spark, sf):
                  .groupBy("reason").agg(F.count("*").alias("n")))
 
 
-def limits(spark, sf):
+def _limit_input(spark, sf):
     t = rel.tracks(spark, sf)
     files = t.where("track_id % 13 <> 0").select(F.upper("file_path").alias("path"), F.expr("(track_id * 7919 % 600) * 1048576").alias("length"))
-    return canon(quality.apply_limits(t.select("playlist_id", "input_pos", "track_id", "file_path", "duration"), files, 20)
-                 .select("playlist_id", "track_id"))
+    return t.select("playlist_id", "input_pos", "track_id", "file_path", "duration"), files
+
+
+def limits(spark, sf):
+    return canon(quality.safe_tracks(*_limit_input(spark, sf)).select("playlist_id", "track_id"))
+
+
+def first_tracks(spark, sf):
+    return canon(quality.apply_limits(*_limit_input(spark, sf), 20).select("playlist_id", "track_id"))
 
 
 def sanitized(spark, sf):
@@ -281,7 +288,7 @@ def report(spark, sf):
 QUERIES = {
     "f1_f5_keys": key_functions, "f6_f11_tempo": tempo_functions, "f12_f13_grid": grid_functions, "f23_f24_vectors": vector_functions,
     "f14_f15_names": names, "f16_f17_genre_tags": tags, "f25_f26_bands": band_functions, "a10_label_accuracy": label_accuracy,
-    "v1_validated_records": validated, "v2_limits": limits, "v3_sanitized": sanitized, "v5_ai_contract": ai_contract, "v6_cue_gate": cue_gate,
+    "v1_validated_records": validated, "v2_limits": limits, "v2_first_tracks": first_tracks, "v3_sanitized": sanitized, "v5_ai_contract": ai_contract, "v6_cue_gate": cue_gate,
     "v7_provenance": provenance, "v8_ab_manifest": manifest, "s2_parsed_tracks": parsed, "s3_upserted_store": store, "s4_j6_changed_files": changes,
     "s4_signed_keys": signed, "s5_catalog": catalog, "j5_catalog_match": matched, "a7_catalog_stats": catalog_statistics, "a8_coverage": coverage,
     "s7_predictions": predictions, "s8_m3u8": m3u8, "u2_deduplicated": deduplicated, "s9_xml_collection": xml_rows, "s9_xml_marks": xml_marks,
@@ -412,7 +419,9 @@ SQL = {
             SELECT detected_genre, bpm, {_NAMEGENRE} AS ng, TRY_CAST(nullif(regexp_extract(file, '_(\\d{{2,3}})__', 1), '') AS INT) AS nb
             FROM tracks JOIN names ON k = track_id)) GROUP BY 1"""), "n n_bpm n_bpm_ok", texts="status"),
     "v1_validated_records": sql(with_ctes(C, ["records"], f"SELECT {_REASON} AS reason, count(*) AS n FROM records GROUP BY 1"), "n", texts="reason"),
-    "v2_limits": sql(with_ctes(C, ["tracks"], """SELECT playlist_id, track_id FROM tracks WHERE track_id % 13 <> 0 AND track_id * 7919 % 600 <= 500
+    "v2_limits": sql(with_ctes(C, ["tracks"], "SELECT playlist_id, track_id FROM tracks WHERE track_id % 13 <> 0 AND track_id * 7919 % 600 <= 500"),
+        "playlist_id track_id"),
+    "v2_first_tracks": sql(with_ctes(C, ["tracks"], """SELECT playlist_id, track_id FROM tracks WHERE track_id % 13 <> 0 AND track_id * 7919 % 600 <= 500
         QUALIFY row_number() OVER (PARTITION BY playlist_id ORDER BY input_pos) <= 20"""), "playlist_id track_id"),
     "v3_sanitized": sql(with_ctes(C, ["tracks"], """SELECT track_id, CASE WHEN track_id % 5 = 0 THEN 0e0 ELSE bpm END AS bpm,
         CASE WHEN track_id % 7 = 0 THEN 0e0 ELSE coalesce(list_sum(timbre), 0e0) END AS timbre_sum, CASE WHEN track_id % 3 = 0 THEN 0e0 ELSE lufs END AS lufs FROM tracks"""),

@@ -155,9 +155,17 @@ FROM sections WHERE track_id < (SELECT max(p_partkey) + 1 FROM part)"""
 VECTOR_COLUMNS = ("groove_pattern", "bass_pattern", "timbre")
 
 
+VECTORS = "(SELECT count(*) FROM embeddings)"
+
+
+def vector_number(spark: SparkSession, sf: str, key: str):
+    """The vector of a key: keys go round all rows of ``embeddings``."""
+    return F.pmod(F.col(key), read(spark, sf, "embeddings").agg(F.count("*")).scalar())
+
+
 def tracks(spark: SparkSession, sf: str) -> DataFrame:
     """Track records: scalars from ``part``, vectors from ``embeddings``, sections from ``lineitem``."""
-    part = read(spark, sf, "part").withColumnRenamed("p_partkey", "k").withColumn("vec_id", F.expr("k % 500"))
+    part = read(spark, sf, "part").withColumnRenamed("p_partkey", "k").withColumn("vec_id", vector_number(spark, sf, "k"))
     arrays = track_sections(spark, sf).groupBy("track_id").agg(
         F.sort_array(F.collect_list(F.struct(
             "section_idx", "label", "start_time", "end_time", "avg_energy", "avg_bass",
@@ -177,7 +185,7 @@ def tracks(spark: SparkSession, sf: str) -> DataFrame:
 TRACKS_SQL = f"""
 SELECT {', '.join(f'{duck(e)} AS {c}' for c, e in TRACK_COLUMNS.items())},
        {', '.join(f"CASE WHEN k % 19 = 0 THEN [] ELSE {c} END AS {c}" for c in VECTOR_COLUMNS)}
-FROM (SELECT *, p_partkey AS k FROM part) JOIN vectors ON vec_id = k % 500"""
+FROM (SELECT *, p_partkey AS k FROM part) JOIN vectors ON vec_id = k % {VECTORS}"""
 
 
 def _values(rows: list[tuple]) -> str:

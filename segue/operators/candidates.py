@@ -135,8 +135,8 @@ def raw_candidates(tracks: DataFrame, cues: DataFrame, phrase_rows: DataFrame, s
     return reduce(DataFrame.unionByName, parts)
 
 
-def collect_candidates(raw: DataFrame, info: DataFrame, limit: int = R.CANDIDATES_PER_SIDE) -> DataFrame:
-    """Quantised, gated and merged candidates, at most ``limit`` per side by priority.
+def collect_candidates(raw: DataFrame, info: DataFrame, limit: int | None = None) -> DataFrame:
+    """Quantised, gated and merged candidates; with ``limit`` the first of each side by priority.
 
     ``info``, one row per track: bpm, duration, phrase_unit, anchor,
     outro_covered, sections (array), phrases (array of start_s, end_s, label),
@@ -173,7 +173,7 @@ def collect_candidates(raw: DataFrame, info: DataFrame, limit: int = R.CANDIDATE
     early = F.when(c("side") == "in", c("t")).otherwise(-c("t"))
     w = Window.partitionBy("track_id", "side").orderBy(first, -F.size("ranks"), early)
     names = R.array_column(list(SCHEMES))
-    kept = merged.withColumn("place", F.row_number().over(w)).where(c("place") <= limit)
+    kept = merged if limit is None else merged.withColumn("place", F.row_number().over(w)).where(c("place") <= limit)
     return kept.select("track_id", "side", "t", F.transform("ranks", lambda r: F.get(names, r)).alias("schemes"),
                        R.lookup({i: SCHEMES[s] for s, i in order.items()}, first).alias("provenance"),
                        "section_label", "phrase_label")

@@ -130,18 +130,19 @@ def dip_depth(windows: DataFrame, blend_seconds: float, keys: list[str]) -> Data
 
 
 def blend_report(windows: DataFrame) -> DataFrame:
-    """Transitions, median blend and dip depth per blend-length group of at least 30.
+    """Transitions, median blend and dip depth per blend-length group.
 
-    ``windows``: onset and mids arrays, one row per transition.
+    ``windows``: onset and mids arrays, one row per transition.  ``sufficient`` tells
+    whether a group has at least 30 transitions.
     """
     width = blend_width(c("onset"))
     rows = windows.withColumn("width", width)
     rows = rows.withColumn("grp", F.when(c("width") <= 8, "kurz").when(c("width") <= 25, "mittel").otherwise("lang"))
     sizes = rows.groupBy("grp").agg(F.count("*").alias("n"))
     typical = ordered.quantiles(rows.select("grp", "width"), ["grp"], "width", {"blend_s": 0.5})
-    large = sizes.join(typical, "grp").where(c("n") >= MIN_GROUP)
+    large = sizes.join(typical, "grp").withColumn("sufficient", c("n") >= MIN_GROUP)
     # at most three groups: the radius differs per group, so each gets its own pass
-    spots = rows.join(F.broadcast(large), "grp")
+    spots = rows.join(large, "grp")   # three groups
     mid = (F.size("mids") / 2).cast("int")
     around = _median(F.concat(F.slice("mids", mid - 44, 25), F.slice("mids", mid + 21, 25))) + 1e-9
     radius = F.greatest(F.lit(1), F.least(F.rint(c("blend_s") / 2.0).cast("int"), mid - 1))
@@ -187,33 +188,57 @@ def true_deltas(windows: DataFrame) -> DataFrame:
     return before.join(after, ["mix_id", "i"]).select("mix_id", "i", "j", *_deltas("x", "y"))
 
 
-def negative_pairs(windows: DataFrame, seed: int = 42) -> DataFrame:
-    """Random window pairs of a mix that are no transition: (mix_id, i, j).
+def digest_number(*parts: Column) -> Column:
+    """60 bits of an MD5 digest: a draw that every engine repeats."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *[p.cast("string") for p in parts]).cast("binary")), 1, 15), 16, 10).cast("long")
 
-    Rejection sampling by hash: a fixed number of draws per mix, never all
-    pairs.  Repeated and true pairs are dropped; the earliest draws are kept.
-    """
+
+WALK = 2_147_483_647   # a prime step: a walk with it through fewer pairs meets none twice
+
+
+def _numbered(windows: DataFrame) -> DataFrame:
+    """Windows with their place 0, 1, 2, ... in the mix; numbers may have gaps."""
     w = with_window_index(windows)
-    mixes = w.groupBy("mix_id").agg(F.count("*").alias("n"), F.count_if(c("side") == 0).alias("n_true")).where(c("n") >= 2)
-    mixes = mixes.withColumn("wanted", F.greatest(F.lit(MIN_NEGATIVES), c("n_true")))
-    draws = mixes.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), c("wanted") * 20 + 99)))
+    return ordered.dense_index(w, ["mix_id"], ["window_idx"], F.floor(c("window_idx") / 4096), "place")
+
+
+def _negative_places(placed: DataFrame, seed: int) -> DataFrame:
+    """(mix_id, a, b): places of the chosen pairs.
 
-    def pick(tag: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), F.lit(tag), c("mix_id"), c("draw")), c("n"))
+    Pairs a < b are numbered b (b - 1) / 2 + a.  From a digest-chosen start a walk with
+    a prime step visits pair numbers without repeats; at most one pair a transition is
+    a true one, so so many more steps than wanted always suffice: nothing is tried again
+    and no pair is missing as long as there are enough.
+    """
+    true = placed.groupBy("mix_id", "transition_idx").agg((F.count("*") > 1).cast("long").alias("both"), F.count("*").alias("k"),
+                                                          F.count_if(c("side") == 0).alias("before"))
+    mixes = true.groupBy("mix_id").agg(F.sum("k").alias("n"), F.sum("both").alias("same"), F.sum("before").alias("n_true"))
+    mixes = mixes.where(c("n") >= 2).withColumns({
+        "wanted": F.greatest(F.lit(MIN_NEGATIVES), c("n_true")), "all": F.expr("n * (n - 1) div 2")})
+    steps = mixes.withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.least(c("wanted") + c("same"), c("all")) - 1)))
+    number = F.pmod(digest_number(F.lit(seed), c("mix_id")) % c("all") + c("step") * F.lit(WALK) % c("all"), c("all"))
+    b = F.floor((1.0 + F.sqrt(1.0 + 8.0 * c("number"))) / 2.0)
+    return (steps.withColumn("number", number).withColumn("b", b.cast("long"))
+            .withColumn("a", c("number") - F.expr("b * (b - 1) div 2")).select("mix_id", "wanted", "step", "a", "b"))
+
+
+def negative_pairs(windows: DataFrame, seed: int = 42) -> DataFrame:
+    """Random window pairs of a mix that are no transition: (mix_id, i, j), as many as wanted or as there are."""
+    return _chosen_pairs(_numbered(windows), seed).select("mix_id", c("x_idx").alias("i"), c("y_idx").alias("j"))
 
-    pairs = draws.select("mix_id", "wanted", "draw", pick(1).alias("a"), pick(2).alias("b"))
-    pairs = pairs.where((c("a") != c("b")) & (F.floor(c("a") / 2) != F.floor(c("b") / 2)))
-    pairs = pairs.select("mix_id", "wanted", "draw", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
-    once = pairs.groupBy("mix_id", "i", "j").agg(F.min("draw").alias("draw"), F.first("wanted").alias("wanted"))
-    order = Window.partitionBy("mix_id").orderBy("draw")
-    return once.withColumn("rank", F.row_number().over(order)).where(c("rank") <= c("wanted")).select("mix_id", "i", "j")
+
+def _chosen_pairs(placed: DataFrame, seed: int) -> DataFrame:
+    def side(prefix: str, place: str) -> DataFrame:
+        return placed.select("mix_id", c("place").alias(place), c("window_idx").alias(f"{prefix}_idx"), c("transition_idx").alias(f"{prefix}_of"),
+                             *[c(m).alias(f"{prefix}_{m}") for m in MEASURES])
+
+    pairs = _negative_places(placed, seed).join(side("x", "a"), ["mix_id", "a"]).join(side("y", "b"), ["mix_id", "b"])
+    order = Window.partitionBy("mix_id").orderBy("step")
+    return (pairs.where(c("x_of") != c("y_of")).withColumn("rank", F.row_number().over(order)).where(c("rank") <= c("wanted")))
 
 
 def negative_deltas(windows: DataFrame, seed: int = 42) -> DataFrame:
-    w = with_window_index(windows)
-    pairs = negative_pairs(windows, seed)
-    return (pairs.join(_side(w, "x", "i"), ["mix_id", "i"]).join(_side(w, "y", "j"), ["mix_id", "j"])
-            .select("mix_id", "i", "j", *_deltas("x", "y")))
+    return _chosen_pairs(_numbered(windows), seed).select("mix_id", c("x_idx").alias("i"), c("y_idx").alias("j"), *_deltas("x", "y"))
 
 
 def mix_deltas(windows: DataFrame, seed: int = 42) -> DataFrame:
@@ -251,7 +276,7 @@ def _multiplicities(clusters: DataFrame, draws: int, seed: int) -> DataFrame:
     n = clusters.count()
     spark = clusters.sparkSession
     picks = spark.range(draws * n * 2).select(
-        F.pmod(F.xxhash64(F.lit(seed), c("id")), F.lit(n)).alias("cluster_idx"),
+        F.pmod(digest_number(F.lit(seed), c("id")), F.lit(n)).alias("cluster_idx"),
         F.floor(c("id") / (2 * n)).cast("int").alias("draw"), (c("id") % 2).alias("side"))
     counts = picks.groupBy("cluster_idx", "draw", "side").agg(F.count("*").alias("k"))
 
@@ -275,8 +300,8 @@ def auc_interval(scores: DataFrame, key: str = "factor", cluster: str = "mix_id"
     negatives are running sums of arrays over draws; buckets are stitched by
     their totals.  No pairs, no group in one task.
     """
-    base = scores.select(cluster).distinct().withColumn("h", F.xxhash64(cluster))
-    base = ordered.dense_index(base, [], ["h", cluster], F.floor(c("h") / (2 ** 54)), "cluster_idx").drop("h")
+    base = scores.select(cluster).distinct().withColumn("h", digest_number(c(cluster)))
+    base = ordered.dense_index(base, [], ["h", cluster], F.floor(c("h") / (2 ** 52)), "cluster_idx").drop("h")
     weights = base.join(_multiplicities(base, draws, seed), "cluster_idx", "left").drop("cluster_idx")
     zero = F.array_repeat(F.lit(0.0), draws)
     weights = weights.select(cluster, F.coalesce("pos_w", zero).alias("pos_w"), F.coalesce("neg_w", zero).alias("neg_w"))
@@ -367,7 +392,7 @@ def combined_score(deltas: DataFrame, weights: dict[str, float], scales: DataFra
 
 def holdout_passed(scored: DataFrame, minimum: float = HOLDOUT_MIN_AUC) -> DataFrame:
     """AUC of the combined score on a held-out mix and whether it is good enough."""
-    return auc(scored.withColumn("all", F.lit("all")), ["all"], "score").select(
+    return auc(scored, [], "score").select(
         "auc", (c("auc") >= minimum).alias("passed"))
 
 

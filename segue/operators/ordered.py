@@ -90,7 +90,7 @@ def _with_extremes(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     if not keys:
         return values.withColumns({"low": values.agg(F.min(value)).scalar(), "high": values.agg(F.max(value)).scalar()})
     ends = values.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    return values.join(F.broadcast(ends), keys)
+    return values.join(ends, keys)
 
 
 def running_totals(rows: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str],
@@ -123,7 +123,7 @@ def quantiles(rows: DataFrame, keys: Sequence[str], value: str, points: dict[str
     known = rows.where(F.col(value).isNotNull()).select(*keys, value, F.lit(1).cast("long").alias("n"))
     counts = running_totals(known, keys, value, ["n"])
     if keys:
-        placed = counts.join(F.broadcast(known.groupBy(*keys).agg(F.count("*").alias("size"))), keys)
+        placed = counts.join(known.groupBy(*keys).agg(F.count("*").alias("size")), keys)
     else:
         placed = counts.withColumn("size", known.agg(F.count("*")).scalar())
     first, last = F.col("below_n"), F.col("below_n") + F.col("n") - 1

@@ -62,32 +62,23 @@ def prefixed(df: DataFrame, prefix: str, shared: Sequence[str] = ("playlist_id",
     return df.select(*shared, *[F.col(c).alias(prefix + c) for c in df.columns if c not in shared])
 
 
-def require_bounded(rows: DataFrame, key: str, limit: int) -> Column:
-    """Condition that is true, or fails the job if any ``key`` has more than ``limit`` rows.
-
-    One extra aggregate over the key column alone.
-    """
-    oversized = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit).agg(F.count("*")).scalar()
-    return F.when(oversized > 0, F.raise_error(F.lit(
-        f"a {key} exceeds {limit} rows; apply_limits first")).cast("boolean")).otherwise(True)
-
-
-def candidate_pairs(features: DataFrame, tol: float, max_tracks: int = R.MAX_PLAYLIST_TRACKS) -> DataFrame:
+def candidate_pairs(features: DataFrame, tol: float) -> DataFrame:
     """All ordered slot pairs of a playlist within ``tol`` BPM, half and double time included.
 
     A range join on buckets.  The B side appears as its three tempo images (as
     is, doubled, halved); a pair is emitted only for the image that is nearest
     in A's tempo space, so no later de-duplication is needed.  The A side visits
     its own bucket and both neighbours.  The bucket is part of the join key: a
-    large playlist is spread over its tempo buckets.
+    large playlist is spread over its tempo buckets.  The result has every pair, so
+    it grows with the square of the tracks that share a playlist and a tempo;
+    :func:`top_partners` cuts it to k a track.
     """
     width = tol * 1.01 if tol > 0 else 1e-6
 
     def bucket(value: Column) -> Column:
         return F.floor(value / width)
 
-    bounded = require_bounded(features, "playlist_id", max_tracks)
-    a = prefixed(features.where(bounded), "a_").withColumn(
+    a = prefixed(features, "a_").withColumn(
         "bucket", F.explode(F.array(*[bucket(F.col("a_bpm")) + d for d in (-1, 0, 1)])))
     b = (prefixed(features, "b_")
          .withColumn("image", F.explode(F.array(
@@ -123,14 +114,14 @@ def with_genre_affinity(df: DataFrame, genre_a: str, genre_b: str) -> DataFrame:
 def resolve_weights(defaults: DataFrame, *overrides: DataFrame) -> DataFrame:
     """Weights per canonical genre; each override replaces the non-NULL keys it has.
 
-    Rows of unknown genres in an override are ignored, so the result stays at
-    one row per canonical genre.
+    Rows of unknown genres in an override are ignored, and of a repeated genre the
+    largest values count, so the result stays at one row per canonical genre.
     """
     out = defaults
     for override in overrides:
         columns = [c for c in override.columns if c in defaults.columns and c != "genre"]
-        renamed = override.select("genre", *[F.col(c).alias(f"new_{c}") for c in columns])
-        out = out.join(F.broadcast(renamed.join(defaults.select("genre"), "genre", "left_semi")), "genre", "left")
+        renamed = override.groupBy("genre").agg(*[F.max(c).alias(f"new_{c}") for c in columns])
+        out = out.join(renamed.join(defaults.select("genre"), "genre", "left_semi"), "genre", "left")
         out = out.select("genre", *[
             (F.coalesce(f"new_{c}", c) if c in columns else F.col(c)).alias(c)
             for c in defaults.columns if c != "genre"])
@@ -144,7 +135,7 @@ def with_weights(df: DataFrame, weights: DataFrame, genre: str) -> DataFrame:
     """
     known = F.when(F.col(genre).isin(*R.CANONICAL_GENRES), F.col(genre)).otherwise(R.CANONICAL_GENRES[0])
     return (df.withColumn("weight_genre", known)
-            .join(F.broadcast(weights.withColumnRenamed("genre", "weight_genre")), "weight_genre", "left")
+            .join(weights.withColumnRenamed("genre", "weight_genre"), "weight_genre", "left")
             .drop("weight_genre"))
 
 

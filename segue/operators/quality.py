@@ -72,19 +72,23 @@ def validate_tracks(records: DataFrame, data: str = "data") -> tuple[DataFrame,
     return valid, rejects
 
 
-def apply_limits(tracks: DataFrame, files: DataFrame, max_tracks: int = R.MAX_PLAYLIST_TRACKS) -> DataFrame:
-    """Drop unsafe tracks and keep the first ``max_tracks`` of every playlist.
-
-    A track needs a file of allowed size and a duration up to two hours.  The
-    rank limit is applied before the shuffle as well, so an oversized playlist
-    never reaches one task whole.
-    """
+def safe_tracks(tracks: DataFrame, files: DataFrame) -> DataFrame:
+    """Tracks with a file of allowed size and a duration up to two hours."""
     sizes = files.select(F.lower("path").alias("key"), "length").groupBy("key").agg(F.max("length").alias("length"))
-    safe = tracks.withColumn("key", F.lower("file_path")).join(sizes, "key").drop("key").where(
+    return tracks.withColumn("key", F.lower("file_path")).join(sizes, "key").drop("key").where(
         (c("length") <= R.MAX_FILE_SIZE) & (c("duration") > 0) & (c("duration") <= R.MAX_TRACK_SECONDS)
         & ~F.isnan("duration"))
+
+
+def apply_limits(tracks: DataFrame, files: DataFrame, max_tracks: int) -> DataFrame:
+    """The first ``max_tracks`` safe tracks of every playlist.
+
+    The rank limit is applied before the shuffle as well, so an oversized playlist
+    never reaches one task whole.
+    """
     order = Window.partitionBy("playlist_id").orderBy("input_pos")
-    return safe.withColumn("rank", F.row_number().over(order)).where(c("rank") <= max_tracks).drop("rank")
+    ranked = safe_tracks(tracks, files).withColumn("rank", F.row_number().over(order))
+    return ranked.where(c("rank") <= max_tracks).drop("rank")
 
 
 def sanitize(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from segue import lineage
 from segue import refdata as R
 from segue.functions import text
 from segue.operators import ordered
+from segue.operators.mining import digest_number
 from segue.operators.evaluate import CLASSIC_FACTORS, FACTORS, NEW_FACTORS
 
 c = F.col
@@ -85,7 +86,7 @@ def maximin_sample(points: DataFrame, k: int, columns: Sequence[str] = FACTORS,
     """
     spark = points.sparkSession
     rows = points.select(key, *[c(x).cast("double").alias(x) for x in columns])
-    first = rows.orderBy(F.xxhash64(F.lit(seed), c(key)), key).limit(1).collect()
+    first = rows.orderBy(digest_number(F.lit(seed), c(key)), key).limit(1).collect()
     chosen = list(first)
     state = rows.withColumn("nearest", F.lit(float("inf")))
     recent = list(first)
@@ -94,13 +95,12 @@ def maximin_sample(points: DataFrame, k: int, columns: Sequence[str] = FACTORS,
         total = F.lit(0.0)
         for x in columns:
             total = total + F.pow(c(x) - float(row[x]), F.lit(2.0))
-        return F.sqrt(total)
+        return F.when(c(key) == row[key], -1.0).otherwise(F.sqrt(total))   # -1: taken
 
     while len(chosen) < k and first:
         nearest = F.least(c("nearest"), *[distance(r) for r in recent])
-        taken = [r[key] for r in chosen]
-        best = state.where(~c(key).isin(taken)).agg(
-            F.max_by(F.struct(key, *columns), F.struct(nearest, (-c(key)).alias("back"))).alias("b")).collect()[0]["b"]
+        best = state.withColumn("d", nearest).where("d >= 0").agg(
+            F.min_by(F.struct(key, *columns), F.struct((-c("d")).alias("back"), key)).alias("b")).collect()[0]["b"]
         if best is None:
             break
         chosen.append(best)
@@ -140,8 +140,8 @@ def blind_assignment(pairs: DataFrame, seed: int = 42, session: str = "session",
     Order and sides are two independent hash orders of the pair ids.
     """
     def shuffled(df: DataFrame, tag: int, name: str) -> DataFrame:
-        keyed = df.withColumn("h", F.xxhash64(F.lit(seed), F.lit(tag), c("pair_id")))
-        return ordered.dense_index(keyed, [], ["h", "pair_id"], F.floor(c("h") / (2 ** 54)), name).drop("h")
+        keyed = df.withColumn("h", digest_number(F.lit(seed), F.lit(tag), c("pair_id")))
+        return ordered.dense_index(keyed, [], ["h", "pair_id"], F.floor(c("h") / (2 ** 52)), name).drop("h")
 
     rows = shuffled(shuffled(pairs, 1, "place"), 2, "side_rank")
     rows = rows.withColumn("size", pairs.agg(F.count("*")).scalar())
@@ -202,7 +202,7 @@ def _newton_sums(betas: np.ndarray, factors: Sequence[str], draws: int):
 
 
 def bootstrap_draws(rows: DataFrame, factors: Sequence[str] = FACTORS, l2: float = L2_STRENGTH, draws: int = DRAWS,
-                    seed: int = 42, steps: int = 12) -> np.ndarray:
+                    seed: int = 42, steps: int = 200) -> np.ndarray:
     """Coefficients of every resample (draws x factors), Newton steps for all draws at once.
 
     A row carries how often each draw took it.  One step is one pass: sums per
@@ -210,9 +210,9 @@ def bootstrap_draws(rows: DataFrame, factors: Sequence[str] = FACTORS, l2: float
     """
     n = rows.count()
     spark = rows.sparkSession
-    keyed = rows.withColumn("h", F.xxhash64(F.lit(seed), c("pair_id")))
-    indexed = ordered.dense_index(keyed, [], ["h", "pair_id"], F.floor(c("h") / (2 ** 54)), "row_idx").drop("h")
-    picks = spark.range(draws * n).select(F.pmod(F.xxhash64(F.lit(seed + 1), c("id")), F.lit(n)).alias("row_idx"),
+    keyed = rows.withColumn("h", digest_number(F.lit(seed), c("pair_id")))
+    indexed = ordered.dense_index(keyed, [], ["h", "pair_id"], F.floor(c("h") / (2 ** 52)), "row_idx").drop("h")
+    picks = spark.range(draws * n).select(F.pmod(digest_number(F.lit(seed + 1), c("id")), F.lit(n)).alias("row_idx"),
                                           F.floor(c("id") / n).cast("int").alias("draw"))
     counts = picks.groupBy("row_idx", "draw").agg(F.count("*").alias("k")).groupBy("row_idx").agg(
         F.map_from_entries(F.collect_list(F.struct("draw", "k"))).alias("m"))
@@ -237,6 +237,8 @@ def bootstrap_draws(rows: DataFrame, factors: Sequence[str] = FACTORS, l2: float
         betas = betas - np.clip(step, -5.0, 5.0)
         if np.abs(step[usable]).max(initial=0.0) < 1e-8:
             break
+    else:
+        raise RuntimeError(f"{int((np.abs(step).max(axis=1) >= 1e-8).sum())} of {draws} draws do not converge in {steps} steps")
     return betas[usable, 1:]
 
 

@@ -2,8 +2,7 @@
 
 The quadratic part (pair scores) is a distributed join done beforehand; each
 playlist is then ordered in one cogrouped task from its tracks and its scored
-edges.  A playlist holds at most ``MAX_PLAYLIST_TRACKS`` tracks (the cap of
-:func:`segue.operators.quality.apply_limits`); a larger one is refused, never cut.
+edges, held as sparse rows: a task's memory is its tracks and edges, not their square.
 """
 
 from __future__ import annotations
@@ -35,6 +34,8 @@ SUPPORTED = {
 }
 ALIASES = {"Harmonic Flow Enhanced": "Harmonic Flow", "Peak-Time Enhanced": "Peak-Time",
            "Emotional Journey": "Context Flow"}
+# strategies that look at the tracks alone
+WITHOUT_EDGES = ("Energy Wave",)
 SCORING_PARAMETERS = ("harmonic_strictness", "allow_experimental")
 
 
@@ -78,18 +79,53 @@ class StrategyConfig:
                 if k in SCORING_PARAMETERS or k in ("target_energy", "overlap")}
 
 
+class Edges:
+    """Scored edges of a playlist as sorted sparse rows; a pair without an edge has score 0."""
+
+    def __init__(self, n: int, a: np.ndarray, b: np.ndarray, values: np.ndarray) -> None:
+        order = np.lexsort((b, a))
+        self.n, self.partners, self.values = n, b[order].astype(np.int64), values[order].astype(np.int64)
+        self.starts = np.searchsorted(a[order], np.arange(n + 1))
+
+    def links(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Partners of a track and the scores of those edges."""
+        at = slice(self.starts[i], self.starts[i + 1])
+        return self.partners[at], self.values[at]
+
+    def row(self, i: int) -> np.ndarray:
+        out = np.zeros(self.n, dtype=np.int64)
+        partners, values = self.links(i)
+        out[partners] = values
+        return out
+
+    def of(self, i: int, others) -> np.ndarray:
+        """Scores from a track to chosen others."""
+        others = np.asarray(others, dtype=np.int64)
+        partners, values = self.links(i)
+        if not len(partners):
+            return np.zeros(others.shape, dtype=np.int64)
+        at = np.minimum(np.searchsorted(partners, others), len(partners) - 1)
+        return np.where(partners[at] == others, values[at], 0)
+
+    def best(self, i: int, allowed: np.ndarray) -> int:
+        """Highest score to an allowed track, 0 without any edge."""
+        partners, values = self.links(i)
+        return int(values[allowed[partners]].max(initial=0))
+
+
 class Playlist(NamedTuple):
-    """One playlist as arrays in input order; ``objective`` and ``harmonic`` are n x n."""
+    """One playlist as arrays in input order; ``objective`` and ``harmonic`` are its scored edges."""
 
     bpm: np.ndarray
     energy: np.ndarray
     genre: np.ndarray
     flow_genre: np.ndarray
+    genre_id: np.ndarray
     affinity: np.ndarray
     code: np.ndarray
     peak_rank: np.ndarray
-    objective: np.ndarray
-    harmonic: np.ndarray
+    objective: Edges
+    harmonic: Edges
 
     def tempo_gap(self, of, to) -> np.ndarray:
         """Effective tempo difference in the tempo space of ``of``."""
@@ -110,7 +146,7 @@ def _harmonic_flow(p: Playlist, **_) -> list[int]:
     best, start = -1.0, 0
     partners = [int(j * (n - 1) / (against - 1)) for j in range(against)]
     for i in (int(i * (n - 1) / (probe - 1)) for i in range(probe)):
-        scores = np.array([p.objective[i, j] for j in partners if j != i])
+        scores = p.objective.of(i, [j for j in partners if j != i])
         linked = scores[scores > 0]
         strength = linked.sum() / len(linked) if len(linked) else 0.0
         if strength > best:
@@ -118,7 +154,7 @@ def _harmonic_flow(p: Playlist, **_) -> list[int]:
     order, alive = [start], np.ones(n, dtype=bool)
     alive[start] = False
     while alive.any():
-        row = np.where(alive, p.objective[order[-1]], 0)
+        row = np.where(alive, p.objective.row(order[-1]), 0)
         linked = np.flatnonzero(row > 0)
         top = linked[np.argsort(-row[linked], kind="stable")][:R.LOOKAHEAD_TOP_K]
         choice, best_total = None, -1.0
@@ -126,7 +162,7 @@ def _harmonic_flow(p: Playlist, **_) -> list[int]:
             ahead = 0.0
             if alive.sum() > 1:
                 alive[c] = False
-                reach = p.objective[c][alive].max()
+                reach = p.objective.best(c, alive)
                 alive[c] = True
                 ahead = reach if reach > 0 else -1.0
             total = row[c] + R.LOOKAHEAD_FUTURE_WEIGHT * ahead
@@ -155,14 +191,14 @@ def _by_tempo(p: Playlist, descending: bool) -> list[int]:
             order += left
             continue
         if not order:
-            sums = [p.objective[i, [j for j in left if j != i]].sum() for i in left]
+            sums = [p.objective.of(i, [j for j in left if j != i]).sum() for i in left]
             order.append(left.pop(int(np.argmax(sums))))
+        tied = np.zeros(len(p.bpm), dtype=bool)
+        tied[left] = True
         while left:
-            block = p.objective[np.ix_(left, left)].astype(float)
-            np.fill_diagonal(block, -1.0)
-            ahead = block.max(axis=1) if len(left) > 1 else np.zeros(1)
-            order.append(left.pop(int(np.argmax(
-                p.objective[order[-1], left] + R.LOOKAHEAD_FUTURE_WEIGHT * ahead))))
+            ahead = np.array([p.objective.best(i, tied) for i in left], dtype=float)
+            order.append(left.pop(int(np.argmax(p.objective.of(order[-1], left) + R.LOOKAHEAD_FUTURE_WEIGHT * ahead))))
+            tied[order[-1]] = False
     return order
 
 
@@ -179,14 +215,16 @@ def smooth(p: Playlist, order: list[int]) -> list[int]:
     order = list(order)
     if len(order) <= 2:
         return order
-    obj = p.objective
+    def obj(i: int, j: int) -> int:
+        return int(p.objective.of(i, [j])[0])
+
     for _ in range(R.SMOOTHING_PASSES):
         moved = False
         for i in range(len(order) - 2):
             x, y, z = order[i:i + 3]
-            before, after = obj[x, y] + obj[y, z], obj[x, z] + obj[z, y]
+            before, after = obj(x, y) + obj(y, z), obj(x, z) + obj(z, y)
             if i + 3 < len(order):
-                before, after = before + obj[z, order[i + 3]], after + obj[y, order[i + 3]]
+                before, after = before + obj(z, order[i + 3]), after + obj(y, order[i + 3])
             if after > before and abs(p.energy[x] - p.energy[z]) < R.SMOOTHING_ENERGY_MAX:
                 order[i + 1], order[i + 2] = z, y
                 moved = True
@@ -228,7 +266,7 @@ def _consistent(p: Playlist, members: list[int] | None = None, **_) -> list[int]
     order = [left.pop(int(np.argmin(away)))]
     while left:
         last = order[-1]
-        score = p.objective[last, left].astype(float)
+        score = p.objective.of(last, left).astype(float)
         cost = (p.tempo_gap(p.bpm[left], p.bpm[last]) + np.abs(p.energy[left] - p.energy[last]) / 5.0
                 + (100.0 - score) / 8.0 + np.where(score == 0, 10.0, 0.0))
         order.append(left.pop(int(np.argmin(cost))))
@@ -251,7 +289,7 @@ def _genre_flow(p: Playlist, genre_mixing: bool = True, genre_weight: float = 0.
         order += _consistent(p, groups.pop(current))
         best, following = 0.0, None
         for g, members in groups.items():
-            reach = p.harmonic[order[-1], members].max() / 100.0
+            reach = p.harmonic.of(order[-1], members).max() / 100.0
             value = (1.0 - genre_weight) * reach + genre_weight * table.get((current.lower(), g.lower()), 0.5)
             if value > best:
                 best, following = value, g
@@ -288,18 +326,18 @@ def _context_flow(p: Playlist, energy_direction: str = "Auto", peak_position: in
     alive[start] = False
     while alive.any():
         last = order[-1]
-        left = np.flatnonzero(alive & (p.harmonic[last] > 0))
+        left = np.flatnonzero(alive & (p.harmonic.row(last) > 0))
         if len(left) == 0:
             order.append(_nearest_tempo(p, alive, last))
         else:
             step = p.energy[left] - p.energy[last]
-            score = p.harmonic[last, left] + 10.0 - np.minimum(
+            score = p.harmonic.of(last, left) + 10.0 - np.minimum(
                 30.0, np.abs(p.energy[left] - target(len(order)))) / 3.0
             trend = p.energy[last] - p.energy[order[-3:][0]]
             if abs(trend) >= 5.0:
                 score = score + 5.0 * (((step > 0) == (trend > 0)) & (np.abs(step) <= 25))
             if genre_mixing and genre_weight > 0:
-                score = score + genre_weight * (p.affinity[last, left] - 0.5) * 20.0
+                score = score + genre_weight * (p.affinity[p.genre_id[last], p.genre_id[left]] - 0.5) * 20.0
                 streak = 0
                 while streak < len(order) and p.genre[order[-1 - streak]] == p.genre[last]:
                     streak += 1
@@ -391,30 +429,25 @@ ORDER_SCHEMA = "strategy string, playlist_id long, pos int, input_pos long, trac
 def _view(tracks: pd.DataFrame, edges: pd.DataFrame) -> tuple[pd.DataFrame, Playlist]:
     t = tracks.sort_values("input_pos", kind="stable").reset_index(drop=True)
     n = len(t)
-    if n > R.MAX_PLAYLIST_TRACKS:
-        raise ValueError(f"playlist of {n} tracks exceeds {R.MAX_PLAYLIST_TRACKS}; apply_limits first")
     where = pd.Series(np.arange(n), index=t["input_pos"].to_numpy())
-    objective, harmonic = np.zeros((n, n), dtype=int), np.zeros((n, n), dtype=int)
-    if len(edges):
-        a, b = where[edges["a_input_pos"]].to_numpy(), where[edges["b_input_pos"]].to_numpy()
-        objective[a, b], harmonic[a, b] = edges["objective"].to_numpy(), edges["harmonic"].to_numpy()
+    a, b = where[edges["a_input_pos"]].to_numpy(dtype=np.int64), where[edges["b_input_pos"]].to_numpy(dtype=np.int64)
+    objective, harmonic = (Edges(n, a, b, edges[name].to_numpy()) for name in ("objective", "harmonic"))
     names = [g.lower() for g in R.CANONICAL_GENRES]
     table = affinity_table()
     matrix = np.full((len(names) + 1, len(names) + 1), 0.5)
     for i, x in enumerate(names):
         for j, y in enumerate(names):
             matrix[i, j] = table[x, y]
-    ids = t["genre_id"].to_numpy()
     return t, Playlist(t["bpm"].to_numpy(), t["energy"].to_numpy(), t["genre"].to_numpy(), t["flow_genre"].to_numpy(),
-                       matrix[np.ix_(ids, ids)], t["code"].to_numpy(), t["peak_rank"].to_numpy(), objective, harmonic)
+                       t["genre_id"].to_numpy(), matrix, t["code"].to_numpy(), t["peak_rank"].to_numpy(), objective, harmonic)
 
 
 def sequence(tracks: DataFrame, strategies: str | list[str], tol: float = 3.0,
              config: StrategyConfig | None = None, pairs_scored: DataFrame | None = None) -> DataFrame:
     """Order every playlist: rows (strategy, playlist_id, pos, input_pos, track_id).
 
-    Several strategies share one pass over the edges if they use the same
-    scoring parameters.  ``pairs_scored`` is computed if not given.
+    Strategies with the same scoring parameters share one pass over the edges.
+    ``pairs_scored`` is computed if not given, and only if a strategy reads edges.
     """
     config = config or StrategyConfig()
     names = [strategies] if isinstance(strategies, str) else list(strategies)
@@ -424,13 +457,22 @@ def sequence(tracks: DataFrame, strategies: str | list[str], tol: float = 3.0,
     score_args = {tuple(sorted((k, v) for k, v in kw.items() if k in SCORING_PARAMETERS)) for _, _, kw in runs}
     default = (("allow_experimental", True), ("harmonic_strictness", 7))
     distinct = {args or default for args in score_args}
-    if len(distinct) > 1:
-        raise ValueError("strategies with different scoring parameters need separate calls")
     usable = sequence_input(tracks)
+    if len(distinct) > 1 and pairs_scored is None:
+        shared: dict[tuple, list[str]] = {}
+        for name, _, kw in runs:
+            shared.setdefault(tuple(sorted((k, v) for k, v in kw.items() if k in SCORING_PARAMETERS)) or default, []).append(name)
+        first, *rest = (sequence(tracks, group, tol, config) for group in shared.values())
+        for more in rest:
+            first = first.unionByName(more)
+        return first
     if pairs_scored is None:
         args = dict(distinct.pop())
-        pairs_scored = scoring.scored_playlist_pairs(
-            usable, tol, strictness=args["harmonic_strictness"], experimental=args["allow_experimental"])
+        if all(real in WITHOUT_EDGES for _, real in chosen):
+            pairs_scored = usable.sparkSession.createDataFrame([], "playlist_id long, a_input_pos long, b_input_pos long, objective int, harmonic int")
+        else:
+            pairs_scored = scoring.scored_playlist_pairs(
+                usable, tol, strictness=args["harmonic_strictness"], experimental=args["allow_experimental"])
     edges = pairs_scored.select(F.col("playlist_id").alias("edge_playlist"), "a_input_pos", "b_input_pos", "objective", "harmonic")
 
     def order(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segue.functions import tempo
@@ -14,7 +16,7 @@ c = F.col
 NOVELTY_WEIGHTS = {"novelty": 0.65, "bass_novelty": 0.20, "percussion_novelty": 0.15}
 THRESHOLDS = (0.30, 0.25, 0.20, 0.15, 0.10)
 MIN_SECTIONS = 3
-MAX_SECTIONS = 12
+MOST_BOUNDARIES = 11   # where the usual limit of twelve sections is wanted
 MIN_SECTION_SECONDS = 8.0
 PHRASE_LAGS = (8, 16, 32)
 PHRASE_MIN_SCORE = 0.18
@@ -24,22 +26,33 @@ HEAD_SECONDS = 360.0
 TAIL_SECONDS = 180.0
 
 
-def normalize_novelty(rows: DataFrame, value: str, spread: str, key: str = "track_id") -> DataFrame:
-    """Shift by the 10th percentile, scale by the 95th, clip to 0..1 (per track)."""
-    low = rows.groupBy(key).agg(F.percentile(value, F.lit(0.10)).alias("p10"))
-    shifted = ordered.attach(rows, low, key, spread).withColumn(value, F.greatest(c(value) - c("p10"), F.lit(0.0))).drop("p10")
-    high = shifted.groupBy(key).agg(F.percentile(value, F.lit(0.95)).alias("p95"), F.max(value).alias("top"))
-    scale = F.when(c("p95") > 2.220446049250313e-16, c("p95")).otherwise(c("top"))
-    out = ordered.attach(shifted, high, key, spread)
-    return out.withColumn(value, F.when(scale > 2.220446049250313e-16, F.least(F.lit(1.0), c(value) / scale)).otherwise(0.0)) \
-        .drop("p95", "top")
+def normalize_novelty(rows: DataFrame, curves: Sequence[str], spread: str, key: str = "track_id") -> DataFrame:
+    """Shift every curve by its 10th percentile, scale by the 95th, clip to 0..1 (per track).
+
+    One aggregate and one join for all curves: clipping at the 10th percentile keeps the
+    order, so percentile and maximum of the shifted curve follow from those of the raw
+    one (with two values only, the lower one is clipped and the percentile lies on the
+    way from 0 to the upper one).
+    """
+    stats = rows.groupBy(key).agg(F.count("*").alias("n"), *[x for v in curves for x in (
+        F.percentile(v, F.array(F.lit(0.10), F.lit(0.95))).alias(f"{v}_p"), F.max(v).alias(f"{v}_top"))])
+    ends = stats.select(key, *[x for v in curves for x in (
+        F.get(f"{v}_p", F.lit(0)).alias(f"{v}_low"),
+        F.when(c("n") == 2, (c(f"{v}_top") - F.get(f"{v}_p", F.lit(0))) * 0.95)
+        .otherwise(F.get(f"{v}_p", F.lit(1)) - F.get(f"{v}_p", F.lit(0))).alias(f"{v}_p95"),
+        (c(f"{v}_top") - F.get(f"{v}_p", F.lit(0))).alias(f"{v}_max"))])
+    tiny = 2.220446049250313e-16
+
+    def scaled(v: str) -> Column:
+        scale = F.when(c(f"{v}_p95") > tiny, c(f"{v}_p95")).otherwise(c(f"{v}_max"))
+        return F.when(scale > tiny, F.least(F.lit(1.0), F.greatest(c(v) - c(f"{v}_low"), F.lit(0.0)) / scale)).otherwise(0.0)
+
+    return ordered.attach(rows, ends, key, spread).select(*[(scaled(n).alias(n) if n in curves else c(n)) for n in rows.columns])
 
 
 def blend_novelty(frames: DataFrame) -> DataFrame:
     """Weighted mean of the three normalised novelty curves as ``novelty``."""
-    rows = frames.select("track_id", "frame_idx", "t_sec", *NOVELTY_WEIGHTS)
-    for curve in NOVELTY_WEIGHTS:
-        rows = normalize_novelty(rows, curve, "frame_idx")
+    rows = normalize_novelty(frames.select("track_id", "frame_idx", "t_sec", *NOVELTY_WEIGHTS), list(NOVELTY_WEIGHTS), "frame_idx")
     total = sum((c(n) * w for n, w in list(NOVELTY_WEIGHTS.items())[1:]), c("novelty") * NOVELTY_WEIGHTS["novelty"])
     return rows.select("track_id", "frame_idx", "t_sec", total.alias("novelty"))
 
@@ -59,18 +72,17 @@ def bar_novelty(frames: DataFrame, tracks: DataFrame) -> DataFrame:
 def phrase_unit(bars: DataFrame, tracks: DataFrame, genre: str = "genre") -> DataFrame:
     """Phrase length 8, 16 or 32 bars measured by self-similarity, NULL if unsure.
 
-    The lagged products are an equi-join on (track, bar + lag).
+    Bars of a track are few; the lagged products come from one window over them.
     """
-    curve = normalize_novelty(bars, "novelty", "bar")
-    stats = curve.groupBy("track_id").agg(F.avg("novelty").alias("mean"), F.count("*").alias("n_bars"))
-    centred = curve.join(stats, "track_id").select("track_id", "bar", "n_bars", (c("novelty") - c("mean")).alias("x"))
-    variance = centred.groupBy("track_id").agg(F.sum(c("x") * c("x")).alias("variance"), F.first("n_bars").alias("n_bars"))
-    shifted = centred.select("track_id", c("x").alias("y"), F.explode(F.array(*[F.lit(u) for u in PHRASE_LAGS])).alias("lag"),
-                             "bar").withColumn("bar", c("bar") - c("lag"))
-    dots = centred.join(shifted, ["track_id", "bar"]).groupBy("track_id").agg(*[
-        F.sum(F.when(c("lag") == u, c("x") * c("y")).otherwise(0.0)).alias(f"d{u}") for u in PHRASE_LAGS])
-    rows = (tracks.select("track_id", pairs.mix_profile(c(genre))["phrase_unit"].alias("prior"))
-            .join(variance, "track_id").join(dots, "track_id"))
+    curve = normalize_novelty(bars, ["novelty"], "bar")
+    mean = F.avg("novelty").over(Window.partitionBy("track_id"))   # bars of one track
+    w = Window.partitionBy("track_id").orderBy("bar")
+    centred = curve.select("track_id", "bar", (c("novelty") - mean).alias("x"))
+    lagged = centred.select("track_id", "bar", "x", *[x for u in PHRASE_LAGS for x in (
+        F.lead("x", u).over(w).alias(f"y{u}"), F.lead("bar", u).over(w).alias(f"b{u}"))])
+    dots = lagged.groupBy("track_id").agg(F.sum(c("x") * c("x")).alias("variance"), F.count("*").alias("n_bars"), *[
+        F.sum(F.when(c(f"b{u}") == c("bar") + u, c("x") * c(f"y{u}")).otherwise(0.0)).alias(f"d{u}") for u in PHRASE_LAGS])
+    rows = tracks.select("track_id", pairs.mix_profile(c(genre))["phrase_unit"].alias("prior")).join(dots, "track_id")
     rows = rows.where((c("n_bars") >= 16) & (c("variance") > 2.220446049250313e-16))
 
     def usable(u):
@@ -104,11 +116,11 @@ def novelty_peaks(frames: DataFrame, block: int = 4096) -> DataFrame:
         "track_id", "frame_idx", "t_sec", (c("novelty") / c("top")).alias("height"))
 
 
-def pick_boundaries(frames: DataFrame, tracks: DataFrame) -> DataFrame:
+def pick_boundaries(frames: DataFrame, tracks: DataFrame, most: int | None = None) -> DataFrame:
     """Section starts of every track as a sorted array, 0 first.
 
     Peaks are taken strongest first, each at least the minimum distance from
-    those taken, eleven at most.  The selection at a lower threshold extends the
+    those taken, at most ``most`` if given.  The selection at a lower threshold extends the
     one at a higher threshold, so one greedy pass serves all thresholds: the
     first threshold that leaves two boundaries decides.
     """
@@ -124,7 +136,7 @@ def pick_boundaries(frames: DataFrame, tracks: DataFrame) -> DataFrame:
     empty = F.array().cast("array<struct<h:double,back:bigint,t:double>>")
     taken = F.aggregate(
         F.coalesce("peaks", empty), empty,
-        lambda acc, p: F.when((F.size(acc) < MAX_SECTIONS - 1)
+        lambda acc, p: F.when((F.size(acc) < most if most is not None else F.lit(True))
                               & F.forall(acc, lambda q: F.abs(q["back"] - p["back"]) >= c("apart")),
                               F.concat(acc, F.array(p))).otherwise(acc))
     rows = rows.withColumn("taken", taken)

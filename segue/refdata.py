@@ -31,7 +31,6 @@ SMOOTHING_ENERGY_MAX = 20
 ENERGY_WAVE_WINDOW = 8
 MAX_FILE_SIZE = 500 * 1024 * 1024
 MAX_TRACK_SECONDS = 7200.0
-MAX_PLAYLIST_TRACKS = 1000
 RMS_THRESHOLD = 0.4
 CUE_DEDUPE_SEC = 2.0
 CANDIDATES_PER_SIDE = 8

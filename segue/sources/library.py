@@ -45,12 +45,6 @@ def scan_library(spark: SparkSession, root: str, extensions: Sequence[str] = AUD
     return files.where(suffix.isin(*[e.lower() for e in extensions]))
 
 
-def limit_library(files: DataFrame, library: str = "library", limit: int = R.MAX_PLAYLIST_TRACKS) -> DataFrame:
-    """The first ``limit`` files of every library by path (the scanner's own limit)."""
-    order = Window.partitionBy(library).orderBy("path")
-    return files.withColumn("rank", F.row_number().over(order)).where(c("rank") <= limit).drop("rank")
-
-
 def read_tracks(store: DataFrame, data: str = "data", newest: str = "ingest_ts") -> DataFrame:
     """Parsed track records, one per path: unknown keys are dropped, the newest record wins."""
     parsed = store.select(newest, F.from_json(data, TRACK_SCHEMA).alias("t")).where(c("t.filePath").isNotNull())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,43 +39,45 @@ def current_table(spark: SparkSession, root: str, schema: str = RECORD_SCHEMA) -
 def ingest_tracks(spark: SparkSession, source: str, store: str, rejects: str, checkpoint: str, version: int) -> StreamingQuery:
     """New JSON record files into the versioned store: validate, split, keep the newest per key.
 
-    Each batch writes version ``v=<batch + 1>`` from the one before; a batch that
-    is retried overwrites its own version, so results do not depend on failures.
+    Each batch writes the next version from the newest complete one, whichever query
+    or checkpoint wrote that.  The newest record per key wins, so a batch that is
+    retried after its version was written changes nothing.
     """
     stream = spark.readStream.schema(RECORD_SCHEMA).json(source)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         valid, bad = quality.validate_tracks(batch)
-        bad.drop("reasons").write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
-        base = session.read.schema(RECORD_SCHEMA).parquet(f"{store}/v={batch_id}") if batch_id else \
-            session.createDataFrame([], RECORD_SCHEMA)
+        bad.drop("reasons").write.mode("overwrite").parquet(f"{rejects}/query={_folder(checkpoint)}/batch={batch_id}")
+        base, newest = _current(session, store, RECORD_SCHEMA)
         library.upsert_tracks(base, valid.select("key", "version", "ingest_ts", "data"), version).write.mode(
-            "overwrite").parquet(f"{store}/v={batch_id + 1}")
+            "overwrite").parquet(f"{store}/v={newest + 1}")
 
     return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def merge_rating_stream(spark: SparkSession, source: str, sheet: DataFrame, target: str, checkpoint: str,
-                        delay: str = "10 minutes") -> StreamingQuery:
-    """Ratings as they arrive: repeats dropped within the watermark, the last one per pair wins.
+def _folder(checkpoint: str) -> str:
+    """Short name of a query, from its checkpoint: batches are numbered anew in each."""
+    return hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
+
+def merge_rating_stream(spark: SparkSession, source: str, sheet: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Ratings as they arrive, however late: the last one per pair wins, the higher of two at the same time.
 
     ``sheet`` is the table of known pairs (pair_id, rating).  Every batch adds its
-    ratings to a log; the sheet of version ``v=<batch + 1>`` is rebuilt from it.
+    ratings to a log, and the next version of the sheet is built from the whole log;
+    repeats and retried batches change nothing.
     """
-    stream = (spark.readStream.schema(RATING_SCHEMA).json(source)
-              .withWatermark("rated_at", delay)
-              .dropDuplicatesWithinWatermark(["pair_id", "rating", "rated_at"]))
+    stream = spark.readStream.schema(RATING_SCHEMA).json(source)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{target}/log/batch={batch_id}")
-        log = session.read.schema(RATING_SCHEMA).parquet(*[f"{target}/log/batch={i}" for i in range(batch_id + 1)])
-        last = log.groupBy("pair_id").agg(F.max_by("rating", "rated_at").alias("rating"))
-        ratings.merge_ratings(sheet, last).write.mode("overwrite").parquet(f"{target}/sheet/v={batch_id + 1}")
+        batch.write.mode("overwrite").parquet(f"{target}/log/query={_folder(checkpoint)}/batch={batch_id}")
+        log = session.read.schema(RATING_SCHEMA).parquet(f"{target}/log")
+        last = log.groupBy("pair_id").agg(F.max_by("rating", F.struct("rated_at", "rating")).alias("rating"))
+        newest = _current(session, f"{target}/sheet", "pair_id string, rating string")[1]
+        ratings.merge_ratings(sheet, last).write.mode("overwrite").parquet(f"{target}/sheet/v={newest + 1}")
 
     return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
-
-

@@ -66,6 +66,10 @@ def test_incremental_ingest(spark, tmp_path):
     ingest.ingest_tracks(spark, source, store, rejects, check, 2).awaitTermination()
     now = ingest.current_table(spark, store).select("key", F.get_json_object("data", "$.bpm").cast("int").alias("bpm")).collect()
     assert sorted((r["key"], r["bpm"]) for r in now) == [("a", 140), ("b", 121)]
+    (tmp_path / "more").mkdir()
+    (tmp_path / "more" / "1.json").write_text(_record("e", 150))
+    ingest.ingest_tracks(spark, str(tmp_path / "more"), store, rejects, str(tmp_path / "check2"), 2).awaitTermination()
+    assert {r["key"] for r in ingest.current_table(spark, store).collect()} == {"a", "b", "e"}   # a fresh checkpoint keeps the store
     bad = spark.read.parquet(rejects).collect()
     assert [(r["key"], r["reason"]) for r in bad] == [("d", "key_confidence liegt ausserhalb 0..1")]
 
@@ -79,3 +83,9 @@ def test_rating_stream(spark, tmp_path):
     ingest.merge_rating_stream(spark, source, sheet, target, check).awaitTermination()
     got = {r["pair_id"]: r["rating"] for r in ingest.current_table(spark, f"{target}/sheet", "pair_id string, rating string").collect()}
     assert got == {"p1": "5", "p2": "3"}
+    # a late rating in a later run, and a new checkpoint over the old log
+    (tmp_path / "in" / "2.json").write_text(json.dumps({"pair_id": "p2", "rating": 1, "rated_at": "2023-12-31T10:00:00Z"}))
+    for at in (check, str(tmp_path / "check2")):
+        ingest.merge_rating_stream(spark, source, sheet, target, at).awaitTermination()
+        got = {r["pair_id"]: r["rating"] for r in ingest.current_table(spark, f"{target}/sheet", "pair_id string, rating string").collect()}
+        assert got == {"p1": "5", "p2": "1"}

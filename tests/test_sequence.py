@@ -106,12 +106,22 @@ def test_repeated_track_and_tiny_playlists(spark, small):
         assert sorted(got[0]) == [0, 1, 2, 7] and got[1] == [4], name
 
 
-def test_oversized_playlist_is_refused(spark, small):
+@pytest.mark.parametrize("name", ["Energy Wave", "Consistent", "Harmonic Flow", "Warm-Up"])
+def test_playlist_of_any_size(spark, small, name):
     tracks, _, _ = small
-    many = tracks.where("playlist_id = 0 AND input_pos = 1").crossJoin(spark.range(1001).withColumnRenamed("id", "n")) \
-        .withColumn("input_pos", F.col("n")).withColumn("bpm", 90.0 + F.col("n") * 50.0).drop("n")
-    with pytest.raises(Exception, match="exceeds"):
-        sequence.sequence(many, "Energy Wave", TOL).count()
+    many = tracks.where("playlist_id = 0 AND input_pos = 1").crossJoin(spark.range(1500).withColumnRenamed("id", "n")) \
+        .withColumn("input_pos", F.col("n")).withColumn("bpm", 90.0 + F.floor(F.col("n") / 3) * 0.7).drop("n")
+    got = ordered(many, name)
+    assert sorted(got[0]) == list(range(1500))
+
+
+def test_different_scoring_parameters_in_one_call(small):
+    tracks, _, _ = small
+    config = sequence.StrategyConfig.of({"harmonic_strictness": 3})
+    both = sequence.sequence(tracks, ["Harmonic Flow", "Warm-Up", "Energy Wave"], TOL, config)
+    for name in ("Harmonic Flow", "Warm-Up", "Energy Wave"):
+        alone = sequence.sequence(tracks, name, TOL, config)
+        assert sorted(map(tuple, both.where(F.col("strategy") == name).collect())) == sorted(map(tuple, alone.collect()))
 
 
 def test_registered_strategy(small):
@@ -145,8 +155,13 @@ def test_pair_join_is_complete(spark, tol):
     assert got == want
 
 
-def test_pair_join_refuses_an_oversized_playlist(spark):
-    df = spark.range(30).selectExpr("0L AS playlist_id", "id AS input_pos", "id AS track_id", "120e0 + id AS bpm")
-    assert pairs.candidate_pairs(df, TOL, max_tracks=30).count() > 0
-    with pytest.raises(Exception, match="exceeds 29"):
-        pairs.candidate_pairs(df, TOL, max_tracks=29).count()
+def test_pair_join_of_a_large_playlist(spark):
+    df = spark.range(2000).selectExpr("0L AS playlist_id", "id AS input_pos", "id AS track_id", "60e0 + id AS bpm")
+    near = pairs.candidate_pairs(df, TOL).where("bpm_relation = 'direct'")
+    assert near.count() == 2 * (1999 + 1998 + 1997)
+
+
+def test_repeated_genre_in_an_override(spark):
+    defaults = spark.createDataFrame([("House", 0.2), ("Techno", 0.3)], "genre string, harmonic_weight double")
+    override = spark.createDataFrame([("House", 0.5), ("House", 0.4), ("Polka", 1.0)], "genre string, harmonic_weight double")
+    assert sorted(map(tuple, pairs.resolve_weights(defaults, override).collect())) == [("House", 0.5), ("Techno", 0.3)]
