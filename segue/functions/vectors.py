@@ -29,11 +29,6 @@ def norm(a: Column, n: int) -> Column:
     return F.when((F.size(a) == n) & (length > 0), length)
 
 
-def raw_cosine(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
-    """Unclamped cosine from lengths computed once per track; NULL if either is undefined."""
-    return F.when(norm_a.isNotNull() & norm_b.isNotNull(), dot(a, b) / (norm_a * norm_b))
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two equally long arrays of any length, clamped to 0..1, NULL if undefined."""
     length = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

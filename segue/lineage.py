@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where no folder is configured (a local test) a temporary one is used.
+    Only a session inside one process may go without the setting; it gets a temporary folder.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="segue-checkpoint-"))
     return df.checkpoint()

@@ -16,9 +16,12 @@ from pyspark.sql import functions as F
 from segue import refdata as R
 from segue.functions import keys, sections, tempo, text, vectors
 
+# vectors as single columns: a pair's cosine is then a short sum of products in generated code
+VECTORS = {"groove": ("groove_pattern", 16), "bass": ("bass_pattern", 16), "timbre": ("timbre", 13)}
+VECTOR_COLUMNS = tuple(x for name, (_, n) in VECTORS.items() for x in (f"has_{name}", *[f"{name}_{i}" for i in range(n)]))
 FEATURES = ("bpm", "num", "letter", "key_mode", "energy", "genre", "genre_id", "brightness", "flatness",
             "sub_energy", "out_sub", "out_punch", "in_sub", "in_punch", "vocal",
-            "groove_pattern", "bass_pattern", "timbre", "groove_len", "bass_len", "timbre_len",
+            *VECTOR_COLUMNS,
             "ai_moods", "ai_sub_genre")
 
 
@@ -42,7 +45,8 @@ def pair_features(tracks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     in_sub, in_punch = at_seam("mix_in_point")
     ai = F.col("ai")
     moods = F.array_distinct(F.transform(F.filter(ai["moods"], lambda m: m != ""), lambda m: F.lower(F.trim(m))))
-    return tracks.select(
+    measured = tracks.withColumns({f"len_{name}": vectors.norm(F.col(vector), n) for name, (vector, n) in VECTORS.items()})
+    return measured.select(
         "playlist_id", "input_pos", "track_id", *keep,
         "bpm", keys.camelot_number(code).alias("num"), keys.camelot_letter(code).alias("letter"),
         "key_mode", "energy", genre.alias("genre"), genre_id(genre).alias("genre_id"),
@@ -50,10 +54,9 @@ def pair_features(tracks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         out_sub.alias("out_sub"), out_punch.alias("out_punch"),
         in_sub.alias("in_sub"), in_punch.alias("in_punch"),
         (F.col("vocal_instrumental") == "vocal").alias("vocal"),
-        "groove_pattern", "bass_pattern", "timbre",
-        vectors.norm(F.col("groove_pattern"), 16).alias("groove_len"),
-        vectors.norm(F.col("bass_pattern"), 16).alias("bass_len"),
-        vectors.norm(F.col("timbre"), 13).alias("timbre_len"),
+        *[x for name, (vector, n) in VECTORS.items() for x in (
+            F.col(f"len_{name}").isNotNull().alias(f"has_{name}"),
+            *[F.coalesce(F.get(vector, F.lit(i)) / F.col(f"len_{name}"), F.lit(0.0)).alias(f"{name}_{i}") for i in range(n)])],
         F.when(ai["current"], moods).alias("ai_moods"),
         F.when(ai["current"], F.lower(F.trim(ai["sub_genre"]))).alias("ai_sub_genre"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from segue import refdata as R
-from segue.functions import keys, vectors
+from segue.functions import keys
 from segue.operators import pairs
 
 FACTORS = ("harmonic", "bpm", "energy", "genre", "groove", "bass", "timbre", "mood")
@@ -48,13 +48,13 @@ def closeness(delta: Column, widest: Column | float) -> Column:
 
 def with_cosines(df: DataFrame) -> DataFrame:
     """Raw cosines of the three vectors, as their own step so that each is computed once."""
-    def cosine(vector: str, length: str) -> Column:
-        return vectors.raw_cosine(F.col(f"a_{vector}"), F.col(f"b_{vector}"),
-                                  F.col(f"a_{length}"), F.col(f"b_{length}"))
+    def cosine(name: str) -> Column:
+        products = [F.col(f"a_{name}_{i}") * F.col(f"b_{name}_{i}") for i in range(pairs.VECTORS[name][1])]
+        return F.when(F.col(f"a_has_{name}") & F.col(f"b_has_{name}"), reduce(lambda x, y: x + y, products))
 
-    return df.select("*", cosine("groove_pattern", "groove_len").alias("onset_cosine"),
-                     cosine("bass_pattern", "bass_len").alias("bass_cosine"),
-                     cosine("timbre", "timbre_len").alias("timbre_cosine"))
+    single = {f"{side}_{x}" for side in "ab" for x in pairs.VECTOR_COLUMNS}
+    return df.select(*[c for c in df.columns if c not in single], cosine("groove").alias("onset_cosine"),
+                     cosine("bass").alias("bass_cosine"), cosine("timbre").alias("timbre_cosine"))
 
 
 def groove_match(floor: Column | float) -> Column:
