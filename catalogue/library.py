@@ -266,6 +266,18 @@ def m3u8(spark, sf):
     return canon(exports.m3u8_lines(_exported(spark, sf), "Set"))
 
 
+def m3u8_relative(spark, sf):
+    return canon(exports.m3u8_lines(_exported(spark, sf), "Set", "C:/music/sets"))
+
+
+def xml_document(spark, sf):
+    return canon(exports.xml_document(exports.deduplicated(_exported(spark, sf)), "Set"))
+
+
+def export_errors(spark, sf):
+    return canon(exports.export_errors(exports.deduplicated(_exported(spark, sf))))
+
+
 def deduplicated(spark, sf):
     return canon(exports.deduplicated(_exported(spark, sf)).select("playlist_id", "pos", "export_error", "xml_id"))
 
@@ -292,7 +304,7 @@ QUERIES = {
     "v7_provenance": provenance, "v8_ab_manifest": manifest, "s2_parsed_tracks": parsed, "s3_upserted_store": store, "s4_j6_changed_files": changes,
     "s4_signed_keys": signed, "s5_catalog": catalog, "j5_catalog_match": matched, "a7_catalog_stats": catalog_statistics, "a8_coverage": coverage,
     "s7_predictions": predictions, "s8_m3u8": m3u8, "u2_deduplicated": deduplicated, "s9_xml_collection": xml_rows, "s9_xml_marks": xml_marks,
-    "s10_export_report": report,
+    "s10_export_report": report, "s10_export_errors": export_errors, "s8_m3u8_relative": m3u8_relative, "s9_xml_document": xml_document,
 }
 
 # ------------------------------------------------------------------- SQL twins
@@ -467,6 +479,32 @@ SQL = {
         SELECT playlist_id, -1 AS pos, unnest([0, 1, 2, 3]) AS ln, unnest(['#EXTM3U', '#EXTENC:UTF-8', '#PLAYLIST:Set', '']) AS line FROM (SELECT DISTINCT playlist_id FROM exported)
         UNION ALL SELECT playlist_id, pos, unnest([0, 1, 2]), unnest(['#EXTINF:' || CAST(duration AS BIGINT) || ',' || artist || ' - ' || title, xpath, '']) FROM exported WHERE xpath <> '')"""),
         "playlist_id line_no", texts="line"),
+    "s8_m3u8_relative": sql(with_ctes(C, ["exported"], """SELECT playlist_id, row_number() OVER (PARTITION BY playlist_id ORDER BY pos, ln) - 1 AS line_no, line FROM (
+        SELECT playlist_id, -1 AS pos, unnest([0, 1, 2, 3]) AS ln, unnest(['#EXTM3U', '#EXTENC:UTF-8', '#PLAYLIST:Set', '']) AS line FROM (SELECT DISTINCT playlist_id FROM exported)
+        UNION ALL SELECT playlist_id, pos, unnest([0, 1, 2]), unnest(['#EXTINF:' || CAST(duration AS BIGINT) || ',' || artist || ' - ' || title, regexp_replace(xpath, '^C:/music/', '../'), '']) FROM exported WHERE xpath <> '')"""),
+        "playlist_id line_no", texts="line"),
+    "s9_xml_document": sql(with_ctes(C, ["exported", "wheel", "track_sections"], f"""
+        SELECT * FROM (WITH kept AS (SELECT * FROM exported LEFT JOIN wheel ON note = key_note AND mode = key_mode WHERE export_error IS NULL),
+        lists AS (SELECT playlist_id, count(*) FILTER (WHERE export_error IS NULL) AS n FROM exported GROUP BY 1),
+        marks AS (SELECT playlist_id, xml_id, row_number() OVER (PARTITION BY playlist_id, xml_id ORDER BY grp, ord) - 1 AS seq, name, start, num FROM (
+          SELECT playlist_id, xml_id, 0 AS grp, unnest([1, 2, 3, 4]) AS ord, unnest(['MIX IN', 'MIX IN', 'MIX OUT', 'MIX OUT']) AS name,
+            unnest([mix_in_point, mix_in_point, mix_out_point, mix_out_point]) AS start, unnest([0, -1, 1, -1]) AS num FROM kept WHERE {_CUEOK}
+          UNION ALL SELECT playlist_id, xml_id, 1, section_idx, upper(label), start_time, -1 FROM kept e JOIN track_sections s ON s.track_id = e.track_id
+            WHERE {_CUEOK} AND label IN ('drop', 'breakdown') AND start_time > 0))
+        SELECT playlist_id, unnest([0, 0, 0, 2, 2, 2, 2, 4, 4]) AS part, 0 AS xml_id, unnest([0, 1, 2, 0, 1, 2, 3, 0, 1]) AS seq, unnest(['<?xml version="1.0" encoding="UTF-8"?>',
+          '<DJ_PLAYLISTS Version="1.0.0">', '<COLLECTION Entries="' || n || '">', '</COLLECTION>', '<PLAYLISTS><NODE Type="0" Name="ROOT" Count="1">', '<NODE Type="0" Count="1" Name="Playlists">',
+          '<NODE Type="1" KeyType="0" Name="Set" Entries="' || n || '">', '</NODE></NODE></NODE></PLAYLISTS>', '</DJ_PLAYLISTS>']) AS line FROM lists
+        UNION ALL SELECT playlist_id, 1, xml_id, -2, '<TRACK TrackID="' || CAST(xml_id AS BIGINT) || '" Name="' || replace(replace(title, '&', '&amp;'), '"', '&quot;') || '" Artist="' || replace(artist, '&', '&amp;') || '" Genre="'
+           || replace(CASE WHEN detected_genre <> 'Unknown' THEN detected_genre ELSE genre END, '&', '&amp;') || '" TotalTime="' || CAST(duration AS BIGINT) || '" AverageBpm="' || format('{{:.2f}}', bpm) || '"'
+           || coalesce(' Tonality="' || ({_TO_TEXT}) || '"', '') || ' Location="file://localhost/' || replace(replace(xpath, ' ', '%20'), '#', '%23') || '">' FROM kept
+        UNION ALL SELECT playlist_id, 1, xml_id, -1, '<TEMPO Inizio="' || format('{{:.3f}}', round_even(first_downbeat * 1000e0, 0) / 1000e0) || '" Bpm="' || format('{{:.2f}}', bpm) || '" Metro="4/4" Battito="1"/>' FROM kept WHERE {_GRIDOK}
+        UNION ALL SELECT playlist_id, 1, xml_id, 1073741824, '</TRACK>' FROM kept
+        UNION ALL SELECT playlist_id, 1, xml_id, seq, '<POSITION_MARK Name="' || name || '" Type="0" Start="' || format('{{:.3f}}', round_even(start * 1000e0, 0) / 1000e0) || '" Num="' || num || '"/>' FROM marks
+        UNION ALL SELECT playlist_id, 3, xml_id, 0, '<TRACK Key="' || CAST(xml_id AS BIGINT) || '"/>' FROM kept)"""), "playlist_id part xml_id seq", texts="line"),
+    "s10_export_errors": sql(with_ctes(C, ["exported"], f"""SELECT playlist_id, pos, export_error AS error FROM exported WHERE export_error IS NOT NULL
+        UNION ALL SELECT playlist_id, pos, xpath || ': Beatgrid ausgelassen (kein verlaesslicher Downbeat)' FROM exported WHERE export_error IS NULL AND ({_GRIDOK}) IS NOT TRUE
+        UNION ALL SELECT playlist_id, pos, xpath || ': Cues ausgelassen (Coverage/Schema/Provenienz unzureichend)' FROM exported WHERE export_error IS NULL AND ({_CUEOK}) IS NOT TRUE"""),
+        "playlist_id pos", texts="error"),
     "u2_deduplicated": sql(with_ctes(C, ["exported"], "SELECT * FROM exported"), "playlist_id pos xml_id", texts="export_error"),
     "s9_xml_collection": sql(with_ctes(C, ["exported", "wheel"], f"""SELECT playlist_id, CAST(CAST(xml_id AS BIGINT) AS VARCHAR) AS xml_id, title AS name, artist, CASE WHEN detected_genre <> 'Unknown' THEN detected_genre ELSE genre END AS genre,
         format('{{:.2f}}', bpm) AS bpm, {_TO_TEXT} AS tonality, CAST(CAST(duration AS BIGINT) AS VARCHAR) AS seconds, CASE WHEN {_GRIDOK} THEN first_downbeat END AS anchor

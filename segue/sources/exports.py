@@ -22,11 +22,22 @@ def _portable(path: Column) -> Column:
     return F.when(flat.startswith("\\\\"), flat).otherwise(F.replace(flat, F.lit("\\"), F.lit("/")))
 
 
-def m3u8_lines(ordered: DataFrame, name: str = "Playlist") -> DataFrame:
+def relative_path(path: Column, folder: str) -> Column:
+    """A portable path as seen from a folder; unchanged if they share no beginning (another drive, a network path)."""
+    base = F.array(*[F.lit(part) for part in folder.replace("\\", "/").rstrip("/").split("/")])
+    parts = F.split(path, "/")
+    shared = F.size(F.filter(F.sequence(F.lit(1), F.size(base)), lambda k: F.slice(parts, F.lit(1), k) == F.slice(base, F.lit(1), k)))
+    up = F.repeat(F.lit("../"), F.size(base) - shared)
+    rest = F.array_join(F.slice(parts, shared + 1, F.greatest(F.size(parts) - shared, F.lit(0))), "/")
+    return F.when((shared > 0) & ~path.startswith("\\\\"), F.concat(up, rest)).otherwise(path)
+
+
+def m3u8_lines(ordered: DataFrame, name: str = "Playlist", relative_to: str | None = None) -> DataFrame:
     """Lines of one M3U8 file per playlist: (playlist_id, line_no, line).
 
     ``ordered``: playlist_id, pos, file_path, artist, title, duration.  Tracks
-    without a path are left out.
+    without a path are left out.  With ``relative_to``, the folder that the files
+    will lie in, paths are written as seen from there.
     """
     safe = name.replace("\r", " ").replace("\n", " ")
     head = ordered.select("playlist_id").distinct().select(
@@ -36,9 +47,12 @@ def m3u8_lines(ordered: DataFrame, name: str = "Playlist") -> DataFrame:
     title = F.coalesce(F.nullif(c("title"), F.lit("")), text.basename(c("file_path")))
     info = F.concat(F.lit("#EXTINF:"), F.coalesce("duration", F.lit(0.0)).cast("long").cast("string"), F.lit(","),
                     _one_line(artist), F.lit(" - "), _one_line(title))
+    place = _portable(c("file_path"))
+    if relative_to is not None:
+        place = relative_path(place, relative_to)
     body = ordered.where(F.length("file_path") > 0).select(
         "playlist_id", c("pos").cast("long").alias("pos"),
-        F.posexplode(F.array(info, _portable(c("file_path")), F.lit(""))).alias("at", "line"))
+        F.posexplode(F.array(info, place, F.lit(""))).alias("at", "line"))
     rows = head.unionByName(body)
     order = Window.partitionBy("playlist_id").orderBy("pos", "at")
     return rows.select("playlist_id", (F.row_number().over(order) - 1).alias("line_no"), "line")
@@ -113,9 +127,77 @@ def xml_playlist(rows: DataFrame) -> DataFrame:
     return rows.where(c("export_error").isNull()).select("playlist_id", "pos", "xml_id")
 
 
-def write_xml(collection: DataFrame, path: str) -> None:
-    """Collection rows as XML through the built-in source."""
-    collection.write.format("xml").option("rootTag", "COLLECTION").option("rowTag", "TRACK").mode("overwrite").save(path)
+def location(path: Column) -> Column:
+    """File address of a path: percent-encoded, separators and drive colon kept."""
+    encoded = F.url_encode(F.replace(path, F.lit("\\"), F.lit("/")))
+    for code, plain in (("+", "%20"), ("%2F", "/"), ("%3A", ":")):
+        encoded = F.replace(encoded, F.lit(code), F.lit(plain))
+    return F.concat(F.lit("file://localhost/"), F.regexp_replace(encoded, "^/", ""))
+
+
+def _attributes(**values: Column) -> Column:
+    """Attributes as XML text; those without a value are left out."""
+    def one(name: str, value: Column) -> Column:
+        text_ = value.cast("string")
+        for sign, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+            text_ = F.replace(text_, F.lit(sign), F.lit(code))
+        return F.when(value.isNotNull(), F.concat(F.lit(f' {name}="'), text_, F.lit('"'))).otherwise("")
+    return F.concat(*[one(n, v) for n, v in values.items()])
+
+
+def xml_document(rows: DataFrame, name: str = "Playlist", folder: str = "Playlists") -> DataFrame:
+    """Lines of one XML file per playlist: (playlist_id, part, xml_id, seq, line), in that order.
+
+    ``rows`` is the result of :func:`deduplicated`.  Part 1 holds the collection: each
+    kept track with its tempo anchor and cue marks; part 3 the playlist tree with the
+    track numbers, which are unique in the file.  Nothing is numbered over a whole
+    playlist here, so a long one needs no single task before it is written.
+    """
+    lists = rows.groupBy("playlist_id").agg(F.count_if(c("export_error").isNull()).alias("n"))
+    entry = F.concat(F.lit('<NODE Type="1" KeyType="0"'), _attributes(Name=F.lit(name), Entries=c("n")), F.lit(">"))
+    frame = lists.select("playlist_id", F.explode(F.array(*[
+        F.struct(F.lit(part).alias("part"), F.lit(at).alias("seq"), line.alias("line")) for part, at, line in (
+            (0, 0, F.lit('<?xml version="1.0" encoding="UTF-8"?>')), (0, 1, F.lit('<DJ_PLAYLISTS Version="1.0.0">')),
+            (0, 2, F.concat(F.lit("<COLLECTION"), _attributes(Entries=c("n")), F.lit(">"))),
+            (2, 0, F.lit("</COLLECTION>")), (2, 1, F.lit('<PLAYLISTS><NODE Type="0" Name="ROOT" Count="1">')),
+            (2, 2, F.concat(F.lit('<NODE Type="0" Count="1"'), _attributes(Name=F.lit(folder)), F.lit(">"))), (2, 3, entry),
+            (4, 0, F.lit("</NODE></NODE></NODE></PLAYLISTS>")), (4, 1, F.lit("</DJ_PLAYLISTS>")))])).alias("x")).select(
+        "playlist_id", "x.part", F.lit(0).cast("long").alias("xml_id"), "x.seq", "x.line")
+    tracks = xml_collection(rows).withColumn("xml_id", c("_TrackID").cast("long"))
+    head = F.concat(F.lit("<TRACK"), _attributes(
+        TrackID=c("_TrackID"), Name=c("_Name"), Artist=c("_Artist"), Genre=c("_Genre"), TotalTime=c("_TotalTime"),
+        AverageBpm=c("_AverageBpm"), Tonality=c("_Tonality"), Location=location(c("_Location"))), F.lit(">"))
+    tempo_line = F.concat(F.lit("<TEMPO"), _attributes(Inizio=F.format_string("%.3f", F.rint(c("TEMPO._Inizio") * 1000.0) / 1000.0), Bpm=F.format_string("%.2f", c("TEMPO._Bpm")),
+                                                       Metro=c("TEMPO._Metro"), Battito=c("TEMPO._Battito")), F.lit("/>"))
+    outer = tracks.select("playlist_id", F.lit(1).alias("part"), "xml_id", F.explode(F.array_compact(F.array(
+        F.struct(F.lit(-2).alias("seq"), head.alias("line")),
+        F.when(c("TEMPO").isNotNull(), F.struct(F.lit(-1).alias("seq"), tempo_line.alias("line"))),
+        F.struct(F.lit(1 << 30).alias("seq"), F.lit("</TRACK>").alias("line"))))).alias("x")).select("playlist_id", "part", "xml_id", "x.seq", "x.line")
+    mark = F.concat(F.lit("<POSITION_MARK"), _attributes(Name=c("name"), Type=F.lit("0"), Start=F.format_string("%.3f", F.rint(c("start") * 1000.0) / 1000.0), Num=c("num")), F.lit("/>"))
+    marks = xml_marks(rows).select("playlist_id", F.lit(1).alias("part"), c("xml_id").cast("long").alias("xml_id"), c("mark_no").cast("int").alias("seq"), mark.alias("line"))
+    members = xml_playlist(rows).select("playlist_id", F.lit(3).alias("part"), c("xml_id").cast("long").alias("xml_id"), F.lit(0).alias("seq"),
+                                        F.concat(F.lit("<TRACK"), _attributes(Key=c("xml_id")), F.lit("/>")).alias("line"))
+    return frame.unionByName(outer).unionByName(marks).unionByName(members)
+
+
+def write_xml(document: DataFrame, path: str) -> None:
+    """One XML file per playlist from the lines of :func:`xml_document`."""
+    (document.repartition("playlist_id").sortWithinPartitions("playlist_id", "part", "xml_id", "seq")
+     .select("playlist_id", c("line").alias("value")).write.mode("overwrite").partitionBy("playlist_id").text(path))
+
+
+def export_errors(rows: DataFrame) -> DataFrame:
+    """One row per problem of an export: (playlist_id, pos, error).  The texts are fixed values."""
+    kept = c("export_error").isNull()
+    cues_ok = quality.cue_export_ok(c("outro_covered"), c("mix_in_point"), c("mix_out_point"), c("duration"))
+    grid_ok = ((c("downbeat_confidence") == REFERENCE_BEATGRID) & (c("first_downbeat") >= 0) & (c("first_downbeat") < c("duration")))
+    no_tempo = ~F.coalesce(c("bpm") > 0, F.lit(False))
+    grid = (F.when(no_tempo, ": Beatgrid fehlt wegen ungueltiger BPM")
+            .when(~F.coalesce(grid_ok, F.lit(False)), ": Beatgrid ausgelassen (kein verlaesslicher Downbeat)"))
+    found = F.array_compact(F.array(
+        c("export_error"), F.when(kept, F.concat(c("file_path"), grid)),
+        F.when(kept & ~cues_ok, F.concat(c("file_path"), F.lit(": Cues ausgelassen (Coverage/Schema/Provenienz unzureichend)")))))
+    return rows.select("playlist_id", "pos", F.explode(found).alias("error"))
 
 
 def export_report(rows: DataFrame) -> DataFrame:

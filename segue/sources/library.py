@@ -22,7 +22,14 @@ TRACK_SCHEMA = (
     "percussive_ratio double, groove_pattern array<double>, bass_pattern array<double>, timbre_fingerprint array<double>, "
     "sub_energy double, bass_punch double, outro_covered boolean, "
     "sections array<struct<label string, start_time double, end_time double, start_bar int, end_bar int, "
-    "avg_energy double, avg_bass double, sub_energy double, bass_punch double>>")
+    "avg_energy double, avg_bass double, sub_energy double, bass_punch double>>, "
+    "avg_bass double, avg_mids double, avg_highs double, mix_in_bars int, mix_out_bars int, genre_source string, "
+    "mfcc_fingerprint array<double>, syncopation double, analysis_mode string, lufs_status string, "
+    "lufs_coverage_seconds double, lufs_channels int, lufs_sample_rate int, rekordbox_signature string, "
+    "phrase_grid array<double>, "
+    # of open shape: kept as their JSON text
+    "ai_metadata string, analysis_coverage string, phrases string, cue_points string, "
+    "mix_in_candidates string, mix_out_candidates string")
 CATALOG_FIELDS = ("bpm", "camelot", "duration", "title", "artist", "genre", "content_id", "cues")
 TRUTH_SCHEMA = (
     "track_id string, audio_path string, audio_sha256 string, label_status string, label_source string, "

@@ -1,6 +1,7 @@
 """Readers, writers and streams on temporary folders."""
 
 import json
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,10 +28,37 @@ def test_m3u8_and_xml_round_trip(spark, sf, tmp_path):
     assert len(parts) == 1
     want = [r["line"] for r in lines.where("playlist_id = 0").orderBy("line_no").collect()]
     assert parts[0].read_text().splitlines() == want and want[0] == "#EXTM3U"
-    collection = exports.xml_collection(exports.deduplicated(rows)).drop("playlist_id")
-    exports.write_xml(collection, str(tmp_path / "xml"))
-    back = spark.read.format("xml").option("rowTag", "TRACK").load(str(tmp_path / "xml"))
-    assert back.count() == collection.count() and "_Location" in back.columns
+    document = exports.xml_document(exports.deduplicated(rows), "My <Set>", "Folder")
+    exports.write_xml(document, str(tmp_path / "xml"))
+    for part in (tmp_path / "xml").glob("playlist_id=*"):
+        (file,) = part.glob("*.txt")
+        root = ElementTree.fromstring(file.read_text())
+        ids = [t.get("TrackID") for t in root.findall("COLLECTION/TRACK")]
+        assert len(ids) == len(set(ids)) == int(root.find("COLLECTION").get("Entries"))
+        playlist = root.find("PLAYLISTS/NODE/NODE/NODE")
+        assert playlist.get("Name") == "My <Set>" and [t.get("Key") for t in playlist] == ids
+        assert all(t.get("Location").startswith("file://localhost/") for t in root.findall("COLLECTION/TRACK"))
+
+
+def test_locations_and_relative_paths(spark):
+    df = spark.createDataFrame([("C:\\Music\\a b & ü.mp3",), ("/home/x/y.mp3",), ("\\\\server\\share\\z.mp3",)], "p string")
+    got = [tuple(r) for r in df.select(exports.location(F.col("p")), exports.relative_path(exports._portable(F.col("p")), "/home/sets/one")).collect()]
+    assert got == [("file://localhost/C:/Music/a%20b%20%26%20%C3%BC.mp3", "C:/Music/a b & ü.mp3"),
+                   ("file://localhost/home/x/y.mp3", "../../x/y.mp3"),
+                   ("file://localhost//server/share/z.mp3", "\\\\server\\share\\z.mp3")]
+
+
+def test_all_track_fields_are_kept(spark):
+    fields = {"filePath": "/a.mp3", "avg_mids": 0.5, "mix_in_bars": 8, "genre_source": "tag", "mfcc_fingerprint": [1.0, 2.0], "syncopation": 0.3,
+              "analysis_mode": "full", "analysis_coverage": [[0, 60]], "lufs_status": "ok", "phrase_grid": [0.0, 8.0], "phrases": [{"start_s": 1.5}],
+              "cue_points": [{"t": 2.0, "name": "x"}], "ai_metadata": {"moods": ["dark"]}, "mix_in_candidates": [{"t": 3.0}], "unknown": 1}
+    store = spark.createDataFrame([("2024-01-01", json.dumps(fields))], "ingest_ts string, data string")
+    row = library.read_tracks(store).first().asDict()
+    for name, value in fields.items():
+        if name == "unknown":
+            assert name not in row
+        else:
+            assert (json.loads(row[name]) if isinstance(value, (list, dict)) and isinstance(row[name], str) else row[name]) == value, name
 
 
 def test_ground_truth_and_predictions(spark, tmp_path):
