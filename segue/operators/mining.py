@@ -293,7 +293,7 @@ def _multiplicities(clusters: DataFrame, draws: int, seed: int) -> DataFrame:
 
 
 def auc_interval(scores: DataFrame, key: str = "factor", cluster: str = "mix_id", draws: int = 2000, seed: int = 42,
-                 buckets: int = 256) -> DataFrame:
+                 buckets: int = ordered.BUCKETS) -> DataFrame:
     """AUC with a 95 % interval from resampling whole clusters (mixes).
 
     Work is rows times draws: per value bucket, the drawn weights of smaller
@@ -305,8 +305,7 @@ def auc_interval(scores: DataFrame, key: str = "factor", cluster: str = "mix_id"
     weights = base.join(_multiplicities(base, draws, seed), "cluster_idx", "left").drop("cluster_idx")
     zero = F.array_repeat(F.lit(0.0), draws)
     weights = weights.select(cluster, F.coalesce("pos_w", zero).alias("pos_w"), F.coalesce("neg_w", zero).alias("neg_w"))
-    ends = scores.groupBy(key).agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    rows = scores.join(F.broadcast(ends), key).withColumn("bucket", ordered.value_bucket("value", "low", "high", buckets)) \
+    rows = ordered.with_bounds(scores, [key], "value", buckets).withColumn("bucket", ordered.value_bucket("value")) \
         .groupBy(key, "bucket", "value", "positive", cluster).agg(F.count("*").alias("n")).join(weights, cluster)
 
     def totals(pdf: pd.DataFrame) -> pd.DataFrame:

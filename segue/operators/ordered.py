@@ -12,8 +12,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segue import lineage
+
 SALTS = 16
-BUCKETS = 1024
+BUCKETS = 128
 
 
 def attach(rows: DataFrame, per_key: DataFrame, key: str, spread: str, salts: int = SALTS,
@@ -46,6 +48,17 @@ def dense_index(rows: DataFrame, keys: Sequence[str], order: Sequence[str], bloc
             .drop("block", "inner", "offset"))
 
 
+def range_index(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Position 0, 1, 2, ... inside its key for values that no block number can be computed from (texts).
+
+    Rows are dealt to ranges of (key, order) by sampling, numbered inside their range and
+    shifted by the sizes of earlier ranges.  The ranges are stored once, so that both
+    steps see the same ones; no range depends on how the values begin.
+    """
+    placed = lineage.cut(rows.repartitionByRange(*keys, *order).withColumn("range", F.spark_partition_id()))
+    return dense_index(placed, keys, order, F.col("range"), name).drop("range")
+
+
 def blockwise(rows: DataFrame, index: str, size: int, before: int = 0, after: int = 0) -> DataFrame:
     """Repeat rows at block edges so that local windows can run per (key, block).
 
@@ -78,19 +91,24 @@ def running_sum(rows: DataFrame, keys: Sequence[str], index: str, value: str, na
             .withColumn(name, F.col("partial") + F.col("offset")).drop("block", "partial", "offset"))
 
 
-def value_bucket(value: str, low: str, high: str, buckets: int = BUCKETS) -> Column:
-    """Order-preserving bucket of a value between its known extremes."""
-    span = F.col(high) - F.col(low)
-    return F.when(span > 0, F.least(F.floor((F.col(value) - F.col(low)) / span * buckets),
-                                    F.lit(buckets - 1))).otherwise(0).cast("int")
+def value_bucket(value: str, bounds: str = "bounds") -> Column:
+    """Order-preserving bucket of a value: how many of the bounds lie below it."""
+    return F.size(F.filter(bounds, lambda b: b < F.col(value))).cast("int")
+
 
+def with_bounds(values: DataFrame, keys: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
+    """Attach ``bounds``: approximate quantiles of the key's values, one array a key.
 
-def _with_extremes(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Attach the smallest and largest value of the key (one row per key, a small set of keys)."""
+    A sketch of the values sets the cuts, so a bucket holds about the same number of
+    rows whatever the values' range; being approximate only shifts the cuts, since
+    results are stitched from exact totals.  ``keys`` must name a small set of groups.
+    """
+    keys = list(keys)
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    sketch = F.percentile_approx(value, shares, F.lit(10 * buckets))
     if not keys:
-        return values.withColumns({"low": values.agg(F.min(value)).scalar(), "high": values.agg(F.max(value)).scalar()})
-    ends = values.groupBy(*keys).agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    return values.join(ends, keys)
+        return values.withColumn("bounds", values.agg(sketch).scalar())
+    return values.join(values.groupBy(*keys).agg(sketch.alias("bounds")), keys)
 
 
 def running_totals(rows: DataFrame, keys: Sequence[str], value: str, sums: Sequence[str],
@@ -102,8 +120,7 @@ def running_totals(rows: DataFrame, keys: Sequence[str], value: str, sums: Seque
     """
     keys = list(keys)
     distinct = rows.groupBy(*keys, value).agg(*[F.sum(s).alias(s) for s in sums])
-    placed = _with_extremes(distinct, keys, value).withColumn("bucket", value_bucket(value, "low", "high", buckets))
-    placed = placed.drop("low", "high")
+    placed = with_bounds(distinct, keys, value, buckets).withColumn("bucket", value_bucket(value)).drop("bounds")
     totals = placed.groupBy(*keys, "bucket").agg(*[F.sum(s).alias(s) for s in sums])
     earlier = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "bucket", *[

@@ -117,20 +117,16 @@ def maximin_sample(points: DataFrame, k: int, columns: Sequence[str] = FACTORS,
 def strided_sample(files: DataFrame, n: int, folder: str = "folder", path: str = "path") -> DataFrame:
     """n evenly spaced files per folder in path order; small folders whole.
 
-    Paths are numbered in blocks that share a prefix two characters longer than
-    the common prefix of the folder, so a huge folder is spread over tasks.
+    Paths are numbered in sampled ranges, so a huge folder is spread over tasks however
+    its names begin.
     """
-    lo, hi = c("lo"), c("hi")
-    common = F.array_max(F.filter(F.sequence(F.lit(0), F.length("lo")), lambda i: F.substr(lo, F.lit(1), i) == F.substr(hi, F.lit(1), i)))
-    ends = files.groupBy(folder).agg(F.min(path).alias("lo"), F.max(path).alias("hi"), F.count("*").alias("size")) \
-        .select(folder, "size", common.alias("common"))
-    rows = ordered.attach(files.withColumn("spread", F.hash(path)), ends, folder, "spread").drop("spread")
-    rows = ordered.dense_index(rows, [folder], [path], F.substr(c(path), F.lit(1), c("common") + 2), "position")
+    sizes = files.groupBy(folder).agg(F.count("*").alias("size"))
+    rows = ordered.attach(ordered.range_index(files, [folder], [path], "position"), sizes, folder, "position")
     step = c("size") / float(n)
     # position p is taken if it is floor(i * size / n) for some i
     i = F.ceil(c("position") / step)
     hit = (i < n) & (F.floor(i * step) == c("position"))
-    return rows.where((c("size") <= n) | hit).drop("position", "size", "common")
+    return rows.where((c("size") <= n) | hit).drop("position", "size")
 
 
 def blind_assignment(pairs: DataFrame, seed: int = 42, session: str = "session",

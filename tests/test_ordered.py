@@ -64,3 +64,18 @@ def test_auc_interval_brackets_the_point(spark):
     assert r["lower"] < r["auc"] < r["upper"] and r["upper"] - r["lower"] < 0.3
     single = mining.auc_interval(df.where("mix_id = 0"), draws=20).collect()[0]
     assert (single["lower"], single["upper"]) == (0.0, 1.0)
+
+
+def test_buckets_are_even_with_one_extreme_value(spark):
+    values = spark.range(20000).select((F.col("id") / 20000.0).alias("v")).unionByName(spark.createDataFrame([(1e9,), (-1e12,)], "v double"))
+    sizes = [r["count"] for r in ordered.with_bounds(values, [], "v").withColumn("b", ordered.value_bucket("v")).groupBy("b").count().collect()]
+    assert sum(sizes) == 20002 and max(sizes) < 3 * 20002 / ordered.BUCKETS
+    got = ordered.quantiles(values, [], "v", {"m": 0.5}).first()["m"]
+    assert abs(got - np.median([-1e12, *(np.arange(20000) / 20000.0), 1e9])) < 1e-9
+
+
+def test_range_index_with_an_odd_name(spark):
+    rows = spark.range(5000).select(F.lit("f").alias("folder"), F.concat(F.lit("/music/same/prefix/"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("path"))
+    rows = rows.unionByName(spark.createDataFrame([("f", "A")], "folder string, path string"))
+    got = {r["path"]: r["i"] for r in ordered.range_index(rows, ["folder"], ["path"], "i").collect()}
+    assert got == {p: i for i, p in enumerate(sorted(got))}
