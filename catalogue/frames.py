@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalogue import relations as rel
 from catalogue.harness import canon, sql, with_ctes
 from segue import refdata as R
+from segue import lineage
 from segue.operators import downbeat, frames, genre, ordered, structure
 
 C = rel.CTES
@@ -47,8 +48,8 @@ def frame_rows(spark, sf):
     indexed = ordered.dense_index(e, ["track_id"], ["t_sec", "e"], F.floor(F.col("t_sec") / 30.0), "frame_idx")
     v = rel.vectors(spark, sf).select("vec_id", F.transform(F.slice("raw", 1, 12), F.abs).alias("chroma"),
                                       F.transform(F.slice("raw", 13, 13), lambda x: x * 100.0).alias("mfcc"))
-    return indexed.withColumn("vec_id", rel.vector_number(spark, sf, "e")).join(v, "vec_id").select(
-        "track_id", "frame_idx", "t_sec", *[F.expr(x).alias(n) for n, x in FRAME_COLUMNS.items()], "chroma", "mfcc")
+    return lineage.stored(indexed.withColumn("vec_id", rel.vector_number(spark, sf, "e")).join(v, "vec_id").select(
+        "track_id", "frame_idx", "t_sec", *[F.expr(x).alias(n) for n, x in FRAME_COLUMNS.items()], "chroma", "mfcc"))
 
 
 def frame_tracks(spark, sf):

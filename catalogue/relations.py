@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from segue import lineage
 from segue import refdata as R
 
 GENRE_LIST = list(R.CANONICAL_GENRES) + ["Unknown", "House", "techno"]
@@ -173,13 +174,13 @@ def tracks(spark: SparkSession, sf: str) -> DataFrame:
     joined = part.join(vectors(spark, sf).drop("raw"), "vec_id").join(arrays, "k", "left")
     empty = F.array().cast("array<double>")
     scalars = {c: F.expr(e) for c, e in TRACK_COLUMNS.items() if not c.startswith("ai_")}
-    return joined.select(
+    return lineage.stored(joined.select(
         *[e.alias(c) for c, e in scalars.items()],
         *[F.when(F.expr("k % 19 = 0"), empty).otherwise(F.col(c)).alias(c) for c in VECTOR_COLUMNS],
         F.coalesce("sections", F.array().cast(arrays.schema["sections"].dataType)).alias("sections"),
         F.struct(F.expr(TRACK_COLUMNS["ai_current"]).alias("current"),
                  F.array(F.expr(TRACK_COLUMNS["ai_mood_1"]), F.expr(TRACK_COLUMNS["ai_mood_2"])).alias("moods"),
-                 F.expr(TRACK_COLUMNS["ai_sub_genre"]).alias("sub_genre")).alias("ai"))
+                 F.expr(TRACK_COLUMNS["ai_sub_genre"]).alias("sub_genre")).alias("ai")))
 
 
 TRACKS_SQL = f"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from segue import lineage
 from segue import refdata as R
 from segue.functions import grid, sections, tempo
 from segue.operators import ordered
@@ -129,7 +130,7 @@ def fallback_sections(frames: DataFrame, tracks: DataFrame, frame_seconds: float
 
     A frame is active if the RMS averaged over four bars reaches 0.4 of its
     maximum.  The moving average is a difference of running sums, built in
-    blocks, so a long track is spread over tasks.
+    blocks, so a long track is spread over tasks; the level curve is stored once.
     """
     c = F.col
     span = F.greatest(F.lit(1), F.least(
@@ -138,17 +139,25 @@ def fallback_sections(frames: DataFrame, tracks: DataFrame, frame_seconds: float
     info = tracks.select("track_id", "bpm", "duration").join(sizes, "track_id").withColumn("span", span)
     totals = ordered.running_sum(frames.select("track_id", "frame_idx", "t_sec", "rms"), ["track_id"], "frame_idx", "rms", "total")
     base = ordered.attach(totals, info, "track_id", "frame_idx")
-    # frame i averages frames i - span//2 .. i + (span - 1)//2, cut at the ends
-    ends = totals.select("track_id", c("frame_idx").alias("at"), c("total").alias("sum_at"))
-    hi = F.least(c("frame_idx") + F.floor((c("span") - 1) / 2), c("n_frames") - 1)
-    lo = c("frame_idx") - F.floor(c("span") / 2) - 1
-    curve = (base.withColumns({"hi": hi.cast("long"), "lo": lo.cast("long")})
-             .join(ends.withColumnsRenamed({"at": "hi", "sum_at": "sum_hi"}), ["track_id", "hi"])
-             .join(ends.withColumnsRenamed({"at": "lo", "sum_at": "sum_lo"}), ["track_id", "lo"], "left")
-             .select("track_id", "t_sec", "bpm", "duration",
-                     ((c("sum_hi") - F.coalesce("sum_lo", F.lit(0.0))) / c("span")).alias("level")))
+    # frame i averages frames i - span//2 .. i + (span - 1)//2, cut at the ends: each running total is added to
+    # the frame that its window ends with (the last total to all frames whose window is cut) and taken from the
+    # frame whose window starts after it, so one sum per frame replaces two joins of all frames
+    ahead, behind = F.floor((c("span") - 1) / 2), F.floor(c("span") / 2)
+    last = c("frame_idx") == c("n_frames") - 1
+    plus = F.sequence(F.greatest(c("frame_idx") - ahead, F.lit(0)), F.when(last, c("frame_idx")).otherwise(c("frame_idx") - ahead))
+    own = F.array(F.struct(c("frame_idx").alias("at"), F.lit(0.0).alias("v"), c("t_sec").alias("t_sec")))
+    no_time = F.lit(None).cast("double")
+    added = F.when(last | (c("frame_idx") >= ahead), F.transform(plus, lambda i: F.struct(i.alias("at"), c("total").alias("v"), no_time.alias("t_sec"))))
+    taken = F.when(c("frame_idx") + behind + 1 < c("n_frames"), F.array(F.struct(
+        (c("frame_idx") + behind + 1).alias("at"), (-c("total")).alias("v"), no_time.alias("t_sec"))))
+    own_type = "array<struct<at:bigint,v:double,t_sec:double>>"
+    parts = F.concat(own, F.coalesce(added, F.array().cast(own_type)), F.coalesce(taken, F.array().cast(own_type)))
+    levels = (base.select("track_id", "bpm", "duration", "span", F.explode(parts).alias("x"))
+              .groupBy("track_id", "x.at").agg(F.max("x.t_sec").alias("t_sec"), F.first("bpm").alias("bpm"), F.first("duration").alias("duration"),
+                                               (F.sum("x.v") / F.first("span")).alias("level")).drop("at"))
+    curve = lineage.stored(levels)   # read for the peak, the edges and the energies
     peaks = curve.groupBy("track_id").agg(F.max("level").alias("peak"))
-    curve = curve.join(peaks, "track_id")   # one number per track
+    curve = ordered.attach(curve.withColumn("spread", F.hash("t_sec")), peaks, "track_id", "spread").drop("spread")
     active = (c("peak") > 1e-6) & (c("level") >= c("peak") * R.RMS_THRESHOLD)
     edges = curve.groupBy("track_id").agg(
         F.first("bpm").alias("bpm"), F.first("duration").alias("duration"), F.first("peak").alias("peak"),
@@ -162,7 +171,7 @@ def fallback_sections(frames: DataFrame, tracks: DataFrame, frame_seconds: float
                      F.when(c("i0") >= c("o0"), early).otherwise(c("i0")).alias("intro_t"),
                      F.when(c("i0") >= c("o0"), late).otherwise(c("o0")).alias("outro_t")))
     zone = F.when(c("t_sec") < c("intro_t"), 0).when(c("t_sec") < c("outro_t"), 1).otherwise(2)
-    energy = (curve.select("track_id", "t_sec", "level").join(edges, "track_id")
+    energy = (ordered.attach(curve.select("track_id", "t_sec", "level").withColumn("spread", F.hash("t_sec")), edges, "track_id", "spread")
               .where(c("t_sec") < c("duration"))
               .groupBy("track_id").agg(*[
                   F.coalesce(F.avg(F.when(zone == k, c("level"))) / F.first("peak") * 100.0, F.lit(0.0)).alias(f"e{k}")
