@@ -107,6 +107,8 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, owner, owner_at = (np.concatenate([np.asarray(x.values) for x in c[row]]) for c in flat)
             order = np.lexsort((owner_at, owner, at))
             at, owner, owner_at = at[order].astype(np.int64), owner[order], owner_at[order].astype(np.int64)
+            new = np.r_[True, (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]) | (owner_at[1:] != owner_at[:-1])]   # repeated rows
+            at, owner, owner_at = at[new], owner[new], owner_at[new]
             starts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1]) | (owner_at[1:] != owner_at[:-1] + 1)])
             for values, v in zip(out, (np.full(len(starts), doc, dtype=np.int64), at[starts], np.diff(np.r_[starts, len(at)]), owner[starts], owner_at[starts])):
                 values.append(v)
@@ -175,7 +177,8 @@ class Repeats:
         """``id, text_key, n_removed, cut_digest`` of the candidates that lose words."""
         lost = self.spans.groupBy("id").agg(F.collect_set(F.struct("first", "edges")).alias("spans"))
         return self.candidates.select("id", "text_key", "text").join(lost, "id").select("id", "text_key", "text", "spans").mapInArrow(
-            _cut, "id long, text_key long, n_removed long, cut_digest binary")
+            _cut, "id long, text_key long, n_removed long, cut_digest binary").groupBy("id", "text_key").agg(
+            F.first("n_removed").alias("n_removed"), F.first("cut_digest").alias("cut_digest"))   # repeated rows are cut alike
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:

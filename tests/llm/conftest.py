@@ -34,5 +34,6 @@ def odd_rows():
             (8, "one two"), (8, "one two"), (9, say(20000)), (10, "\n\n"), (11, say(25) + "\x0b" + say(3)), (12, "A b"), (12, say(80))]
     rows += [(20 + i, say(20) + "\n" + license_line + ("\n" + license_line.upper() if i == 3 else "") + "\n" + say(5)) for i in range(7)]
     rows += [(40 + i, " ".join(base.split()[:50]) + " " + say(30 + i)) for i in range(4)]
+    rows += [(70, base + " " + say(20)), (70, rows[-1][1]), (71, rows[-2][1]), (71, rows[-2][1])]
     rows += [(60, "ab " * 100), (61, "!!! ### " * 30), (62, "SHOUT!! " * 40), (63, " ".join(x for w in base.split() for x in (w, w, w)))]
     return rows
