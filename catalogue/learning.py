@@ -10,7 +10,7 @@ from catalogue.harness import canon, sql, with_ctes
 from catalogue.pairs import resolved
 from segue import refdata as R
 from segue.functions import keys, text
-from segue.operators import evaluate, mining, ratings
+from segue.operators import evaluate, mining, pairs, ratings
 
 C = rel.CTES
 FACTORS = evaluate.FACTORS
@@ -158,7 +158,20 @@ def holdout(spark, sf):
 
 
 def report(spark, sf):
-    return canon(mining.mining_report(mining.mix_deltas(gapped(spark, sf))).select("factor", "auc", "weight", "n_true"))
+    return canon(mining.mining_report(mining.mix_deltas(gapped(spark, sf))).select("factor", "auc", "lower", "upper", "weight", "n_true", "n_random"))
+
+
+def mined_weights(spark, sf):
+    """From mined mixes to the weights that pair scores use, genre by genre."""
+    report = mining.mining_report(mining.mix_deltas(gapped(spark, sf)))
+    names = list(mining.SCORE_WEIGHTS)
+    defaults = spark.createDataFrame([(g, *[float(R.WEIGHT_DEFAULTS[n]) for n in names]) for g in R.CANONICAL_GENRES],
+                                     "genre string, " + ", ".join(f"{n} double" for n in names))
+    return canon(pairs.resolve_weights(defaults, mining.genre_overrides(report, [R.CANONICAL_GENRES[1], "no such genre"])))
+
+
+def mined_summary(spark, sf):
+    return canon(mining.mining_summary(mining.mix_deltas(gapped(spark, sf)), "Techno", 0).drop("holdout_auc", "holdout"))
 
 
 def transitions(spark, sf):
@@ -264,7 +277,7 @@ def blind(spark, sf):
 QUERIES = {
     "a9_j11_evaluation": evaluation, "a9_field_metrics": evaluation_long, "j12_boundaries": boundaries, "a11_validation_report": validation,
     "a12_factor_spread": spread, "m1_mix_deltas": deltas, "m2_negative_pairs": negatives, "m3_auc": auc, "m4_auc_interval": auc_interval,
-    "m5_tolerances": tolerances, "m6_weights": weights, "m6_bounded_weights": bounded, "m7_holdout": holdout, "m8_mining_report": report,
+    "m5_tolerances": tolerances, "m6_weights": weights, "m6_bounded_weights": bounded, "m7_holdout": holdout, "m8_mining_report": report, "m8_mined_weights": mined_weights, "m8_summary": mined_summary,
     "g27_transitions": transitions, "g28_window_bounds": bounds, "g29_second_profile": profile, "g30_bands": bands, "w8_blend_report": blends,
     "j8_rating_status": rating_status, "j9_u3_merged_ratings": merged, "j10_review_list": review, "l1_design": design, "l4_verdict": verdict,
     "l2_logistic": logistic, "l3_intervals": intervals, "l5_derived_weights": derived, "l5_full_weights": filled, "l6_fit_report": fit_report,
@@ -337,15 +350,23 @@ C["negatives"] = f"""SELECT x.mix_id, x.idx AS i, y.idx AS j, CASE WHEN x.has_bp
   abs(x.sub - y.sub) AS sub_delta, abs(x.punch - y.punch) AS punch_delta, abs(x.bright - y.bright) AS brightness_delta, list_cosine_similarity(x.timbre, y.timbre) AS timbre_sim
  FROM neg_places p JOIN gapped x ON x.mix_id = p.mix_id AND x.place = p.a JOIN gapped y ON y.mix_id = p.mix_id AND y.place = p.b WHERE x.idx // 2 <> y.idx // 2
  QUALIFY row_number() OVER (PARTITION BY p.mix_id ORDER BY step) <= wanted"""
-C["mix_clusters"] = f"SELECT mix_id, row_number() OVER (ORDER BY {_number('mix_id')}, mix_id) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT mix_id FROM scores)"
-C["cluster_picks"] = f"""SELECT id // (2 * n) AS draw, id % 2 AS side, {_number("'42'", 'id')} % n AS k FROM (SELECT n, unnest(range(2000 * n * 2)) AS id FROM (SELECT count(*) AS n FROM mix_clusters))"""
-C["drawn_clusters"] = "SELECT draw, side, mix_id, count(*) AS times FROM cluster_picks JOIN mix_clusters USING (k) GROUP BY 1, 2, 3"
-C["drawn_scores"] = """SELECT factor, draw, value, sum(CASE WHEN positive THEN times ELSE 0 END) AS p, sum(CASE WHEN positive THEN 0 ELSE times END) AS q
-  FROM scores JOIN drawn_clusters d ON d.mix_id = scores.mix_id AND side = CASE WHEN positive THEN 0 ELSE 1 END GROUP BY 1, 2, 3"""
-C["auc_bounds"] = """SELECT factor, quantile_cont(a, 0.025) AS lower, quantile_cont(a, 0.975) AS upper FROM (
+
+
+def _intervals(source: str, prefix: str) -> None:
+    """Relations for the interval of every factor of a source, drawn by clusters."""
+    C[f"{prefix}_clusters"] = f"SELECT mix_id, row_number() OVER (ORDER BY {_number('mix_id')}, mix_id) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT mix_id FROM {source} )"
+    C[f"{prefix}_picks"] = f"""SELECT id // (2 * n) AS draw, id % 2 AS side, {_number("'42'", 'id')} % n AS k FROM (SELECT n, unnest(range(2000 * n * 2)) AS id FROM (SELECT count(*) AS n FROM {prefix}_clusters ))"""
+    C[f"{prefix}_times"] = f"SELECT draw, side, mix_id, count(*) AS times FROM {prefix}_picks JOIN {prefix}_clusters USING (k) GROUP BY 1, 2, 3"
+    C[f"{prefix}_drawn"] = f"""SELECT factor, draw, value, sum(CASE WHEN positive THEN times ELSE 0 END) AS p, sum(CASE WHEN positive THEN 0 ELSE times END) AS q
+  FROM {source} s JOIN {prefix}_times d ON d.mix_id = s.mix_id AND side = CASE WHEN positive THEN 0 ELSE 1 END GROUP BY 1, 2, 3"""
+    C[f"{prefix}_bounds"] = f"""SELECT factor, quantile_cont(a, 0.025) AS lower, quantile_cont(a, 0.975) AS upper FROM (
   SELECT factor, draw, sum(p * (below + q / 2e0)) / (sum(p) * sum(q)) AS a FROM (
-    SELECT *, sum(q) OVER (PARTITION BY factor, draw ORDER BY value) - q AS below FROM drawn_scores) GROUP BY 1, 2 HAVING sum(p) > 0 AND sum(q) > 0) GROUP BY 1"""
+    SELECT *, sum(q) OVER (PARTITION BY factor, draw ORDER BY value) - q AS below FROM {prefix}_drawn ) GROUP BY 1, 2 HAVING sum(p) > 0 AND sum(q) > 0) GROUP BY 1"""
+
+
+_intervals("scores", "auc")
 C["deltas"] = _delta("y.idx = x.idx + 1")
+C["gapped_deltas"] = _delta("y.idx = x.idx + 1").replace("FROM windows x JOIN windows y", "FROM gapped x JOIN gapped y")
 C["moved"] = _delta("(y.idx + 2) % 50 = x.idx + 1")
 C["scores"] = """SELECT doc_id % 20 AS mix_id, quality = 1 AS positive, unnest(['first', 'second']) AS factor, unnest([floor(raw[1] * 100e0), raw[8]]) AS value FROM labels JOIN vectors ON vec_id = doc_id % """ + rel.VECTORS
 
@@ -357,6 +378,17 @@ def _auc(source: str, value: str = "value", key: str = "factor") -> str:
 
 
 C["aucs"] = _auc("scores")
+C["mined"] = "SELECT mix_id, positive, unnest([" + ", ".join(f"'{f}'" for f in mining.DIRECTIONS) + "]) AS factor, unnest([" + ", ".join(
+    f if up else f"-{f}" for f, up in mining.DIRECTIONS.items()) + "]) AS value FROM (SELECT *, true AS positive FROM gapped_deltas UNION ALL SELECT *, false FROM negatives )"
+_intervals("mined", "mined")
+C["mined_aucs"] = _auc("mined")
+C["mined_report"] = """SELECT factor, auc, lower, upper, n_pos AS n_true, n_neg AS n_random, CASE WHEN sum(raw) OVER () > 0 THEN least(1e0, max(raw) OVER ()) * 0.3e0 * raw / sum(raw) OVER () ELSE 0e0 END AS weight
+  FROM (SELECT *, greatest(0e0, lower - 0.5e0) * 2 AS raw FROM mined_aucs JOIN mined_bounds USING (factor))"""
+C["learned"] = "SELECT * FROM mined WHERE mix_id <> 0"
+_intervals("learned", "learned")
+C["learned_aucs"] = _auc("learned")
+C["learned_report"] = C["mined_report"].replace("mined_", "learned_")
+_SUMMED = ", ".join(f"sum(CASE WHEN factor IN ({', '.join(repr(f) for f in fs)}) THEN weight ELSE 0 END) AS {n}" for n, fs in mining.SCORE_WEIGHTS.items())
 C["features"] = f"""SELECT doc_id, quality, {', '.join(f'CASE WHEN doc_id % 41 = {i} AND {i} < 3 THEN NULL ELSE (raw[{i + 1}] + 1e0) / 2e0 END AS {f}' for i, f in enumerate(FACTORS))}
   FROM labels JOIN vectors ON vec_id = doc_id % """ + rel.VECTORS
 C["rated"] = """SELECT *, CASE WHEN doc_id % 29 = 0 THEN 'missing' WHEN doc_id % 31 = 0 OR doc_id % 37 = 0 OR doc_id % 41 < 3 THEN 'invalid' ELSE 'ok' END AS status,
@@ -427,6 +459,14 @@ SQL = {
         SELECT 'all' AS k, positive, (0.1e0 * least(1e0, groove_sim / gs) + 0.2e0 * (1e0 - least(1e0, sub_delta / sd)) + 0.05e0 * (1e0 - least(1e0, brightness_delta / bd))) / (0.1e0 + 0.2e0 + 0.05e0) AS score
         FROM (SELECT *, max(groove_sim) OVER () AS gs, max(sub_delta) OVER () AS sd, max(brightness_delta) OVER () AS bd FROM (SELECT *, true AS positive FROM deltas UNION ALL SELECT *, false FROM moved)))''',
         'round(score, 9)', 'k')})"""), floats="auc", bools="passed"),
+    "m8_mining_report": sql(with_ctes(C, ["mined_report"], "SELECT * FROM mined_report"), "n_true n_random", "auc lower upper weight", "factor"),
+    "m8_mined_weights": sql(with_ctes(C, ["mined_report"], "SELECT genre, " + ", ".join(
+        f"CASE WHEN genre = '{R.CANONICAL_GENRES[1]}' THEN m.{n} ELSE {float(R.WEIGHT_DEFAULTS[n])}e0 END AS {n}" for n in mining.SCORE_WEIGHTS)
+        + " FROM (SELECT unnest([" + ", ".join(f"'{g}'" for g in R.CANONICAL_GENRES) + f"]) AS genre), (SELECT {_SUMMED} FROM mined_report ) m"),
+        floats=" ".join(mining.SCORE_WEIGHTS), texts="genre"),
+    "m8_summary": sql(with_ctes(C, ["learned_report", "gapped_deltas"], f"""SELECT 'Techno' AS genre, * FROM (SELECT max(n_true) AS n_true, max(n_random) AS n_random, {_SUMMED} FROM learned_report ),
+        (SELECT quantile_cont(groove_sim, 0.1) AS groove_sim_min, quantile_cont(sub_delta, 0.9) AS sub_delta_max, quantile_cont(brightness_delta, 0.9) AS brightness_delta_max
+         FROM gapped_deltas WHERE mix_id <> 0)"""), "n_true n_random", " ".join(mining.SCORE_WEIGHTS) + " groove_sim_min sub_delta_max brightness_delta_max", "genre"),
     "g27_transitions": sql(with_ctes(C, ["taken"], """SELECT track_id AS mix_id, unnest(range(len(ts))) AS transition_idx, unnest(list_sort(ts)) AS t FROM (
         SELECT track_id, arg_max(ts, step) AS ts FROM taken GROUP BY 1)""").replace(*_R), "mix_id transition_idx", "t"),
     "g28_window_bounds": sql(with_ctes(C, ["frames"], """SELECT track_id AS mix_id, frame_idx AS transition_idx, unnest([0, 1]) AS side, unnest([t_sec - 50, t_sec + 20]) AS start_s, unnest([t_sec - 20, t_sec + 50]) AS end_s

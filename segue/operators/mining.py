@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segue import lineage
 from segue.functions import vectors
 from segue.operators import ordered
 
@@ -401,3 +402,37 @@ def mining_report(deltas: DataFrame, draws: int = 2000, seed: int = 42) -> DataF
     bounded = learn_weights_bounded(auc_interval(rows, draws=draws, seed=seed))
     sizes = rows.groupBy("factor").agg(F.count_if("positive").alias("n_true"), F.count_if(~c("positive")).alias("n_random"))
     return bounded.join(sizes, "factor")
+
+
+# score weight -> the mined factors it sums (fixed values)
+SCORE_WEIGHTS = {"groove_weight": ("groove_sim",), "bass_weight": ("sub_delta", "punch_delta"),
+                 "timbre_weight": ("timbre_sim",), "mood_weight": ("brightness_delta",)}
+
+
+def score_weights(report: DataFrame) -> DataFrame:
+    """One row of pair-score weights from the weights of the mined factors."""
+    total = {f: F.coalesce(F.sum(F.when(c("factor") == f, c("weight"))), F.lit(0.0)) for f in DIRECTIONS}
+    return report.agg(*[sum((total[f] for f in rest), total[first]).alias(name) for name, (first, *rest) in SCORE_WEIGHTS.items()])
+
+
+def genre_overrides(report: DataFrame, genres: list[str]) -> DataFrame:
+    """The mined weights as an override per genre for ``resolve_weights``."""
+    return score_weights(report).select(F.explode(F.array(*[F.lit(g) for g in genres])).alias("genre"), "*")
+
+
+def mining_summary(deltas: DataFrame, genre: str, holdout_mix: int, draws: int = 2000, seed: int = 42) -> DataFrame:
+    """One row of a genre: pairs, score weights, tolerances, and the AUC of a mix that was not learned from.
+
+    The five factor weights learned from the other mixes are read back to score the
+    held-out mix; nothing else reaches the driver.
+    """
+    learned = deltas.where(c("mix_id") != holdout_mix)
+    report = lineage.stored(mining_report(learned, draws, seed))
+    weights = {r["factor"]: r["weight"] for r in report.select("factor", "weight").collect()}
+    tested = deltas.where(c("mix_id") == holdout_mix)
+    passed = holdout_passed(combined_score(tested, weights, factor_scales(learned)))
+    sizes = report.agg(F.max("n_true").alias("n_true"), F.max("n_random").alias("n_random"))
+    row = F.struct(F.lit(genre).alias("genre"))
+    parts = [sizes, score_weights(report), tolerances(learned.where("positive")), passed.select(c("auc").alias("holdout_auc"), c("passed").alias("holdout"))]
+    return deltas.sparkSession.range(1).select(row.alias("g"), *[p.select(F.struct("*")).scalar().alias(f"p{i}") for i, p in enumerate(parts)]) \
+        .select("g.*", *[f"p{i}.*" for i in range(len(parts))])
