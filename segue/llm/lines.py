@@ -129,7 +129,8 @@ def keep_bitmaps(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int =
     runs = (open_.groupBy("h1", "h2", "part").agg(F.max("docs").alias("docs"), F.max("keeper").alias("keeper"))
             .groupBy("h1", "h2").agg(F.sum("docs").alias("all_docs"), F.max("keeper").alias("last"))
             .where(F.col("all_docs") >= min_docs))
-    crossing = open_.join(runs, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last")) & ~(F.col("doc_id").isNull() & (F.col("last") == _LOWEST)))
+    # at most two runs a range: as many rows as ranges, whatever the lines
+    crossing = open_.join(F.broadcast(runs), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last")) & ~(F.col("doc_id").isNull() & (F.col("last") == _LOWEST)))
     columns = ["doc_id", "text_key", "line", "n_lines"]
     dropped = found.where("docs < 0").select(*columns).unionByName(crossing.select(*columns))
     return (dropped.groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("numbers"), F.max("n_lines").alias("n_lines"))
