@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalogue import pairs as pair_queries
 from catalogue import relations as rel
 from catalogue.harness import canon, sql, with_ctes
+from segue import refdata as R
 from segue.operators import playlists, sequence
 
 TOL = 3.0
@@ -283,6 +284,49 @@ SELECT l.playlist_id, l.track_id, s.seat FROM
  ON s.playlist_id = l.playlist_id AND s.r = l.r"""
 
 
+C["peak_lists"] = f"""SELECT playlist_id, list(input_pos ORDER BY seat) AS ord, count(*) AS n FROM (
+  {_PEAK.replace("l.track_id, s.seat", "l.input_pos, s.seat")}) GROUP BY 1"""
+
+
+def _edge(alias: str, i: str, j: str) -> str:
+    return f"LEFT JOIN obj {alias} ON {alias}.playlist_id = o.playlist_id AND {alias}.i = {i} AND {alias}.j = {j}"
+
+
+# one look at three neighbours a step, position by position, for the fixed number of passes
+C["smoothing"] = f"""
+  SELECT playlist_id, 0 AS step, ord, n FROM peak_lists
+  UNION ALL
+  SELECT o.playlist_id, step + 1, CASE WHEN coalesce(xz.objective, 0) + coalesce(zy.objective, 0) + CASE WHEN w IS NULL THEN 0 ELSE coalesce(yw.objective, 0) END
+        > coalesce(xy.objective, 0) + coalesce(yz.objective, 0) + CASE WHEN w IS NULL THEN 0 ELSE coalesce(zw.objective, 0) END
+      AND abs(ex.energy - ez.energy) < {float(R.SMOOTHING_ENERGY_MAX)}e0 THEN list_concat(list_append(list_append(ord[1:place], z), y), ord[place + 3:o.n]) ELSE ord END, o.n
+  FROM (SELECT *, ord[place] AS x, ord[place + 1] AS y, ord[place + 2] AS z, ord[place + 3] AS w FROM (
+      SELECT *, step % (n - 2) + 1 AS place FROM smoothing WHERE n > 3 AND step < {R.SMOOTHING_PASSES} * (n - 2))) o
+    JOIN slots ex ON ex.playlist_id = o.playlist_id AND ex.input_pos = x JOIN slots ez ON ez.playlist_id = o.playlist_id AND ez.input_pos = z
+    {_edge('xy', 'x', 'y')} {_edge('yz', 'y', 'z')} {_edge('zw', 'z', 'w')} {_edge('xz', 'x', 'z')} {_edge('zy', 'z', 'y')} {_edge('yw', 'y', 'w')}"""
+C["smoothed"] = """SELECT playlist_id, unnest(range(n)) AS pos, unnest(ord) AS cur FROM (SELECT playlist_id, n, arg_max(ord, step) AS ord FROM smoothing GROUP BY 1, 2)"""
+
+C["grouped"] = f"""SELECT *, row_number() OVER (PARTITION BY playlist_id, g ORDER BY cost, input_pos) = 1 AS starts, min(input_pos) OVER w AS first, count(*) OVER w AS size FROM (
+  SELECT s.*, g, {gap('bpm', 'avg(bpm) OVER v')} + abs(energy - avg(energy) OVER v) / 5e0 AS cost FROM slots s JOIN (
+    SELECT playlist_id, input_pos, CASE WHEN f IN ('', 'Unknown') THEN 'Mixed' ELSE f END AS g FROM (
+      SELECT playlist_id, input_pos, CASE WHEN coalesce(detected_genre, '') <> 'Unknown' THEN coalesce(detected_genre, '') ELSE coalesce(genre, '') END AS f FROM tracks)) t
+   USING (playlist_id, input_pos) WINDOW v AS (PARTITION BY playlist_id, g)) WINDOW w AS (PARTITION BY playlist_id, g)"""
+C["reach"] = "SELECT o.playlist_id, o.i, g, max(harmonic) AS h FROM obj o JOIN grouped m ON m.playlist_id = o.playlist_id AND m.input_pos = o.j GROUP BY 1, 2, 3"
+# inside a group the cheapest next track; at its end the best group, entered at its own start
+C["by_genre"] = f"""
+  SELECT playlist_id, 0 AS pos, input_pos AS cur, [input_pos] AS seen, g AS grp FROM grouped WHERE starts QUALIFY row_number() OVER (PARTITION BY playlist_id ORDER BY size DESC, first) = 1
+  UNION ALL
+  SELECT playlist_id, pos + 1, best.p, list_append(seen, best.p), best.g FROM (
+    SELECT o.playlist_id, o.pos, o.seen, min({{'other': t.g <> o.grp, 'v': CASE WHEN t.g = o.grp THEN {gap('t.bpm', 'l.bpm')} + abs(t.energy - l.energy) / 5e0
+          + (100e0 - coalesce(s.objective, 0)) / 8e0 + CASE WHEN coalesce(s.objective, 0) = 0 THEN 10e0 ELSE 0e0 END
+        ELSE -(0.7e0 * (coalesce(r.h, 0) / 100e0) + 0.3e0 * coalesce(f.affinity, 0.5e0)) END, 'first': CASE WHEN t.g = o.grp THEN t.input_pos ELSE t.first END, 'p': t.input_pos, 'g': t.g}}) AS best
+    FROM by_genre o JOIN slots l ON l.playlist_id = o.playlist_id AND l.input_pos = o.cur
+      JOIN grouped t ON t.playlist_id = o.playlist_id AND NOT list_contains(o.seen, t.input_pos) AND (t.g = o.grp OR t.starts)
+      LEFT JOIN obj s ON s.playlist_id = o.playlist_id AND s.i = o.cur AND s.j = t.input_pos
+      LEFT JOIN reach r ON r.playlist_id = o.playlist_id AND r.i = o.cur AND r.g = t.g
+      LEFT JOIN affinity f ON f.g_lo = least(lower(o.grp), lower(t.g)) AND f.g_hi = greatest(lower(o.grp), lower(t.g))
+    GROUP BY 1, 2, 3)"""
+
+
 def _quality(source: str) -> str:
     return f"""SELECT playlist_id, avg(objective) / 100e0 AS overall_score, avg(harmonic) / 100e0 AS harmonic_flow,
       greatest(0e0, 1e0 - avg(abs(a_energy - b_energy)) / 50e0) AS energy_consistency,
@@ -354,7 +398,9 @@ SQL = {
     "q2_warm_up": _ordered_result("warm", ["obj"]),
     "q3_cool_down": _ordered_result("cool", ["obj"]),
     "q4_peak_curve": sql(with_ctes(C, ["slots"], _PEAK), "playlist_id track_id seat"),
+    "q5_peak_time_smoothed": _ordered_result("smoothed", ["obj"]),
     "q6_energy_wave": _ordered_result("wave", []),
+    "q7_genre_flow": _ordered_result("by_genre", ["obj", "affinity"]),
     "q8_consistent": _ordered_result("consistent", ["obj"]),
     "q9_context_flow": _ordered_result("context", ["obj", "affinity"]),
     "q9_context_cool_down": _ordered_result("context_cool", ["obj", "affinity"]),
