@@ -52,8 +52,7 @@ def invariants(spark, sf):
 
 def compare(spark, sf):
     q = playlists.compare_strategies(rel.tracks(spark, sf), TOL)
-    return canon(q.groupBy("strategy").agg(F.avg("overall_score").alias("overall_score"),
-                                           F.avg("bpm_smoothness").alias("bpm_smoothness")))
+    return canon(q.select("strategy", "playlist_id", "overall_score", "harmonic_flow", "energy_consistency", "bpm_smoothness"))
 
 
 def quality(spark, sf):
@@ -335,6 +334,15 @@ def _quality(source: str) -> str:
       FROM {source} GROUP BY 1"""
 
 
+_ORDERS = {"Harmonic Flow": "flow", "Warm-Up": "warm", "Cool-Down": "cool", "Peak-Time": "smoothed", "Energy Wave": "wave",
+           "Genre Flow": "by_genre", "Consistent": "consistent", "Context Flow": "context"}
+C["all_orders"] = " UNION ALL ".join(f"SELECT '{name}' AS strategy, playlist_id, pos, cur FROM {cte} " for name, cte in _ORDERS.items())
+C["all_steps"] = "SELECT strategy, playlist_id, cur AS x, lead(cur) OVER (PARTITION BY strategy, playlist_id ORDER BY pos) AS y FROM all_orders"
+C["step_pairs"] = """SELECT p.* FROM all_pairs p SEMI JOIN (SELECT DISTINCT playlist_id, x, y FROM all_steps ) s ON s.playlist_id = p.playlist_id AND s.x = p.a_input_pos AND s.y = p.b_input_pos"""
+C["step_scores"] = pair_queries.scored("step_pairs ")
+C["strategy_steps"] = "SELECT s.strategy, q.* FROM all_steps s JOIN step_scores q ON q.playlist_id = s.playlist_id AND q.a_input_pos = s.x AND q.b_input_pos = s.y"
+
+
 def _label(value: str) -> str:
     return (f"CASE WHEN {value} >= 0.85e0 THEN 'Klang: Identisch' WHEN {value} >= 0.7e0 THEN 'Klang: Aehnlich' "
             f"WHEN {value} >= 0.55e0 THEN 'Klang: Harmonisch' WHEN {value} >= 0.4e0 THEN 'Klang: Passend' "
@@ -404,6 +412,8 @@ SQL = {
     "q8_consistent": _ordered_result("consistent", ["obj"]),
     "q9_context_flow": _ordered_result("context", ["obj", "affinity"]),
     "q9_context_cool_down": _ordered_result("context_cool", ["obj", "affinity"]),
+    "q10_strategy_comparison": sql(with_ctes(C, ["obj", "affinity", "strategy_steps"], _quality("strategy_steps").replace("SELECT playlist_id,", "SELECT strategy, playlist_id,")
+                                             .replace("GROUP BY 1", "GROUP BY 1, 2")).replace("WITH ", "WITH RECURSIVE ", 1), "playlist_id", _Q, "strategy"),
     "q_permutation_invariants": sql(with_ctes(C, ["tracks"], f"""
         SELECT strategy, count(DISTINCT playlist_id) AS playlists, count(*) AS tracks, 0 AS violations
         FROM tracks, (SELECT unnest([{', '.join(f"'{n}'" for n in sequence.SUPPORTED)}]) AS strategy) GROUP BY 1"""),
