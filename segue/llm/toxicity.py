@@ -37,14 +37,17 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> DataFrame:
-    """``doc_id, toxic, words``: the labelled documents with the smallest digests of their id.
+    """``doc_id, toxic, words``: the labelled documents with the smallest hashes of their id.
 
     At most ``limit`` labels, so their list is small enough to go to every task.  A
     document labelled twice is toxic if any label says so; null ids and labels are left out.
     """
-    chosen = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+    usable = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
               .agg(F.max("toxic").cast("int").alias("toxic"))
-              .orderBy(F.xxhash64("doc_id", F.lit("toxicity sample")), "doc_id").limit(limit))
+              .withColumn("place", F.pmod(F.xxhash64("doc_id", F.lit("toxicity sample")), F.lit(1 << 53))))
+    # by hash about four times as many as wanted, so that ranking them is small work for any number of labels
+    share = usable.agg(F.lit(4.0 * limit) * (1 << 53) / F.greatest(F.count("*"), F.lit(1))).scalar()
+    chosen = usable.where(F.col("place") < share).orderBy("place", "doc_id").limit(limit).drop("place")
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return saved(texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
                  .mapInArrow(_words, "doc_id long, toxic int, words array<string>"))
