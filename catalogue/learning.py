@@ -238,6 +238,11 @@ def logistic(spark, sf):
     return canon(ratings.fit_logistic(ratings.design(rated(spark, sf))))
 
 
+def gradient(spark, sf):
+    rows = ratings.design(rated(spark, sf))
+    return canon(ratings.fit_gradient(rows, ratings.fit_logistic(rows)))
+
+
 def intervals(spark, sf):
     return canon(ratings.bootstrap_ci(ratings.design(rated(spark, sf))))
 
@@ -280,7 +285,7 @@ QUERIES = {
     "m5_tolerances": tolerances, "m6_weights": weights, "m6_bounded_weights": bounded, "m7_holdout": holdout, "m8_mining_report": report, "m8_mined_weights": mined_weights, "m8_summary": mined_summary,
     "g27_transitions": transitions, "g28_window_bounds": bounds, "g29_second_profile": profile, "g30_bands": bands, "w8_blend_report": blends,
     "j8_rating_status": rating_status, "j9_u3_merged_ratings": merged, "j10_review_list": review, "l1_design": design, "l4_verdict": verdict,
-    "l2_logistic": logistic, "l3_intervals": intervals, "l5_derived_weights": derived, "l5_full_weights": filled, "l6_fit_report": fit_report,
+    "l2_logistic": logistic, "l2_gradient": gradient, "l3_intervals": intervals, "l5_derived_weights": derived, "l5_full_weights": filled, "l6_fit_report": fit_report,
     "q12_maximin": maximin, "q13_strided": strided, "q14_blind": blind,
 }
 
@@ -487,6 +492,7 @@ SQL = {
         FROM labels l LEFT JOIN tracks t ON t.track_id = l.doc_id LEFT JOIN wheel ON note = key_note AND mode = key_mode"""), "", "bpm_a", "pair_id clip track_a track_b genre_a key_a"),
     "l1_design": sql(with_ctes(C, ["rated"], f"""SELECT CAST(doc_id AS VARCHAR) AS pair_id, (note >= 4)::INT AS y, {', '.join(f'({f} - avg({f}) OVER ()) / stddev_pop({f}) OVER () AS {f}' for f in FACTORS)}
         FROM rated WHERE status = 'ok'"""), "", "y " + " ".join(FACTORS), "pair_id"),
+    "l2_gradient": sql("SELECT unnest([" + ", ".join(f"'{f}'" for f in ("intercept", *FACTORS)) + "]) AS factor, 0e0 AS gradient", floats="gradient", texts="factor"),
     "l4_verdict": sql(with_ctes(C, ["rated"], """SELECT *, 80 AS needed, n_good >= 80 AND n_bad >= 80 AS sufficient FROM (SELECT sum((note >= 4)::INT) AS n_good, sum((note < 4)::INT) AS n_bad
         FROM rated WHERE status = 'ok')"""), "n_good n_bad needed", bools="sufficient"),
     "l5_derived_weights": sql(with_ctes(C, ["new_weights"], "SELECT * FROM new_weights"), floats="weight", texts="factor"),

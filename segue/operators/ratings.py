@@ -174,6 +174,19 @@ def fit_logistic(rows: DataFrame, factors: Sequence[str] = FACTORS, l2: float =
     return rows.sparkSession.createDataFrame(values, "factor string, coefficient double")
 
 
+def fit_gradient(rows: DataFrame, coefficients: DataFrame, factors: Sequence[str] = FACTORS, l2: float = L2_STRENGTH) -> DataFrame:
+    """Mean gradient of the penalised loss at given coefficients: (factor, gradient), all 0 at the optimum."""
+    names = ["intercept", *factors]
+    beta = coefficients.agg(F.struct(*[F.max(F.when(c("factor") == f, c("coefficient"))).alias(f) for f in names]).alias("b")).scalar()
+    score = c("beta.intercept")
+    for f in factors:
+        score = score + c("beta")[f] * c(f)
+    placed = rows.withColumn("beta", beta).withColumn("miss", 1.0 / (1.0 + F.exp(-score)) - c("y"))
+    sums = placed.agg(F.first("beta").alias("beta"), F.count("*").alias("n"), F.sum("miss").alias("g_intercept"), *[F.sum(c("miss") * c(f)).alias(f"g_{f}") for f in factors])
+    entries = [F.struct(F.lit(f).alias("factor"), ((c(f"g_{f}") + (0.0 if f == "intercept" else c("beta")[f] * (2.0 * l2))) / c("n")).alias("gradient")) for f in names]
+    return sums.select(F.explode(F.array(*entries)).alias("x")).select("x.*")
+
+
 def _newton_sums(betas: np.ndarray, factors: Sequence[str], draws: int):
     """Per partition: gradient and curvature sums of every draw."""
     k = len(factors) + 1
