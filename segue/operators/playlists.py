@@ -123,7 +123,7 @@ def texture(ordered: DataFrame) -> DataFrame:
 def playlist_view(ordered: DataFrame, tol: float, **options) -> DataFrame:
     """Display row per track with the score of the step into it, factor by factor."""
     c = F.col
-    scored = adjacent_scores(ordered, tol, **options)
+    scored = adjacent_scores(ordered, tol, keep=("timbre",), **options)
 
     def percent(value, scale=100.0):
         return F.when(value.isNull(), "nicht bestimmbar").otherwise(F.format_string("%.0f %%", value * scale))
