@@ -10,8 +10,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sample: documents of a language, code points taken of each, bytes of a dictionary; level, bytes compressed at a time, narrow margin.
-DOCS_PER_LANG, POINTS_PER_DOC, DICTIONARY_BYTES = 400, 600, 112_000
+#: Sample: languages (the most frequent), documents of a language, code points taken of each, bytes of a dictionary; level, bytes compressed at a time, narrow margin.
+MAX_LANGS, DOCS_PER_LANG, POINTS_PER_DOC, DICTIONARY_BYTES = 500, 400, 600, 112_000
 LEVEL, PIECE_BYTES, MIN_MARGIN = 3, 4096, 0.01
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -29,18 +29,23 @@ def held_out() -> Column:
 
 
 def dictionaries(docs: DataFrame) -> dict[str, bytes]:
-    """Raw dictionary per language from at most ``DOCS_PER_LANG`` documents each.
+    """Raw dictionary for each of the ``MAX_LANGS`` most frequent languages, from at most ``DOCS_PER_LANG`` documents each.
 
-    The documents with the smallest digest of their id are taken, ``POINTS_PER_DOC``
+    The documents with the smallest hashes of their id are taken: a share of each
+    language is kept by hash that holds about four times as many, so that ranking them is
+    small work for any corpus.  ``POINTS_PER_DOC``
     code points of each from a digest-chosen place.  Rows without text, language or id
     are not learned from.  What reaches the driver is at most ``DOCS_PER_LANG *
     POINTS_PER_DOC`` code points a language.
     """
-    order = F.xxhash64("doc_id", F.lit("language sample"))
-    first = Window.partitionBy("lang").orderBy(order, "doc_id", "text")
-    start = F.pmod(order, F.greatest(F.length("text") - POINTS_PER_DOC, F.lit(1))) + 1
-    sample = (docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-              .select("doc_id", "lang", F.substring("text", start.cast("int"), F.lit(POINTS_PER_DOC)).alias("text"))
+    place = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 53))
+    learnable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    shares = (learnable.groupBy("lang").agg(F.count("*").alias("docs")).orderBy(F.desc("docs"), "lang").limit(MAX_LANGS)
+              .select("lang", (F.lit(4.0 * DOCS_PER_LANG) * (1 << 53) / F.col("docs")).alias("below")))
+    first = Window.partitionBy("lang").orderBy("place", "doc_id", "text")
+    start = F.pmod(F.col("place"), F.greatest(F.length("text") - POINTS_PER_DOC, F.lit(1))) + 1
+    sample = (learnable.withColumn("place", place).join(F.broadcast(shares), "lang").where("place < below")
+              .select("doc_id", "lang", "place", F.substring("text", start.cast("int"), F.lit(POINTS_PER_DOC)).alias("text"))
               .withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= DOCS_PER_LANG))
     parts: dict[str, list[bytes]] = {}
     for row in sample.orderBy("lang", "rank").toLocalIterator():
