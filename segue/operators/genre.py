@@ -14,9 +14,12 @@ WEIGHTS = {"bpm": 0.35, "centroid": 0.20, "rhythm": 0.20, "dynamics": 0.15, "bas
 
 
 def genre_features(frames: DataFrame) -> DataFrame:
-    """Centroid, flatness and relative RMS variance per track (one partial aggregate)."""
+    """Centroid, flatness and relative RMS variance per track (one partial aggregate).
+
+    The small flatness values are added up exactly, so the mean does not depend on the order of tasks.
+    """
     return frames.groupBy("track_id").agg(
-        F.avg("centroid").alias("centroid"), F.avg("flatness").alias("flatness"),
+        F.avg("centroid").alias("centroid"), F.avg(c("flatness").cast("decimal(20,12)")).cast("double").alias("flatness"),
         F.coalesce(F.var_pop("rms") / (F.avg("rms") * F.avg("rms")), F.lit(0.0)).alias("rms_variance"))
 
 
