@@ -50,15 +50,14 @@ def _anchors(buckets: int):
 
 
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document its anchors that stand in another document too."""
+    """Anchors of each document that stand in another document too, a row each."""
     for marks, docs in by_bucket(batches, ["<u8", "<i8"]):
         order = np.lexsort((docs, marks))
         marks, docs = marks[order], docs[order]
         starts = np.flatnonzero(np.r_[True, marks[1:] != marks[:-1]])
         sizes = np.diff(np.r_[starts, len(marks)])
         shared = np.repeat(docs[starts] != docs[starts + sizes - 1], sizes)
-        ids, (lists,) = lists_by(docs[shared], [marks[shared].view(np.int64)])
-        yield pa.record_batch([pa.array(ids), lists], names=["id", "anchors"])
+        yield pa.record_batch([pa.array(docs[shared]), pa.array(marks[shared].view(np.int64))], names=["id", "anchor"])
 
 
 def _edges(buckets: int):
@@ -159,8 +158,8 @@ class Repeats:
                  .where(F.col("first_id").isNull() | (F.col("id") == F.col("first_id"))).select("id", "text_key", "text"))
         packed = "bucket long, c0 binary, c1 binary"
         anchors = texts.select("id", "text").mapInArrow(_anchors(buckets), packed)
-        shared = (anchors.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors, "id long, anchors array<long>")
-                  .groupBy("id").agg(F.flatten(F.collect_list("anchors")).alias("anchors")))
+        shared = (anchors.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared_anchors, "id long, anchor long")
+                  .groupBy("id").agg(F.collect_list("anchor").alias("anchors")))
         self.candidates = saved(texts.join(shared, "id").select("id", "text_key", "text", "anchors"))
         edges = self.candidates.mapInArrow(_edges(buckets), packed + ", c2 binary, c3 binary")
         occurrences = edges.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
