@@ -179,16 +179,18 @@ def digests(docs: DataFrame) -> DataFrame:
     return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id names their group, with the columns they came with.
+def one_of_each(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """One document of each group, with the columns it came with: the row whose id names the group.
 
-    Of repeated rows with that id the one with the smallest text hash stays; of groups
-    without any id, one row by text hash.
+    ``groups`` has ``doc_id, text_key, root, component_id`` of every row; ``grouped`` by
+    default.  An id that is repeated with different texts may name several groups and
+    stays once in each.  Of repeated rows of a group with that id the one with the smallest
+    text hash stays; of groups without any id, one row by text hash.
     """
-    groups = grouped(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = (groups.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("root")).alias("node"), "text_key").agg(F.count("*").alias("copies"))
-             .groupBy("doc_id", "node").agg(F.min(F.struct("text_key", "copies")).alias("first"))
-             .select(F.col("doc_id").alias("of_doc"), F.col("first.text_key").alias("of_text"), "first.copies"))
+    groups = grouped(docs.select("doc_id", "text")) if groups is None else groups
+    first = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "text_key").agg(F.count("*").alias("copies"))
+             .groupBy("root").agg(F.min(F.struct("text_key", "copies", "doc_id")).alias("first"))
+             .select(F.col("first.doc_id").alias("of_doc"), F.col("first.text_key").alias("of_text"), "first.copies"))
     first = saved(first)
     whole = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("whole"))
     on = F.col("whole.doc_id").eqNullSafe(F.col("of_doc")) & (text_key(F.col("whole.text")) == F.col("of_text"))
