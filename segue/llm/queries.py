@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from segue.llm import decontaminate, langid, lines, mixing, quality, simhash, spans, toxicity, urls, warc
+from segue.llm import centroids, decontaminate, langid, lines, merkle, mixing, packing, quality, simhash, spans, sql, toxicity, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +54,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.digests(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(packing.TOKENIZER))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digests(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_language, op3_mix, op4_quality_rules, op5_warc, op6_line_dedup, op7_toxicity,
-                                   op8_simhash, op9_substring_dedup, op10_decontamination)}
+                                   op8_simhash, op9_substring_dedup, op10_decontamination, op11_centroids, op12_packing, op13_manifest)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 _PAGES = """SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -179,4 +192,5 @@ SELECT page_id, html, (SELECT string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ23456
     CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
 FROM known JOIN origin USING (html))""",
     "op3_mix": _MIX, "op4_quality_rules": _QUALITY, "op9_substring_dedup": _SUBSTRINGS, "op10_decontamination": _LEAKS,
+    "op11_centroids": sql.CENTROIDS, "op13_manifest": sql.MANIFEST,
 }
