@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
+import struct
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -16,38 +17,92 @@ from segue.llm.store import saved
 TOKENIZER, END, LENGTH = "word_bpe_49k.json", 1, 2048
 #: Windows that a task keeps open; tokens below which a window is padded rather than topped up; partitions merged at once.
 OPEN, LEAST_CUT, FAN = 64, 16, 32
-#: Distinct chunks of text whose ids a task remembers, and their length; the memory is emptied when full.
-REMEMBERED, LONGEST_REMEMBERED = 1 << 18, 64
+#: Distinct chunks of text whose ids a worker remembers in each of two generations, and the longest chunk remembered.
+REMEMBERED, LONGEST_REMEMBERED = 1 << 19, 64
+#: New chunks that one call encodes: the tokenizer's time grows faster than a long text does.
+AT_ONCE = 256
 ID_BYTES = 4
 _PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, part long, slot long"
 _NAMES = [field.split()[0] for field in _PIECE.split(", ")]
 _ROUND, _PART = 1 << 52, 1 << 30
 
 
-class Ids(dict):
-    """Text between blanks -> its token ids, four little-endian bytes each.
+class Ids:
+    """Token ids of texts, four little-endian bytes each, put together from the ids of their chunks between blanks.
 
     The tokenizer drops white space and none of its rules reaches across it, so a text's
     ids are those of its chunks one after the other; most chunks of a corpus occur
-    again and again.
+    again and again.  When as many as may be are remembered, they become the older
+    generation, from which those still in use come back.  New chunks of letters are
+    encoded in one call: the vocabulary marks the ends of words, and each such chunk is
+    one word or one with punctuation behind it.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, chunk: str) -> bytes:
-        found = b"".join(i.to_bytes(ID_BYTES, "little") for i in self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        if len(chunk) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = found
-        return found
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        for token, number in vocabulary.items():
+            self.ends[number] = token.endswith("</w>")
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _learn(self, chunks: set[str]) -> None:
+        plain, words = [], []
+        for chunk in chunks:
+            core = chunk.rstrip(".,;:!?")
+            if core.isalpha():
+                plain.append(chunk)
+                words.append(1 if len(core) == len(chunk) else 2)
+            else:
+                self.known[chunk] = _packed_ids(self._encode(chunk))
+        for first in range(0, len(plain), AT_ONCE):
+            self._learn_words(plain[first:first + AT_ONCE], words[first:first + AT_ONCE])
+
+    def _learn_words(self, plain: list[str], words: list[int]) -> None:
+        ids = np.array(self._encode(" ".join(plain)), dtype="<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != sum(words):    # a letter that the tokenizer takes for several words
+            self.known.update((chunk, _packed_ids(self._encode(chunk))) for chunk in plain)
+            return
+        at, packed_ids = 0, ids.tobytes()
+        for chunk, stop in zip(plain, (stops[np.cumsum(words) - 1] * ID_BYTES).tolist()):
+            self.known[chunk] = packed_ids[at:stop]
+            at = stop
 
     def of(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(self.__getitem__, chunks))
+        new = set(chunks).difference(self.known)
+        if new:
+            if len(self.known) + len(new) > REMEMBERED:
+                self.older, self.known, new = self.known, {}, set(chunks)
+            unknown = new.difference(self.older)
+            self.known.update((chunk, self.older[chunk]) for chunk in new.difference(unknown))
+            if unknown:
+                self._learn(unknown)
+        ids = b"".join(map(self.known.__getitem__, chunks))
+        for chunk in new:
+            if len(chunk) > LONGEST_REMEMBERED:
+                del self.known[chunk]
+        return ids
+
+
+def _packed_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+#: One memory per worker process and vocabulary: tasks that run there one after the other share it.
+_IDS: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    if path not in _IDS:
+        _IDS[path] = Ids(path)
+    return _IDS[path]
 
 
 class Windows:
@@ -164,7 +219,7 @@ def packed(docs: DataFrame, tokenizer: str, end: int = END, length: int = LENGTH
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             windows = Windows(TaskContext.get().partitionId(), 0, length, open_windows, least_cut)
-            ids = Ids(tokenizer)
+            ids = ids_of(tokenizer)
             for batch in batches:
                 for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     found = ids.of(text or "") + closing

@@ -55,7 +55,7 @@ def _walk(prefix: str, tree: str, first: str, count: int) -> str:
 
 
 MANIFEST = f"""WITH leaves AS MATERIALIZED (SELECT doc_id, lang IS NULL AS ns, coalesce(lang, '') AS lang, {_leaf('n_chars')} AS leaf,
-   {_leaf(f'(CASE WHEN {_CRC} % 7 = 0 THEN n_chars::HUGEINT + 1 ELSE n_chars END)')} AS changed FROM documents),
+   {_leaf(f'(CASE WHEN doc_id IS NOT NULL AND {_CRC} % 7 = 0 THEN n_chars::HUGEINT + 1 ELSE n_chars END)')} AS changed FROM documents),
 base AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ns, lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY ns, lang) AS n FROM leaves),
 l0 AS MATERIALIZED (SELECT ns, lang, i, leaf AS h, n FROM base),
 {_levels('l', _LEAF_LEVELS)},

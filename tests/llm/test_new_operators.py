@@ -245,3 +245,13 @@ def test_sql_twin_on_odd_rows(spark, odd_rows):
     columns = "doc_id, leaf, subroot, root, proof_sha256, folded_root, verified"
     got = con.execute(f"SELECT {columns} FROM ({sql.MANIFEST})").fetchall()
     assert sorted(got, key=str) == brute_manifest(rows)
+
+
+def test_ids_of_two_generations(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 6)
+    ids, whole = packing.Ids(PATH), Tokenizer.from_file(PATH)
+    texts = ("a b c d e a b", "b a x y z", "it's a\tb\nc  d\r", "", " ", "İstanbul ist ǅ ﬁn ª e\u0301t\u0301 ok.,! ?? Straße,", "İ", "a, b. c!", "日本 語。 ไทย " + "y" * 99,
+             "don't stop'll '' ''s x's", "<|endoftext|> x<|startoftext|>y", "a\u0300b \u0300c \xa0 \x85x \u2003y \x1cz")
+    for text in texts * 2:
+        assert np.frombuffer(ids.of(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+        assert len(ids.known) <= 16 and len(ids.older) <= 16 and all(len(c) <= packing.LONGEST_REMEMBERED for c in ids.known)
