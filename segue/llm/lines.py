@@ -174,18 +174,22 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
-    """The documents without their repeated lines; ``n_chars`` follows the text, other columns stay."""
+    """The documents without their repeated lines; ``n_chars`` follows the text, other columns stay.
+
+    Null texts stay null; null ids count as one document, and of equal ids all rows keep
+    their lines; an empty table gives no rows; columns may have any names.
+    """
     judged = with_bitmaps(docs, keep_bitmaps(docs.select("doc_id", "text")))
     cut = F.col("keep").isNotNull()
     text = F.when(cut, kept_text(F.when(cut, F.col("whole.text")), "keep")).otherwise(F.col("whole.text"))
-    out = judged.select("whole.*", text.alias("new text"))
+    rows = judged.select("whole", text.alias("cut"))     # two columns of our own, whatever the table's are called
     columns = []
     for name in docs.columns:
+        kept = F.col(f"whole.`{name}`")
         if name == "text":
-            columns.append(F.col("new text").alias("text"))
+            kept = F.col("cut")
         elif name == "n_chars":
-            columns.append(F.when(F.col("new text").eqNullSafe(F.col("text")), F.col("n_chars"))
-                           .otherwise(F.length("new text").cast(docs.schema["n_chars"].dataType)).alias("n_chars"))
-        else:
-            columns.append(F.col(f"`{name}`"))
-    return out.select(*columns)
+            kept = (F.when(F.col("cut").eqNullSafe(F.col("whole.text")), kept)
+                    .otherwise(F.length("cut").cast(docs.schema["n_chars"].dataType)))
+        columns.append(kept.alias(name))
+    return rows.select(*columns)

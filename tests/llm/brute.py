@@ -54,24 +54,54 @@ def simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
 
 
-def near_groups(docs):
-    prints = [simhash(text) for _, text in docs]
-    parent = list(range(len(docs)))
+def roots(links, n):
+    """A number for every row, equal within a group."""
+    parent = list(range(n))
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for i in range(len(docs)):
-        for j in range(i):
-            if (prints[i] ^ prints[j]).bit_count() <= 2:
-                parent[root(i)] = root(j)
-    smallest = {}
-    for i, (doc, _) in enumerate(docs):
+    for i, j in links:
+        parent[root(i)] = root(j)
+    return [root(i) for i in range(n)]
+
+
+def near_roots(docs):
+    prints = [simhash(text) for _, text in docs]
+    return roots([(i, j) for i in range(len(docs)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 2], len(docs))
+
+
+def near_groups(docs):
+    groups, smallest = near_roots(docs), {}
+    for g, (doc, _) in zip(groups, docs):
         if doc is not None:
-            smallest[root(i)] = min(smallest.get(root(i), doc), doc)
-    return [(doc, f"{p:016x}", smallest.get(root(i))) for i, ((doc, _), p) in enumerate(zip(docs, prints))]
+            smallest[g] = min(smallest.get(g, doc), doc)
+    return [(doc, f"{simhash(text):016x}", smallest.get(g)) for g, (doc, text) in zip(groups, docs)]
+
+
+def jaccard_roots(docs):
+    """Groups of texts that share four fifths of their five-word shingles."""
+    sets = []
+    for _, text in docs:
+        w = words((text or "").translate(LOWER))
+        sets.append({tuple(w[i:i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    return roots([(i, j) for i in range(len(docs)) for j in range(i) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])], len(docs))
+
+
+def survivors(docs, groups):
+    """One row a group: that with the group's smallest id, or without any id in it; the smallest text hash of several."""
+    def signed(text):
+        h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+        return h - (1 << 64) if h >> 63 else h
+
+    out = []
+    for g in set(groups):
+        rows = [r for r, h in zip(docs, groups) if h == g]
+        name = min((d for d, _ in rows if d is not None), default=None)
+        out.append(min((r for r in rows if r[0] == name), key=lambda r: signed(r[1])))
+    return out
 
 
 def substring_dedup(docs):

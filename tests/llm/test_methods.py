@@ -3,6 +3,7 @@
 import random
 
 import brute
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,23 +139,40 @@ def test_empty_tables(spark, make_docs):
     assert decontaminate.digests(make_docs([(1, "a b")]), bench).first()["n_hit"] == 0
 
 
-def test_pipeline(spark, tmp_path, odd_rows):
-    """All stages against the plain versions, one after the other."""
-    rows = [(d, t, "en", f"s{i % 3}", len(t or "")) for i, (d, t) in enumerate(odd_rows) if d not in (None, 8, 12, 70, 71)]
-    bench = [(1, " ".join(odd_rows[10][1].split()[1000:1015]))]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame(bench, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
-    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    kept = {r["doc_id"] for r in quality.verdicts(docs).where("kept").collect()}
-    stage = [(d, t) for d, t, *_ in rows if d in kept]
+def _expected(kept, bench):
+    """What the stages after the quality rules leave of the rows that those kept."""
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(brute.LOWER)
+    rank = lambda d: (d is not None, d or 0)
     keys = {}
-    for d, t in stage:
+    for d, t in kept:
         for line in (t or "").split("\n"):
-            keys.setdefault(line.strip(" \t\n\x0b\x0c\r").translate(brute.LOWER), set()).add(d)
-    gone = lambda d, line: len(k := line.strip(" \t\n\x0b\x0c\r").translate(brute.LOWER)) >= 40 and len(keys[k]) >= 5 and d != max(keys[k])
-    stage = [(d, "\n".join(x for x in t.split("\n") if not gone(d, x))) for d, t in stage]
-    stage = [(d, t) for (d, t), (_, _, c) in zip(stage, brute.near_groups(stage)) if d == c]
-    stage = [(d, t) for (d, t), r in zip(stage, brute.decontamination(stage, bench)) if not r[-1]]
-    assert sorted(zip(got["doc_id"], got["size"])) == sorted((d, len(brute.words(t))) for d, t in stage)
-    assert (got["taken"] <= 2 * got["size"]).all() and len(corpus_pipeline.STAGES) == 5 and 9 not in set(got["doc_id"])
+            keys.setdefault(key(line), set()).add(d)
+    gone = lambda d, line: len(key(line)) >= 40 and len(keys[key(line)]) >= 5 and d != max(keys[key(line)], key=rank)
+    stage = [(d, "\n".join(x for x in (t or "").split("\n") if not gone(d, x))) for d, t in kept]
+    stage = brute.survivors(stage, brute.jaccard_roots(stage))
+    return [(d, t) for (d, t), r in zip(stage, brute.decontamination(stage, bench)) if not r[-1]]
+
+
+def _written(spark, folder, rows, bench):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `new text` string")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet")
+
+
+def test_pipeline(spark, tmp_path, odd_rows):
+    """All stages against the plain versions, one after the other, with null, repeated and double ids."""
+    rows = [(d, t, "en", f"s{i % 3}", len(t or ""), "x") for i, (d, t) in enumerate(odd_rows)]
+    bench = [(1, " ".join(odd_rows[10][1].split()[1000:1015]))]
+    docs = _written(spark, tmp_path, rows, bench)
+    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas().astype({"doc_id": "Int64"})
+    kept = [(r["doc_id"], r["text"]) for r in quality.keep_good(docs).collect()]
+    ids = [None if d is pd.NA else int(d) for d in got["doc_id"]]
+    assert sorted(zip(ids, got["size"]), key=str) == sorted(((d, len(brute.words(t))) for d, t in _expected(kept, bench)), key=str)
+    assert (got["taken"] <= 2 * got["size"]).all() and len(corpus_pipeline.STAGES) == 5 and 9 not in set(ids)
+
+
+@pytest.mark.parametrize("rows, bench", [([], []), ([], [(1, "a b")]), ([(1, " ".join(f"w{i}" for i in range(40)), None, None, None, None)], [])])
+def test_pipeline_on_empty_tables(spark, tmp_path, rows, bench):
+    _written(spark, tmp_path, rows, bench)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() <= len(rows)
