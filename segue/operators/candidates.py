@@ -36,9 +36,12 @@ def normalize_cues(cues: DataFrame) -> DataFrame:
     usable = cues.where((c("position") >= 0) & (c("position") < float("inf")) & ~F.isnan("position"))
     name = F.trim(F.coalesce("name", F.lit("")))
     source = F.when(name == "", "leer").when(F.upper(name).startswith("CUE(AUTO)"), "auto").otherwise("manual")
-    packed = usable.select("track_id", F.struct(
-        F.bround("position", 3).alias("t"), "cue_no", name.alias("name"), c("type").alias("typ"), "hot_cue",
-        source.alias("provenance")).alias("cue")).groupBy("track_id").agg(F.sort_array(F.collect_list("cue")).alias("all"))
+    fields = F.struct(F.bround("position", 3).alias("t"), "cue_no", name.alias("name"), c("type").alias("typ"), "hot_cue", source.alias("provenance"))
+    in_order = Window.partitionBy("track_id").orderBy("cue.t", "cue.cue_no")
+    # two cues that follow each other two seconds apart do not touch: what lies between such steps is folded alone
+    step = F.when(c("cue.t") - F.lag("cue.t").over(in_order) < R.CUE_DEDUPE_SEC, 0).otherwise(1)
+    islands = usable.select("track_id", fields.alias("cue")).withColumn("step", step).withColumn("island", F.sum("step").over(in_order))
+    packed = islands.groupBy("track_id", "island").agg(F.sort_array(F.collect_list("cue")).alias("all"))
     kind = packed.schema["all"].dataType
 
     def keep(acc: Column, cue: Column) -> Column:
@@ -51,7 +54,8 @@ def normalize_cues(cues: DataFrame) -> DataFrame:
     # element_at(-1) of an empty array is an error under ANSI, so the first cue seeds the fold
     folded = F.aggregate(F.slice("all", F.lit(2), F.greatest(F.size("all") - 1, F.lit(0))),
                          F.slice("all", 1, 1).cast(kind), keep)
-    return packed.select("track_id", folded.alias("cues"))
+    kept = packed.select("track_id", F.explode(folded).alias("cue"))
+    return kept.groupBy("track_id").agg(F.sort_array(F.collect_list("cue")).alias("cues"))
 
 
 def phrase_label(mood: Column, kind: Column) -> Column:

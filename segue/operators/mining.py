@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from segue import lineage
 from segue.functions import vectors
-from segue.operators import ordered
+from segue.operators import ordered, suppress
 
 c = F.col
 
@@ -53,10 +53,9 @@ def find_transitions(frames: DataFrame, frame_seconds: float, threshold: float =
     moments = curve.groupBy("mix_id").agg(F.avg("novelty").alias("mean"), F.stddev_pop("novelty").alias("std"))
     z = ordered.attach(curve, moments, "mix_id", "frame_idx").where(c("std") > 0) \
         .select("mix_id", "t_sec", ((c("novelty") - c("mean")) / c("std")).alias("z")).where(c("z") >= threshold)
-    packed = z.groupBy("mix_id").agg(F.sort_array(F.collect_list(F.struct("z", "t_sec")), asc=False).alias("hits"))
-    taken = F.aggregate("hits", F.array().cast("array<double>"), lambda acc, h: F.when(
-        F.forall(acc, lambda g: F.abs(g - h["t_sec"]) >= gap), F.concat(acc, F.array(h["t_sec"]))).otherwise(acc))
-    return packed.select("mix_id", F.posexplode(F.array_sort(taken)).alias("transition_idx", "t"))
+    taken = suppress.strongest_apart(z.withColumn("gap", F.lit(float(gap))), "mix_id", "t_sec", "gap", ["z", "t_sec"])
+    taken = ordered.dense_index(taken.select("mix_id", "t_sec"), ["mix_id"], ["t_sec"], F.floor(c("t_sec") / (gap * 4096)), "transition_idx")
+    return taken.select("mix_id", c("transition_idx").cast("int").alias("transition_idx"), c("t_sec").alias("t"))
 
 
 def window_bounds(transitions: DataFrame, lengths: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segue.functions import tempo
-from segue.operators import ordered, pairs
+from segue.operators import ordered, pairs, suppress
 
 c = F.col
 
@@ -122,31 +122,27 @@ def pick_boundaries(frames: DataFrame, tracks: DataFrame, most: int | None = Non
     Peaks are taken strongest first, each at least the minimum distance from
     those taken, at most ``most`` if given.  The selection at a lower threshold extends the
     one at a higher threshold, so one greedy pass serves all thresholds: the
-    first threshold that leaves two boundaries decides.
+    first threshold that leaves two boundaries decides.  Peaks are never gathered by track,
+    only the boundaries that are taken.
     """
     first_two = frames.where(c("frame_idx") <= 1).groupBy("track_id").agg(
         (F.max("t_sec") - F.min("t_sec")).alias("dt"))
     distance = F.greatest(F.lit(MIN_SECTION_SECONDS), tempo.seconds_per_bar(c("bpm")) * c("phrase_unit"))
     limits = tracks.join(first_two, "track_id").select(
         "track_id", F.greatest(F.lit(1), F.floor(distance / c("dt"))).alias("apart"))
-    peaks = novelty_peaks(frames).where(c("height") >= THRESHOLDS[-1]).groupBy("track_id").agg(
-        F.sort_array(F.collect_list(F.struct(c("height").alias("h"), (-c("frame_idx")).alias("back"), c("t_sec").alias("t"))),
-                     asc=False).alias("peaks"))
-    rows = tracks.select("track_id").join(limits, "track_id").join(peaks, "track_id", "left")
-    empty = F.array().cast("array<struct<h:double,back:bigint,t:double>>")
-    taken = F.aggregate(
-        F.coalesce("peaks", empty), empty,
-        lambda acc, p: F.when((F.size(acc) < most if most is not None else F.lit(True))
-                              & F.forall(acc, lambda q: F.abs(q["back"] - p["back"]) >= c("apart")),
-                              F.concat(acc, F.array(p))).otherwise(acc))
-    rows = rows.withColumn("taken", taken)
+    peaks = ordered.attach(novelty_peaks(frames).where(c("height") >= THRESHOLDS[-1]), limits, "track_id", "frame_idx")
+    taken = suppress.strongest_apart(peaks.withColumn("back", -c("frame_idx")), "track_id", "frame_idx", "apart", ["height", "back"], ["t_sec"])
+    if most is not None:
+        strongest = Window.partitionBy("track_id").orderBy(F.desc("height"), F.desc("back"))
+        taken = taken.withColumn("place", F.row_number().over(strongest)).where(c("place") <= most)
     choice = F.lit(THRESHOLDS[-1])
     for threshold in reversed(THRESHOLDS):
-        strong = F.size(F.filter("taken", lambda p: p["h"] >= threshold))
-        choice = F.when(strong >= MIN_SECTIONS - 1, F.lit(threshold)).otherwise(choice)
-    rows = rows.withColumn("threshold", choice)
-    times = F.array_sort(F.transform(F.filter("taken", lambda p: p["h"] >= c("threshold")), lambda p: p["t"]))
-    rows = rows.withColumn("times", times)
+        choice = F.when(c(f"over_{THRESHOLDS.index(threshold)}") >= MIN_SECTIONS - 1, F.lit(threshold)).otherwise(choice)
+    counts = taken.groupBy("track_id").agg(*[F.count_if(c("height") >= t).alias(f"over_{i}") for i, t in enumerate(THRESHOLDS)])
+    chosen = counts.select("track_id", choice.alias("threshold"))
+    times = (taken.join(chosen, "track_id").where(c("height") >= c("threshold")).groupBy("track_id")
+             .agg(F.sort_array(F.collect_list("t_sec")).alias("times")))
+    rows = limits.select("track_id").join(times, "track_id", "left").withColumn("times", F.coalesce("times", F.array().cast("array<double>")))
     early = F.get(c("times"), F.lit(0)) <= 1.0
     return rows.select("track_id", F.when(F.coalesce(early, F.lit(False)), F.concat(
         F.array(F.lit(0.0)), F.slice("times", F.lit(2), F.greatest(F.size("times") - 1, F.lit(0)))))
