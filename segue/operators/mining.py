@@ -268,77 +268,127 @@ def auc(scores: DataFrame, keys: list[str], value: str = "value", label: str = "
         c("won") / F.nullif(c("n_pos") * c("n_neg"), F.lit(0)), F.lit(0.5)).alias("auc"))
 
 
-def _multiplicities(clusters: DataFrame, draws: int, seed: int) -> DataFrame:
-    """How often each cluster is drawn: (cluster_idx, pos_w, neg_w) as arrays over draws.
+TILE, DRAW_BLOCK = 256, 250   # clusters and draws that one task of the concordance product holds
+
+
+def _draws(clusters: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(draw, side, clusters, times): how often a draw took which clusters; side 0 for positives, 1 for negatives.
 
     Positives and negatives draw their clusters independently, with replacement.
     """
     n = clusters.count()
-    spark = clusters.sparkSession
-    picks = spark.range(draws * n * 2).select(
+    picks = clusters.sparkSession.range(draws * n * 2).select(
         F.pmod(digest_number(F.lit(seed), c("id")), F.lit(n)).alias("cluster_idx"),
-        F.floor(c("id") / (2 * n)).cast("int").alias("draw"), (c("id") % 2).alias("side"))
-    counts = picks.groupBy("cluster_idx", "draw", "side").agg(F.count("*").alias("k"))
-
-    packed = counts.groupBy("cluster_idx").agg(
-        F.collect_list(F.when(c("side") == 0, F.struct("draw", "k"))).alias("p"),
-        F.collect_list(F.when(c("side") == 1, F.struct("draw", "k"))).alias("q"))
-
-    def dense(name: str) -> Column:
-        lookup = F.map_from_entries(name)
-        return F.transform(F.sequence(F.lit(0), F.lit(draws - 1)),
-                           lambda d: F.coalesce(F.try_element_at(lookup, d), F.lit(0)).cast("double"))
-
-    return packed.select("cluster_idx", dense("p").alias("pos_w"), dense("q").alias("neg_w"))
+        F.floor(c("id") / (2 * n)).cast("int").alias("draw"), (c("id") % 2).cast("int").alias("side"))
+    counts = picks.groupBy("draw", "side", "cluster_idx").agg(F.count("*").alias("k"))
+    packed = counts.groupBy("draw", "side").agg(F.sort_array(F.collect_list(F.struct("cluster_idx", "k"))).alias("p"))   # at most n clusters a draw
+    return packed.select("draw", "side", c("p.cluster_idx").alias("clusters"), c("p.k").alias("times"))
 
 
-def auc_interval(scores: DataFrame, key: str = "factor", cluster: str = "mix_id", draws: int = 2000, seed: int = 42,
-                 buckets: int = ordered.BUCKETS) -> DataFrame:
+def _inside(key: str):
+    """Concordance inside one range of values: positives of a tile of clusters against all negatives of the range."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, columns = np.unique(pdf.loc[pdf["pos"] > 0, "cluster_idx"]), np.unique(pdf.loc[pdf["neg"] > 0, "cluster_idx"])
+        found, run_ = np.zeros((len(rows), len(columns))), np.zeros(len(columns))
+        for _, same in pdf.groupby("value", sort=True):
+            p, q = same[same["pos"] > 0], same[same["neg"] > 0]
+            here = np.zeros(len(columns))
+            np.add.at(here, np.searchsorted(columns, q["cluster_idx"]), q["neg"])
+            if len(p):
+                np.add.at(found, np.searchsorted(rows, p["cluster_idx"]), p["pos"].to_numpy(float)[:, None] * (run_ + here / 2.0))
+            run_ += here
+        i, j = np.nonzero(found)
+        return pd.DataFrame({key: pdf[key].iloc[0], "i": rows[i], "j": columns[j], "x": found[i, j]})
+    return run
+
+
+def concordance(scores: DataFrame, key: str, cluster: str, clusters: DataFrame) -> DataFrame:
+    """(key, i, won): how often positives of cluster i win against negatives of every cluster, ties counted half.
+
+    ``clusters``: cluster, cluster_idx.  ``won`` has one entry a cluster; row -1 of a key
+    holds the negatives of every cluster, ``n_pos`` the positives of cluster i.  Values are dealt to
+    ranges; pairs inside a range are counted there, pairs across ranges follow from the
+    counts per cluster and range.  The matrix has clusters^2 entries and is formed in tiles.
+    """
+    n = clusters.count()
+    counts = (scores.join(clusters, cluster).groupBy(key, "value", "cluster_idx")
+              .agg(F.count_if("positive").alias("pos"), F.count_if(~c("positive")).alias("neg")))
+    ranged = lineage.stored(counts.repartitionByRange(key, "value").withColumn("part", F.spark_partition_id()))
+    tiles = F.sequence(F.lit(0), F.lit((n - 1) // TILE))
+    tile = F.floor(c("cluster_idx") / TILE).cast("int")
+    zero = F.lit(0).cast("long")
+    own = ranged.where("pos > 0").select(key, "part", tile.alias("tile"), "value", "cluster_idx", "pos", zero.alias("neg"))
+    others = ranged.where("neg > 0").select(key, "part", F.explode(tiles).alias("tile"), "value", "cluster_idx", zero.alias("pos"), "neg")
+    inside = own.unionByName(others).groupBy(key, "part", "tile").applyInPandas(_inside(key), f"{key} string, i long, j long, x double")
+    inside = inside.groupBy(key, "i", "j").agg(F.sum("x").alias("x"))
+    totals = ranged.groupBy(key, "part", "cluster_idx").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    def entry(rows: DataFrame, kind: int, of: Column, a: str, b: str, x: str) -> DataFrame:
+        return rows.select(key, of.alias("tile"), F.lit(kind).alias("kind"), c(a).cast("long").alias("a"), c(b).cast("long").alias("b"), c(x).cast("double").alias("x"))
+
+    rows = (entry(inside, 0, F.floor(c("i") / TILE).cast("int"), "i", "j", "x")
+            .unionByName(entry(totals.where("pos > 0"), 1, tile, "part", "cluster_idx", "pos"))
+            .unionByName(entry(totals.where("neg > 0"), 2, F.explode(tiles), "part", "cluster_idx", "neg")))
+
+    def tiled(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, size = int(pdf["tile"].iloc[0]) * TILE, min(TILE, n - int(pdf["tile"].iloc[0]) * TILE)
+        part = {k: i for i, k in enumerate(sorted(set(pdf.loc[pdf["kind"].isin([1, 2]), "a"])))}
+        won, pos, neg = np.zeros((size, n)), np.zeros((len(part), size)), np.zeros((len(part), n))
+        for kind, same in pdf.groupby("kind"):
+            a, b, x = same["a"].to_numpy(), same["b"].to_numpy(), same["x"].to_numpy()
+            if kind == 0:
+                won[a - first, b] += x
+            elif kind == 1:
+                pos[[part[k] for k in a], b - first] = x
+            else:
+                neg[[part[k] for k in a], b] = x
+        won += pos.T @ (neg.cumsum(axis=0) - neg)     # ranges are numbered in order of their values
+        index = list(range(first, first + size)) + ([-1] if first == 0 else [])
+        return pd.DataFrame({key: pdf[key].iloc[0], "i": index, "n_pos": [*pos.sum(axis=0), *([0.0] if first == 0 else [])],
+                             "won": [*won, *([neg.sum(axis=0)] if first == 0 else [])]})
+
+    return rows.groupBy(key, "tile").applyInPandas(tiled, f"{key} string, i long, n_pos double, won array<double>")
+
+
+def auc_interval(scores: DataFrame, key: str = "factor", cluster: str = "mix_id", draws: int = 2000, seed: int = 42) -> DataFrame:
     """AUC with a 95 % interval from resampling whole clusters (mixes).
 
-    Work is rows times draws: per value bucket, the drawn weights of smaller
-    negatives are running sums of arrays over draws; buckets are stitched by
-    their totals.  No pairs, no group in one task.
+    The concordance of every pair of clusters is counted once; a draw is then a product
+    of its multiplicities with that matrix, in tiles of clusters and blocks of
+    draws.  Rows of ``scores`` never carry draws.
     """
     base = scores.select(cluster).distinct().withColumn("h", digest_number(c(cluster)))
-    base = ordered.dense_index(base, [], ["h", cluster], F.floor(c("h") / (2 ** 52)), "cluster_idx").drop("h")
-    weights = base.join(_multiplicities(base, draws, seed), "cluster_idx", "left").drop("cluster_idx")
-    zero = F.array_repeat(F.lit(0.0), draws)
-    weights = weights.select(cluster, F.coalesce("pos_w", zero).alias("pos_w"), F.coalesce("neg_w", zero).alias("neg_w"))
-    rows = ordered.with_bounds(scores, [key], "value", buckets).withColumn("bucket", ordered.value_bucket("value")) \
-        .groupBy(key, "bucket", "value", "positive", cluster).agg(F.count("*").alias("n")).join(weights, cluster)
-
-    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        pos, below, won = np.zeros(draws), np.zeros(draws), np.zeros(draws)
-        for _, same in pdf.groupby("value", sort=True):
-            drawn = {True: np.zeros(draws), False: np.zeros(draws)}
-            for positive, n, wp, wn in zip(same["positive"], same["n"], same["pos_w"], same["neg_w"]):
-                drawn[bool(positive)] += n * np.asarray(wp if positive else wn)
-            won += drawn[True] * (below + 0.5 * drawn[False])
-            pos, below = pos + drawn[True], below + drawn[False]
-        return pd.DataFrame({key: [head[key]], "bucket": [int(head["bucket"])], "pos": [pos], "neg": [below], "won": [won]})
-
-    parts = rows.groupBy(key, "bucket").applyInPandas(
-        totals, f"{key} string, bucket int, pos array<double>, neg array<double>, won array<double>")
-
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bucket")
-        pos, neg, won = (np.stack(pdf[n].to_numpy()) for n in ("pos", "neg", "won"))
-        below = np.cumsum(neg, axis=0) - neg
-        pairs = pos.sum(axis=0) * neg.sum(axis=0)
-        usable = pairs > 0
-        value = (won + pos * below).sum(axis=0)[usable] / pairs[usable]
-        low, high = (np.percentile(value, [2.5, 97.5]) if len(value) else (0.0, 1.0))
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "lower": [float(low)], "upper": [float(high)]})
-
-    # one row per bucket and factor: at most ``buckets`` rows per group
-    bounds = parts.groupBy(key).applyInPandas(stitch, f"{key} string, lower double, upper double")
-    point = auc(scores, [key])
-    out = point.join(bounds, key).withColumn("n_clusters", scores.agg(F.count_distinct(cluster)).scalar())
-    few = c("n_clusters") < 2
-    return out.select(key, "auc", F.when(few, 0.0).otherwise(c("lower")).alias("lower"),
-                      F.when(few, 1.0).otherwise(c("upper")).alias("upper"))
+    base = lineage.stored(ordered.dense_index(base, [], ["h", cluster], F.floor(c("h") / (2 ** 52)), "cluster_idx").drop("h"))
+    n = base.count()
+    matrix = concordance(scores, key, cluster, base)
+    blocks = F.sequence(F.lit(0), F.lit((draws - 1) // DRAW_BLOCK))
+    left = matrix.select(F.floor(F.greatest(c("i"), F.lit(0)) / TILE).cast("int").alias("tile"), F.explode(blocks).alias("block"), key, "i", "n_pos", "won")
+    right = _draws(base, draws, seed).select(F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0) // TILE))).alias("tile"),
+                                             F.floor(c("draw") / DRAW_BLOCK).cast("int").alias("block"), "draw", "side", "clusters", "times")
+
+    def product(m: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        names = np.array(sorted(drawn["draw"].unique()))
+        times = np.zeros((2, len(names), n))
+        for draw, side, where, k in zip(drawn["draw"], drawn["side"], drawn["clusters"], drawn["times"]):
+            times[side, np.searchsorted(names, draw), where] = k
+        out = []
+        for value, rows in m.groupby(key):
+            own = rows[rows["i"] >= 0]
+            i, won = own["i"].to_numpy(), np.stack(own["won"].to_numpy())
+            negatives = rows.loc[rows["i"] < 0, "won"]
+            out.append(pd.DataFrame({
+                key: value, "draw": names, "won": ((times[1] @ won.T) * times[0][:, i]).sum(axis=1), "pos": times[0][:, i] @ own["n_pos"].to_numpy(),
+                "neg": times[1] @ negatives.iloc[0] if len(negatives) else np.zeros(len(names))}))
+        return pd.concat(out) if out else pd.DataFrame({key: [], "draw": [], "won": [], "pos": [], "neg": []})
+
+    drawn = (left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block"))
+             .applyInPandas(product, f"{key} string, draw int, won double, pos double, neg double")
+             .groupBy(key, "draw").agg(*[F.sum(x).alias(x) for x in ("won", "pos", "neg")]))
+    value = F.when((c("pos") > 0) & (c("neg") > 0), c("won") / (c("pos") * c("neg")))
+    bounds = drawn.groupBy(key).agg(F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("p")) \
+        .select(key, F.coalesce(F.get("p", F.lit(0)), F.lit(0.0)).alias("lower"), F.coalesce(F.get("p", F.lit(1)), F.lit(1.0)).alias("upper"))   # a number a draw
+    few = F.lit(n < 2)
+    return auc(scores, [key]).join(bounds, key).select(key, "auc", F.when(few, 0.0).otherwise(c("lower")).alias("lower"),
+                                                       F.when(few, 1.0).otherwise(c("upper")).alias("upper"))
 
 
 # ----------------------------------------------------------- tolerances, weights

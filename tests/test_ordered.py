@@ -66,6 +66,25 @@ def test_auc_interval_brackets_the_point(spark):
     assert (single["lower"], single["upper"]) == (0.0, 1.0)
 
 
+def test_concordance_counts_pairs_of_clusters(spark, monkeypatch):
+    """Several tiles and draw blocks, ties, clusters with one class only, against counting every pair."""
+    monkeypatch.setattr(mining, "TILE", 3)
+    monkeypatch.setattr(mining, "DRAW_BLOCK", 4)
+    rng = np.random.default_rng(6)
+    data = [(f, float(rng.integers(0, 12)), bool(rng.integers(0, 2)) if m else True, int(m)) for f in ("f", "g") for m in range(8) for _ in range(12)] + [("h", 1.0, True, 3)]
+    df = spark.createDataFrame(data, "factor string, value double, positive boolean, mix_id int").repartition(5)
+    clusters = spark.createDataFrame([(m, m) for m in range(8)], "mix_id int, cluster_idx long")
+    for r in mining.concordance(df, "factor", "mix_id", clusters).collect():
+        neg = [[v for f, v, p, m in data if f == r["factor"] and not p and m == j] for j in range(8)]
+        if r["i"] < 0:
+            assert r["won"] == [float(len(x)) for x in neg]
+        else:
+            pos = [v for f, v, p, m in data if f == r["factor"] and p and m == r["i"]]
+            assert r["won"] == [float(sum((a > b) + (a == b) / 2 for a in pos for b in x)) for x in neg] and r["n_pos"] == len(pos)
+    got = {r["factor"]: r for r in mining.auc_interval(df, draws=11).collect()}
+    assert got["f"]["lower"] <= got["f"]["upper"] and (got["h"]["lower"], got["h"]["upper"]) == (0.0, 1.0)
+
+
 def test_buckets_are_even_with_one_extreme_value(spark):
     values = spark.range(20000).select((F.col("id") / 20000.0).alias("v")).unionByName(spark.createDataFrame([(1e9,), (-1e12,)], "v double"))
     sizes = [r["count"] for r in ordered.with_bounds(values, [], "v").withColumn("b", ordered.value_bucket("v")).groupBy("b").count().collect()]
