@@ -72,8 +72,9 @@ def groove(frames: DataFrame, tracks: DataFrame, sections: DataFrame | None = No
     folded = rows.groupBy("track_id").agg(
         F.first("bpm").alias("bpm"), F.first("downbeat_confidence").alias("downbeat_confidence"),
         F.sum(c("inside").cast("long")).alias("n_inside"), F.sum("sub_power").alias("sub"),
-        F.sum("total_power").alias("power"), F.avg(F.abs(c("bass_env"))).alias("bass_mean"),
-        F.percentile(F.abs(c("bass_env")), F.lit(0.95)).alias("bass_peak"), *sums)
+        F.sum("total_power").alias("power"), F.avg(F.abs(c("bass_env"))).alias("bass_mean"), *sums)
+    loudness = frames.select("track_id", "frame_idx", F.abs(c("bass_env")).alias("bass"))
+    folded = folded.join(ordered.group_quantiles(loudness, "track_id", {"bass": {"bass_peak": 0.95}}, "frame_idx"), "track_id", "left")
     enough = c("n_inside") >= F.floor(tempo.seconds_per_bar(c("bpm")) * float(MIN_FOLD_BARS) / frame_seconds)
     reliable = (c("downbeat_confidence") >= DOWNBEAT_RELIABLE_MIN) & (c("bpm") > 0)
     empty = F.array().cast("array<double>")
@@ -231,7 +232,8 @@ def beat_intervals(beats: DataFrame) -> DataFrame:
 def bar_length(beats: DataFrame, tracks: DataFrame) -> DataFrame:
     """Seconds per bar from the median beat interval, octave errors repaired; NULL below 8 beats."""
     counts = beats.groupBy("track_id").agg(F.count("*").alias("n_beats"))
-    median = beat_intervals(beats).where(c("gap") > 0).groupBy("track_id").agg(F.median("gap").alias("ibi"))
+    median = beat_intervals(beats).where(c("gap") > 0)
+    median = ordered.group_quantiles(median, "track_id", {"gap": {"ibi": 0.5}}, "beat_idx")
     rows = tracks.select("track_id", "bpm").join(counts, "track_id").join(median, "track_id", "left")
     expected = F.lit(60.0) / c("bpm")
     ibi = (F.when(c("ibi") > expected * 1.5, c("ibi") / 2.0).when(c("ibi") < expected * 0.75, c("ibi") * 2.0)

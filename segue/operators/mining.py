@@ -74,7 +74,8 @@ def second_profile(frames: DataFrame) -> DataFrame:
     per_second = frames.groupBy("mix_id", F.floor("t_sec").alias("second")).agg(
         *[F.sqrt(F.avg(f"{b}_ms")).alias(b) for b in ("bass", "mids", "highs")], F.avg("onset").alias("onset"))
     names = ("bass", "mids", "highs", "onset")
-    medians = per_second.groupBy("mix_id").agg(*[(F.median(n) + 1e-9).alias(f"{n}_ref") for n in names])
+    middle = ordered.group_quantiles(per_second, "mix_id", {n: {f"{n}_mid": 0.5} for n in names}, "second")
+    medians = middle.select("mix_id", *[(c(f"{n}_mid") + 1e-9).alias(f"{n}_ref") for n in names])
     return ordered.attach(per_second, medians, "mix_id", "second").select(
         "mix_id", "second", *[(c(n) / c(f"{n}_ref")).alias(n) for n in names])
 

@@ -152,3 +152,55 @@ def quantiles(rows: DataFrame, keys: Sequence[str], value: str, points: dict[str
         weight = position - F.floor(position)
         columns.append((F.col(f"{name}_lo") + (F.col(f"{name}_hi") - F.col(f"{name}_lo")) * weight).alias(name))
     return placed.groupBy(*keys, "size").agg(*parts).select(*keys, *columns)
+
+
+SKETCH = 1000   # rank error of a sketch: one part in so many
+
+
+def group_quantiles(rows: DataFrame, key: str, points: dict[str, dict[str, float]], spread: str) -> DataFrame:
+    """Exact quantiles with linear interpolation of very many groups, each of any size: one row per key.
+
+    ``points``: column -> {name of a result: share}.  A mergeable sketch brackets each
+    quantile; a second pass counts what lies below the bracket and how often each value
+    inside it occurs, both as partial sums.  Only the few values inside a bracket are
+    ever ordered, never a group.  A group without values gets NULL.  Rows of a key are
+    spread over join keys by the integer column ``spread``.
+    """
+    asked = [(column, name, share) for column, names in points.items() for name, share in names.items()]
+    reach = 4.0 / SKETCH
+    used = rows.select(key, spread, *[F.col(v).cast("double").alias(v) for v in points])
+    ends = {v: F.array(*[F.lit(x) for s in names.values() for x in (max(s - reach, 0.0), min(s + reach, 1.0))]) for v, names in points.items()}
+    sketches = used.groupBy(key).agg(*[F.percentile_approx(v, e, F.lit(SKETCH)).alias(f"sketch_{v}") for v, e in ends.items()])
+    places = {name: i for names in points.values() for i, name in enumerate(names)}
+    brackets = sketches.select(key, *[F.get(f"sketch_{v}", F.lit(2 * places[name] + side)).alias(f"{name}_{end}")
+                                      for v, name, _ in asked for side, end in enumerate(("from", "to"))])
+    placed = attach(used, brackets, key, spread)
+    low, high = (lambda name: F.col(f"{name}_from")), (lambda name: F.col(f"{name}_to"))
+    counts = placed.groupBy(key).agg(*[F.count(v).alias(f"{v}_size") for v in points], *[x for v, name, _ in asked for x in (
+        F.count_if(F.col(v) < low(name)).alias(f"{name}_below"), F.max(F.when(F.col(v) < low(name), F.col(v))).alias(f"{name}_under"),
+        F.min(F.when(F.col(v) > high(name), F.col(v))).alias(f"{name}_over"))])
+    facts = counts.select(key, F.explode(F.array(*[F.struct(
+        F.lit(i).alias("q"), F.lit(float(share)).alias("share"), F.col(f"{v}_size").alias("size"), F.col(f"{name}_below").alias("below"),
+        F.col(f"{name}_under").alias("under"), F.col(f"{name}_over").alias("over")) for i, (v, name, share) in enumerate(asked)])).alias("f")).select(key, "f.*")
+    hits = F.array_compact(F.array(*[F.when((F.col(v) >= low(name)) & (F.col(v) <= high(name)), F.struct(F.lit(i).alias("q"), F.col(v).alias("x")))
+                                     for i, (v, name, _) in enumerate(asked)]))
+    inside = placed.select(key, F.explode(hits).alias("hit")).groupBy(key, "hit.q", "hit.x").agg(F.count("*").alias("times"))
+    in_order = Window.partitionBy(key, "q").orderBy("x")
+    ranked = inside.withColumn("until", F.sum("times").over(in_order)).join(facts, [key, "q"])
+    position = (F.col("size") - 1) * F.col("share")
+    first, last = F.col("below") + F.col("until") - F.col("times"), F.col("below") + F.col("until") - 1
+
+    def at(rank: Column, name: str) -> Column:
+        return F.max(F.when((first <= rank) & (rank <= last), F.col("x"))).alias(name)
+
+    found = ranked.groupBy(key, "q", "share", "size", "below", "under", "over").agg(
+        F.max("until").alias("inside"), at(F.floor(position), "left"), at(F.ceil(position), "right"))
+
+    def value(column: str, rank: Column) -> Column:
+        before, behind = rank == F.col("below") - 1, rank == F.col("below") + F.col("inside")
+        return F.coalesce(F.col(column), F.when(before, F.col("under")), F.when(behind, F.col("over")), F.raise_error(F.lit("quantile outside its bracket")))
+
+    weight = position - F.floor(position)
+    both = found.select(key, "q", ((1.0 - weight) * value("left", F.floor(position)) + weight * value("right", F.ceil(position))).alias("v"))
+    wide = both.groupBy(key).agg(*[F.max(F.when(F.col("q") == i, F.col("v"))).alias(name) for i, (_, name, _) in enumerate(asked)])
+    return brackets.select(key).join(wide, key, "left")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from segue import lineage
 from segue import refdata as R
 from segue.functions import text
-from segue.operators import ordered
+from segue.operators import ordered, resample
 from segue.operators.mining import digest_number
 from segue.operators.evaluate import CLASSIC_FACTORS, FACTORS, NEW_FACTORS
 
@@ -187,24 +187,26 @@ def fit_gradient(rows: DataFrame, coefficients: DataFrame, factors: Sequence[str
     return sums.select(F.explode(F.array(*entries)).alias("x")).select("x.*")
 
 
-def _newton_sums(betas: np.ndarray, factors: Sequence[str], draws: int):
+def _newton_sums(betas: np.ndarray, factors: Sequence[str], n: int, seed: int):
     """Per partition: gradient and curvature sums of every draw."""
-    k = len(factors) + 1
+    draws, k = betas.shape
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, h = np.zeros((draws, k)), np.zeros((draws, k, k))
         n_good, n_all = np.zeros(draws), np.zeros(draws)
+        at, times = -1, np.zeros((draws, 0), dtype=np.int64)
         for pdf in batches:
-            if not len(pdf):
-                continue
-            x = np.column_stack([np.ones(len(pdf)), pdf[list(factors)].to_numpy(dtype=float)])
-            y = pdf["y"].to_numpy(dtype=float)
-            w = np.stack(pdf["times"].to_numpy()).astype(float)
-            p = 1.0 / (1.0 + np.exp(-np.clip(x @ betas.T, -500.0, 500.0)))
-            g += (w * (p - y[:, None])).T @ x
-            h += ((w * p * (1.0 - p)).T @ (x[:, :, None] * x[:, None, :]).reshape(len(x), k * k)).reshape(draws, k, k)
-            n_good += (w * y[:, None]).sum(axis=0)
-            n_all += w.sum(axis=0)
+            for block, part in pdf.groupby(pdf["row_idx"] // resample.BLOCK, sort=True):
+                if block != at:
+                    at, times = block, resample.multiplicities(int(block), n, draws, seed)
+                x = np.column_stack([np.ones(len(part)), part[list(factors)].to_numpy(dtype=float)])
+                y = part["y"].to_numpy(dtype=float)
+                w = times[:, part["row_idx"].to_numpy() - block * resample.BLOCK].T.astype(float)
+                p = 1.0 / (1.0 + np.exp(-np.clip(x @ betas.T, -500.0, 500.0)))
+                g += (w * (p - y[:, None])).T @ x
+                h += ((w * p * (1.0 - p)).T @ (x[:, :, None] * x[:, None, :]).reshape(len(x), k * k)).reshape(draws, k, k)
+                n_good += (w * y[:, None]).sum(axis=0)
+                n_all += w.sum(axis=0)
         yield pd.DataFrame({"draw": np.arange(draws), "g": list(g), "h": list(h.reshape(draws, k * k)),
                             "n_good": n_good, "n_all": n_all})
     return run
@@ -214,27 +216,21 @@ def bootstrap_draws(rows: DataFrame, factors: Sequence[str] = FACTORS, l2: float
                     seed: int = 42, steps: int = 200) -> np.ndarray:
     """Coefficients of every resample (draws x factors), Newton steps for all draws at once.
 
-    A row carries how often each draw took it.  One step is one pass: sums per
-    partition, added up per draw; only draws x factors^2 numbers reach the driver.
+    Rows are numbered in an order that does not depend on partitions; how often each draw
+    took a row follows from its number (see ``resample``), so rows carry no draws and no
+    draw is shuffled.  One step is one pass: sums per partition, added up per draw; only
+    draws x factors^2 numbers reach the driver.
     """
-    n = rows.count()
-    spark = rows.sparkSession
     keyed = rows.withColumn("h", digest_number(F.lit(seed), c("pair_id")))
-    indexed = ordered.dense_index(keyed, [], ["h", "pair_id"], F.floor(c("h") / (2 ** 52)), "row_idx").drop("h")
-    picks = spark.range(draws * n).select(F.pmod(digest_number(F.lit(seed + 1), c("id")), F.lit(n)).alias("row_idx"),
-                                          F.floor(c("id") / n).cast("int").alias("draw"))
-    counts = picks.groupBy("row_idx", "draw").agg(F.count("*").alias("k")).groupBy("row_idx").agg(
-        F.map_from_entries(F.collect_list(F.struct("draw", "k"))).alias("m"))
-    times = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0)).cast("int"))
-    data = lineage.cut(indexed.join(counts, "row_idx", "left").select("y", *factors, F.coalesce(
-        times, F.array_repeat(F.lit(0), draws)).alias("times")))
-    k = len(factors) + 1
+    indexed = ordered.dense_index(keyed, [], ["h", "pair_id"], F.floor(c("h") / (2 ** 52)), "row_idx")
+    data = lineage.stored(indexed.select("row_idx", "y", *factors).repartitionByRange("row_idx").sortWithinPartitions("row_idx"))
+    n, k = data.count(), len(factors) + 1
     betas = np.zeros((draws, k))
     penalty = np.diag([0.0] + [2.0 * l2] * len(factors))
     schema = "draw int, g array<double>, h array<double>, n_good double, n_all double"
     usable = np.ones(draws, dtype=bool)
     for _ in range(steps):
-        sums = data.mapInPandas(_newton_sums(betas, factors, draws), schema).groupBy("draw").agg(
+        sums = data.mapInPandas(_newton_sums(betas, factors, n, seed), schema).groupBy("draw").agg(
             F.sum("n_good").alias("n_good"), F.sum("n_all").alias("n_all"),
             *[F.sum(F.get("g", F.lit(i))).alias(f"g{i}") for i in range(k)],
             *[F.sum(F.get("h", F.lit(i))).alias(f"h{i}") for i in range(k * k)]).toPandas().sort_values("draw")

@@ -34,13 +34,12 @@ def normalize_novelty(rows: DataFrame, curves: Sequence[str], spread: str, key:
     one (with two values only, the lower one is clipped and the percentile lies on the
     way from 0 to the upper one).
     """
-    stats = rows.groupBy(key).agg(F.count("*").alias("n"), *[x for v in curves for x in (
-        F.percentile(v, F.array(F.lit(0.10), F.lit(0.95))).alias(f"{v}_p"), F.max(v).alias(f"{v}_top"))])
-    ends = stats.select(key, *[x for v in curves for x in (
-        F.get(f"{v}_p", F.lit(0)).alias(f"{v}_low"),
-        F.when(c("n") == 2, (c(f"{v}_top") - F.get(f"{v}_p", F.lit(0))) * 0.95)
-        .otherwise(F.get(f"{v}_p", F.lit(1)) - F.get(f"{v}_p", F.lit(0))).alias(f"{v}_p95"),
-        (c(f"{v}_top") - F.get(f"{v}_p", F.lit(0))).alias(f"{v}_max"))])
+    stats = rows.groupBy(key).agg(F.count("*").alias("n"), *[F.max(v).alias(f"{v}_top") for v in curves])
+    cuts = ordered.group_quantiles(rows, key, {v: {f"{v}_low": 0.10, f"{v}_high": 0.95} for v in curves}, spread)
+    ends = stats.join(cuts, key).select(key, *[x for v in curves for x in (
+        c(f"{v}_low"),
+        F.when(c("n") == 2, (c(f"{v}_top") - c(f"{v}_low")) * 0.95).otherwise(c(f"{v}_high") - c(f"{v}_low")).alias(f"{v}_p95"),
+        (c(f"{v}_top") - c(f"{v}_low")).alias(f"{v}_max"))])
     tiny = 2.220446049250313e-16
 
     def scaled(v: str) -> Column:

@@ -38,6 +38,21 @@ def test_quantiles(spark):
         assert np.allclose(got[key], np.percentile(part["v"], [10, 50]))
 
 
+def test_group_quantiles_with_one_huge_group(spark):
+    """Groups of 1, 2, 3 and a few rows, ties, nulls only, and one that holds most rows."""
+    rng = np.random.default_rng(9)
+    groups = {0: rng.normal(size=60_000), 1: [4.0], 2: [1.0, 3.0], 3: [2.0, 2.0, 9.0], 4: rng.integers(0, 3, 5000), 5: rng.exponential(size=37), 6: [], 7: [5.0] * 999 + [6.0]}
+    rows = [(k, i, float(v), float(-v)) for k, values in groups.items() for i, v in enumerate(values)] + [(6, 0, None, None), (5, 99, None, 1.0)]
+    df = spark.createDataFrame(rows, "k int, i int, v double, w double")
+    got = {r["k"]: r for r in ordered.group_quantiles(df, "k", {"v": {"a": 0.1, "b": 0.5, "c": 0.95, "d": 1.0}, "w": {"e": 0.25}}, "i").collect()}
+    for k, values in groups.items():
+        if len(values):
+            assert np.allclose([got[k][n] for n in "abcd"], np.percentile(values, [10, 50, 95, 100]), atol=1e-12), k
+            assert np.allclose(got[k]["e"], np.percentile([*(-np.asarray(values, dtype=float)), *([1.0] if k == 5 else [])], 25), atol=1e-12)
+        else:
+            assert got[k]["a"] is None and got[k]["e"] is None
+
+
 def test_attach_keeps_every_row(spark):
     rows = hot_rows(spark)
     per_key = rows.groupBy("key").agg(F.max("v").alias("top"))
