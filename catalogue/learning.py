@@ -118,8 +118,8 @@ def deltas(spark, sf):
 
 
 def gapped(spark, sf):
-    """Windows with gaps in their numbers, as cut-off transitions leave them."""
-    return windows(spark, sf).where("(transition_idx + mix_id) % 4 <> 1")
+    """All windows, with gaps in the numbers of their transitions, as cut-off transitions leave them."""
+    return windows(spark, sf).withColumn("transition_idx", F.expr("transition_idx + transition_idx div 3"))
 
 
 def negatives(spark, sf):
@@ -345,7 +345,7 @@ def _number(*parts: str) -> str:
     return f"('0x' || substr(md5({" || '/' || ".join(f'CAST({p} AS VARCHAR)' for p in parts)}), 1, 15))::BIGINT"
 
 
-C["gapped"] = "SELECT *, row_number() OVER (PARTITION BY mix_id ORDER BY idx) - 1 AS place FROM windows WHERE (idx // 2 + mix_id) % 4 <> 1"
+C["gapped"] = "SELECT * REPLACE ((idx // 2 + idx // 2 // 3) * 2 + idx % 2 AS idx), row_number() OVER (PARTITION BY mix_id ORDER BY idx) - 1 AS place FROM windows"
 C["neg_mixes"] = f"""SELECT mix_id, count(*) AS n, greatest(30, count(*) FILTER (WHERE side = 0)) AS wanted, count(*) * (count(*) - 1) // 2 AS total,
   count(*) - count(DISTINCT idx // 2) AS same, {_number("'42'", 'mix_id')} AS start FROM gapped GROUP BY 1 HAVING count(*) >= 2"""
 C["neg_steps"] = """SELECT mix_id, wanted, step, (start % total + step * 2147483647 % total) % total AS number

@@ -186,32 +186,33 @@ def write_xml(document: DataFrame, path: str) -> None:
      .select("playlist_id", c("line").alias("value")).write.mode("overwrite").partitionBy("playlist_id").text(path))
 
 
-def export_errors(rows: DataFrame) -> DataFrame:
-    """One row per problem of an export: (playlist_id, pos, error).  The texts are fixed values."""
+def _outcome() -> tuple[Column, Column, Column, Column]:
+    """What an export does with a row: kept, cues written, beat grid written, and its problems.  The texts are fixed values."""
     kept = c("export_error").isNull()
-    cues_ok = quality.cue_export_ok(c("outro_covered"), c("mix_in_point"), c("mix_out_point"), c("duration"))
-    grid_ok = ((c("downbeat_confidence") == REFERENCE_BEATGRID) & (c("first_downbeat") >= 0) & (c("first_downbeat") < c("duration")))
-    no_tempo = ~F.coalesce(c("bpm") > 0, F.lit(False))
-    grid = (F.when(no_tempo, ": Beatgrid fehlt wegen ungueltiger BPM")
-            .when(~F.coalesce(grid_ok, F.lit(False)), ": Beatgrid ausgelassen (kein verlaesslicher Downbeat)"))
-    found = F.array_compact(F.array(
+    cues_ok = F.coalesce(quality.cue_export_ok(c("outro_covered"), c("mix_in_point"), c("mix_out_point"), c("duration")), F.lit(False))
+    tempo_ok = F.coalesce(c("bpm") > 0, F.lit(False))
+    grid_ok = tempo_ok & F.coalesce((c("downbeat_confidence") == REFERENCE_BEATGRID) & (c("first_downbeat") >= 0)
+                                    & (c("first_downbeat") < c("duration")), F.lit(False))
+    grid = (F.when(~tempo_ok, ": Beatgrid fehlt wegen ungueltiger BPM")
+            .when(~grid_ok, ": Beatgrid ausgelassen (kein verlaesslicher Downbeat)"))
+    problems = F.array_compact(F.array(
         c("export_error"), F.when(kept, F.concat(c("file_path"), grid)),
         F.when(kept & ~cues_ok, F.concat(c("file_path"), F.lit(": Cues ausgelassen (Coverage/Schema/Provenienz unzureichend)")))))
-    return rows.select("playlist_id", "pos", F.explode(found).alias("error"))
+    return kept, cues_ok, grid_ok, problems
+
+
+def export_errors(rows: DataFrame) -> DataFrame:
+    """One row per problem of an export: (playlist_id, pos, error)."""
+    return rows.select("playlist_id", "pos", F.explode(_outcome()[3]).alias("error"))
 
 
 def export_report(rows: DataFrame) -> DataFrame:
-    """Per playlist: status, tracks, cues and beat grids written, number of errors."""
-    kept = c("export_error").isNull()
-    cues_ok = quality.cue_export_ok(c("outro_covered"), c("mix_in_point"), c("mix_out_point"), c("duration"))
-    n_parts = F.size(F.filter("sections", lambda s: s["label"].isin("drop", "breakdown") & (s["start_time"] > 0)))
-    grid_ok = ((c("bpm") > 0) & (c("downbeat_confidence") == REFERENCE_BEATGRID)
-               & (c("first_downbeat") >= 0) & (c("first_downbeat") < c("duration")))
-    problems = (F.when(~kept, 1).otherwise(0) + F.when(kept & ~cues_ok, 1).otherwise(0)
-                + F.when(kept & ~grid_ok, 1).otherwise(0))
+    """Per playlist: status, tracks, cues and beat grids written, number of errors (the rows of :func:`export_errors`)."""
+    kept, cues_ok, grid_ok, problems = _outcome()
+    n_parts = F.coalesce(F.size(F.filter("sections", lambda s: s["label"].isin("drop", "breakdown") & (s["start_time"] > 0))), F.lit(0))
     out = rows.groupBy("playlist_id").agg(
         F.sum(kept.cast("int")).alias("tracks_written"),
         F.sum(F.when(kept & cues_ok, 4 + n_parts).otherwise(0)).alias("cues_written"),
-        F.sum((kept & grid_ok).cast("int")).alias("beatgrids_written"), F.sum(problems).alias("n_errors"))
+        F.sum((kept & grid_ok).cast("int")).alias("beatgrids_written"), F.sum(F.size(problems)).alias("n_errors"))
     return out.withColumn("status", F.when(c("tracks_written") == 0, "failed").when(c("n_errors") > 0, "partial")
                           .otherwise("success"))

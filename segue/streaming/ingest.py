@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from segue.operators import quality, ratings
 from segue.sources import library
+from segue.sources.store import BucketStore
 
 RECORD_SCHEMA = "key string, version int, ingest_ts timestamp, data string"
 RATING_SCHEMA = "pair_id string, rating int, rated_at timestamp"
@@ -33,25 +34,24 @@ def _current(spark: SparkSession, root: str, schema: str) -> tuple[DataFrame, in
 
 
 def current_table(spark: SparkSession, root: str, schema: str = RECORD_SCHEMA) -> DataFrame:
-    return _current(spark, root, schema)[0]
+    """The rows of a bucket store or of the newest version of a versioned table."""
+    buckets = BucketStore(spark, root, schema)
+    return buckets.read() if buckets.exists() else _current(spark, root, schema)[0]
 
 
 def ingest_tracks(spark: SparkSession, source: str, store: str, rejects: str, checkpoint: str, version: int) -> StreamingQuery:
-    """New JSON record files into the versioned store: validate, split, keep the newest per key.
+    """New JSON record files into the bucket store: validate, split, keep the newest per key.
 
-    Each batch writes the next version from the newest complete one, whichever query
-    or checkpoint wrote that.  The newest record per key wins, so a batch that is
-    retried after its version was written changes nothing.
+    A batch rewrites the buckets of its keys only.  The newest record per key wins, so a
+    batch that is retried after its manifest was written changes nothing.
     """
     stream = spark.readStream.schema(RECORD_SCHEMA).json(source)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
         valid, bad = quality.validate_tracks(batch)
         bad.drop("reasons").write.mode("overwrite").parquet(f"{rejects}/query={_folder(checkpoint)}/batch={batch_id}")
-        base, newest = _current(session, store, RECORD_SCHEMA)
-        library.upsert_tracks(base, valid.select("key", "version", "ingest_ts", "data"), version).write.mode(
-            "overwrite").parquet(f"{store}/v={newest + 1}")
+        BucketStore(batch.sparkSession, store, RECORD_SCHEMA).update(
+            valid.select("key", "version", "ingest_ts", "data"), lambda old, new: library.upsert_tracks(old, new, version))
 
     return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from catalogue import library as lib_queries
 from segue.sources import exports, library
+from segue.sources.store import BucketStore
 from segue.streaming import ingest
 
 
@@ -117,3 +118,59 @@ def test_rating_stream(spark, tmp_path):
         ingest.merge_rating_stream(spark, source, sheet, target, at).awaitTermination()
         got = {r["pair_id"]: r["rating"] for r in ingest.current_table(spark, f"{target}/sheet", "pair_id string, rating string").collect()}
         assert got == {"p1": "5", "p2": "1"}
+
+
+def _merge(old, new):
+    return library.upsert_tracks(old, new, 2)
+
+
+def _data_folders(store):
+    return set(store.manifest()["folders"].values())
+
+
+def test_store_rewrites_touched_buckets_only(spark, tmp_path):
+    rows = lambda *keys, ts="2024-01-01": spark.createDataFrame([(k, 2, ts, f"{k}{ts}") for k in keys], "key string, version int, ingest_ts string, data string") \
+        .withColumn("ingest_ts", F.to_timestamp("ingest_ts"))
+    store = BucketStore(spark, str(tmp_path / "store"), ingest.RECORD_SCHEMA, buckets=8)
+    assert store.read().count() == 0 and not store.exists()
+    assert len(store.update(rows(*[f"k{i}" for i in range(100)]), _merge)) == 8
+    before = _data_folders(store)
+    (touched,) = store.update(rows("k7", ts="2024-02-01"), _merge)
+    after = _data_folders(store)
+    assert len(after) == 8 and len(after - before) == 1 and store.read().count() == 100
+    assert {r["data"] for r in store.read().where("key = 'k7'").collect()} == {"k72024-02-01"}
+    assert store.read(0).where("key = 'k7'").first()["data"] == "k72024-01-01"     # an older version can still be read
+    assert store.update(rows("k7").limit(0), _merge) == [] and store.versions() == [0, 1]
+    store.rebucket(3)
+    assert len(_data_folders(store)) == 3 and store.read().count() == 100
+    assert store.vacuum() == 9 and store.versions() == [2] and store.read().count() == 100
+    assert BucketStore(spark, str(tmp_path / "store"), ingest.RECORD_SCHEMA, buckets=99).manifest()["buckets"] == 3
+
+
+def test_store_survives_a_crash_before_the_manifest(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("a", 2, "x")], "key string, version int, data string").withColumn("ingest_ts", F.current_timestamp()).select("key", "version", "ingest_ts", "data")
+    store = BucketStore(spark, str(tmp_path / "store"), ingest.RECORD_SCHEMA)
+    store.update(rows, _merge)
+    commit = BucketStore._commit
+    monkeypatch.setattr(BucketStore, "_commit", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        store.update(rows.withColumn("key", F.lit("b")), _merge)
+    assert [r["key"] for r in store.read().collect()] == ["a"]
+    monkeypatch.setattr(BucketStore, "_commit", commit)
+    store.update(rows.withColumn("key", F.lit("b")), _merge)
+    assert sorted(r["key"] for r in store.read().collect()) == ["a", "b"]
+    with pytest.raises(RuntimeError, match="someone else"):
+        store._commit(1, 64, {})
+    assert store.vacuum() == 1
+
+
+def test_export_report_counts_the_errors_it_lists(spark):
+    rows = spark.createDataFrame(
+        [(1, 0, None, "/a", 120.0, 1.0, 0.5, 300.0, True, 10.0, 200.0), (1, 1, None, "/b", None, None, None, 300.0, None, None, None),
+         (1, 2, "skipped", "/c", None, None, None, None, None, None, None), (2, 0, None, "/d", 120.0, 1.0, None, None, True, 10.0, 200.0), (3, 0, "gone", "", 1.0, 1.0, 1.0, 1.0, True, 1.0, 1.0)],
+        "playlist_id int, pos int, export_error string, file_path string, bpm double, downbeat_confidence double, first_downbeat double, duration double, "
+        "outro_covered boolean, mix_in_point double, mix_out_point double").withColumn("sections", F.lit(None).cast("array<struct<label:string,start_time:double>>"))
+    listed = {r["playlist_id"]: r["count"] for r in exports.export_errors(rows).groupBy("playlist_id").count().collect()}
+    got = {r["playlist_id"]: r for r in exports.export_report(rows).collect()}
+    assert {p: r["n_errors"] for p, r in got.items()} == {1: 3, 2: 2, 3: 1} == listed
+    assert {p: (r["tracks_written"], r["beatgrids_written"], r["status"]) for p, r in got.items()} == {1: (2, 1, "partial"), 2: (1, 0, "partial"), 3: (0, 0, "failed")}
