@@ -25,6 +25,19 @@ def _sequenced(strategy, config=None):
     return run
 
 
+#: Playlist number mod 3 -> its strategy.
+MIXED = ("Warm-Up", "Energy Wave", "Harmonic Flow")
+
+
+def mixed_config(spark, sf):
+    """Every playlist with settings of its own, in one pass."""
+    t = rel.tracks(spark, sf)
+    p = F.col("playlist_id") % 3
+    strategy = F.when(p == 0, MIXED[0]).when(p == 1, MIXED[1]).otherwise(MIXED[2])
+    settings = t.select("playlist_id").distinct().select("playlist_id", strategy.alias("strategy"), F.lit(TOL).alias("tol"))
+    return canon(sequence.sequence_by_settings(t, settings).select("strategy", "playlist_id", "pos", "track_id"))
+
+
 def peak_curve(spark, sf):
     slim = rel.tracks(spark, sf).select("playlist_id", "input_pos", "track_id", "bpm", "energy")
     return canon(sequence.peak_positions(slim).select("playlist_id", "track_id", F.col("peak_rank").alias("seat")))
@@ -107,7 +120,7 @@ def qa(spark, sf):
 
 QUERIES = {
     "q1_harmonic_flow": _sequenced("Harmonic Flow"),
-    "q2_warm_up": _sequenced("Warm-Up"),
+    "q2_warm_up": _sequenced("Warm-Up"), "q_mixed_config": mixed_config,
     "q3_cool_down": _sequenced("Cool-Down"),
     "q4_peak_curve": peak_curve,
     "q5_peak_time_smoothed": _sequenced("Peak-Time"),
@@ -404,6 +417,11 @@ _Q = "overall_score harmonic_flow energy_consistency bpm_smoothness"
 SQL = {
     "q1_harmonic_flow": _ordered_result("flow", ["obj"]),
     "q2_warm_up": _ordered_result("warm", ["obj"]),
+    "q_mixed_config": sql(with_ctes(C, ["obj", "slots", "warm", "wave", "flow"], "SELECT strategy, o.playlist_id, o.pos, t.track_id FROM ("
+                          + " UNION ALL ".join(f"SELECT '{s}' AS strategy, playlist_id, pos, cur FROM {cte} WHERE playlist_id % 3 = {i}"
+                                               for i, (s, cte) in enumerate(zip(MIXED, ("warm", "wave", "flow"))))
+                          + ") o JOIN slots t ON t.playlist_id = o.playlist_id AND t.input_pos = o.cur").replace("WITH ", "WITH RECURSIVE ", 1),
+                          "playlist_id pos track_id", texts="strategy"),
     "q3_cool_down": _ordered_result("cool", ["obj"]),
     "q4_peak_curve": sql(with_ctes(C, ["slots"], _PEAK), "playlist_id track_id seat"),
     "q5_peak_time_smoothed": _ordered_result("smoothed", ["obj"]),

@@ -86,18 +86,20 @@ def key_class(pred_note: Column, pred_mode: Column, true_note: Column, true_mode
 
 def harmonic_score(num_a: Column, letter_a: Column, num_b: Column, letter_b: Column,
                    bpm_diff: Column, bpm_relation: Column, tol: float | Column,
-                   strictness: int = 7, experimental: bool = True) -> Column:
+                   strictness: int | Column = 7, experimental: bool | Column = True) -> Column:
     """0..100 mixing score of two keys behind the tempo gate.
 
     The clockwise step from A to B decides the rule, so each rule is one
-    comparison; +2, +4 and +7 are one-way, +-1 is not.
+    comparison; +2, +4 and +7 are one-way, +-1 is not.  The settings are numbers or columns.
     """
+    strictness = strictness if isinstance(strictness, Column) else F.lit(strictness)
+    experimental = experimental if isinstance(experimental, Column) else F.lit(experimental)
     penalty = F.when(bpm_relation == "direct", F.lit(1.0)).otherwise(F.lit(R.BPM_HALF_DOUBLE_PENALTY))
-    loose = max(0.4, min(1.0, 1.0 - (strictness - 7) * 0.08))
+    loose = F.greatest(F.lit(0.4), F.least(F.lit(1.0), 1.0 - (strictness - 7) * 0.08))
     step = F.pmod(num_b - num_a, F.lit(12))
     same = letter_a == letter_b
 
-    def points(value: float, factor: float = 1.0) -> Column:
+    def points(value: float | Column, factor: float | Column = 1.0) -> Column:
         return (F.lit(value) * penalty * F.lit(factor)).cast("int")
 
     rules = (F.when(bpm_diff > tol, F.lit(0))
@@ -106,12 +108,11 @@ def harmonic_score(num_a: Column, letter_a: Column, num_b: Column, letter_b: Col
              .when((step == 0) & (letter_a == "A"), points(90.0))
              .when(step == 0, points(85.0))
              .when(same & step.isin(1, 11), points(80.0))
-             .when(same & (step == 2), points(75.0, loose)))
-    if experimental:
-        rules = (rules.when(same & (step == 4), points(70.0, loose))
-                 .when(same & (step == 7), points(65.0, loose)))
+             .when(same & (step == 2), points(75.0, loose))
+             .when(experimental & same & (step == 4), points(70.0, loose))
+             .when(experimental & same & (step == 7), points(65.0, loose)))
     return (rules.when(~same & step.isin(1, 11), points(60.0, loose))
-            .otherwise(F.greatest(F.lit(5), points(float(15 - strictness)))))
+            .otherwise(F.greatest(F.lit(5), points((15 - strictness).cast("double")))))
 
 
 # fixed values: key spelling in the export format

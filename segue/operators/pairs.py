@@ -65,7 +65,7 @@ def prefixed(df: DataFrame, prefix: str, shared: Sequence[str] = ("playlist_id",
     return df.select(*shared, *[F.col(c).alias(prefix + c) for c in df.columns if c not in shared])
 
 
-def candidate_pairs(features: DataFrame, tol: float) -> DataFrame:
+def candidate_pairs(features: DataFrame, tol: float | str) -> DataFrame:
     """All ordered slot pairs of a playlist within ``tol`` BPM, half and double time included.
 
     A range join on buckets.  The B side appears as its three tempo images (as
@@ -74,27 +74,29 @@ def candidate_pairs(features: DataFrame, tol: float) -> DataFrame:
     its own bucket and both neighbours.  The bucket is part of the join key: a
     large playlist is spread over its tempo buckets.  The result has every pair, so
     it grows with the square of the tracks that share a playlist and a tempo;
-    :func:`top_partners` cuts it to k a track.
+    :func:`top_partners` cuts it to k a track.  ``tol`` is a number or the name of a
+    feature that is the same for all tracks of a playlist.
     """
-    width = tol * 1.01 if tol > 0 else 1e-6
+    def tolerance(side: str) -> Column:
+        return F.col(side + tol) if isinstance(tol, str) else F.lit(float(tol))
 
-    def bucket(value: Column) -> Column:
-        return F.floor(value / width)
+    def bucket(value: Column, side: str) -> Column:
+        return F.floor(value / F.when(tolerance(side) > 0, tolerance(side) * 1.01).otherwise(1e-6))
 
     a = prefixed(features, "a_").withColumn(
-        "bucket", F.explode(F.array(*[bucket(F.col("a_bpm")) + d for d in (-1, 0, 1)])))
+        "bucket", F.explode(F.array(*[bucket(F.col("a_bpm"), "a_") + d for d in (-1, 0, 1)])))
     b = (prefixed(features, "b_")
          .withColumn("image", F.explode(F.array(
              F.struct(F.lit("direct").alias("relation"), F.col("b_bpm").alias("bpm")),
              F.struct(F.lit("half").alias("relation"), (F.col("b_bpm") * 2.0).alias("bpm")),
              F.struct(F.lit("double").alias("relation"), (F.col("b_bpm") / 2.0).alias("bpm")))))
-         .select("*", F.col("image.relation").alias("bpm_relation"), bucket(F.col("image.bpm")).alias("bucket"))
+         .select("*", F.col("image.relation").alias("bpm_relation"), bucket(F.col("image.bpm"), "b_").alias("bucket"))
          .drop("image"))
     diff = tempo.effective_bpm_diff(F.col("a_bpm"), F.col("b_bpm"))
     relation = tempo.bpm_relation(F.col("a_bpm"), F.col("b_bpm"))
     return (a.join(b, ["playlist_id", "bucket"])
             .where((F.col("a_input_pos") != F.col("b_input_pos"))
-                   & (F.col("bpm_relation") == relation) & (diff <= tol))
+                   & (F.col("bpm_relation") == relation) & (diff <= tolerance("a_")))
             .withColumn("bpm_diff", diff)
             .drop("bucket"))
 

@@ -26,8 +26,9 @@ def unit(value: Column) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
-def tempo_smoothness(diff: Column, tol: float) -> Column:
-    return F.when(diff > tol, 0.0).otherwise(F.exp(-diff / max(tol / 2.0, 1e-9)))
+def tempo_smoothness(diff: Column, tol: float | Column) -> Column:
+    half = F.greatest(tol / 2.0, F.lit(1e-9)) if isinstance(tol, Column) else F.lit(max(tol / 2.0, 1e-9))
+    return F.when(diff > tol, 0.0).otherwise(F.exp(-diff / half))
 
 
 def energy_flow(energy_a: Column, energy_b: Column, direction: str | None = None) -> Column:
@@ -105,13 +106,14 @@ def combine_weighted(values: dict[str, Column], weights: dict[str, Column]) -> C
     return F.when(total > 0, score / total).otherwise(0.0)
 
 
-def score_pairs(candidates: DataFrame, tol: float, *, strictness: int = 7, experimental: bool = True,
+def score_pairs(candidates: DataFrame, tol: float | Column, *, strictness: int | Column = 7, experimental: bool | Column = True,
                 direction: str | None = None, weights: DataFrame | None = None,
                 classic: bool = False) -> DataFrame:
     """Score candidate pairs; ``overall_score`` 0..1 and ``objective`` 0..100.
 
     ``weights`` overrides the per-genre weights (genre of A).  ``classic`` uses
-    the four-factor formula.
+    the four-factor formula.  Tolerance, strictness and experimental steps are numbers or
+    columns of the candidates.
     """
     df = candidates
     if weights is not None:

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from segue import lineage
 from segue import refdata as R
 from segue.functions import keys, text
 from segue.operators import pairs, scoring
@@ -379,11 +380,11 @@ def normalize(values: str, key: str = "playlist_id"):
     return F.when(flat, 0.5).otherwise((F.col(values) - low) / (high - low))
 
 
-def peak_positions(tracks: DataFrame, peak_position: int = 70) -> DataFrame:
+def peak_positions(tracks: DataFrame, peak_position: int | Column = 70) -> DataFrame:
     """Place tracks on a rising-then-falling curve: rank by level meets rank by curve.
 
     Two row numbers joined on (playlist, rank); three tracks or fewer are simply
-    sorted by tempo plus energy.
+    sorted by tempo plus energy.  ``peak_position`` is a number or a column of ``tracks``.
     """
     whole = Window.partitionBy("playlist_id")
     peak = peak_position / 100.0
@@ -410,7 +411,7 @@ def sequence_input(tracks: DataFrame) -> DataFrame:
     return tracks.where((F.col("bpm") > 0) & (F.col("bpm") < float("inf")) & ~F.isnan("bpm"))
 
 
-def _slim(tracks: DataFrame, peak_position: int) -> DataFrame:
+def _slim(tracks: DataFrame, peak_position: int | Column, keep: tuple = ()) -> DataFrame:
     detected = F.coalesce("detected_genre", F.lit(""))
     flow = F.when(detected != "Unknown", detected).otherwise(F.coalesce("genre", F.lit("")))
     base = sequence_input(tracks).select(
@@ -419,7 +420,7 @@ def _slim(tracks: DataFrame, peak_position: int) -> DataFrame:
         F.when(flow.isin("", "Unknown"), "Mixed").otherwise(flow).alias("flow_genre"),
         F.coalesce(pairs.genre_id(text.resolved_genre(F.col("detected_genre"), F.col("genre"))),
                    F.lit(-1)).alias("genre_id"),
-        keys.key_to_camelot(F.col("key_note"), F.col("key_mode")).alias("code"))
+        keys.key_to_camelot(F.col("key_note"), F.col("key_mode")).alias("code"), *keep)
     return peak_positions(base, peak_position)
 
 
@@ -443,11 +444,12 @@ def _view(tracks: pd.DataFrame, edges: pd.DataFrame) -> tuple[pd.DataFrame, Play
 
 
 def sequence(tracks: DataFrame, strategies: str | list[str], tol: float = 3.0,
-             config: StrategyConfig | None = None, pairs_scored: DataFrame | None = None) -> DataFrame:
+             config: StrategyConfig | None = None, pairs_scored: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
     """Order every playlist: rows (strategy, playlist_id, pos, input_pos, track_id).
 
     Strategies with the same scoring parameters share one pass over the edges.
-    ``pairs_scored`` is computed if not given, and only if a strategy reads edges.
+    ``pairs_scored`` is computed if not given, and only if a strategy reads edges;
+    ``weights`` are the score weights per genre, e.g. mined ones (see ``pairs.resolve_weights``).
     """
     config = config or StrategyConfig()
     names = [strategies] if isinstance(strategies, str) else list(strategies)
@@ -462,7 +464,7 @@ def sequence(tracks: DataFrame, strategies: str | list[str], tol: float = 3.0,
         shared: dict[tuple, list[str]] = {}
         for name, _, kw in runs:
             shared.setdefault(tuple(sorted((k, v) for k, v in kw.items() if k in SCORING_PARAMETERS)) or default, []).append(name)
-        first, *rest = (sequence(tracks, group, tol, config) for group in shared.values())
+        first, *rest = (sequence(tracks, group, tol, config, weights=weights) for group in shared.values())
         for more in rest:
             first = first.unionByName(more)
         return first
@@ -472,7 +474,7 @@ def sequence(tracks: DataFrame, strategies: str | list[str], tol: float = 3.0,
             pairs_scored = usable.sparkSession.createDataFrame([], "playlist_id long, a_input_pos long, b_input_pos long, objective int, harmonic int")
         else:
             pairs_scored = scoring.scored_playlist_pairs(
-                usable, tol, strictness=args["harmonic_strictness"], experimental=args["allow_experimental"])
+                usable, tol, strictness=args["harmonic_strictness"], experimental=args["allow_experimental"], weights=weights)
     edges = pairs_scored.select(F.col("playlist_id").alias("edge_playlist"), "a_input_pos", "b_input_pos", "objective", "harmonic")
 
     def order(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -489,3 +491,70 @@ def sequence(tracks: DataFrame, strategies: str | list[str], tol: float = 3.0,
 
     slim = _slim(usable, config.peak_position)
     return slim.groupBy("playlist_id").cogroup(edges.groupBy("edge_playlist")).applyInPandas(order, ORDER_SCHEMA)
+
+
+# ------------------------------------------------------------------ settings per playlist
+SETTINGS = "strategy string, tol double, energy_direction string, peak_position int, harmonic_strictness int, allow_experimental boolean, " \
+    "genre_mixing boolean, genre_weight double, target_energy double, overlap double"
+LIMITS = {"peak_position": (40, 80), "harmonic_strictness": (1, 10), "genre_weight": (0.0, 1.0), "target_energy": (0.0, 100.0), "overlap": (4.0, 64.0)}
+
+
+def resolved_settings(settings: DataFrame, tol: float = 3.0) -> DataFrame:
+    """One row of complete settings per playlist: missing and NULL ones get the defaults, numbers are clamped.
+
+    ``settings``: playlist_id and any columns of ``SETTINGS``.  A parameter that the
+    strategy does not honour has its default; an unknown strategy orders as Harmonic
+    Flow.  Of repeated rows of a playlist the smallest counts.
+    """
+    default = {f.name: f.default for f in fields(StrategyConfig)} | {"strategy": "Harmonic Flow", "tol": float(tol)}
+    kinds = dict(x.rsplit(" ", 1) for x in SETTINGS.split(", "))
+    given = {n: (F.col(n) if n in settings.columns else F.lit(None)).cast(kind) for n, kind in kinds.items()}
+    honoured = F.coalesce(R.lookup(ALIASES, given["strategy"]), given["strategy"], F.lit(default["strategy"]))
+    out = []
+    for name, value in given.items():
+        if name in LIMITS:
+            low, high = LIMITS[name]
+            value = F.when(value.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), value)))
+        if name not in ("strategy", "tol"):
+            users = [s for s, names in SUPPORTED.items() if name in names]
+            known = F.when(honoured.isin(*SUPPORTED), honoured).otherwise("Harmonic Flow")
+            value = F.when(known.isin(*users), value)
+        out.append(F.coalesce(value, F.lit(default[name])).cast(kinds[name]).alias(name))
+    rows = settings.select("playlist_id", *out)
+    return rows.groupBy("playlist_id").agg(F.min(F.struct(*kinds)).alias("s")).select("playlist_id", "s.*")
+
+
+def sequence_by_settings(tracks: DataFrame, settings: DataFrame, tol: float = 3.0, weights: DataFrame | None = None) -> DataFrame:
+    """Order every playlist by its own strategy and parameters, all in one pass: rows as from :func:`sequence`.
+
+    Settings (see :func:`resolved_settings`) are a table; playlists without a row get the
+    defaults.  They travel as columns: the tempo gate, the key scores and the
+    peak curve read them per playlist, and so does the ordering.
+    """
+    kinds = [x.rsplit(" ", 1)[0] for x in SETTINGS.split(", ")]
+    usable = sequence_input(tracks)
+    all_playlists = usable.select("playlist_id").distinct().join(settings, "playlist_id", "left")
+    table = lineage.stored(resolved_settings(all_playlists, tol))
+    joined = usable.join(table.withColumnsRenamed({n: f"set_{n}" for n in kinds}), "playlist_id")
+    keep = tuple(f"set_{n}" for n in kinds)
+    with_edges = joined.where(~F.coalesce(R.lookup(ALIASES, F.col("set_strategy")), F.col("set_strategy")).isin(*WITHOUT_EDGES))
+    candidates = pairs.candidate_pairs(pairs.pair_features(with_edges, ("set_tol", "set_harmonic_strictness", "set_allow_experimental")), "set_tol")
+    scored = scoring.score_pairs(candidates, F.col("a_set_tol"), strictness=F.col("a_set_harmonic_strictness"),
+                                 experimental=F.col("a_set_allow_experimental"), weights=weights)
+    edges = scored.select(F.col("playlist_id").alias("edge_playlist"), "a_input_pos", "b_input_pos", "objective", "harmonic")
+
+    def order(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame(columns=["strategy", "playlist_id", "pos", "input_pos", "track_id"])
+        t, view = _view(left, right)
+        chosen = {n: (None if pd.isna(v) else v) for n, v in ((n, t[f"set_{n}"].iloc[0]) for n in kinds)}
+        name = chosen.pop("strategy")
+        chosen.pop("tol")
+        real = ALIASES.get(name, name)
+        real = real if real in STRATEGIES else "Harmonic Flow"
+        picked = t.iloc[STRATEGIES[real](view, **{n: chosen[n] for n in SUPPORTED[real]})]
+        return pd.DataFrame({"strategy": name, "playlist_id": picked["playlist_id"].to_numpy(), "pos": np.arange(len(picked)),
+                             "input_pos": picked["input_pos"].to_numpy(), "track_id": picked["track_id"].to_numpy()})
+
+    slim = _slim(joined, F.col("set_peak_position"), keep)
+    return slim.groupBy("playlist_id").cogroup(edges.groupBy("edge_playlist")).applyInPandas(order, ORDER_SCHEMA)

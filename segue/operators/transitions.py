@@ -288,14 +288,14 @@ def description(tol: float) -> Column:
 
 
 def recommend(ordered: DataFrame, tol: float = 3.0, *, overlap: float = 12.0, strictness: int = 7,
-              experimental: bool = True, order: str = "pos") -> DataFrame:
+              experimental: bool = True, order: str = "pos", weights: DataFrame | None = None) -> DataFrame:
     """Full plan and advice for every neighbour pair of the ordered playlists.
 
     ``ordered`` has the track columns plus ``pos``.  One window per playlist
-    pairs neighbours; everything else is a projection.
+    pairs neighbours; everything else is a projection.  ``weights`` are score weights per genre.
     """
     rows = with_tempo(adjacent(plan_features(ordered, order), order=order))
-    rows = scoring.score_pairs(rows, tol, strictness=strictness, experimental=experimental)
+    rows = scoring.score_pairs(rows, tol, strictness=strictness, experimental=experimental, weights=weights)
     wanted = float(max(4.0, min(64.0, overlap)))
     effective = F.when((a("duration") > 0) & (b("duration") > 0), F.least(
         F.lit(wanted), F.greatest(F.lit(6.0), F.least(a("duration"), b("duration")) * 0.2))).otherwise(wanted)

@@ -165,3 +165,36 @@ def test_repeated_genre_in_an_override(spark):
     defaults = spark.createDataFrame([("House", 0.2), ("Techno", 0.3)], "genre string, harmonic_weight double")
     override = spark.createDataFrame([("House", 0.5), ("House", 0.4), ("Polka", 1.0)], "genre string, harmonic_weight double")
     assert sorted(map(tuple, pairs.resolve_weights(defaults, override).collect())) == [("House", 0.5), ("Techno", 0.3)]
+
+
+def test_settings_per_playlist_equal_single_runs(spark, small):
+    tracks, _, _ = small
+    settings = spark.createDataFrame([(0, "Peak-Time", 4.0, 99, 9, False, None), (1, "Context Flow", None, None, 3, True, 0.9)],
+                                     "playlist_id long, strategy string, tol double, peak_position int, harmonic_strictness int, allow_experimental boolean, genre_weight double")
+    got = sorted(tuple(r) for r in sequence.sequence_by_settings(tracks, settings, TOL).collect())
+    first = sequence.sequence(tracks.where("playlist_id = 0"), "Peak-Time", 4.0, sequence.StrategyConfig.of({"peak_position": 99, "harmonic_strictness": 9, "allow_experimental": False}))
+    second = sequence.sequence(tracks.where("playlist_id = 1"), "Context Flow", TOL, sequence.StrategyConfig.of({"harmonic_strictness": 3, "genre_weight": 0.9}))
+    assert got == sorted(tuple(r) for r in first.unionByName(second).collect())
+    plain = sequence.sequence_by_settings(tracks, settings.where("playlist_id = 7"), TOL)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, sequence.sequence(tracks, "Harmonic Flow", TOL).collect()))
+
+
+def test_resolved_settings(spark):
+    rows = spark.createDataFrame([(1, "Warm-Up", 3, 500), (2, None, 50, None), (3, "no such", 0, 10), (4, "Peak-Time Enhanced", None, 90)],
+                                 "playlist_id long, strategy string, harmonic_strictness int, peak_position int")
+    got = {r["playlist_id"]: (r["strategy"], r["harmonic_strictness"], r["peak_position"], r["tol"], r["target_energy"]) for r in sequence.resolved_settings(rows, 2.5).collect()}
+    assert got == {1: ("Warm-Up", 7, 70, 2.5, None), 2: ("Harmonic Flow", 10, 70, 2.5, None), 3: ("no such", 1, 70, 2.5, None), 4: ("Peak-Time Enhanced", 7, 80, 2.5, None)}
+
+
+def test_weights_reach_order_and_plan(spark, small):
+    from segue import refdata as R
+    from segue.operators import transitions
+    tracks, _, _ = small
+    names = list(R.WEIGHT_DEFAULTS)
+    table = lambda w: spark.createDataFrame([(g, *[float(w[n]) for n in names]) for g in R.CANONICAL_GENRES], "genre string, " + ", ".join(f"{n} double" for n in names))
+    usual, energetic = table(R.WEIGHT_DEFAULTS), table({**{n: v if not n.endswith("_weight") else 0.0 for n, v in R.WEIGHT_DEFAULTS.items()}, "energy_weight": 1.0})
+    order = lambda w: sorted(map(tuple, sequence.sequence(tracks, "Harmonic Flow", TOL, weights=w).collect()))
+    assert order(usual) == order(None) != order(energetic)
+    rows = tracks.withColumn("pos", F.col("input_pos"))
+    plan = lambda w: sorted(map(str, transitions.recommend(rows, TOL, weights=w).collect()))
+    assert plan(usual) == plan(None) != plan(energetic)
