@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segue import lineage
 from segue import refdata as R
 from segue.functions import keys, tempo, vectors
 from segue.operators import ordered
@@ -232,7 +233,7 @@ def beat_intervals(beats: DataFrame) -> DataFrame:
 def bar_length(beats: DataFrame, tracks: DataFrame) -> DataFrame:
     """Seconds per bar from the median beat interval, octave errors repaired; NULL below 8 beats."""
     counts = beats.groupBy("track_id").agg(F.count("*").alias("n_beats"))
-    median = beat_intervals(beats).where(c("gap") > 0)
+    median = lineage.stored(beat_intervals(beats).where(c("gap") > 0))
     median = ordered.group_quantiles(median, "track_id", {"gap": {"ibi": 0.5}}, "beat_idx")
     rows = tracks.select("track_id", "bpm").join(counts, "track_id").join(median, "track_id", "left")
     expected = F.lit(60.0) / c("bpm")

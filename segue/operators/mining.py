@@ -73,7 +73,7 @@ def second_profile(frames: DataFrame) -> DataFrame:
     """Band levels and onset density per second, relative to the median second of the mix."""
     per_second = frames.groupBy("mix_id", F.floor("t_sec").alias("second")).agg(
         *[F.sqrt(F.avg(f"{b}_ms")).alias(b) for b in ("bass", "mids", "highs")], F.avg("onset").alias("onset"))
-    names = ("bass", "mids", "highs", "onset")
+    per_second, names = lineage.stored(per_second), ("bass", "mids", "highs", "onset")
     middle = ordered.group_quantiles(per_second, "mix_id", {n: {f"{n}_mid": 0.5} for n in names}, "second")
     medians = middle.select("mix_id", *[(c(f"{n}_mid") + 1e-9).alias(f"{n}_ref") for n in names])
     return ordered.attach(per_second, medians, "mix_id", "second").select(

@@ -164,7 +164,8 @@ def group_quantiles(rows: DataFrame, key: str, points: dict[str, dict[str, float
     quantile; a second pass counts what lies below the bracket and how often each value
     inside it occurs, both as partial sums.  Only the few values inside a bracket are
     ever ordered, never a group.  A group without values gets NULL.  Rows of a key are
-    spread over join keys by the integer column ``spread``.
+    spread over join keys by the integer column ``spread``.  ``rows`` are read three times, so derived
+    ones should be stored before; brackets and result are stored, one row per key.
     """
     asked = [(column, name, share) for column, names in points.items() for name, share in names.items()]
     reach = 4.0 / SKETCH
@@ -172,8 +173,8 @@ def group_quantiles(rows: DataFrame, key: str, points: dict[str, dict[str, float
     ends = {v: F.array(*[F.lit(x) for s in names.values() for x in (max(s - reach, 0.0), min(s + reach, 1.0))]) for v, names in points.items()}
     sketches = used.groupBy(key).agg(*[F.percentile_approx(v, e, F.lit(SKETCH)).alias(f"sketch_{v}") for v, e in ends.items()])
     places = {name: i for names in points.values() for i, name in enumerate(names)}
-    brackets = sketches.select(key, *[F.get(f"sketch_{v}", F.lit(2 * places[name] + side)).alias(f"{name}_{end}")
-                                      for v, name, _ in asked for side, end in enumerate(("from", "to"))])
+    brackets = lineage.stored(sketches.select(key, *[F.get(f"sketch_{v}", F.lit(2 * places[name] + side)).alias(f"{name}_{end}")
+                                      for v, name, _ in asked for side, end in enumerate(("from", "to"))]))
     placed = attach(used, brackets, key, spread)
     low, high = (lambda name: F.col(f"{name}_from")), (lambda name: F.col(f"{name}_to"))
     counts = placed.groupBy(key).agg(*[F.count(v).alias(f"{v}_size") for v in points], *[x for v, name, _ in asked for x in (
@@ -203,4 +204,4 @@ def group_quantiles(rows: DataFrame, key: str, points: dict[str, dict[str, float
     weight = position - F.floor(position)
     both = found.select(key, "q", ((1.0 - weight) * value("left", F.floor(position)) + weight * value("right", F.ceil(position))).alias("v"))
     wide = both.groupBy(key).agg(*[F.max(F.when(F.col("q") == i, F.col("v"))).alias(name) for i, (_, name, _) in enumerate(asked)])
-    return brackets.select(key).join(wide, key, "left")
+    return lineage.stored(brackets.select(key).join(wide, key, "left"))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from segue import lineage
 from segue.functions import tempo
 from segue.operators import ordered, pairs, suppress
 
@@ -73,7 +74,7 @@ def phrase_unit(bars: DataFrame, tracks: DataFrame, genre: str = "genre") -> Dat
 
     Bars of a track are few; the lagged products come from one window over them.
     """
-    curve = normalize_novelty(bars, ["novelty"], "bar")
+    curve = normalize_novelty(lineage.stored(bars), ["novelty"], "bar")
     mean = F.avg("novelty").over(Window.partitionBy("track_id"))   # bars of one track
     w = Window.partitionBy("track_id").orderBy("bar")
     centred = curve.select("track_id", "bar", (c("novelty") - mean).alias("x"))
