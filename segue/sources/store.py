@@ -58,8 +58,10 @@ class BucketStore:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{f}" for f in folders])
 
-    def read(self, version: int | None = None) -> DataFrame:
-        return self._rows(sorted(self.manifest(version)["folders"].values()))
+    def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The rows of a version, or of some of its buckets only."""
+        folders = self.manifest(version)["folders"]
+        return self._rows(sorted(f for b, f in folders.items() if buckets is None or int(b) in set(buckets)))
 
     def _write(self, rows: DataFrame, buckets: int) -> dict[str, str]:
         """Rows as one folder per bucket: bucket -> folder."""
@@ -96,6 +98,11 @@ class BucketStore:
         self._commit(now["version"] + 1, now["buckets"], {**kept, **new})
         return touched
 
+    def replace(self, rows: DataFrame) -> None:
+        """These rows instead of all that the store holds."""
+        now = self.manifest()
+        self._commit(now["version"] + 1, now["buckets"], self._write(rows, now["buckets"]))
+
     def rebucket(self, buckets: int) -> None:
         """The same rows in another number of buckets, one folder each."""
         now = self.manifest()

@@ -14,6 +14,7 @@ from segue.sources.store import BucketStore
 
 RECORD_SCHEMA = "key string, version int, ingest_ts timestamp, data string"
 RATING_SCHEMA = "pair_id string, rating int, rated_at timestamp"
+SHEET_SCHEMA = "pair_id string, rating string"
 
 
 def _current(spark: SparkSession, root: str, schema: str) -> tuple[DataFrame, int]:
@@ -65,19 +66,36 @@ def _folder(checkpoint: str) -> str:
 def merge_rating_stream(spark: SparkSession, source: str, sheet: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Ratings as they arrive, however late: the last one per pair wins, the higher of two at the same time.
 
-    ``sheet`` is the table of known pairs (pair_id, rating).  Every batch adds its
-    ratings to a log, and the next version of the sheet is built from the whole log;
-    repeats and retried batches change nothing.
+    ``sheet`` is the table of known pairs (pair_id, rating).  The state store keeps the
+    winner of every pair by event time, so a batch hands on only the pairs it met.  They
+    go into two bucket stores, whose touched buckets alone are written again:
+    ``target/ratings`` (the winner of every pair, known or not) and ``target/sheet``.
+    Both compare event times once more, so repeats, retried batches and a new checkpoint
+    over an old target change nothing.  A start rebuilds the sheet from ``sheet`` and the
+    ratings kept, which brings in pairs that have become known since.
+
+    Ratings without a pair are left out; one without a time loses against any other.  The
+    state has one row per pair; large sheets should keep it in RocksDB
+    (``spark.sql.streaming.stateStore.providerClass``).
     """
     stream = spark.readStream.schema(RATING_SCHEMA).json(source)
+    winner = F.max(F.struct("rated_at", "rating")).alias("r")
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{target}/log/query={_folder(checkpoint)}/batch={batch_id}")
-        log = session.read.schema(RATING_SCHEMA).parquet(f"{target}/log")
-        last = log.groupBy("pair_id").agg(F.max_by("rating", F.struct("rated_at", "rating")).alias("rating"))
-        newest = _current(session, f"{target}/sheet", "pair_id string, rating string")[1]
-        ratings.merge_ratings(sheet, last).write.mode("overwrite").parquet(f"{target}/sheet/v={newest + 1}")
+    def winners(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("pair_id").agg(winner).select("pair_id", "r.rating", "r.rated_at")
 
-    return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    def stores(session: SparkSession) -> tuple[BucketStore, BucketStore]:
+        return (BucketStore(session, f"{target}/ratings", RATING_SCHEMA, "pair_id"),
+                BucketStore(session, f"{target}/sheet", SHEET_SCHEMA, "pair_id"))
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        kept, shown = stores(batch.sparkSession)
+        batch = batch.where("pair_id IS NOT NULL")
+        touched = kept.update(batch, lambda old, new: winners(old.unionByName(new)))
+        if touched:
+            shown.update(kept.read(buckets=touched).join(batch.select("pair_id"), "pair_id", "left_semi"), ratings.merge_ratings)
+
+    kept, shown = stores(spark)
+    shown.replace(ratings.merge_ratings(sheet.select("pair_id", "rating"), kept.read()))
+    return (winners(stream).writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

@@ -120,6 +120,30 @@ def test_rating_stream(spark, tmp_path):
         assert got == {"p1": "5", "p2": "1"}
 
 
+def test_rating_state_over_restarts(spark, tmp_path):
+    """Late, repeated and equal-time ratings after a restart; pairs that become known later; only touched buckets are written."""
+    source, target, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    (tmp_path / "in").mkdir()
+    known = [(f"p{i}", "") for i in range(200)]
+
+    def run(name, rows, sheet=known, at=check):
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps(dict(zip(("pair_id", "rating", "rated_at"), r))) for r in rows))
+        ingest.merge_rating_stream(spark, source, spark.createDataFrame(sheet, ingest.SHEET_SCHEMA), target, at).awaitTermination()
+        return {r["pair_id"]: r["rating"] for r in ingest.current_table(spark, f"{target}/sheet", ingest.SHEET_SCHEMA).collect() if r["rating"]}
+
+    first = [(f"p{i}", 3, "2024-01-01T10:00:00Z") for i in range(3)]
+    assert run("1.json", first + [("late", 4, "2024-01-01T10:00:00Z"), (None, 5, "2024-01-01T10:00:00Z")]) == {"p0": "3", "p1": "3", "p2": "3"}
+    ratings = BucketStore(spark, f"{target}/ratings", ingest.RATING_SCHEMA, "pair_id")
+    before = _data_folders(ratings)
+    # older than the winner, as old and higher, newer and lower, without a time
+    got = run("2.json", [("p0", 1, "2023-12-31T10:00:00Z"), ("p1", 5, "2024-01-01T10:00:00Z"), ("p2", 1, "2024-01-01T10:00:01Z"), ("p0", 2, None)])
+    assert got == {"p0": "3", "p1": "5", "p2": "1"}
+    assert 0 < len(_data_folders(ratings) - before) <= 3          # three pairs met, at most three buckets written
+    # a pair known now, and a fresh checkpoint that reads everything again
+    assert run("3.json", [("p0", 3, "2024-01-01T10:00:00Z")], known + [("late", "")]) == {"p0": "3", "p1": "5", "p2": "1", "late": "4"}
+    assert run("4.json", [("p1", 2, "2024-01-01T09:00:00Z")], known, str(tmp_path / "check2")) == {"p0": "3", "p1": "5", "p2": "1"}
+
+
 def _merge(old, new):
     return library.upsert_tracks(old, new, 2)
 
