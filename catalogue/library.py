@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalogue import relations as rel
@@ -9,9 +11,10 @@ from catalogue.harness import canon, sql, with_ctes
 from catalogue.pairs import resolved
 from catalogue.plans import q
 from catalogue.sets import ordered
+from segue import lineage
 from segue.functions import bands, grid, keys, tempo, text, vectors
 from segue.operators import quality
-from segue.sources import exports, library
+from segue.sources import collection, exports, library
 
 C = rel.CTES
 duck = rel.duck
@@ -293,6 +296,35 @@ def xml_marks(spark, sf):
     return canon(exports.xml_marks(exports.deduplicated(_exported(spark, sf))))
 
 
+def _collection_file(spark, sf):
+    """The exported playlists as XML files in the shared folder."""
+    path = f"{lineage.shared_folder(spark)}/collection-{uuid.uuid4().hex}"
+    exports.write_xml(exports.xml_document(exports.deduplicated(_exported(spark, sf)), "Set"), path)
+    return path
+
+
+def xml_tracks_read(spark, sf):
+    """Collection entries of written files, read back."""
+    t = collection.tracks(collection.read_entries(spark, _collection_file(spark, sf)))
+    m = F.col("marks")
+    return canon(t.select("playlist_id", F.col("track_key").cast("long").alias("xml_id"), "name", "artist", "genre", "duration", "bpm", "key_text", "path",
+                          F.get("tempo.start", F.lit(0)).alias("anchor"), F.size(m).alias("n_marks"), F.size(F.filter(m, lambda x: x["hot"])).alias("n_hot"),
+                          F.array_join(F.transform(m, lambda x: x["name"]), ",").alias("mark_names"),
+                          F.aggregate(m, F.lit(0.0), lambda a, x: a + x["start"]).alias("mark_seconds")))
+
+
+def xml_members_read(spark, sf):
+    """Playlists of written files, read back."""
+    t = collection.read_playlists(spark, _collection_file(spark, sf))
+    return canon(t.select("playlist_id", "playlist", "position", F.col("track_key").cast("long").alias("xml_id")))
+
+
+def xml_catalog(spark, sf):
+    """Catalogue made of written collection files: the export of all playlists as an import."""
+    rows = collection.catalog_rows(collection.tracks(collection.read_entries(spark, _collection_file(spark, sf))))
+    return canon(library.read_catalog(rows).select("path", "basename", "ambiguous", "n_records"))
+
+
 def report(spark, sf):
     return canon(exports.export_report(exports.deduplicated(_exported(spark, sf))))
 
@@ -305,6 +337,7 @@ QUERIES = {
     "s4_signed_keys": signed, "s5_catalog": catalog, "j5_catalog_match": matched, "a7_catalog_stats": catalog_statistics, "a8_coverage": coverage,
     "s7_predictions": predictions, "s8_m3u8": m3u8, "u2_deduplicated": deduplicated, "s9_xml_collection": xml_rows, "s9_xml_marks": xml_marks,
     "s10_export_report": report, "s10_export_errors": export_errors, "s8_m3u8_relative": m3u8_relative, "s9_xml_document": xml_document,
+    "s9_xml_tracks_read": xml_tracks_read, "s9_xml_members_read": xml_members_read, "s9_xml_catalog": xml_catalog,
 }
 
 # ------------------------------------------------------------------- SQL twins
@@ -501,6 +534,29 @@ SQL = {
         UNION ALL SELECT playlist_id, 1, xml_id, 1073741824, '</TRACK>' FROM kept
         UNION ALL SELECT playlist_id, 1, xml_id, seq, '<POSITION_MARK Name="' || name || '" Type="0" Start="' || format('{{:.3f}}', round_even(start * 1000e0, 0) / 1000e0) || '" Num="' || num || '"/>' FROM marks
         UNION ALL SELECT playlist_id, 3, xml_id, 0, '<TRACK Key="' || CAST(xml_id AS BIGINT) || '"/>' FROM kept)"""), "playlist_id part xml_id seq", texts="line"),
+    "s9_xml_tracks_read": sql(with_ctes(C, ["exported", "wheel", "track_sections"], f"""
+        SELECT * FROM (WITH kept AS (SELECT *, {_CUEOK} AS cues, {_TO_TEXT} AS key_text FROM exported LEFT JOIN wheel ON note = key_note AND mode = key_mode WHERE export_error IS NULL),
+        parts AS (SELECT playlist_id, xml_id, count(*) AS n, string_agg(upper(label), ',' ORDER BY section_idx) AS names, sum(round_even(start_time * 1000e0, 0) / 1000e0) AS secs
+          FROM kept e JOIN track_sections s ON s.track_id = e.track_id WHERE cues AND label IN ('drop', 'breakdown') AND start_time > 0 GROUP BY 1, 2)
+        SELECT k.playlist_id, CAST(k.xml_id AS BIGINT) AS xml_id, title AS name, artist, CASE WHEN detected_genre <> 'Unknown' THEN detected_genre ELSE genre END AS genre,
+          CAST(CAST(duration AS BIGINT) AS DOUBLE) AS duration, CAST(format('{{:.2f}}', bpm) AS DOUBLE) AS bpm, key_text, xpath AS path,
+          CASE WHEN {_GRIDOK} THEN round_even(first_downbeat * 1000e0, 0) / 1000e0 END AS anchor,
+          CASE WHEN cues THEN 4 + coalesce(n, 0) ELSE 0 END AS n_marks, CASE WHEN cues THEN 2 ELSE 0 END AS n_hot,
+          CASE WHEN cues THEN 'MIX IN,MIX IN,MIX OUT,MIX OUT' || coalesce(',' || names, '') ELSE '' END AS mark_names,
+          CASE WHEN cues THEN 2 * (round_even(mix_in_point * 1000e0, 0) + round_even(mix_out_point * 1000e0, 0)) / 1000e0 + coalesce(secs, 0) ELSE 0 END AS mark_seconds
+        FROM kept k LEFT JOIN parts p ON p.playlist_id = k.playlist_id AND p.xml_id = k.xml_id)"""), "playlist_id xml_id n_marks n_hot", "duration bpm anchor mark_seconds", "name artist genre key_text path mark_names"),
+    "s9_xml_members_read": sql(with_ctes(C, ["exported"], """SELECT playlist_id, 'ROOT/Playlists/Set' AS playlist, xml_id - 1 AS position, xml_id FROM exported WHERE export_error IS NULL"""),
+                               "playlist_id position xml_id", texts="playlist"),
+    "s9_xml_catalog": sql(with_ctes(C, ["exported", "wheel", "track_sections"], f"""
+        SELECT * FROM (WITH kept AS (SELECT *, lower(xpath) AS place, {_CUEOK} AS cues, {_TO_TEXT} AS key_text FROM exported LEFT JOIN wheel ON note = key_note AND mode = key_mode WHERE export_error IS NULL),
+        marks AS (SELECT playlist_id, xml_id, start FROM (SELECT playlist_id, xml_id, unnest([mix_in_point, mix_out_point]) AS start FROM kept WHERE cues
+            UNION ALL SELECT playlist_id, xml_id, start_time FROM kept e JOIN track_sections s ON s.track_id = e.track_id WHERE cues AND label IN ('drop', 'breakdown') AND start_time > 0)),
+        lists AS (SELECT playlist_id, xml_id, list_sort(list_distinct(list(round_even(start * 1000e0, 0) / 1000e0)))::VARCHAR AS cue FROM marks GROUP BY 1, 2),
+        raw AS (SELECT k.*, cue FROM kept k LEFT JOIN lists l ON l.playlist_id = k.playlist_id AND l.xml_id = k.xml_id)
+        SELECT place AS path, regexp_extract(place, '[^/]*$') AS basename, count(*) AS n_records,
+          count(DISTINCT format('{{:.2f}}', bpm)) > 1 OR count(DISTINCT key_text) > 1 OR count(DISTINCT CAST(duration AS BIGINT)) > 1 OR count(DISTINCT title) > 1 OR count(DISTINCT artist) > 1
+          OR count(DISTINCT CASE WHEN detected_genre <> 'Unknown' THEN detected_genre ELSE genre END) > 1 OR count(DISTINCT xml_id) > 1 OR count(DISTINCT cue) > 1 AS ambiguous
+        FROM raw GROUP BY place)"""), "n_records", texts="path basename", bools="ambiguous"),
     "s10_export_errors": sql(with_ctes(C, ["exported"], f"""SELECT playlist_id, pos, export_error AS error FROM exported WHERE export_error IS NOT NULL
         UNION ALL SELECT playlist_id, pos, xpath || ': Beatgrid ausgelassen (kein verlaesslicher Downbeat)' FROM exported WHERE export_error IS NULL AND ({_GRIDOK}) IS NOT TRUE
         UNION ALL SELECT playlist_id, pos, xpath || ': Cues ausgelassen (Coverage/Schema/Provenienz unzureichend)' FROM exported WHERE export_error IS NULL AND ({_CUEOK}) IS NOT TRUE"""),

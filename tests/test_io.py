@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalogue import library as lib_queries
-from segue.sources import exports, library
+from segue.sources import collection, exports, library
 from segue.sources.store import BucketStore
 from segue.streaming import ingest
 
@@ -41,6 +41,33 @@ def test_m3u8_and_xml_round_trip(spark, sf, tmp_path):
         assert all(t.get("Location").startswith("file://localhost/") for t in root.findall("COLLECTION/TRACK"))
 
 
+def test_foreign_collection(spark, tmp_path):
+    """A file of another writer: nested folders, attributes that are missing or no numbers, literal plus signs, several anchors."""
+    (tmp_path / "c.xml").write_text("""<?xml version="1.0" encoding="UTF-8"?>
+<DJ_PLAYLISTS Version="1.0.0"><PRODUCT Name="x"/><COLLECTION Entries="3">
+<TRACK TrackID="7" Name=" A &amp; B " Artist="" TotalTime="300" AverageBpm="128.00" Tonality="8A" Location="file://localhost/C:/a%20+b.mp3" Extra="1">
+ <TEMPO Inizio="0.025" Bpm="128.00" Metro="4/4" Battito="1"/><TEMPO Inizio="60.5" Bpm="129.00" Metro="4/4" Battito="3"/>
+ <POSITION_MARK Name="Drop" Type="0" Start="60.500" Num="0"/><POSITION_MARK Name="" Type="0" Start="x" Num="-1"/></TRACK>
+<TRACK TrackID="8" Name="N" AverageBpm="fast" Location="file://localhost/home/x%C3%BC.mp3"/>
+<TRACK TrackID="9" Location="file:///D:/y.mp3"/></COLLECTION>
+<PLAYLISTS><NODE Type="0" Name="ROOT" Count="2"><NODE Name="One" Type="1" KeyType="0" Entries="3"><TRACK Key="8"/><TRACK Key="7"/><TRACK Key="8"/></NODE>
+<NODE Name="F" Type="0"><NODE Name="G" Type="0"><NODE Name="Two" Type="1"><TRACK Key="9"/></NODE><NODE Name="None" Type="1"></NODE></NODE></NODE></NODE></PLAYLISTS></DJ_PLAYLISTS>
+""")
+    rows = {r["track_key"]: r for r in collection.tracks(collection.read_entries(spark, str(tmp_path))).collect()}
+    assert sorted(rows) == ["7", "8", "9"]
+    a, b, d = rows["7"], rows["8"], rows["9"]
+    assert (a["name"], a["artist"], a["bpm"], a["duration"], a["path"]) == (" A & B ", "", 128.0, 300.0, "C:/a +b.mp3")
+    assert [tuple(t) for t in a["tempo"]] == [(0.025, 128.0, "4/4", 1), (60.5, 129.0, "4/4", 3)] and [tuple(m) for m in a["marks"]] == [("Drop", 60.5, 0, True)]
+    assert (b["bpm"], b["artist"], b["tempo"], b["marks"], b["path"]) == (None, None, [], [], "/home/xü.mp3") and d["path"] == "D:/y.mp3"
+    members = collection.read_playlists(spark, str(tmp_path)).collect()
+    assert sorted((r["playlist"], r["position"], r["track_key"]) for r in members) == [
+        ("ROOT/F/G/Two", 0, "9"), ("ROOT/One", 0, "8"), ("ROOT/One", 1, "7"), ("ROOT/One", 2, "8")]
+    with pytest.raises(Exception, match="deeper than 3"):
+        collection.read_playlists(spark, str(tmp_path), depth=3).collect()
+    catalog = {r["path"]: r for r in library.read_catalog(collection.catalog_rows(collection.tracks(collection.read_entries(spark, str(tmp_path))))).collect()}
+    assert (catalog["c:/a +b.mp3"]["bpm"], catalog["c:/a +b.mp3"]["camelot"], catalog["c:/a +b.mp3"]["cues"]) == (128.0, "8A", [60.5])
+
+
 def test_locations_and_relative_paths(spark):
     df = spark.createDataFrame([("C:\\Music\\a b & ü.mp3",), ("/home/x/y.mp3",), ("\\\\server\\share\\z.mp3",)], "p string")
     got = [tuple(r) for r in df.select(exports.location(F.col("p")), exports.relative_path(exports._portable(F.col("p")), "/home/sets/one")).collect()]
