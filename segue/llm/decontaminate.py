@@ -52,7 +52,7 @@ def _item_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for item, text in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
             hashes = word_hashes(words(text))
-            if not len(hashes) or item is None:
+            if not len(hashes):
                 continue
             n = min(WINDOW, len(hashes))
             k = gram_size(n)
@@ -119,8 +119,9 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     compared by 64-bit hash.  Items of fewer words than a window are windows of
     their own length.
 
-    Null texts have no words; null item ids and items without words are left out;
-    repeated items and rows each count; empty tables give no hits.
+    Null texts have no words; items without words are left out; the windows of items
+    without an id count as hits, but such items are not named in ``items``; repeated
+    items and rows each count; empty tables give no hits.
     """
     items = saved(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(_item_marks, _ITEM_DDL))
     lengths = sorted(r["n"] for r in items.select("n").distinct().collect())          # at most WINDOW rows

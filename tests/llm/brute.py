@@ -128,8 +128,7 @@ def decontamination(docs, items, window=10):
         w = cut(text)
         n = min(window, len(w))
         for i in range(len(w) - n + 1 if n else 0):
-            if item is not None:
-                known[tuple(w[i:i + n])].add(str(item))
+            known[tuple(w[i:i + n])] |= {str(item)} if item is not None else set()
     lengths = {len(k) for k in known}
     out = []
     for doc, text in docs:

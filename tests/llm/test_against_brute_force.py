@@ -139,3 +139,14 @@ def test_whole_stream_archives_are_rewritten(spark, tmp_path):
     row = index.where("page_id = 17").first()
     data = gzip.decompress(open(row["archive"], "rb").read()[row["offset"]:row["offset"] + row["length"]])
     assert warc.parse(data)[1] == b"page 17 " * 50 and open(row["archive"] + ".idx").read().count("\n") == index.where(F.col("archive") == row["archive"]).count()
+
+
+def test_items_without_an_id_are_hits(spark, make_docs):
+    """Their passages count and make a document go; only their name is missing."""
+    w = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(w[:30])), (2, " ".join(w[30:])), (3, "clean text"), (None, " ".join(w[3:20]))]
+    items = [(None, " ".join(w[5:17])), (7, " ".join(w[8:19])), (None, " ".join(w[40:52])), (None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = rows_of(decontaminate.digests(make_docs(rows), bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert got == sorted(brute.decontamination(rows, items), key=str)
+    assert [r["doc_id"] for r in decontaminate.clean_documents(make_docs(rows), bench).collect()] == [3]
