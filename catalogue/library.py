@@ -32,6 +32,18 @@ RECORD = {
              "',\"key_confidence\":', CAST((e % 13) / 10e0 AS STRING), ',\"sections\":', CASE WHEN e % 19 = 0 THEN '\"x\"' ELSE '[]' END, "
              "',\"mix_in_point\":', CAST(e % 300 AS STRING), ',\"mix_out_point\":', CAST(e * 3 % 420 AS STRING), ',\"extra\":1}') END"),
 }
+# open fields of records, some elements broken
+OPEN = {
+    "phrases": ("concat('[{\"start_s\":', CAST(e % 90 AS STRING), ',\"end_s\":', CASE WHEN e % 11 = 0 THEN '\"x\"' ELSE CAST(e % 90 + 16 AS STRING) END, "
+                "',\"label\":\"P', CAST(e % 3 AS STRING), '\",\"mood\":1,\"kind\":', CAST(e % 4 AS STRING), ',\"fill\":0}', CASE WHEN e % 7 = 0 THEN ',null]' ELSE ']' END)"),
+    "cue_points": ("CASE WHEN e % 13 = 0 THEN '{\"t\":1}' ELSE concat('[{\"t\":', CAST(e % 50 - 5 AS STRING), ',\"name\":\"c\",\"typ\":\"cue\",\"hot_cue\":', "
+                   "CASE WHEN e % 2 = 0 THEN 'null' ELSE '3' END, ',\"provenance\":\"manual\"}]') END"),
+    "mix_in_candidates": ("concat('[{\"t\":', CAST(e % 200 AS STRING), ',\"schema\":[\"phrase\",\"cue\"],\"kick_aktiv\":', CASE WHEN e % 2 = 0 THEN 'true' ELSE 'false' END, "
+                          "',\"energy_lokal\":', CASE WHEN e % 17 = 0 THEN '\"loud\"' ELSE CAST(e % 100 AS STRING) END, '}]')"),
+    "ai_metadata": ("CASE WHEN e % 5 = 0 THEN '[]' ELSE concat('{\"sub_genre\":\"g', CAST(e % 6 AS STRING), '\",\"moods\":[\"a\",\"b\"],\"mix_in_time\":', "
+                    "CAST(e % 40 AS STRING), '}') END"),
+    "analysis_coverage": "concat('[[0,', CAST(e % 300 AS STRING), CASE WHEN e % 9 = 0 THEN '],[5]]' ELSE ']]' END)",
+}
 NAME = ("concat('0', CAST(k % 10 AS STRING), CASE WHEN k % 3 = 0 THEN ' - ' ELSE '_' END, p_name, CASE WHEN k % 4 = 0 THEN ' - ' ELSE '_' END, "
         "'Song ', CAST(k AS STRING), CASE WHEN k % 2 = 0 THEN concat('_', CAST(100 + k % 60 AS STRING), '__(', "
         + rel.pick(["Tech_House", "Psy-Trance", "Melodic House & Techno", "Original Mix", "House", "Ambient"], "k % 6")
@@ -221,6 +233,34 @@ def parsed(spark, sf):
     return canon(library.read_tracks(records(spark, sf)).select("filePath", "bpm", "duration", "mix_in_point"))
 
 
+def _open_records(spark, sf):
+    """Parsed records of one file an event, with open fields."""
+    e = rel.read(spark, sf, "events").withColumn("e", F.col("event_id"))
+    fields = F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), F.expr(x)) for n, x in OPEN.items()])
+    data = F.concat(F.lit('{"filePath":"C:/o/'), F.col("e").cast("string"), F.lit('.mp3",'), fields, F.lit("}"))
+    return library.read_tracks(e.select(F.col("e").alias("ingest_ts"), data.alias("data")))
+
+
+def typed(spark, sf):
+    """Phrases, cues, candidates, AI record and coverage as arrays and structs."""
+    t = library.typed_fields(_open_records(spark, sf))
+
+    def first(field: str, name: str):
+        return F.get(field, F.lit(0))[name]
+
+    return canon(t.select(
+        "filePath", F.size("phrases").alias("n_phrases"), first("phrases", "end_s").alias("phrase_end"), first("phrases", "label").alias("phrase_label"),
+        first("phrases", "kind").alias("phrase_kind"), F.size("cue_points").alias("n_cues"), first("cue_points", "t").alias("cue_t"),
+        first("cue_points", "hot_cue").alias("hot_cue"), F.size("mix_in_candidates").alias("n_in"), first("mix_in_candidates", "kick_aktiv").alias("kick"),
+        first("mix_in_candidates", "energy_lokal").alias("energy"), F.array_join(first("mix_in_candidates", "schema"), ",").alias("schemes"),
+        F.size("mix_out_candidates").alias("n_out"), F.col("ai_metadata.sub_genre").alias("sub_genre"), F.array_join("ai_metadata.moods", ",").alias("moods"),
+        F.size("analysis_coverage").alias("n_spans"), first("analysis_coverage", "end_s").alias("covered_to")))
+
+
+def rejected(spark, sf):
+    return canon(library.rejected_elements(_open_records(spark, sf)))
+
+
 def changes(spark, sf):
     t = rel.tracks(spark, sf)
     files = t.select(F.col("file_path").alias("path"), F.expr("track_id * 31 % 1000").alias("length"), F.expr("track_id % 77").alias("modified"))
@@ -333,7 +373,7 @@ QUERIES = {
     "f1_f5_keys": key_functions, "f6_f11_tempo": tempo_functions, "f12_f13_grid": grid_functions, "f23_f24_vectors": vector_functions,
     "f14_f15_names": names, "f16_f17_genre_tags": tags, "f25_f26_bands": band_functions, "a10_label_accuracy": label_accuracy,
     "v1_validated_records": validated, "v2_limits": limits, "v2_first_tracks": first_tracks, "v3_sanitized": sanitized, "v5_ai_contract": ai_contract, "v6_cue_gate": cue_gate,
-    "v7_provenance": provenance, "v8_ab_manifest": manifest, "s2_parsed_tracks": parsed, "s3_upserted_store": store, "s4_j6_changed_files": changes,
+    "v7_provenance": provenance, "v8_ab_manifest": manifest, "s2_parsed_tracks": parsed, "s2_typed_fields": typed, "s2_rejected_elements": rejected, "s3_upserted_store": store, "s4_j6_changed_files": changes,
     "s4_signed_keys": signed, "s5_catalog": catalog, "j5_catalog_match": matched, "a7_catalog_stats": catalog_statistics, "a8_coverage": coverage,
     "s7_predictions": predictions, "s8_m3u8": m3u8, "u2_deduplicated": deduplicated, "s9_xml_collection": xml_rows, "s9_xml_marks": xml_marks,
     "s10_export_report": report, "s10_export_errors": export_errors, "s8_m3u8_relative": m3u8_relative, "s9_xml_document": xml_document,
@@ -534,6 +574,22 @@ SQL = {
         UNION ALL SELECT playlist_id, 1, xml_id, 1073741824, '</TRACK>' FROM kept
         UNION ALL SELECT playlist_id, 1, xml_id, seq, '<POSITION_MARK Name="' || name || '" Type="0" Start="' || format('{{:.3f}}', round_even(start * 1000e0, 0) / 1000e0) || '" Num="' || num || '"/>' FROM marks
         UNION ALL SELECT playlist_id, 3, xml_id, 0, '<TRACK Key="' || CAST(xml_id AS BIGINT) || '"/>' FROM kept)"""), "playlist_id part xml_id seq", texts="line"),
+    "s2_typed_fields": sql("""SELECT *, CASE WHEN n_phrases = 1 THEN e % 90 + 16 END AS phrase_end, CASE WHEN n_phrases = 1 THEN 'P' || (e % 3) END AS phrase_label,
+          CASE WHEN n_phrases = 1 THEN e % 4 END AS phrase_kind, CASE WHEN n_cues = 1 THEN e % 50 - 5 END AS cue_t, CASE WHEN n_cues = 1 AND e % 2 = 1 THEN 3 END AS hot_cue,
+          CASE WHEN n_in = 1 THEN e % 2 = 0 END AS kick, CASE WHEN n_in = 1 THEN e % 100 END AS energy, CASE WHEN n_in = 1 THEN 'phrase,cue' END AS schemes
+        FROM (SELECT event_id AS e, 'C:/o/' || event_id || '.mp3' AS "filePath", CASE WHEN event_id % 11 = 0 THEN 0 ELSE 1 END AS n_phrases,
+          CASE WHEN event_id % 13 = 0 OR event_id % 50 < 5 THEN 0 ELSE 1 END AS n_cues, CASE WHEN event_id % 17 = 0 THEN 0 ELSE 1 END AS n_in, 0 AS n_out,
+          CASE WHEN event_id % 5 <> 0 THEN 'g' || (event_id % 6) END AS sub_genre, CASE WHEN event_id % 5 <> 0 THEN 'a,b' END AS moods, 1 AS n_spans, event_id % 300 AS covered_to FROM events)""",
+        "n_phrases phrase_kind n_cues hot_cue n_in energy n_out n_spans", "phrase_end cue_t covered_to", '"filePath" phrase_label schemes sub_genre moods', "kick"),
+    "s2_rejected_elements": sql(with_ctes({**C, "open_records": duck("SELECT event_id, " + ", ".join(f"{x} AS {n}" for n, x in OPEN.items())
+                                                                     + " FROM (SELECT *, event_id AS e FROM events)")}, ["open_records"], """
+        SELECT 'C:/o/' || event_id || '.mp3' AS "filePath", * FROM (
+          SELECT event_id, 'phrases' AS field, 0 AS position, rtrim(substr(phrases, 2), ',nul]') AS element, 'value of another type' AS reason FROM open_records WHERE event_id % 11 = 0
+          UNION ALL SELECT event_id, 'phrases', 1, NULL, 'no record' FROM open_records WHERE event_id % 7 = 0
+          UNION ALL SELECT event_id, 'cue_points', -1, cue_points, 'no list' FROM open_records WHERE event_id % 13 = 0
+          UNION ALL SELECT event_id, 'cue_points', 0, substr(cue_points, 2, length(cue_points) - 2), 't is no time' FROM open_records WHERE event_id % 13 <> 0 AND event_id % 50 < 5
+          UNION ALL SELECT event_id, 'mix_in_candidates', 0, substr(mix_in_candidates, 2, length(mix_in_candidates) - 2), 'value of another type' FROM open_records WHERE event_id % 17 = 0)"""),
+        "position", texts='"filePath" field element reason'),
     "s9_xml_tracks_read": sql(with_ctes(C, ["exported", "wheel", "track_sections"], f"""
         SELECT * FROM (WITH kept AS (SELECT *, {_CUEOK} AS cues, {_TO_TEXT} AS key_text FROM exported LEFT JOIN wheel ON note = key_note AND mode = key_mode WHERE export_error IS NULL),
         parts AS (SELECT playlist_id, xml_id, count(*) AS n, string_agg(upper(label), ',' ORDER BY section_idx) AS names, sum(round_even(start_time * 1000e0, 0) / 1000e0) AS secs

@@ -30,6 +30,14 @@ TRACK_SCHEMA = (
     # of open shape: kept as their JSON text
     "ai_metadata string, analysis_coverage string, phrases string, cue_points string, "
     "mix_in_candidates string, mix_out_candidates string")
+# local values of a mix-point candidate; names are fixed values
+_CANDIDATE = (
+    "t double, schema array<string>, provenance string, confidence double, section_label string, phrase_label string, "
+    "neuheit double, traegt_allein boolean, groove_pattern_lokal array<double>, bass_pattern_lokal array<double>, "
+    "syncopation_lokal double, percussive_ratio_lokal double, sub_energy double, bass_punch double, bass_rms_dbfs double, "
+    "kick_aktiv boolean, camelot_lokal string, key_confidence_lokal double, timbre_fingerprint_lokal array<double>, "
+    "brightness_lokal int, flatness_lokal double, avg_mids_lokal double, avg_highs_lokal double, energy_lokal int, "
+    "energy_trend string, lufs_lokal double, vocal_aktiv_lokal boolean, mood string")
 CATALOG_FIELDS = ("bpm", "camelot", "duration", "title", "artist", "genre", "content_id", "cues")
 TRUTH_SCHEMA = (
     "track_id string, audio_path string, audio_sha256 string, label_status string, label_source string, "
@@ -59,6 +67,84 @@ def read_tracks(store: DataFrame, data: str = "data", newest: str = "ingest_ts")
     return best.select("t.*")
 
 
+#: Element types of the open fields, and the numbers an element cannot do without.  A JSON null or a missing value is NULL: not measured.
+OPEN_FIELDS = {
+    "phrases": ("start_s double, end_s double, label string, mood int, kind int, fill int", ("start_s", "end_s")),
+    "cue_points": ("t double, name string, typ string, hot_cue int, provenance string", ("t",)),
+    "mix_in_candidates": (_CANDIDATE, ("t",)), "mix_out_candidates": (_CANDIDATE, ("t",))}
+AI_RECORD = "struct<sub_genre string, moods array<string>, description string, mix_in_time double, mix_out_time double, _provider string, _model string>"
+
+
+def _colons(spec: str) -> str:
+    """A column list as the inside of a struct type."""
+    return ",".join(part.strip().replace(" ", ":", 1) for part in spec.split(","))
+
+
+def _elements(field: str) -> Column:
+    """The elements of a JSON list, each as its JSON text; NULL if the text is no list."""
+    return F.when(F.ltrim(c(field)).startswith("["), F.from_json(field, "array<string>"))
+
+
+def _typed(element: Column, spec: str) -> Column:
+    return F.from_json(element, f"{spec}, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+
+
+def _fault(element: Column, value: Column, numbers: Sequence[str]) -> Column:
+    """Why an element cannot be used, NULL if it can."""
+    def usable(n: str) -> Column:
+        return value[n].isNotNull() & ~F.isnan(value[n]) & (value[n] >= 0) & (value[n] < float("inf"))
+
+    missing = F.coalesce(*[F.when(~F.coalesce(usable(n), F.lit(False)), F.lit(n)) for n in numbers])
+    return (F.when(element.isNull() | ~F.ltrim(element).startswith("{"), F.lit("no record"))
+            .when(value["broken"].isNotNull(), F.lit("value of another type"))
+            .when(missing.isNotNull(), F.concat(missing, F.lit(" is no time"))))
+
+
+def typed_fields(tracks: DataFrame) -> DataFrame:
+    """Track records with their open fields as arrays of structs and the AI record as a struct.
+
+    Phrases, cues and candidates become arrays without the elements that
+    :func:`rejected_elements` lists; ``analysis_coverage`` becomes pairs of seconds.  A
+    field that is no list, is null or missing is an empty array; an AI record that is no
+    object is NULL.  Order is kept.  All of it is one projection, without a shuffle.
+    """
+    def typed(field: str) -> Column:
+        spec, numbers = OPEN_FIELDS[field]
+        good = F.filter(F.transform(_elements(field), lambda e: F.struct(e.alias("e"), _typed(e, spec).alias("v"))),
+                        lambda x: _fault(x["e"], x["v"], numbers).isNull())
+        whole = F.transform(good, lambda x: x["v"].dropFields("broken"))
+        return F.coalesce(whole, F.array().cast(f"array<struct<{_colons(spec)}>>"))
+
+    span = F.from_json("analysis_coverage", "array<array<double>>")
+    coverage = F.transform(F.filter(span, lambda x: (F.size(x) == 2) & (F.get(x, F.lit(0)) <= F.get(x, F.lit(1)))),
+                           lambda x: F.struct(F.get(x, F.lit(0)).alias("start_s"), F.get(x, F.lit(1)).alias("end_s")))
+    ai = F.when(F.ltrim("ai_metadata").startswith("{"), F.from_json("ai_metadata", AI_RECORD))
+    return tracks.withColumns({
+        **{f: typed(f) for f in OPEN_FIELDS}, "ai_metadata": ai,
+        "analysis_coverage": F.coalesce(coverage, F.array().cast("array<struct<start_s:double,end_s:double>>"))})
+
+
+def rejected_elements(tracks: DataFrame) -> DataFrame:
+    """Elements of the open fields that cannot be used: filePath, field, position, element, reason.
+
+    A field whose text is no list is one row with position -1; an empty or missing field is none.
+    """
+    def faults(field: str) -> Column:
+        spec, numbers = OPEN_FIELDS[field]
+
+        def row(at: Column, element: Column, reason: Column) -> Column:
+            return F.struct(F.lit(field).alias("field"), at.alias("position"), element.alias("element"), reason.alias("reason"))
+
+        found = F.transform(_elements(field), lambda e, i: row(i, e, _fault(e, _typed(e, spec), numbers)))
+        whole = F.array(row(F.lit(-1), c(field), F.lit("no list")))
+        none = F.array().cast("array<struct<field:string,position:int,element:string,reason:string>>")
+        listless = c(field).isNotNull() & (F.trim(field) != "") & (F.trim(field) != "null") & _elements(field).isNull()
+        return F.when(listless, whole).otherwise(F.coalesce(F.filter(found, lambda x: x["reason"].isNotNull()), none))
+
+    return (tracks.select("filePath", F.explode(F.concat(*[faults(f) for f in OPEN_FIELDS])).alias("x"))
+            .select("filePath", "x.*"))
+
+
 def upsert_tracks(base: DataFrame, updates: DataFrame, version: int, key: str = "key", newest: str = "ingest_ts") -> DataFrame:
     """Newest record per key; records of another schema version are dropped.
 

@@ -171,6 +171,29 @@ def test_rating_state_over_restarts(spark, tmp_path):
     assert run("4.json", [("p1", 2, "2024-01-01T09:00:00Z")], known, str(tmp_path / "check2")) == {"p0": "3", "p1": "5", "p2": "1"}
 
 
+def test_typed_open_fields(spark):
+    """Broken elements, lists and records go to the rejects, one by one; what is not measured is NULL."""
+    fields = {"filePath": "/a", "phrases": [{"start_s": 1.5, "end_s": 3, "label": "x", "kind": 1}, {"start_s": "z", "end_s": 2}, 5, None, {"start_s": 1}],
+              "cue_points": [{"t": 2.0, "name": "n", "hot_cue": None}, {"t": -1}], "ai_metadata": {"moods": ["d"], "sub_genre": "s"},
+              "analysis_coverage": [[0, 60], [5], [9, 1]],
+              "mix_in_candidates": [{"t": 3.0, "schema": ["a", "b"], "kick_aktiv": True, "mood": {"a": 1}, "lufs_lokal": None}, {"t": 4, "energy_lokal": "loud"}]}
+    store = [(1, json.dumps(fields)), (1, json.dumps({"filePath": "/b", "phrases": "x", "cue_points": {"t": 1}, "mix_out_candidates": [], "ai_metadata": [1]})),
+             (1, json.dumps({"filePath": "/c", "phrases": None})), (1, "[")]
+    tracks = library.read_tracks(spark.createDataFrame(store, "ingest_ts int, data string"))
+    rows = {r["filePath"]: r for r in library.typed_fields(tracks).collect()}
+    a, b, none = rows["/a"], rows["/b"], rows["/c"]
+    assert [tuple(p) for p in a["phrases"]] == [(1.5, 3.0, "x", None, 1, None)] and [tuple(q) for q in a["cue_points"]] == [(2.0, "n", None, None, None)]
+    (found,) = a["mix_in_candidates"]
+    assert (found["t"], found["schema"], found["kick_aktiv"], found["lufs_lokal"], found["mood"]) == (3.0, ["a", "b"], True, None, '{"a":1}')
+    assert [tuple(x) for x in a["analysis_coverage"]] == [(0.0, 60.0)] and (a["ai_metadata"]["moods"], a["ai_metadata"]["mix_in_time"]) == (["d"], None)
+    for row in (b, none):
+        assert row["ai_metadata"] is None and all(row[f] == [] for f in (*library.OPEN_FIELDS, "analysis_coverage"))
+    got = sorted((r["filePath"], r["field"], r["position"], r["reason"]) for r in library.rejected_elements(tracks).collect())
+    assert got == [("/a", "cue_points", 1, "t is no time"), ("/a", "mix_in_candidates", 1, "value of another type"), ("/a", "phrases", 1, "value of another type"),
+                   ("/a", "phrases", 2, "no record"), ("/a", "phrases", 3, "no record"), ("/a", "phrases", 4, "end_s is no time"),
+                   ("/b", "cue_points", -1, "no list"), ("/b", "phrases", -1, "no list")]
+
+
 def _merge(old, new):
     return library.upsert_tracks(old, new, 2)
 
