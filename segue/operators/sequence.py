@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, fields
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from segue import lineage
 from segue import refdata as R
 from segue.functions import keys, text
-from segue.operators import pairs, scoring
+from segue.operators import ordered, pairs, scoring
 
 # fixed values: parameters that each strategy honours
 SUPPORTED = {
@@ -37,6 +38,9 @@ ALIASES = {"Harmonic Flow Enhanced": "Harmonic Flow", "Peak-Time Enhanced": "Pea
            "Emotional Journey": "Context Flow"}
 # strategies that look at the tracks alone
 WITHOUT_EDGES = ("Energy Wave",)
+# strategies that read the place on the peak curve
+WITH_PEAK = ("Peak-Time",)
+TEMPO_BLOCK = 4096
 SCORING_PARAMETERS = ("harmonic_strictness", "allow_experimental")
 
 
@@ -176,15 +180,15 @@ def _harmonic_flow(p: Playlist, **_) -> list[int]:
     return order
 
 
-def _by_tempo(p: Playlist, descending: bool) -> list[int]:
-    ordered = np.argsort(-p.bpm if descending else p.bpm, kind="stable")
+def _by_tempo(bpm: np.ndarray, objective: Edges, descending: bool) -> list[int]:
+    ordered = np.argsort(-bpm if descending else bpm, kind="stable")
     order: list[int] = []
     at = 0
     while at < len(ordered):
-        ref = p.bpm[ordered[at]]
+        ref = bpm[ordered[at]]
         stop = at
-        while stop < len(ordered) and abs(p.bpm[ordered[stop]] - ref) <= max(
-                1e-9, 1e-9 * max(abs(ref), abs(p.bpm[ordered[stop]]))):
+        while stop < len(ordered) and abs(bpm[ordered[stop]] - ref) <= max(
+                1e-9, 1e-9 * max(abs(ref), abs(bpm[ordered[stop]]))):
             stop += 1
         left = [int(i) for i in ordered[at:stop]]
         at = stop
@@ -192,23 +196,23 @@ def _by_tempo(p: Playlist, descending: bool) -> list[int]:
             order += left
             continue
         if not order:
-            sums = [p.objective.of(i, [j for j in left if j != i]).sum() for i in left]
+            sums = [objective.of(i, [j for j in left if j != i]).sum() for i in left]
             order.append(left.pop(int(np.argmax(sums))))
-        tied = np.zeros(len(p.bpm), dtype=bool)
+        tied = np.zeros(len(bpm), dtype=bool)
         tied[left] = True
         while left:
-            ahead = np.array([p.objective.best(i, tied) for i in left], dtype=float)
-            order.append(left.pop(int(np.argmax(p.objective.of(order[-1], left) + R.LOOKAHEAD_FUTURE_WEIGHT * ahead))))
+            ahead = np.array([objective.best(i, tied) for i in left], dtype=float)
+            order.append(left.pop(int(np.argmax(objective.of(order[-1], left) + R.LOOKAHEAD_FUTURE_WEIGHT * ahead))))
             tied[order[-1]] = False
     return order
 
 
 def _warm_up(p: Playlist, **_) -> list[int]:
-    return _by_tempo(p, descending=False)
+    return _by_tempo(p.bpm, p.objective, descending=False)
 
 
 def _cool_down(p: Playlist, **_) -> list[int]:
-    return _by_tempo(p, descending=True)
+    return _by_tempo(p.bpm, p.objective, descending=True)
 
 
 def smooth(p: Playlist, order: list[int]) -> list[int]:
@@ -357,6 +361,8 @@ STRATEGIES: dict[str, Strategy] = {
     "Harmonic Flow": _harmonic_flow, "Warm-Up": _warm_up, "Cool-Down": _cool_down, "Peak-Time": _peak_time,
     "Energy Wave": _energy_wave, "Genre Flow": _genre_flow, "Consistent": _consistent, "Context Flow": _context_flow,
 }
+OWN = frozenset(STRATEGIES.values())
+TEMPO_ORDERS = {_warm_up: False, _cool_down: True}   # descending?
 
 
 def register_strategy(name: str, order: Strategy, honours: tuple[str, ...] = ()) -> None:
@@ -411,7 +417,8 @@ def sequence_input(tracks: DataFrame) -> DataFrame:
     return tracks.where((F.col("bpm") > 0) & (F.col("bpm") < float("inf")) & ~F.isnan("bpm"))
 
 
-def _slim(tracks: DataFrame, peak_position: int | Column, keep: tuple = ()) -> DataFrame:
+def _slim(tracks: DataFrame, peak_position: int | Column | None, keep: tuple = ()) -> DataFrame:
+    """What an ordering reads of each track; ``peak_position`` None leaves the peak curve out."""
     detected = F.coalesce("detected_genre", F.lit(""))
     flow = F.when(detected != "Unknown", detected).otherwise(F.coalesce("genre", F.lit("")))
     base = sequence_input(tracks).select(
@@ -421,6 +428,8 @@ def _slim(tracks: DataFrame, peak_position: int | Column, keep: tuple = ()) -> D
         F.coalesce(pairs.genre_id(text.resolved_genre(F.col("detected_genre"), F.col("genre"))),
                    F.lit(-1)).alias("genre_id"),
         keys.key_to_camelot(F.col("key_note"), F.col("key_mode")).alias("code"), *keep)
+    if peak_position is None:
+        return base.withColumn("peak_rank", F.lit(0))
     return peak_positions(base, peak_position)
 
 
@@ -454,6 +463,9 @@ def sequence(tracks: DataFrame, strategies: str | list[str], tol: float = 3.0,
     config = config or StrategyConfig()
     names = [strategies] if isinstance(strategies, str) else list(strategies)
     chosen = [(name, ALIASES.get(name, name)) for name in names]
+    if chosen and all(STRATEGIES.get(real) in TEMPO_ORDERS for _, real in chosen):
+        parts = [tempo_order(tracks, name, TEMPO_ORDERS[STRATEGIES[real]], tol, pairs_scored, weights) for name, real in chosen]
+        return reduce(DataFrame.unionByName, parts)
     runs = [(name, STRATEGIES.get(real, _harmonic_flow), config.effective(real if real in STRATEGIES else "Harmonic Flow"))
             for name, real in chosen]
     score_args = {tuple(sorted((k, v) for k, v in kw.items() if k in SCORING_PARAMETERS)) for _, _, kw in runs}
@@ -489,10 +501,80 @@ def sequence(tracks: DataFrame, strategies: str | list[str], tol: float = 3.0,
                 "input_pos": picked["input_pos"].to_numpy(), "track_id": picked["track_id"].to_numpy()}))
         return pd.concat(parts)
 
-    slim = _slim(usable, config.peak_position)
+    # registered strategies may read the curve, the library's own do so by name
+    curved = any(real in WITH_PEAK or STRATEGIES.get(real, _harmonic_flow) not in OWN for _, real in chosen)
+    slim = _slim(usable, config.peak_position if curved else None)
     return slim.groupBy("playlist_id").cogroup(edges.groupBy("edge_playlist")).applyInPandas(order, ORDER_SCHEMA)
 
 
+# ------------------------------------------------------------------ orders by tempo
+def tempo_runs(tracks: DataFrame, descending: bool) -> DataFrame:
+    """Tracks in tempo order with their tie runs: playlist_id, input_pos, track_id, bpm, pos, tied, run.
+
+    ``pos`` is the place by tempo, then by slot.  Neighbours of equal tempo form islands;
+    islands that follow each other without a single track between them are one run, since
+    each is ordered after the last track of the one before.  The single track ahead of a
+    run belongs to it too (``tied`` is false); ``run`` is NULL for every other track.
+    Playlists are worked on in blocks of tempo and of ``TEMPO_BLOCK`` places.
+    """
+    def close(x: Column, y: Column) -> Column:
+        return F.coalesce(F.abs(x - y) <= F.greatest(F.lit(1e-9), F.greatest(F.abs(x), F.abs(y)) * 1e-9), F.lit(False))
+
+    tempo = F.col("bpm").cast("double")
+    slots = sequence_input(tracks).select("playlist_id", "input_pos", "track_id", "bpm", (-tempo if descending else tempo).alias("tempo"))
+    placed = ordered.dense_index(slots, ["playlist_id"], ["tempo", "input_pos"], F.floor(F.col("tempo") * 16), "pos")
+    near = Window.partitionBy("playlist_id", "block").orderBy("pos")
+    at = {step: F.lag("tempo", -step).over(near) for step in (-2, -1, 1, 2)}
+    here = F.col("tempo")
+    marked = ordered.blockwise(placed, "pos", TEMPO_BLOCK, before=2, after=2).select(
+        "*", close(at[-2], at[-1]).alias("ahead_tied"), close(at[-1], here).alias("joined"), close(here, at[1]).alias("goes_on"),
+        close(at[1], at[2]).alias("next_tied")).where("own").select(
+        "playlist_id", "input_pos", "track_id", "bpm", "pos", (F.col("joined") | F.col("goes_on")).alias("tied"),
+        (F.col("goes_on") & ~F.col("joined") & ~F.col("ahead_tied")).cast("long").alias("starts"),
+        (~F.col("joined") & ~F.col("goes_on") & F.col("next_tied")).alias("leads"))
+    marked = lineage.stored(marked)
+    counted = ordered.running_sum(marked, ["playlist_id"], "pos", "starts", "run_no", TEMPO_BLOCK)
+    run = F.when(F.col("tied"), F.col("run_no")).when(F.col("leads"), F.col("run_no") + 1).cast("long")
+    return counted.select("playlist_id", "input_pos", "track_id", "bpm", "pos", "tied", run.alias("run"))
+
+
+def tempo_order(tracks: DataFrame, name: str, descending: bool, tol: float = 3.0, pairs_scored: DataFrame | None = None,
+                weights: DataFrame | None = None) -> DataFrame:
+    """Order every playlist by tempo, equal tempi by their pair scores: rows as from :func:`sequence`.
+
+    Only runs of equal tempi (see :func:`tempo_runs`) are scored and reach Python, one run a
+    task; all other tracks keep their place in SQL.
+    """
+    rows = lineage.stored(tempo_runs(tracks, descending))
+    runs = rows.where("run IS NOT NULL").select("playlist_id", "input_pos", "run")
+    if pairs_scored is None:
+        members = sequence_input(tracks).join(runs, ["playlist_id", "input_pos"])
+        candidates = pairs.candidate_pairs(pairs.pair_features(members, ("run",)), tol).where("a_run = b_run")
+        edges = scoring.score_pairs(candidates, tol, weights=weights).withColumn("run", F.col("a_run"))
+    else:
+        sides = [pairs.prefixed(runs, side) for side in ("a_", "b_")]
+        edges = (pairs_scored.select("playlist_id", "a_input_pos", "b_input_pos", "objective")
+                 .join(sides[0], ["playlist_id", "a_input_pos"]).join(sides[1], ["playlist_id", "b_input_pos"])
+                 .where("a_run = b_run").withColumn("run", F.col("a_run")))
+    edges = edges.select(F.col("playlist_id").alias("edge_playlist"), F.col("run").alias("edge_run"), "a_input_pos", "b_input_pos", "objective")
+
+    def order(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame(columns=["playlist_id", "pos", "input_pos", "track_id"])
+        t = left.sort_values("input_pos", kind="stable").reset_index(drop=True)
+        where = pd.Series(np.arange(len(t)), index=t["input_pos"].to_numpy())
+        a, b = (where[right[c]].to_numpy(dtype=np.int64) for c in ("a_input_pos", "b_input_pos"))
+        picked = t.iloc[_by_tempo(t["bpm"].to_numpy(dtype=float), Edges(len(t), a, b, right["objective"].to_numpy()), descending)]
+        return pd.DataFrame({"playlist_id": picked["playlist_id"].to_numpy(), "pos": np.arange(len(t)) + int(t["pos"].min()),
+                             "input_pos": picked["input_pos"].to_numpy(), "track_id": picked["track_id"].to_numpy()})
+
+    tied = (rows.where("run IS NOT NULL").groupBy("playlist_id", "run").cogroup(edges.groupBy("edge_playlist", "edge_run"))
+            .applyInPandas(order, "playlist_id long, pos long, input_pos long, track_id long"))
+    alone = rows.where("run IS NULL").select("playlist_id", "pos", "input_pos", "track_id")
+    return alone.unionByName(tied).select(F.lit(name).alias("strategy"), "playlist_id", F.col("pos").cast("int").alias("pos"),
+                                          "input_pos", "track_id")
+
+
 # ------------------------------------------------------------------ settings per playlist
 SETTINGS = "strategy string, tol double, energy_direction string, peak_position int, harmonic_strictness int, allow_experimental boolean, " \
     "genre_mixing boolean, genre_weight double, target_energy double, overlap double"

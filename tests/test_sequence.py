@@ -198,3 +198,59 @@ def test_weights_reach_order_and_plan(spark, small):
     rows = tracks.withColumn("pos", F.col("input_pos"))
     plan = lambda w: sorted(map(str, transitions.recommend(rows, TOL, weights=w).collect()))
     assert plan(usual) == plan(None) != plan(energetic)
+
+
+def by_tempo(p, info, edges, descending):
+    """Warm-Up and Cool-Down one track at a time."""
+    slots = sorted((i for q, i in info if q == p), key=lambda i: (-info[p, i] if descending else info[p, i], i))
+    score = lambda i, j: edges.get((p, i, j), 0)
+    order = []
+    while slots:
+        left = [i for i in slots if info[p, i] == info[p, slots[0]]]
+        slots = slots[len(left):]
+        while left:
+            if not order and len(left) > 1:
+                best = max(left, key=lambda i: sum(score(i, j) for j in left if j != i))
+            elif len(left) == 1:
+                best = left[0]
+            else:
+                best = max(left, key=lambda i: score(order[-1], i) + sequence.R.LOOKAHEAD_FUTURE_WEIGHT * max(score(i, j) for j in left if j != i))
+            order.append(best)
+            left.remove(best)
+    return order
+
+
+@pytest.fixture(scope="module")
+def tied(spark):
+    """Playlists of ties at the start, in a row, at the end and apart; playlist 5 has none."""
+    tempi = {1: [100] * 3 + [101, 102, 102, 103, 103, 103, 110], 2: [120, 121, 121, 90, 90, 95], 3: [128] * 6, 4: [90, 91, 91, 92, 93, 93, 94, 94],
+             5: [100, 104, 99, 131, 120], 6: [77.0]}
+    base = rel.tracks(spark, "/root/testdata/sf0.001").where("playlist_id < 1").drop("playlist_id", "input_pos", "bpm")
+    first = base.orderBy("track_id").limit(10).collect()
+    rows = [(p, i * 2, float(b), first[(i * 7 + p) % len(first)]["track_id"] ) for p, values in tempi.items() for i, b in enumerate(values)]
+    slots = spark.createDataFrame(rows, "playlist_id long, input_pos long, bpm double, track_id long")
+    return slots.join(base.dropDuplicates(["track_id"]), "track_id").cache(), {(p, i): b for p, i, b, _ in rows}
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+@pytest.mark.parametrize("name", ["Warm-Up", "Cool-Down"])
+def test_ties_by_tempo(tied, monkeypatch, name, block):
+    monkeypatch.setattr(sequence, "TEMPO_BLOCK", block)
+    tracks, info = tied
+    pairs_scored = scoring.scored_playlist_pairs(tracks, TOL)
+    edges = {(r["playlist_id"], r["a_input_pos"], r["b_input_pos"]): r["objective"] for r in pairs_scored.collect()}
+    want = {p: by_tempo(p, info, edges, name == "Cool-Down") for p in {p for p, _ in info}}
+    assert ordered(tracks, name) == want
+    given = sequence.sequence(tracks, name, TOL, pairs_scored=pairs_scored).orderBy("playlist_id", "pos").collect()
+    assert {p: [r["input_pos"] for r in given if r["playlist_id"] == p] for p in want} == want
+    assert [r["pos"] for r in given if r["playlist_id"] == 1] == list(range(10))
+
+
+def test_only_ties_reach_python(tied):
+    tracks, _ = tied
+    runs = sequence.tempo_runs(tracks, descending=False).collect()
+    held = {(r["playlist_id"], r["input_pos"]): (r["run"], r["tied"]) for r in runs}
+    assert all(held[5, i][0] is None for i in (0, 2, 4, 6, 8)) and held[6, 0] == (None, False)
+    assert held[1, 18] == (None, False)                                    # 110 stands alone after the last run
+    assert len({held[1, i][0] for i in (8, 10, 12, 14, 16)} - {None}) == 1  # 102 and 103 follow each other
+    assert held[1, 6] == (held[1, 8][0], False)                            # 101 leads them
