@@ -150,3 +150,53 @@ def test_items_without_an_id_are_hits(spark, make_docs):
     got = rows_of(decontaminate.digests(make_docs(rows), bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert got == sorted(brute.decontamination(rows, items), key=str)
     assert [r["doc_id"] for r in decontaminate.clean_documents(make_docs(rows), bench).collect()] == [3]
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """A crawler's monolith: warcinfo first, folded and blank-free headers, odd bytes, HTTP payloads, a cut end; every record kept."""
+    import base64
+    import gzip
+    import hashlib
+    body = b"<html>caf\xc3\xa9</html>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    sha1 = lambda data: base64.b32encode(hashlib.sha1(data).digest()).decode()
+
+    def one(head, block):
+        return b"WARC/1.0\r\n" + b"\r\n".join([*head, b"Content-Length:%d" % len(block)]) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    info = one([b"WARC-Type: warcinfo", b"WARC-Record-ID: <urn:uuid:1>", b"WARC-Filename: a.warc.gz"], b"software: crawler\r\n")
+    page = one([b"warc-type:response", b"WARC-Record-ID:<urn:uuid:2>", b"WARC-Target-URI: http://a/\r\n  x", b"Content-Type: application/http; msgtype=response",
+                b"WARC-Block-Digest: sha1:" + sha1(http).encode(), b"WARC-Concurrent-To: <urn:uuid:8>", b"WARC-Concurrent-To: <urn:uuid:9>"], http)
+    odd = one([b"WARC-Type: metadata", b"WARC-Record-ID: <urn:uuid:3>", b"X-Odd: \xff\xfe", b"WARC-Payload-Digest: md5:00"], b"")
+    cut = one([b"WARC-Type: resource", b"WARC-Record-ID: <urn:uuid:4>"], b"z" * 500)[:-300]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc.gz").write_bytes(gzip.compress(b"\r\n" + info + page + b"\r\n" + odd + cut))
+    (tmp_path / "in" / "b.warc.gz").write_bytes(gzip.compress(info) + gzip.compress(page))   # already one member a record
+    (tmp_path / "in" / "c.warc.gz").write_bytes(gzip.compress(page)[:-12])                    # the stream itself is cut
+    (tmp_path / "in" / "d.warc.gz").write_bytes(gzip.compress(b""))
+    archives = spark.createDataFrame([(str(tmp_path / "in" / f"{x}.warc.gz"),) for x in "abcd"], "archive string")
+    index = warc.normalise(archives, str(tmp_path / "out"))
+    types = sorted(r["record_type"] for r in index.collect())
+    assert types in (["metadata", "response", "response", "response", "truncated", "warcinfo", "warcinfo"],
+                     ["metadata", "response", "response", "truncated", "truncated", "warcinfo", "warcinfo"])   # whether c's last bytes came out
+    side = warc.sidecar_index(spark, str(tmp_path / "out"))
+    assert sorted(map(str, side.collect())) == sorted(map(str, index.collect()))
+    got = {r["record_id"]: r for r in warc.read_records(side).collect()}
+    assert set(got) == {"<urn:uuid:1>", "<urn:uuid:2>", "<urn:uuid:3>"}
+    assert (got["<urn:uuid:2>"]["payload_bytes"], got["<urn:uuid:2>"]["payload_digest"], got["<urn:uuid:2>"]["target_uri"]) == (len(body), sha1(body), "http://a/ x")
+    assert got["<urn:uuid:3>"]["payload_digest"] == sha1(b"") and got["<urn:uuid:1>"]["page_id"] is None
+    for row in index.collect():
+        with open(row["archive"], "rb") as f:
+            f.seek(row["offset"])
+            assert gzip.decompress(f.read(row["length"])).startswith(b"WARC/1.0\r\n")
+
+
+def test_written_records_are_valid(spark, tmp_path):
+    """Every record has an id of its own, a date and a URI without blanks or line ends, also for repeated and null page ids."""
+    pages = [(1, 'http://a/"q" \u00e9', "x"), (1, "http://a", "x"), (None, "n\r\nm", "y"), (2, None, "x")]
+    folder = str(tmp_path / "members")
+    index = warc.normalise(warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string"), str(tmp_path / "whole")), folder)
+    rows = warc.read_records(warc.sidecar_index(spark, folder)).collect()
+    assert len({r["record_id"] for r in rows}) == 4 and index.count() == 4
+    assert sorted(str(r["target_uri"]) for r in rows) == ["None", 'http://a', 'http://a/"q"%20%C3%A9', "n%0D%0Am"]
+    assert [r["refers_to"] for r in rows if r["record_type"] == "revisit"] == [1]
