@@ -205,6 +205,10 @@ def blends(spark, sf):
     return canon(mining.blend_report(_blends(spark, sf)))
 
 
+def blend_ranges(spark, sf):
+    return canon(mining.dip_ranges(_blends(spark, sf), "doc_id"))
+
+
 def rating_status(spark, sf):
     return canon(rated(spark, sf).groupBy("status").agg(F.count("*").alias("n"), F.avg("rating").alias("avg_rating")))
 
@@ -284,6 +288,7 @@ QUERIES = {
     "a12_factor_spread": spread, "m1_mix_deltas": deltas, "m2_negative_pairs": negatives, "m3_auc": auc, "m4_auc_interval": auc_interval,
     "m5_tolerances": tolerances, "m6_weights": weights, "m6_bounded_weights": bounded, "m7_holdout": holdout, "m8_mining_report": report, "m8_mined_weights": mined_weights, "m8_summary": mined_summary,
     "g27_transitions": transitions, "g28_window_bounds": bounds, "g29_second_profile": profile, "g30_bands": bands, "w8_blend_report": blends,
+    "w8_dip_ranges": blend_ranges,
     "j8_rating_status": rating_status, "j9_u3_merged_ratings": merged, "j10_review_list": review, "l1_design": design, "l4_verdict": verdict,
     "l2_logistic": logistic, "l2_gradient": gradient, "l3_intervals": intervals, "l5_derived_weights": derived, "l5_full_weights": filled, "l6_fit_report": fit_report,
     "q12_maximin": maximin, "q13_strided": strided, "q14_blind": blind,

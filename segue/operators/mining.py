@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from segue import lineage
 from segue.functions import vectors
-from segue.operators import ordered, suppress
+from segue.operators import ordered, resample, suppress
 
 c = F.col
 
@@ -112,22 +114,20 @@ def blend_width(onset: Column) -> Column:
     return F.when(near, width.cast("double")).otherwise(0.0)
 
 
-def dip_depth(windows: DataFrame, blend_seconds: float, keys: list[str]) -> DataFrame:
-    """How far the mids lie under the edge of the blend at its centre (median curve).
-
-    ``windows``: mids (array per transition).  The curve is a median over
-    transitions per second of the window.
-    """
+def _blend_spots(windows: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Size and median blend of each length group; mids at the centre and at the edge of the blend per transition."""
+    width = F.when(c("width") <= 8, "kurz").when(c("width") <= 25, "mittel").otherwise("lang")
+    rows = windows.select(*keep, "mids", blend_width(c("onset")).alias("width"))
+    rows = lineage.stored(rows.withColumn("grp", width))   # read by sizes, quantiles and spots
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("n"))
+    typical = ordered.quantiles(rows.select("grp", "width"), ["grp"], "width", {"blend_s": 0.5})
+    groups = sizes.join(typical, "grp").withColumn("sufficient", c("n") >= MIN_GROUP)
     mid = (F.size("mids") / 2).cast("int")
     around = _median(F.concat(F.slice("mids", mid - 44, 25), F.slice("mids", mid + 21, 25))) + 1e-9
-    radius = F.greatest(F.lit(1), F.least(F.rint(F.lit(blend_seconds / 2.0)).cast("int"), mid - 1))
-    spots = windows.select(*keys, (F.get("mids", mid) / around).alias("centre"), (F.get("mids", mid + radius) / around).alias("edge"))
-    both = spots.select(*keys, F.explode(F.array(F.struct(F.lit("centre").alias("spot"), c("centre").alias("v")),
-                                                 F.struct(F.lit("edge").alias("spot"), c("edge").alias("v")))).alias("x"))
-    medians = ordered.quantiles(both.select(*keys, "x.*"), [*keys, "spot"], "v", {"m": 0.5})
-    packed = medians.groupBy(*keys).agg(F.max(F.when(c("spot") == "centre", c("m"))).alias("a"),
-                                        F.max(F.when(c("spot") == "edge", c("m"))).alias("b"))
-    return packed.select(*keys, (1.0 - c("a") / c("b")).alias("dip_depth"))
+    radius = F.greatest(F.lit(1), F.least(F.rint(c("blend_s") / 2.0).cast("int"), mid - 1))
+    spots = rows.join(groups, "grp").select("grp", "n", *keep, (F.get("mids", mid) / around).alias("centre"),   # at most three groups
+                                            (F.get("mids", mid + radius) / around).alias("edge"))
+    return groups, spots
 
 
 def blend_report(windows: DataFrame) -> DataFrame:
@@ -136,24 +136,85 @@ def blend_report(windows: DataFrame) -> DataFrame:
     ``windows``: onset and mids arrays, one row per transition.  ``sufficient`` tells
     whether a group has at least 30 transitions.
     """
-    width = blend_width(c("onset"))
-    rows = windows.withColumn("width", width)
-    rows = rows.withColumn("grp", F.when(c("width") <= 8, "kurz").when(c("width") <= 25, "mittel").otherwise("lang"))
-    sizes = rows.groupBy("grp").agg(F.count("*").alias("n"))
-    typical = ordered.quantiles(rows.select("grp", "width"), ["grp"], "width", {"blend_s": 0.5})
-    large = sizes.join(typical, "grp").withColumn("sufficient", c("n") >= MIN_GROUP)
-    # at most three groups: the radius differs per group, so each gets its own pass
-    spots = rows.join(large, "grp")   # three groups
-    mid = (F.size("mids") / 2).cast("int")
-    around = _median(F.concat(F.slice("mids", mid - 44, 25), F.slice("mids", mid + 21, 25))) + 1e-9
-    radius = F.greatest(F.lit(1), F.least(F.rint(c("blend_s") / 2.0).cast("int"), mid - 1))
-    both = spots.select("grp", F.explode(F.array(
-        F.struct(F.lit("centre").alias("spot"), (F.get("mids", mid) / around).alias("v")),
-        F.struct(F.lit("edge").alias("spot"), (F.get("mids", mid + radius) / around).alias("v")))).alias("x")).select("grp", "x.*")
+    groups, spots = _blend_spots(windows, [])
+    both = lineage.stored(spots).select("grp", F.explode(F.array(
+        F.struct(F.lit("centre").alias("spot"), c("centre").alias("v")),
+        F.struct(F.lit("edge").alias("spot"), c("edge").alias("v")))).alias("x")).select("grp", "x.*")
     medians = ordered.quantiles(both, ["grp", "spot"], "v", {"m": 0.5})
     depth = medians.groupBy("grp").agg((1.0 - F.max(F.when(c("spot") == "centre", c("m")))
                                         / F.max(F.when(c("spot") == "edge", c("m")))).alias("dip_depth"))
-    return large.join(depth, "grp")
+    return groups.join(depth, "grp")
+
+
+SPOTS, DRAW_CHUNK, DIP_DRAWS, DIP_SEED = ("centre", "edge"), 50, 1000, 7
+
+
+def _picked_near_median(draws: int, seed: int):
+    """How often each draw takes the rows near the median, and how many picks lie below them."""
+    schema = ["grp", "spot", "chunk", "n", "value", "times"]
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for (grp, block), rows in batch.groupby(["grp", batch["row_idx"] // resample.BLOCK], sort=False):
+                n = int(rows["n"].iloc[0])
+                times = resample.multiplicities(int(block), n, draws, seed)[:, rows["row_idx"].to_numpy() - int(block) * resample.BLOCK]
+                for spot in SPOTS:
+                    v, low, high = (rows[x].to_numpy() for x in (spot, f"{spot}_from", f"{spot}_to"))
+                    parts = [(None, times[:, v < low].sum(axis=1))] + [(float(v[i]), times[:, i]) for i in np.flatnonzero((v >= low) & (v <= high))]
+                    out += [(grp, spot, at // DRAW_CHUNK, n, value, counts[at:at + DRAW_CHUNK]) for value, counts in parts
+                            for at in range(0, draws, DRAW_CHUNK)]
+            yield pd.DataFrame(out, columns=schema)
+    return run
+
+
+def _drawn_medians(rows: pd.DataFrame) -> pd.DataFrame:
+    """Medians of a chunk of draws from the picks near the median, in value order."""
+    inside = rows[rows["value"].notna()].sort_values("value")
+    below = np.sum(list(rows.loc[rows["value"].isna(), "times"]), axis=0)
+    until = below + np.cumsum(np.array(list(inside["times"])).reshape(len(inside), len(below)), axis=0)
+    values, n = inside["value"].to_numpy(), int(rows["n"].iloc[0])
+    ranks = [(n - 1) // 2, n // 2]
+    if not len(values) or (below > ranks[0]).any() or (until[-1] <= ranks[1]).any():
+        raise ValueError("median of a draw outside its bracket")
+    median = sum(values[(until <= rank).sum(axis=0)] for rank in ranks) / 2.0
+    first = int(rows["chunk"].iloc[0]) * DRAW_CHUNK
+    return pd.DataFrame({"grp": rows["grp"].iloc[0], "spot": rows["spot"].iloc[0], "draw": first + np.arange(len(median)), "m": median})
+
+
+def dip_ranges(windows: DataFrame, key: str, draws: int = DIP_DRAWS, seed: int = DIP_SEED) -> DataFrame:
+    """95 % range of the dip depth per blend-length group, by resampling transitions: grp, lower, upper, carries.
+
+    ``windows`` as in :func:`blend_report`, told apart by the integer column ``key``.  A draw's
+    median lies within a few root-n ranks of the group's, so rows outside a bracket of seven standard
+    deviations are only counted; about root-n rows a group leave their task, with their
+    picks for ``DRAW_CHUNK`` draws at a time.  A bracket that missed would be an error.  Groups of one
+    transition and values that are not finite have no range; ``carries`` tells whether 0 lies below it.
+    """
+    _, spots = _blend_spots(windows, [key])
+    keyed = spots.drop("n").where("isnotnull(centre) AND isnotnull(edge) AND NOT isnan(centre) AND NOT isnan(edge)").withColumn(
+        "h", digest_number(F.lit(seed), c(key)))
+    placed = lineage.stored(ordered.dense_index(keyed, ["grp"], ["h", key, "centre", "edge"], F.floor(c("h") / (2 ** 52)), "row_idx"))
+    sketch = F.lit(10_000)
+    ranges = []
+    for row in placed.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").orderBy("grp").collect():   # at most three groups
+        reach = 3.5 / row["n"] ** 0.5 + 2e-4
+        ends = F.array(F.lit(max(0.0, 0.5 - reach)), F.lit(min(1.0, 0.5 + reach)))
+        found = [F.percentile_approx(x, ends, sketch).alias(x) for x in SPOTS]
+        ranges.append(placed.where(c("grp") == row["grp"]).agg(*found).select(
+            F.lit(row["grp"]).alias("grp"), F.lit(row["n"]).alias("n"), *[F.get(x, F.lit(i)).alias(f"{x}_{end}") for x in SPOTS
+                                                                         for i, end in enumerate(("from", "to"))]))
+    if not ranges:
+        return placed.select("grp", F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"),
+                             F.lit(None).cast("boolean").alias("carries")).distinct()
+    data = placed.join(reduce(DataFrame.unionByName, ranges), "grp").repartitionByRange("grp", "row_idx").sortWithinPartitions("grp", "row_idx")
+    picks = data.mapInPandas(_picked_near_median(draws, seed), "grp string, spot string, chunk int, n long, value double, times array<long>")
+    medians = picks.groupBy("grp", "spot", "chunk").applyInPandas(_drawn_medians, "grp string, spot string, draw int, m double")
+    depths = medians.groupBy("grp", "draw").agg((1.0 - F.max(F.when(c("spot") == "centre", c("m")))
+                                                 / F.max(F.when(c("spot") == "edge", c("m")))).alias("depth"))
+    bounds = depths.groupBy("grp").agg(F.percentile("depth", F.array(F.lit(0.025), F.lit(0.975))).alias("b"))   # one row a draw
+    return (placed.select("grp").distinct().join(bounds, "grp", "left")
+            .select("grp", F.get("b", F.lit(0)).alias("lower"), F.get("b", F.lit(1)).alias("upper"), (F.get("b", F.lit(0)) > 0).alias("carries")))
 
 
 # ------------------------------------------------------------------- pair deltas
