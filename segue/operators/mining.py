@@ -125,7 +125,7 @@ def _blend_spots(windows: DataFrame, keep: list[str]) -> tuple[DataFrame, DataFr
     mid = (F.size("mids") / 2).cast("int")
     around = _median(F.concat(F.slice("mids", mid - 44, 25), F.slice("mids", mid + 21, 25))) + 1e-9
     radius = F.greatest(F.lit(1), F.least(F.rint(c("blend_s") / 2.0).cast("int"), mid - 1))
-    spots = rows.join(groups, "grp").select("grp", "n", *keep, (F.get("mids", mid) / around).alias("centre"),   # at most three groups
+    spots = rows.join(F.broadcast(groups), "grp").select("grp", "n", *keep, (F.get("mids", mid) / around).alias("centre"),   # three groups at most
                                             (F.get("mids", mid + radius) / around).alias("edge"))
     return groups, spots
 
@@ -207,7 +207,7 @@ def dip_ranges(windows: DataFrame, key: str, draws: int = DIP_DRAWS, seed: int =
     if not ranges:
         return placed.select("grp", F.lit(None).cast("double").alias("lower"), F.lit(None).cast("double").alias("upper"),
                              F.lit(None).cast("boolean").alias("carries")).distinct()
-    data = placed.join(reduce(DataFrame.unionByName, ranges), "grp").repartitionByRange("grp", "row_idx").sortWithinPartitions("grp", "row_idx")
+    data = placed.join(F.broadcast(reduce(DataFrame.unionByName, ranges)), "grp").repartitionByRange("grp", "row_idx").sortWithinPartitions("grp", "row_idx")
     picks = data.mapInPandas(_picked_near_median(draws, seed), "grp string, spot string, chunk int, n long, value double, times array<long>")
     medians = picks.groupBy("grp", "spot", "chunk").applyInPandas(_drawn_medians, "grp string, spot string, draw int, m double")
     depths = medians.groupBy("grp", "draw").agg((1.0 - F.max(F.when(c("spot") == "centre", c("m")))
