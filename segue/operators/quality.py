@@ -38,35 +38,53 @@ def _is_number(value: str, path: str) -> Column:
     return kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
 
 
-def validate_tracks(records: DataFrame, data: str = "data") -> tuple[DataFrame, DataFrame]:
-    """Split JSON track records into valid ones and rejects with a reason.
+def _track_values(doc: Column) -> Column:
+    """Of one parsed record: the type of every field, and the values that checks compare."""
+    fields = F.try_variant_get(doc, "$", "map<string,variant>")
 
-    Types are checked on the JSON value itself, before it is cast.
-    """
-    rows = records.withColumn("doc", F.expr(f"try_parse_json({data})"))
+    def value(name: str, kind: str = "double") -> Column:
+        return F.try_variant_get(doc, f"$.{name}", kind).alias(name)
+
+    return F.struct(F.transform_values(fields, lambda _, v: F.schema_of_variant(v)).alias("kinds"),
+                    *[value(n, "string") for n in REQUIRED_TEXT], *[value(n) for n in CONFIDENCES],
+                    *[F.coalesce(value(n), F.lit(unset)).alias(n) for n, unset in (
+                        ("duration", 0.0), ("mix_in_point", R.MIX_POINT_UNSET), ("mix_out_point", R.MIX_POINT_UNSET))])
+
+
+def _track_problems(values: Column) -> Column:
+    """Reasons against one record of :func:`_track_values`, in the order of the contract."""
+    kinds = values["kinds"]
 
     def has(name: str) -> Column:
-        return F.expr(f"try_variant_get(doc, '$.{name}', 'variant') IS NOT NULL")
-
-    def kind(name: str) -> Column:
-        return F.expr(_type("doc", name))
-
-    checks = [F.when(c("doc").isNull() | ~F.expr("schema_of_variant(doc)").startswith("OBJECT"),
-                     "Track-Record ist kein Dictionary")]
-    checks += [F.when(~has(n) | (kind(n) != "STRING") | (F.expr(f"try_variant_get(doc, '$.{n}', 'string')") == ""),
-                      f"Pflichtfeld {n} fehlt oder ist ungueltig") for n in REQUIRED_TEXT]
-    checks += [F.when(has(n) & ~kind(n).startswith("ARRAY"), f"{n} muss eine Liste sein") for n in LIST_FIELDS]
-    checks += [F.when(has(n) & ~kind(n).startswith("OBJECT"), f"{n} muss ein Dictionary sein") for n in DICT_FIELDS]
-    checks += [F.when(has(n) & ~_is_number("doc", n), f"{n} muss numerisch sein") for n in NUMERIC_FIELDS]
-    checks += [F.when(~_number("doc", n).between(0.0, 1.0), f"{n} liegt ausserhalb 0..1") for n in CONFIDENCES]
-    duration = F.coalesce(_number("doc", "duration"), F.lit(0.0))
-    mix_in, mix_out = (F.coalesce(_number("doc", n), F.lit(R.MIX_POINT_UNSET)) for n in ("mix_in_point", "mix_out_point"))
+        return kinds[name].isNotNull()
+
+    def numeric(name: str) -> Column:
+        return kinds[name].isin("BIGINT", "DOUBLE") | kinds[name].startswith("DECIMAL")
+
+    checks = [F.when(kinds.isNull(), "Track-Record ist kein Dictionary")]
+    checks += [F.when(~has(n) | (kinds[n] != "STRING") | (values[n] == ""), f"Pflichtfeld {n} fehlt oder ist ungueltig") for n in REQUIRED_TEXT]
+    checks += [F.when(~kinds[n].startswith("ARRAY"), f"{n} muss eine Liste sein") for n in LIST_FIELDS]
+    checks += [F.when(~kinds[n].startswith("OBJECT"), f"{n} muss ein Dictionary sein") for n in DICT_FIELDS]
+    checks += [F.when(~numeric(n), f"{n} muss numerisch sein") for n in NUMERIC_FIELDS]
+    checks += [F.when(~values[n].between(0.0, 1.0), f"{n} liegt ausserhalb 0..1") for n in CONFIDENCES]
+    duration, mix_in, mix_out = (values[n] for n in ("duration", "mix_in_point", "mix_out_point"))
     checks += [
         F.when((duration < 0) | (mix_in < R.MIX_POINT_UNSET) | (mix_out < R.MIX_POINT_UNSET),
                "Dauer oder Mixpoint ist ungueltig negativ"),
         F.when((mix_in >= 0) & (mix_out >= 0) & (mix_in >= mix_out), "Mix-In muss vor Mix-Out liegen"),
         F.when((duration > 0) & (mix_out >= 0) & (mix_out > duration + 1e-6), "Mix-Out liegt hinter dem Trackende")]
-    judged = rows.withColumn("reasons", F.array_compact(F.array(*checks))).drop("doc")
+    return F.array_compact(F.array(*checks))
+
+
+def validate_tracks(records: DataFrame, data: str = "data") -> tuple[DataFrame, DataFrame]:
+    """Split JSON track records into valid ones and rejects with a reason.
+
+    Types are checked on the JSON value itself, before it is cast.  The checks are a
+    function of the parsed value, and their result is generated: a filter that moved
+    below would parse the record again for every check.
+    """
+    found = F.transform(F.transform(F.array(F.try_parse_json(c(data))), _track_values), _track_problems)
+    judged = records.select("*", F.explode_outer(found).alias("reasons"))
     valid = judged.where(F.size("reasons") == 0).drop("reasons")
     rejects = judged.where(F.size("reasons") > 0).withColumn("reason", F.get("reasons", F.lit(0)))
     return valid, rejects
