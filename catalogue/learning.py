@@ -8,6 +8,7 @@ from catalogue import frames as fr
 from catalogue import relations as rel
 from catalogue.harness import canon, sql, with_ctes
 from catalogue.pairs import resolved
+from segue import lineage
 from segue import refdata as R
 from segue.functions import keys, text
 from segue.operators import evaluate, mining, pairs, ratings
@@ -152,7 +153,7 @@ def holdout(spark, sf):
     w = windows(spark, sf)
     true = mining.true_deltas(w).withColumn("positive", F.lit(True))
     moved = w.withColumn("transition_idx", F.when(F.col("side") == 1, F.pmod(F.col("transition_idx") + 1, F.lit(25))).otherwise(F.col("transition_idx")))
-    both = true.unionByName(mining.true_deltas(moved).withColumn("positive", F.lit(False)))
+    both = lineage.stored(true.unionByName(mining.true_deltas(moved).withColumn("positive", F.lit(False))))   # read by scales, bounds and ranks
     scored = mining.combined_score(both, {"groove_sim": 0.1, "sub_delta": 0.2, "timbre_sim": 0.0, "brightness_delta": 0.05}, mining.factor_scales(both))
     return canon(mining.holdout_passed(scored))
 

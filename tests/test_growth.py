@@ -2,6 +2,7 @@
 
 import json
 
+from catalogue import learning
 from segue.operators import quality
 
 
@@ -20,3 +21,12 @@ def test_records_are_parsed_once(spark):
     for part in (valid, rejects):
         plan = part._jdf.queryExecution().optimizedPlan().toString().lower()
         assert plan.count("parsejson(") + plan.count("parse_json(") == 1
+
+
+def test_holdout_reads_stored_deltas(spark, tmp_path):
+    """Scales, value bounds and ranks read one table of deltas instead of the vectors again."""
+    rows = [(i, [((i * 7 + j * 3) % 11 - 5) / 5.0 for j in range(64)]) for i in range(100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = learning.holdout(spark, str(tmp_path))
+    assert out.inputFiles() and not any("embeddings.parquet" in f for f in out.inputFiles())
+    assert out.count() == 1
