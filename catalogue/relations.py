@@ -94,7 +94,8 @@ def sections(spark: SparkSession, sf: str, of: DataFrame | None = None) -> DataF
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     whole = Window.partitionBy("l_orderkey")
     items = read(spark, sf, "lineitem")
-    items = items if of is None else items.join(of, "l_orderkey", "left_semi")
+    rows = items.count()   # from the footers
+    items = lineage.spread(items if of is None else items.join(of, "l_orderkey", "left_semi"), "l_orderkey", rows)
     lines = items.select(
         F.col("l_orderkey").alias("track_id"), "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax",
         (F.row_number().over(order) - 1).alias("section_idx"),

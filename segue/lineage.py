@@ -33,3 +33,19 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows that one task of a spread table holds.
+SPREAD_ROWS = 250_000
+
+
+def spread(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The rows dealt out by ``key`` to so many tasks that each has about ``SPREAD_ROWS`` of the ``rows``.
+
+    Windows over ``key`` keep that layout; a table that the session's number of shuffle
+    partitions serves as well is left alone.
+    """
+    tasks = -(-rows // SPREAD_ROWS)
+    if tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df
+    return df.repartition(tasks, key)

@@ -2,7 +2,8 @@
 
 import json
 
-from catalogue import learning
+from catalogue import frames, learning
+from segue import lineage
 from segue.operators import quality
 
 
@@ -30,3 +31,15 @@ def test_holdout_reads_stored_deltas(spark, tmp_path):
     out = learning.holdout(spark, str(tmp_path))
     assert out.inputFiles() and not any("embeddings.parquet" in f for f in out.inputFiles())
     assert out.count() == 1
+
+
+def test_sections_are_spread_by_their_number(spark, tmp_path, monkeypatch):
+    """A task of the section windows holds a bounded number of rows, with the same labels."""
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    rows = [(None if i % 50 == 9 else i // 4, i * 7, i, i % 4, float(i * 13 % 50), float(i), 0.1, 0.02) for i in range(200)]
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = sorted(map(repr, frames.labels(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(lineage, "SPREAD_ROWS", 10)
+    out = frames.labels(spark, str(tmp_path))
+    assert sorted(map(repr, out.collect())) == want and len(want) == 200
+    assert out.rdd.getNumPartitions() == 20
