@@ -181,8 +181,13 @@ def xml_document(rows: DataFrame, name: str = "Playlist", folder: str = "Playlis
 
 
 def write_xml(document: DataFrame, path: str) -> None:
-    """One XML file per playlist from the lines of :func:`xml_document`."""
-    (document.repartition("playlist_id").sortWithinPartitions("playlist_id", "part", "xml_id", "seq")
+    """One XML file per playlist from the lines of :func:`xml_document`.
+
+    Dealt by a hash of the playlist: the parts of the document are each dealt by playlist, so Spark
+    takes their union to be dealt that way and leaves out a plain ``repartition("playlist_id")``,
+    after which every part would make a file of its own.
+    """
+    (document.repartition(F.xxhash64("playlist_id")).sortWithinPartitions("playlist_id", "part", "xml_id", "seq")
      .select("playlist_id", c("line").alias("value")).write.mode("overwrite").partitionBy("playlist_id").text(path))
 
 

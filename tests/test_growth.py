@@ -1,10 +1,14 @@
 """Work that must not grow faster than the input: plans and results on rows made here."""
 
 import json
+from xml.etree import ElementTree
+
+from pyspark.sql import functions as F
 
 from catalogue import frames, learning
 from segue import lineage
 from segue.operators import quality
+from segue.sources import collection, exports
 
 
 def test_records_are_parsed_once(spark):
@@ -43,3 +47,29 @@ def test_sections_are_spread_by_their_number(spark, tmp_path, monkeypatch):
     out = frames.labels(spark, str(tmp_path))
     assert sorted(map(repr, out.collect())) == want and len(want) == 200
     assert out.rdd.getNumPartitions() == 20
+
+
+def test_a_playlist_is_one_xml_file(spark, tmp_path):
+    """The parts of a document come in differently many tasks; a playlist still makes one whole file."""
+    tracks = spark.range(4000).select(
+        (F.col("id") % 40).alias("playlist_id"), F.col("id").alias("pos"), F.concat(F.lit("C:/m/"), "id", F.lit(".mp3")).alias("file_path"),
+        F.repeat(F.lit("t"), 200).alias("title"), F.lit("a").alias("artist"), F.lit("House").alias("genre"), F.lit("House").alias("detected_genre"),
+        F.lit(120.0).alias("bpm"), F.lit("A").alias("key_note"), F.lit("Minor").alias("key_mode"), F.lit(300.0).alias("duration"),
+        F.lit(0.5).alias("first_downbeat"), F.lit(1.0).alias("downbeat_confidence"), F.lit(16.0).alias("mix_in_point"), F.lit(200.0).alias("mix_out_point"),
+        F.lit(True).alias("outro_covered"), F.array().cast("array<struct<label:string,start_time:double>>").alias("sections"))
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+             "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.shuffle.partitions": "24"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        exports.write_xml(exports.xml_document(exports.deduplicated(tracks)), str(tmp_path / "xml"))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    folders = sorted((tmp_path / "xml").glob("playlist_id=*"))
+    assert len(folders) == 40
+    for folder in folders:
+        (file,) = folder.glob("*.txt")
+        assert len(ElementTree.fromstring(file.read_text()).findall("COLLECTION/TRACK")) == 100
+    assert collection.tracks(collection.read_entries(spark, str(tmp_path / "xml"))).count() == 4000
