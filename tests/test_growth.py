@@ -3,11 +3,12 @@
 import json
 from xml.etree import ElementTree
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from catalogue import frames, learning
+from catalogue import frames, learning, sets
 from segue import lineage
-from segue.operators import quality
+from segue.operators import quality, sequence
 from segue.sources import collection, exports
 
 
@@ -73,3 +74,23 @@ def test_a_playlist_is_one_xml_file(spark, tmp_path):
         (file,) = folder.glob("*.txt")
         assert len(ElementTree.fromstring(file.read_text()).findall("COLLECTION/TRACK")) == 100
     assert collection.tracks(collection.read_entries(spark, str(tmp_path / "xml"))).count() == 4000
+
+
+def test_playlists_are_ordered_once(spark, sf):
+    """Counts and violations of the strategies come from one ordering; a lost track is still a violation."""
+    plan = sets.invariants(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInPandas") == 1
+
+
+def test_lost_tracks_are_violations(spark, sf, monkeypatch):
+    whole = sets.sequence.sequence
+    monkeypatch.setattr(sets.sequence, "sequence", lambda *args: whole(*args).where("NOT (strategy = 'Warm-Up' AND playlist_id = 0 AND pos = 3)"))
+    found = {r["strategy"]: r["violations"] for r in sets.invariants(spark, sf).collect()}
+    assert found.pop("Warm-Up") == 1 and len(found) == 7 and set(found.values()) == {0}
+
+
+def test_score_of_one_pair():
+    """The score of one pair equals that of a row, also at the ends and for repeated and missing pairs."""
+    edges = sequence.Edges(4, np.array([2, 0, 0, 2, 2]), np.array([3, 3, 1, 0, 0]), np.array([5, 7, 9, 4, 6]))
+    assert [[edges.score(i, j) for j in range(4)] for i in range(4)] == [edges.of(i, range(4)).tolist() for i in range(4)]
+    assert edges.score(0, 3) == 7 and edges.score(3, 3) == 0
