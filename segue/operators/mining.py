@@ -334,7 +334,7 @@ TILE, DRAW_BLOCK = 256, 250   # clusters and draws that one task of the concorda
 
 
 def _draws(clusters: DataFrame, draws: int, seed: int) -> DataFrame:
-    """(draw, side, clusters, times): how often a draw took which clusters; side 0 for positives, 1 for negatives.
+    """(draw, side, tile, clusters, times): how often a draw took which clusters of a tile; side 0 for positives, 1 for negatives.
 
     Positives and negatives draw their clusters independently, with replacement.
     """
@@ -343,8 +343,9 @@ def _draws(clusters: DataFrame, draws: int, seed: int) -> DataFrame:
         F.pmod(digest_number(F.lit(seed), c("id")), F.lit(n)).alias("cluster_idx"),
         F.floor(c("id") / (2 * n)).cast("int").alias("draw"), (c("id") % 2).cast("int").alias("side"))
     counts = picks.groupBy("draw", "side", "cluster_idx").agg(F.count("*").alias("k"))
-    packed = counts.groupBy("draw", "side").agg(F.sort_array(F.collect_list(F.struct("cluster_idx", "k"))).alias("p"))   # at most n clusters a draw
-    return packed.select("draw", "side", c("p.cluster_idx").alias("clusters"), c("p.k").alias("times"))
+    tile = F.floor(c("cluster_idx") / TILE).cast("int").alias("tile")
+    packed = counts.groupBy("draw", "side", tile).agg(F.sort_array(F.collect_list(F.struct("cluster_idx", "k"))).alias("p"))   # at most TILE clusters
+    return packed.select("draw", "side", "tile", c("p.cluster_idx").alias("clusters"), c("p.k").alias("times"))
 
 
 def _inside(key: str):
@@ -364,11 +365,11 @@ def _inside(key: str):
     return run
 
 
-def concordance(scores: DataFrame, key: str, cluster: str, clusters: DataFrame) -> DataFrame:
-    """(key, i, won): how often positives of cluster i win against negatives of every cluster, ties counted half.
+def concordance_tiles(scores: DataFrame, key: str, cluster: str, clusters: DataFrame) -> DataFrame:
+    """(key, i, tile, won): how often positives of cluster i win against negatives of the clusters of a tile, ties counted half.
 
-    ``clusters``: cluster, cluster_idx.  ``won`` has one entry a cluster; row -1 of a key
-    holds the negatives of every cluster, ``n_pos`` the positives of cluster i.  Values are dealt to
+    ``clusters``: cluster, cluster_idx.  ``won`` has one entry a cluster of the tile; row -1 of a key
+    holds their negatives, ``n_pos`` the positives of cluster i.  Values are dealt to
     ranges; pairs inside a range are counted there, pairs across ranges follow from the
     counts per cluster and range.  The matrix has clusters^2 entries and is formed in tiles.
     """
@@ -384,65 +385,89 @@ def concordance(scores: DataFrame, key: str, cluster: str, clusters: DataFrame)
     inside = own.unionByName(others).groupBy(key, "part", "tile").applyInPandas(_inside(key), f"{key} string, i long, j long, x double")
     inside = inside.groupBy(key, "i", "j").agg(F.sum("x").alias("x"))
     totals = ranged.groupBy(key, "part", "cluster_idx").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    def entry(rows: DataFrame, kind: int, of: Column, a: str, b: str, x: str) -> DataFrame:
-        return rows.select(key, of.alias("tile"), F.lit(kind).alias("kind"), c(a).cast("long").alias("a"), c(b).cast("long").alias("b"), c(x).cast("double").alias("x"))
+    def entry(rows: DataFrame, kind: int, row: Column, column: Column, a: str, b: str, x: str) -> DataFrame:
+        placed = rows.select("*", row.alias("row_tile")).select("*", column.alias("tile"))
+        return placed.select(key, "row_tile", "tile", F.lit(kind).alias("kind"), c(a).cast("long").alias("a"), c(b).cast("long").alias("b"), c(x).cast("double").alias("x"))
 
-    rows = (entry(inside, 0, F.floor(c("i") / TILE).cast("int"), "i", "j", "x")
-            .unionByName(entry(totals.where("pos > 0"), 1, tile, "part", "cluster_idx", "pos"))
-            .unionByName(entry(totals.where("neg > 0"), 2, F.explode(tiles), "part", "cluster_idx", "neg")))
+    every = F.explode(tiles)
+    rows = (entry(inside, 0, F.floor(c("i") / TILE).cast("int"), F.floor(c("j") / TILE).cast("int"), "i", "j", "x")
+            .unionByName(entry(totals.where("pos > 0"), 1, tile, every, "part", "cluster_idx", "pos"))
+            .unionByName(entry(totals.where("neg > 0"), 2, every, tile, "part", "cluster_idx", "neg")))
 
     def tiled(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, size = int(pdf["tile"].iloc[0]) * TILE, min(TILE, n - int(pdf["tile"].iloc[0]) * TILE)
+        (row, size), (column, width) = ((first, min(TILE, n - first)) for first in (int(pdf[t].iloc[0]) * TILE for t in ("row_tile", "tile")))
         part = {k: i for i, k in enumerate(sorted(set(pdf.loc[pdf["kind"].isin([1, 2]), "a"])))}
-        won, pos, neg = np.zeros((size, n)), np.zeros((len(part), size)), np.zeros((len(part), n))
+        won, pos, neg = np.zeros((size, width)), np.zeros((len(part), size)), np.zeros((len(part), width))
         for kind, same in pdf.groupby("kind"):
             a, b, x = same["a"].to_numpy(), same["b"].to_numpy(), same["x"].to_numpy()
             if kind == 0:
-                won[a - first, b] += x
+                won[a - row, b - column] += x
             elif kind == 1:
-                pos[[part[k] for k in a], b - first] = x
+                pos[[part[k] for k in a], b - row] = x
             else:
-                neg[[part[k] for k in a], b] = x
+                neg[[part[k] for k in a], b - column] = x
         won += pos.T @ (neg.cumsum(axis=0) - neg)     # ranges are numbered in order of their values
-        index = list(range(first, first + size)) + ([-1] if first == 0 else [])
-        return pd.DataFrame({key: pdf[key].iloc[0], "i": index, "n_pos": [*pos.sum(axis=0), *([0.0] if first == 0 else [])],
-                             "won": [*won, *([neg.sum(axis=0)] if first == 0 else [])]})
+        index = list(range(row, row + size)) + ([-1] if row == 0 else [])
+        return pd.DataFrame({key: pdf[key].iloc[0], "i": index, "tile": column // TILE, "n_pos": [*pos.sum(axis=0), *([0.0] if row == 0 else [])],
+                             "won": [*won, *([neg.sum(axis=0)] if row == 0 else [])]})
+
+    return rows.groupBy(key, "row_tile", "tile").applyInPandas(tiled, f"{key} string, i long, tile int, n_pos double, won array<double>")
+
 
-    return rows.groupBy(key, "tile").applyInPandas(tiled, f"{key} string, i long, n_pos double, won array<double>")
+def concordance(scores: DataFrame, key: str, cluster: str, clusters: DataFrame) -> DataFrame:
+    """The rows of :func:`concordance_tiles` put together: ``won`` has one entry a cluster."""
+    n = clusters.count()
+    parts = concordance_tiles(scores, key, cluster, clusters).groupBy(key, "i").agg(
+        F.max("n_pos").alias("n_pos"), F.map_from_entries(F.collect_list(F.struct("tile", "won"))).alias("parts"))   # one entry a tile
+    empty = F.array_repeat(F.lit(0.0), TILE)
+    whole = F.flatten(F.transform(F.sequence(F.lit(0), F.lit((n - 1) // TILE)), lambda t: F.coalesce(F.element_at(c("parts"), t), empty)))
+    return parts.select(key, "i", "n_pos", F.slice(whole, 1, n).alias("won"))
 
 
 def auc_interval(scores: DataFrame, key: str = "factor", cluster: str = "mix_id", draws: int = 2000, seed: int = 42) -> DataFrame:
     """AUC with a 95 % interval from resampling whole clusters (mixes).
 
     The concordance of every pair of clusters is counted once; a draw is then a product
-    of its multiplicities with that matrix, in tiles of clusters and blocks of
-    draws.  Rows of ``scores`` never carry draws.
+    of its multiplicities with that matrix, in square tiles of clusters and blocks of
+    draws, so a task holds no row of all clusters.  Rows of ``scores`` never carry draws.
     """
     base = scores.select(cluster).distinct().withColumn("h", digest_number(c(cluster)))
     base = lineage.stored(ordered.dense_index(base, [], ["h", cluster], F.floor(c("h") / (2 ** 52)), "cluster_idx").drop("h"))
     n = base.count()
-    matrix = concordance(scores, key, cluster, base)
+    matrix = concordance_tiles(scores, key, cluster, base)
     blocks = F.sequence(F.lit(0), F.lit((draws - 1) // DRAW_BLOCK))
-    left = matrix.select(F.floor(F.greatest(c("i"), F.lit(0)) / TILE).cast("int").alias("tile"), F.explode(blocks).alias("block"), key, "i", "n_pos", "won")
-    right = _draws(base, draws, seed).select(F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0) // TILE))).alias("tile"),
-                                             F.floor(c("draw") / DRAW_BLOCK).cast("int").alias("block"), "draw", "side", "clusters", "times")
+    left = matrix.select(F.floor(F.greatest(c("i"), F.lit(0)) / TILE).cast("int").alias("row_tile"), "tile", F.explode(blocks).alias("block"), key, "i", "n_pos", "won")
+    drawn = _draws(base, draws, seed)
+    tiles = F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0) // TILE)))
+    block = F.floor(c("draw") / DRAW_BLOCK).cast("int").alias("block")
+    columns = [block, "draw", "side", "clusters", "times"]
+    right = (drawn.where("side = 0").select(c("tile").alias("row_tile"), tiles.alias("tile"), *columns)
+             .unionByName(drawn.where("side = 1").select(tiles.alias("row_tile"), "tile", *columns)))
 
     def product(m: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame({key: [], "draw": [], "won": [], "pos": [], "neg": []})
+        if not len(m):
+            return out
+        first = [int(m[t].iloc[0]) * TILE for t in ("row_tile", "tile")]
         names = np.array(sorted(drawn["draw"].unique()))
-        times = np.zeros((2, len(names), n))
+        times = np.zeros((2, len(names), TILE))
         for draw, side, where, k in zip(drawn["draw"], drawn["side"], drawn["clusters"], drawn["times"]):
-            times[side, np.searchsorted(names, draw), where] = k
-        out = []
+            times[side, np.searchsorted(names, draw), where - first[side]] = k
+        parts = []
         for value, rows in m.groupby(key):
             own = rows[rows["i"] >= 0]
-            i, won = own["i"].to_numpy(), np.stack(own["won"].to_numpy())
-            negatives = rows.loc[rows["i"] < 0, "won"]
-            out.append(pd.DataFrame({
-                key: value, "draw": names, "won": ((times[1] @ won.T) * times[0][:, i]).sum(axis=1), "pos": times[0][:, i] @ own["n_pos"].to_numpy(),
-                "neg": times[1] @ negatives.iloc[0] if len(negatives) else np.zeros(len(names))}))
-        return pd.concat(out) if out else pd.DataFrame({key: [], "draw": [], "won": [], "pos": [], "neg": []})
-
-    drawn = (left.groupBy("tile", "block").cogroup(right.groupBy("tile", "block"))
+            found = pd.DataFrame({key: value, "draw": names, "won": 0.0, "pos": 0.0, "neg": 0.0})
+            if len(own):
+                i, won = own["i"].to_numpy() - first[0], np.stack(own["won"].to_numpy())
+                found["won"] = ((times[1][:, :won.shape[1]] @ won.T) * times[0][:, i]).sum(axis=1)
+                if not first[1]:       # positives once for a row of tiles, negatives once for a column
+                    found["pos"] = times[0][:, i] @ own["n_pos"].to_numpy()
+            for negatives in rows.loc[rows["i"] < 0, "won"]:
+                found["neg"] = times[1][:, :len(negatives)] @ negatives
+            parts.append(found)
+        return pd.concat(parts)
+
+    drawn = (left.groupBy("row_tile", "tile", "block").cogroup(right.groupBy("row_tile", "tile", "block"))
              .applyInPandas(product, f"{key} string, draw int, won double, pos double, neg double")
              .groupBy(key, "draw").agg(*[F.sum(x).alias(x) for x in ("won", "pos", "neg")]))
     value = F.when((c("pos") > 0) & (c("neg") > 0), c("won") / (c("pos") * c("neg")))

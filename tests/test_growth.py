@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catalogue import frames, learning, sets
 from segue import lineage
-from segue.operators import quality, sequence
+from segue.operators import mining, quality, sequence
 from segue.sources import collection, exports
 
 
@@ -94,3 +94,16 @@ def test_score_of_one_pair():
     edges = sequence.Edges(4, np.array([2, 0, 0, 2, 2]), np.array([3, 3, 1, 0, 0]), np.array([5, 7, 9, 4, 6]))
     assert [[edges.score(i, j) for j in range(4)] for i in range(4)] == [edges.of(i, range(4)).tolist() for i in range(4)]
     assert edges.score(0, 3) == 7 and edges.score(3, 3) == 0
+
+
+def test_resampling_holds_tiles_only(spark, monkeypatch):
+    """No row of the concordance or of the draws is as long as the clusters are many; intervals stay the same."""
+    rows = [("f", float((m * 7 + k * 5) % 13), (m + k) % 3 > 0, m) for m in range(10) for k in range(6)] + [("g", 1.0, m < 9, m) for m in range(10)]
+    scores = spark.createDataFrame(rows, "factor string, value double, positive boolean, mix_id int")
+    want = sorted(map(repr, mining.auc_interval(scores, draws=20).collect()))
+    monkeypatch.setattr(mining, "TILE", 3)
+    monkeypatch.setattr(mining, "DRAW_BLOCK", 7)
+    clusters = spark.createDataFrame([(m, m) for m in range(10)], "mix_id int, cluster_idx long")
+    assert {len(r["won"]) for r in mining.concordance_tiles(scores, "factor", "mix_id", clusters).collect()} == {3, 1}
+    assert max(len(r["clusters"]) for r in mining._draws(clusters.withColumnRenamed("mix_id", "x"), 20, 42).collect()) <= 3
+    assert sorted(map(repr, mining.auc_interval(scores, draws=20).collect())) == want
