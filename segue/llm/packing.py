@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -19,76 +19,97 @@ TOKENIZER, END, LENGTH = "word_bpe_49k.json", 1, 2048
 OPEN, LEAST_CUT, FAN = 64, 16, 32
 #: Distinct chunks of text whose ids a worker remembers in each of two generations, and the longest chunk remembered.
 REMEMBERED, LONGEST_REMEMBERED = 1 << 19, 64
-#: New chunks that one call encodes: the tokenizer's time grows faster than a long text does.
-AT_ONCE = 256
+#: Distinct runs of punctuation behind words whose ids a worker remembers.
+TAILS = 1 << 12
+#: Punctuation, and letters beyond a-z, that normalization leaves alone but for the case; chunks for a trial that hold them all.
+MARKS, LATIN = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", re.compile("[A-Za-zªµºÀ-ÖØ-öø-ÿ]+")
+TRIAL = ["the", "Theon.", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", f"a{MARKS}", "".join(filter(LATIN.fullmatch, map(chr, range(128, 256))))]
 ID_BYTES = 4
 _PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, part long, slot long"
 _NAMES = [field.split()[0] for field in _PIECE.split(", ")]
 _ROUND, _PART = 1 << 52, 1 << 30
 
 
+class Memory(dict):
+    """Values made when their key is first asked for.
+
+    When as many as may be are remembered, they become the older generation, from which
+    those still in use come back.
+    """
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Ids:
     """Token ids of texts, four little-endian bytes each, put together from the ids of their chunks between blanks.
 
     The tokenizer drops white space and none of its rules reaches across it, so a text's
     ids are those of its chunks one after the other; most chunks of a corpus occur
-    again and again.  When as many as may be are remembered, they become the older
-    generation, from which those still in use come back.  New chunks of letters are
-    encoded in one call: the vocabulary marks the ends of words, and each such chunk is
-    one word or one with punctuation behind it.
+    again and again.  A new chunk of Latin letters, with or without punctuation behind
+    it, is one word or two: these go to the tokenizer's model in the form that its
+    normalizer and pre-tokenizer give them, if a trial shows that they come out the
+    same.  Any other chunk is encoded as a text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_file(path)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        for token, number in vocabulary.items():
-            self.ends[number] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = {ord(x): byte_level.pre_tokenize_str(x)[0][0] for x in map(chr, range(128, 256)) if LATIN.fullmatch(x)}
+        self.tails: dict[str, list[int]] = {}
+        self.direct = all(self._words(chunk) == self._encode(chunk) for chunk in TRIAL)
+        self.known = Memory(self._new)
 
     def _encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, chunks: set[str]) -> None:
-        plain, words = [], []
-        for chunk in chunks:
-            core = chunk.rstrip(".,;:!?")
-            if core.isalpha():
-                plain.append(chunk)
-                words.append(1 if len(core) == len(chunk) else 2)
-            else:
-                self.known[chunk] = _packed_ids(self._encode(chunk))
-        for first in range(0, len(plain), AT_ONCE):
-            self._learn_words(plain[first:first + AT_ONCE], words[first:first + AT_ONCE])
-
-    def _learn_words(self, plain: list[str], words: list[int]) -> None:
-        ids = np.array(self._encode(" ".join(plain)), dtype="<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != sum(words):    # a letter that the tokenizer takes for several words
-            self.known.update((chunk, _packed_ids(self._encode(chunk))) for chunk in plain)
-            return
-        at, packed_ids = 0, ids.tobytes()
-        for chunk, stop in zip(plain, (stops[np.cumsum(words) - 1] * ID_BYTES).tolist()):
-            self.known[chunk] = packed_ids[at:stop]
-            at = stop
+    def _words(self, chunk: str) -> list[int] | None:
+        letters = chunk.rstrip(MARKS)
+        if letters.isascii():
+            if not letters.isalpha():
+                return None
+            word = letters.lower()
+        elif LATIN.fullmatch(letters):
+            word = letters.lower().translate(self.signs)
+        else:
+            return None
+        ids = [token.id for token in self.model.tokenize(word)]
+        return ids if len(letters) == len(chunk) else ids + self._tail(chunk[len(letters):])
+
+    def _tail(self, marks: str) -> list[int]:
+        ids = self.tails.get(marks)
+        if ids is None:
+            ids = [token.id for token in self.model.tokenize(marks)]
+            if len(self.tails) < TAILS:
+                self.tails[marks] = ids
+        return ids
+
+    def _new(self, chunk: str) -> bytes:
+        ids = self._words(chunk) if self.direct else None
+        return _packed_ids(self._encode(chunk) if ids is None else ids)
+
+    @property
+    def older(self) -> dict[str, bytes]:
+        return self.known.older
 
     def of(self, text: str) -> bytes:
         chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        new = set(chunks).difference(self.known)
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.older, self.known, new = self.known, {}, set(chunks)
-            unknown = new.difference(self.older)
-            self.known.update((chunk, self.older[chunk]) for chunk in new.difference(unknown))
-            if unknown:
-                self._learn(unknown)
-        ids = b"".join(map(self.known.__getitem__, chunks))
-        for chunk in new:
-            if len(chunk) > LONGEST_REMEMBERED:
-                del self.known[chunk]
-        return ids
+        return b"".join(map(self.known.__getitem__, chunks))
 
 
 def _packed_ids(ids: list[int]) -> bytes:

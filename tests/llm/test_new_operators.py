@@ -255,3 +255,17 @@ def test_ids_of_two_generations(monkeypatch):
     for text in texts * 2:
         assert np.frombuffer(ids.of(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
         assert len(ids.known) <= 16 and len(ids.older) <= 16 and all(len(c) <= packing.LONGEST_REMEMBERED for c in ids.known)
+
+
+def test_words_of_letters_go_to_the_model(monkeypatch):
+    """New words of Latin letters cost no run of the whole tokenizer; every other chunk still has one, and all ids are its ids."""
+    ids = packing.Ids(PATH)
+    whole, asked = ids.tokenizer.encode, []
+    monkeypatch.setattr(ids, "_encode", lambda text: asked.append(text) or whole(text, add_special_tokens=False).ids)
+    plain = ["The", "ÉTÉ.", "straße,%%%", "ª", "aµ!?", "don'", "ÿÞ_", "theatre" * 40, f"x{packing.MARKS}"]
+    odd = ["don't", "Kelvin", "été", "ΟΔΟΣ", "İstanbul", "a1", "(the", "the of", "a̸=", "<|endoftext|>", "the<|endoftext|>", "a\x0bb",
+           "ﬁn", "the…", "≠", "中文", "×", "a÷", "...", "a\x00"]
+    for chunk in plain + odd + ["", *map(chr, range(33, 0x250))]:
+        for text in (chunk, f"{chunk} of", f"of{chunk}", f"{chunk}.'S"):
+            assert ids.of(text) == packing._packed_ids(whole(text, add_special_tokens=False).ids), text
+    assert not set(asked) & {*plain, "of"} and set(odd) <= set(asked)
