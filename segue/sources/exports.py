@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from segue.functions import keys, text
 from segue.operators import quality
+from segue.sources import textfiles
 
 c = F.col
 REFERENCE_BEATGRID = 1.0
@@ -186,9 +187,16 @@ def write_xml(document: DataFrame, path: str) -> None:
     Dealt by a hash of the playlist: the parts of the document are each dealt by playlist, so Spark
     takes their union to be dealt that way and leaves out a plain ``repartition("playlist_id")``,
     after which every part would make a file of its own.
+
+    Under a ``file:`` address the tasks write the files themselves, in the same folders: Hadoop's local
+    file system starts processes to set the modes of every file, which takes longer than the file.
     """
-    (document.repartition(F.xxhash64("playlist_id")).sortWithinPartitions("playlist_id", "part", "xml_id", "seq")
-     .select("playlist_id", c("line").alias("value")).write.mode("overwrite").partitionBy("playlist_id").text(path))
+    rows = document.repartition(F.xxhash64("playlist_id")).sortWithinPartitions("playlist_id", "part", "xml_id", "seq")
+    folder = textfiles.local_folder(path)
+    if folder:
+        textfiles.write_texts(rows, "playlist_id", "line", folder)
+    else:
+        rows.select("playlist_id", c("line").alias("value")).write.mode("overwrite").partitionBy("playlist_id").text(path)
 
 
 def _outcome() -> tuple[Column, Column, Column, Column]:

@@ -4,6 +4,7 @@ import json
 from xml.etree import ElementTree
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from catalogue import frames, learning, sets
@@ -107,3 +108,35 @@ def test_resampling_holds_tiles_only(spark, monkeypatch):
     assert {len(r["won"]) for r in mining.concordance_tiles(scores, "factor", "mix_id", clusters).collect()} == {3, 1}
     assert max(len(r["clusters"]) for r in mining._draws(clusters.withColumnRenamed("mix_id", "x"), 20, 42).collect()) <= 3
     assert sorted(map(repr, mining.auc_interval(scores, draws=20).collect())) == want
+
+
+def test_the_tasks_write_playlist_files(spark, tmp_path):
+    """Under a file: address the files equal those of Spark's writer, and no checksum file is written beside each."""
+    key = F.element_at(F.array(F.lit("a/b=c%"), F.lit("x y"), F.lit("ü"), F.lit(None), F.lit("7")), (F.col("id") % 5 + 1).cast("int"))
+    document = spark.range(5000).select(
+        key.alias("playlist_id"), F.lit(1).alias("part"), F.col("id").alias("xml_id"), F.lit(0).alias("seq"),
+        F.when(F.col("id") % 50 != 7, F.concat(F.lit("<ü "), "id", F.lit("/>"))).alias("line")).unionByName(
+        spark.range(30_000).select(F.lit("long").alias("playlist_id"), F.lit(3).alias("part"), F.col("id").alias("xml_id"), F.lit(0).alias("seq"),
+                                   F.col("id").cast("string").alias("line")))
+
+    def files(folder):
+        return {f.name: [p.read_bytes() for p in f.glob("part-*.txt")] for f in folder.glob("playlist_id=*")}
+
+    exports.write_xml(document, str(tmp_path / "spark"))
+    own = tmp_path / "own folder"
+    (own / "playlist_id=old").mkdir(parents=True)
+    exports.write_xml(document, f"file:{own}")
+    want = files(tmp_path / "spark")
+    assert files(own) == want and len(want) == 6 and all(len(x) == 1 for x in want.values())
+    assert want["playlist_id=long"][0].split() == [str(i).encode() for i in range(30_000)]
+    assert {p.name for p in own.rglob("*") if p.is_file()} == {"_SUCCESS", *(p.name for p in own.glob("*/part-*.txt"))}
+    assert spark.read.text(str(own)).groupBy("playlist_id").count().count() == 6
+
+    failing = document.withColumn("line", F.when(F.col("xml_id") == 29_999, F.raise_error(F.lit("no line")).cast("string")).otherwise(F.col("line")))
+    with pytest.raises(Exception, match="no line"):
+        exports.write_xml(failing, f"file://{own}")
+    assert files(own) == want and sorted(p.name for p in tmp_path.iterdir()) == ["own folder", "spark"]
+
+    exports.write_xml(document.where("playlist_id is null").unionByName(document.where("playlist_id = '7'").withColumn("playlist_id", F.lit(""))), f"file:{own}")
+    assert sorted(files(own)["playlist_id=__HIVE_DEFAULT_PARTITION__"]) == sorted(
+        want["playlist_id=__HIVE_DEFAULT_PARTITION__"] + want["playlist_id=7"])
