@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -330,22 +331,49 @@ def auc(scores: DataFrame, keys: list[str], value: str = "value", label: str = "
         c("won") / F.nullif(c("n_pos") * c("n_neg"), F.lit(0)), F.lit(0.5)).alias("auc"))
 
 
-TILE, DRAW_BLOCK = 256, 250   # clusters and draws that one task of the concordance product holds
+TILE, DRAW_BLOCK = 256, 1000   # clusters of a tile; draws that one task adds up at most
+HELD, SHARD_ROWS, PICKS = 1 << 24, 500_000, 1 << 18   # counts of draws that a task of the rank sums holds, rows that it reads; picks that a task draws
+
+
+def _counted_picks(n: int, size: int):
+    """Picks in the order of their draws, counted by cluster: a row a tile."""
+    def rows(draw: int, counts: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(counts)
+        side, cluster = at // n, at % n
+        tile = cluster // size
+        starts = np.flatnonzero(np.r_[True, (side[1:] != side[:-1]) | (tile[1:] != tile[:-1])])
+        offsets = pa.array(np.r_[starts, len(at)], pa.int32())
+        return pa.record_batch([pa.array(np.full(len(starts), draw), pa.int32()), pa.array(side[starts], pa.int32()), pa.array(tile[starts], pa.int32()),
+                                pa.ListArray.from_arrays(offsets, pa.array(cluster, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(counts[at], pa.int32()))],
+                               names=["draw", "side", "tile", "clusters", "times"])
+
+    def run(batches):
+        current, counts = None, None
+        for batch in batches:
+            draw, at = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            starts = np.flatnonzero(np.r_[True, draw[1:] != draw[:-1]][:len(draw)])
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(draw)]):
+                if draw[s] != current:
+                    if current is not None:
+                        yield rows(current, counts)
+                    current, counts = draw[s], np.zeros(2 * n, dtype=np.int64)
+                counts += np.bincount(at[s:e], minlength=2 * n)
+        if current is not None:
+            yield rows(current, counts)
+    return run
 
 
 def _draws(clusters: DataFrame, draws: int, seed: int) -> DataFrame:
     """(draw, side, tile, clusters, times): how often a draw took which clusters of a tile; side 0 for positives, 1 for negatives.
 
-    Positives and negatives draw their clusters independently, with replacement.
+    Positives and negatives draw their clusters independently, with replacement.  Tasks
+    count the picks of whole draws; a draw that two tasks share has rows of both, which add up.
     """
     n = clusters.count()
-    picks = clusters.sparkSession.range(draws * n * 2).select(
-        F.pmod(digest_number(F.lit(seed), c("id")), F.lit(n)).alias("cluster_idx"),
-        F.floor(c("id") / (2 * n)).cast("int").alias("draw"), (c("id") % 2).cast("int").alias("side"))
-    counts = picks.groupBy("draw", "side", "cluster_idx").agg(F.count("*").alias("k"))
-    tile = F.floor(c("cluster_idx") / TILE).cast("int").alias("tile")
-    packed = counts.groupBy("draw", "side", tile).agg(F.sort_array(F.collect_list(F.struct("cluster_idx", "k"))).alias("p"))   # at most TILE clusters
-    return packed.select("draw", "side", "tile", c("p.cluster_idx").alias("clusters"), c("p.k").alias("times"))
+    picks = clusters.sparkSession.range(0, draws * n * 2, 1, max(1, -(-draws * n * 2 // PICKS))).select(
+        F.floor(c("id") / (2 * n)).cast("int").alias("draw"),
+        (c("id") % 2 * n + F.pmod(digest_number(F.lit(seed), c("id")), F.lit(n))).alias("at"))
+    return picks.mapInArrow(_counted_picks(n, TILE), "draw int, side int, tile int, clusters array<int>, times array<int>")
 
 
 def _inside(key: str):
@@ -424,52 +452,124 @@ def concordance(scores: DataFrame, key: str, cluster: str, clusters: DataFrame)
     return parts.select(key, "i", "n_pos", F.slice(whole, 1, n).alias("won"))
 
 
+def _packed(batches):
+    """Rows sorted by key, value and class in packed runs of a key: clusters, counts, and marks (1 for positives, 2 more where a value begins)."""
+    held, seq = None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        name, missing = np.array(batch.column(1).to_pylist(), dtype=object), batch.column(2).is_null().to_numpy(zero_copy_only=False)
+        value = batch.column(2).fill_null(0.0).to_numpy()
+        before = [np.r_[x[:1] if held is None else h, x[:-1]] for h, x in zip(held or [None] * 3, (name, missing, value))]
+        other = name != before[0]
+        fresh = other | (missing != before[1]) | ((value != before[2]) & ~(np.isnan(value) & np.isnan(before[2])))
+        fresh[0] |= held is None
+        held = [name[-1:], missing[-1:], value[-1:]]
+        marks = batch.column(3).to_numpy(zero_copy_only=False) + 2 * fresh.astype(np.uint8)
+        clusters, counts = batch.column(4).to_numpy(), batch.column(5).to_numpy()
+        starts = np.flatnonzero(np.r_[True, other[1:]])
+        spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(name)]))
+        yield pa.record_batch([pa.array([batch.column(0)[0].as_py()] * len(spans), pa.int32()), pa.array(range(seq, seq + len(spans)), pa.int32()),
+                               pa.array([name[s] for s, _ in spans], pa.string()),
+                               *[pa.array([x[s:e].tobytes() for s, e in spans], pa.binary()) for x in (clusters, counts, marks.astype(np.uint8))]],
+                              names=["shard", "seq", "name", "at", "k", "marks"])
+        seq += len(spans)
+
+
+def _rank_sums(n: int, draws: int, block: int, shards: int):
+    """For the rows of a shard and a block of draws: won pairs and both sizes of every draw.
+
+    Rows come in the order of their values, so a draw's negatives below a positive are one
+    running sum; a task holds the counts of its draws, rows pass through.
+    """
+    kind = np.uint16 if n < 1 << 16 else np.uint32      # no count is above n
+
+    def drawn(times: np.ndarray, rows: pa.RecordBatch, first: int) -> None:
+        lists = rows.column("clusters")
+        lengths = np.diff(lists.offsets.to_numpy())
+        draw, side = (np.repeat(rows.column(x).to_numpy(), lengths).astype(np.int64) for x in ("draw", "side"))
+        np.add.at(times.reshape(-1), (side * n + lists.flatten().to_numpy()) * times.shape[2] + draw - first, rows.column("times").flatten().to_numpy().astype(kind))
+
+    def taken(times: np.ndarray, clusters: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        if len(clusters) == 1:
+            return times[clusters[0]] * float(counts[0])
+        return sum(counts[s:s + 512].astype(float) @ times[clusters[s:s + 512]] for s in range(0, len(clusters), 512))
+
+    def run(batches):
+        cell, name, times, state = None, None, None, None
+
+        def result() -> pa.RecordBatch:
+            size = times.shape[2]
+            return pa.record_batch([pa.array([name] * size, pa.string()), pa.array([cell % shards] * size, pa.int32()),
+                                    pa.array(range(cell // shards * block, cell // shards * block + size), pa.int32()),
+                                    *[pa.array(x) for x in state[:3]]], names=["name", "shard", "draw", "won", "pos", "neg"])
+
+        for batch in batches:
+            where = batch.column("cell").to_numpy()
+            for here in np.unique(where):
+                rows = batch.filter(pa.array(where == here))
+                if here != cell:
+                    if state is not None:
+                        yield result()
+                    cell, state = int(here), None
+                    times = np.zeros((2, n, min(block, draws - cell // shards * block)), dtype=kind)
+                packed = rows.column("seq").to_numpy() >= 0      # after all the draws of the cell
+                drawn(times, rows.filter(pa.array(~packed)), cell // shards * block)
+                for who, *parts in zip(*(rows.filter(pa.array(packed)).column(x).to_pylist() for x in ("name", "at", "k", "marks"))):
+                    if state is None or who != name:
+                        if state is not None:
+                            yield result()
+                        name, state = who, [*np.zeros((3, times.shape[2])), None]
+                    won, have, below, tie = state
+                    clusters, counts, marks = (np.frombuffer(x, dtype=d) for x, d in zip(parts, (np.int64, np.int64, np.uint8)))
+                    starts = np.flatnonzero(np.r_[True, (marks[1:] >= 2) | (marks[1:] % 2 != marks[:-1] % 2)])
+                    for s, e, mark in zip(starts.tolist(), [*starts[1:].tolist(), len(marks)], marks[starts].tolist()):
+                        x = taken(times[1 - mark % 2], clusters[s:e], counts[s:e])
+                        if mark >= 2:
+                            tie = None                              # the negatives of this value, which come first
+                        if mark % 2:
+                            won += x * (below if tie is None else below - tie / 2.0)
+                            have += x
+                        else:
+                            below += x
+                            tie = x if tie is None else tie + x
+                    state[3] = tie
+        if state is not None:
+            yield result()
+    return run
+
+
 def auc_interval(scores: DataFrame, key: str = "factor", cluster: str = "mix_id", draws: int = 2000, seed: int = 42) -> DataFrame:
     """AUC with a 95 % interval from resampling whole clusters (mixes).
 
-    The concordance of every pair of clusters is counted once; a draw is then a product
-    of its multiplicities with that matrix, in square tiles of clusters and blocks of
-    draws, so a task holds no row of all clusters.  Rows of ``scores`` never carry draws.
+    A draw's AUC is a rank sum of the rows weighed by how often it took their clusters.
+    Rows are counted per value, class and cluster and dealt to shards by value; a task
+    adds up one shard for a block of draws, of which it holds the counts.  Shards are put
+    together by their totals.  Costs rows x draws; rows never carry draws, no pairs of
+    clusters are formed.
     """
     base = scores.select(cluster).distinct().withColumn("h", digest_number(c(cluster)))
     base = lineage.stored(ordered.dense_index(base, [], ["h", cluster], F.floor(c("h") / (2 ** 52)), "cluster_idx").drop("h"))
     n = base.count()
-    matrix = concordance_tiles(scores, key, cluster, base)
-    blocks = F.sequence(F.lit(0), F.lit((draws - 1) // DRAW_BLOCK))
-    left = matrix.select(F.floor(F.greatest(c("i"), F.lit(0)) / TILE).cast("int").alias("row_tile"), "tile", F.explode(blocks).alias("block"), key, "i", "n_pos", "won")
-    drawn = _draws(base, draws, seed)
-    tiles = F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0) // TILE)))
-    block = F.floor(c("draw") / DRAW_BLOCK).cast("int").alias("block")
-    columns = [block, "draw", "side", "clusters", "times"]
-    right = (drawn.where("side = 0").select(c("tile").alias("row_tile"), tiles.alias("tile"), *columns)
-             .unionByName(drawn.where("side = 1").select(tiles.alias("row_tile"), "tile", *columns)))
-
-    def product(m: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({key: [], "draw": [], "won": [], "pos": [], "neg": []})
-        if not len(m):
-            return out
-        first = [int(m[t].iloc[0]) * TILE for t in ("row_tile", "tile")]
-        names = np.array(sorted(drawn["draw"].unique()))
-        times = np.zeros((2, len(names), TILE))
-        for draw, side, where, k in zip(drawn["draw"], drawn["side"], drawn["clusters"], drawn["times"]):
-            times[side, np.searchsorted(names, draw), where - first[side]] = k
-        parts = []
-        for value, rows in m.groupby(key):
-            own = rows[rows["i"] >= 0]
-            found = pd.DataFrame({key: value, "draw": names, "won": 0.0, "pos": 0.0, "neg": 0.0})
-            if len(own):
-                i, won = own["i"].to_numpy() - first[0], np.stack(own["won"].to_numpy())
-                found["won"] = ((times[1][:, :won.shape[1]] @ won.T) * times[0][:, i]).sum(axis=1)
-                if not first[1]:       # positives once for a row of tiles, negatives once for a column
-                    found["pos"] = times[0][:, i] @ own["n_pos"].to_numpy()
-            for negatives in rows.loc[rows["i"] < 0, "won"]:
-                found["neg"] = times[1][:, :len(negatives)] @ negatives
-            parts.append(found)
-        return pd.concat(parts)
-
-    drawn = (left.groupBy("row_tile", "tile", "block").cogroup(right.groupBy("row_tile", "tile", "block"))
-             .applyInPandas(product, f"{key} string, draw int, won double, pos double, neg double")
-             .groupBy(key, "draw").agg(*[F.sum(x).alias(x) for x in ("won", "pos", "neg")]))
+    rows = lineage.stored(scores.where(c("positive").isNotNull()).join(base, cluster)
+                          .groupBy(c(key).alias("name"), c("value").cast("double").alias("value"), "positive", "cluster_idx").agg(F.count("*").alias("k")))
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    blocks = -(-draws // max(1, min(DRAW_BLOCK, HELD // (2 * max(n, 1)))))
+    block = -(-draws // blocks)
+    packed = (rows.repartitionByRange(shards, "name", "value").withColumn("shard", F.spark_partition_id()).sortWithinPartitions("name", "value", "positive")
+              .select("shard", "name", "value", "positive", "cluster_idx", "k").mapInArrow(_packed, "shard int, seq int, name string, at binary, k binary, marks binary"))
+    cell, none = c("block") * shards + c("shard"), F.lit(None)
+    left = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
+        cell.cast("int").alias("cell"), "seq", "name", "at", "k", "marks", none.cast("int").alias("draw"), none.cast("int").alias("side"),
+        none.cast("array<int>").alias("clusters"), none.cast("array<int>").alias("times"))
+    right = _draws(base, draws, seed).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("block", F.floor(c("draw") / block)).select(
+        cell.cast("int").alias("cell"), F.lit(-1).alias("seq"), none.cast("string").alias("name"), *[none.cast("binary").alias(x) for x in ("at", "k", "marks")],
+        "draw", "side", "clusters", "times")
+    summed = (left.unionByName(right).repartitionById(blocks * shards, c("cell")).sortWithinPartitions("cell", "seq")
+              .mapInArrow(_rank_sums(n, draws, block, shards), "name string, shard int, draw int, won double, pos double, neg double"))
+    earlier = Window.partitionBy("name", "draw").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    drawn = (summed.withColumn("won", c("won") + c("pos") * F.coalesce(F.sum("neg").over(earlier), F.lit(0.0)))
+             .groupBy(c("name").alias(key), "draw").agg(*[F.sum(x).alias(x) for x in ("won", "pos", "neg")]))
     value = F.when((c("pos") > 0) & (c("neg") > 0), c("won") / (c("pos") * c("neg")))
     bounds = drawn.groupBy(key).agg(F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("p")) \
         .select(key, F.coalesce(F.get("p", F.lit(0)), F.lit(0.0)).alias("lower"), F.coalesce(F.get("p", F.lit(1)), F.lit(1.0)).alias("upper"))   # a number a draw
@@ -532,14 +632,18 @@ def holdout_passed(scored: DataFrame, minimum: float = HOLDOUT_MIN_AUC) -> DataF
         "auc", (c("auc") >= minimum).alias("passed"))
 
 
-def mining_report(deltas: DataFrame, draws: int = 2000, seed: int = 42) -> DataFrame:
-    """Per factor: AUC, interval and learned weight, with the number of pairs."""
+def _report(deltas: DataFrame, draws: int, seed: int) -> DataFrame:
     rows = long_deltas(deltas)
     bounded = learn_weights_bounded(auc_interval(rows, draws=draws, seed=seed))
     sizes = rows.groupBy("factor").agg(F.count_if("positive").alias("n_true"), F.count_if(~c("positive")).alias("n_random"))
     return bounded.join(sizes, "factor")
 
 
+def mining_report(deltas: DataFrame, draws: int = 2000, seed: int = 42) -> DataFrame:
+    """Per factor: AUC, interval and learned weight, with the number of pairs."""
+    return _report(deltas, draws, seed)
+
+
 # score weight -> the mined factors it sums (fixed values)
 SCORE_WEIGHTS = {"groove_weight": ("groove_sim",), "bass_weight": ("sub_delta", "punch_delta"),
                  "timbre_weight": ("timbre_sim",), "mood_weight": ("brightness_delta",)}
@@ -562,8 +666,9 @@ def mining_summary(deltas: DataFrame, genre: str, holdout_mix: int, draws: int =
     The five factor weights learned from the other mixes are read back to score the
     held-out mix; nothing else reaches the driver.
     """
+    deltas = lineage.stored(deltas)   # read by the report, the scales, the test and the tolerances
     learned = deltas.where(c("mix_id") != holdout_mix)
-    report = lineage.stored(mining_report(learned, draws, seed))
+    report = lineage.stored(_report(learned, draws, seed))
     weights = {r["factor"]: r["weight"] for r in report.select("factor", "weight").collect()}
     tested = deltas.where(c("mix_id") == holdout_mix)
     passed = holdout_passed(combined_score(tested, weights, factor_scales(learned)))

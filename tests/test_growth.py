@@ -1,5 +1,6 @@
 """Work that must not grow faster than the input: plans and results on rows made here."""
 
+import hashlib
 import json
 from xml.etree import ElementTree
 
@@ -110,6 +111,59 @@ def test_resampling_holds_tiles_only(spark, monkeypatch):
     assert sorted(map(repr, mining.auc_interval(scores, draws=20).collect())) == want
 
 
+def _drawn_bounds(rows, draws, seed=42):
+    """Bounds per factor from every pair of every draw: the definition, on few rows."""
+    number = lambda *parts: int(hashlib.md5("/".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+    clusters = sorted({m for *_, m in rows}, key=lambda m: (number(m), m))
+    n, out = len(clusters), {}
+    place = lambda v: (v is not None, v is not None and v != v, 0.0 if v is None or v != v else v)  # noqa: E731   null first, NaN last
+    picks = [[[clusters[number(seed, draw * 2 * n + 2 * k + side) % n] for k in range(n)] for side in (0, 1)] for draw in range(draws)]
+    for factor in {f for f, *_ in rows}:
+        found = []
+        for drawn in picks:
+            pos, neg = ([(place(v), drawn[side].count(m)) for f, v, p, m in rows if f == factor and p is (side == 0)] for side in (0, 1))
+            total = sum(k for _, k in pos) * sum(k for _, k in neg)
+            if total:
+                found.append(sum(a * b * ((v > w) + (v == w) / 2) for v, a in pos for w, b in neg) / total)
+        out[factor] = tuple(np.percentile(found, [2.5, 97.5])) if found else (0.0, 1.0)
+    return out
+
+
+@pytest.mark.parametrize("held, shard, picks", [(1 << 24, 500_000, 1 << 18), (200, 7, 50)])
+def test_intervals_are_rank_sums(spark, monkeypatch, held, shard, picks):
+    """No pairs of clusters are formed; every draw counts all its pairs, also with ties, missing values and draws that tasks share."""
+    def refused(*args):
+        raise AssertionError("pairs of clusters")
+
+    monkeypatch.setattr(mining, "concordance_tiles", refused)
+    for name, value in (("HELD", held), ("SHARD_ROWS", shard), ("PICKS", picks)):
+        monkeypatch.setattr(mining, name, value, raising=False)
+    rng = np.random.default_rng(4)
+    rows = [("f", float(rng.integers(-3, 9)), bool(rng.integers(0, 2)), m) for m in range(9) for _ in range(8)]
+    rows += [("g", float(rng.normal()), m % 3 > 0, m) for m in range(9) for _ in range(4)] + [("h", 1.0, True, 2)]
+    rows += [("f", v, p, m) for v in (None, float("nan"), -0.0, 0.0) for p in (True, False) for m in (1, 5)]
+    scores = spark.createDataFrame(rows, "factor string, value double, positive boolean, mix_id long").repartition(3)
+    got = {r["factor"]: (r["lower"], r["upper"]) for r in mining.auc_interval(scores, draws=25).collect()}
+    want = _drawn_bounds(rows, 25)
+    assert set(got) == set(want) and all(np.allclose(got[f], want[f], rtol=0, atol=1e-12) for f in want)
+
+
+@pytest.mark.parametrize("asked", [lambda rows: mining.mining_summary(rows, "Techno", 0, draws=5)])
+def test_deltas_of_mined_mixes_are_built_once(spark, asked):
+    """However many steps read the deltas, each row is built once."""
+    built = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            built.add(batch.num_rows)
+            yield batch
+
+    values = [F.sin(F.col("id") * (k + 1)).alias(f) for k, f in enumerate(mining.DIRECTIONS)]
+    rows = spark.range(0, 200, 1, 2).select((F.col("id") % 4).alias("mix_id"), F.col("id").alias("i"), F.col("id").alias("j"), *values, (F.col("id") % 3 > 0).alias("positive"))
+    assert asked(rows.mapInArrow(count, rows.schema)).count() in (1, 5)
+    assert built.value == 200
+
+
 def test_the_tasks_write_playlist_files(spark, tmp_path):
     """Under a file: address the files equal those of Spark's writer, and no checksum file is written beside each."""
     key = F.element_at(F.array(F.lit("a/b=c%"), F.lit("x y"), F.lit("ü"), F.lit(None), F.lit("7")), (F.col("id") % 5 + 1).cast("int"))
