@@ -641,7 +641,7 @@ def _report(deltas: DataFrame, draws: int, seed: int) -> DataFrame:
 
 def mining_report(deltas: DataFrame, draws: int = 2000, seed: int = 42) -> DataFrame:
     """Per factor: AUC, interval and learned weight, with the number of pairs."""
-    return _report(deltas, draws, seed)
+    return _report(lineage.stored(deltas), draws, seed)   # read by clusters, counts, ranks and sizes
 
 
 # score weight -> the mined factors it sums (fixed values)

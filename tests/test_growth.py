@@ -148,7 +148,7 @@ def test_intervals_are_rank_sums(spark, monkeypatch, held, shard, picks):
     assert set(got) == set(want) and all(np.allclose(got[f], want[f], rtol=0, atol=1e-12) for f in want)
 
 
-@pytest.mark.parametrize("asked", [lambda rows: mining.mining_summary(rows, "Techno", 0, draws=5)])
+@pytest.mark.parametrize("asked", [lambda rows: mining.mining_report(rows, draws=5), lambda rows: mining.mining_summary(rows, "Techno", 0, draws=5)])
 def test_deltas_of_mined_mixes_are_built_once(spark, asked):
     """However many steps read the deltas, each row is built once."""
     built = spark.sparkContext.accumulator(0)
