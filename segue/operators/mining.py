@@ -553,11 +553,13 @@ def auc_interval(scores: DataFrame, key: str = "factor", cluster: str = "mix_id"
     n = base.count()
     rows = lineage.stored(scores.where(c("positive").isNotNull()).join(base, cluster)
                           .groupBy(c(key).alias("name"), c("value").cast("double").alias("value"), "positive", "cluster_idx").agg(F.count("*").alias("k")))
-    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    packed = (rows.repartitionByRange(max(1, -(-rows.count() // SHARD_ROWS)), "name", "value").withColumn("shard", F.spark_partition_id())
+              .sortWithinPartitions("name", "value", "positive").select("shard", "name", "value", "positive", "cluster_idx", "k")
+              .mapInArrow(_packed, "shard int, seq int, name string, at binary, k binary, marks binary"))
+    packed = lineage.stored(packed)   # a session may deal to more ranges than asked
+    shards = packed.agg(F.coalesce(F.max("shard"), F.lit(0)) + 1).first()[0]
     blocks = -(-draws // max(1, min(DRAW_BLOCK, HELD // (2 * max(n, 1)))))
     block = -(-draws // blocks)
-    packed = (rows.repartitionByRange(shards, "name", "value").withColumn("shard", F.spark_partition_id()).sortWithinPartitions("name", "value", "positive")
-              .select("shard", "name", "value", "positive", "cluster_idx", "k").mapInArrow(_packed, "shard int, seq int, name string, at binary, k binary, marks binary"))
     cell, none = c("block") * shards + c("shard"), F.lit(None)
     left = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
         cell.cast("int").alias("cell"), "seq", "name", "at", "k", "marks", none.cast("int").alias("draw"), none.cast("int").alias("side"),

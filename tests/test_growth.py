@@ -143,6 +143,8 @@ def test_intervals_are_rank_sums(spark, monkeypatch, held, shard, picks):
     rows += [("g", float(rng.normal()), m % 3 > 0, m) for m in range(9) for _ in range(4)] + [("h", 1.0, True, 2)]
     rows += [("f", v, p, m) for v in (None, float("nan"), -0.0, 0.0) for p in (True, False) for m in (1, 5)]
     scores = spark.createDataFrame(rows, "factor string, value double, positive boolean, mix_id long").repartition(3)
+    ranged = type(scores).repartitionByRange
+    monkeypatch.setattr(type(scores), "repartitionByRange", lambda self, n, *by: ranged(self, n + 2, *by))   # a session may deal to more ranges than asked
     got = {r["factor"]: (r["lower"], r["upper"]) for r in mining.auc_interval(scores, draws=25).collect()}
     want = _drawn_bounds(rows, 25)
     assert set(got) == set(want) and all(np.allclose(got[f], want[f], rtol=0, atol=1e-12) for f in want)
