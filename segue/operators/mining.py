@@ -453,19 +453,20 @@ def concordance(scores: DataFrame, key: str, cluster: str, clusters: DataFrame)
 
 
 def _packed(batches):
-    """Rows sorted by key, value and class in packed runs of a key: clusters, counts, and marks (1 for positives, 2 more where a value begins)."""
+    """Rows sorted by key, value and class in packed runs of a key: clusters, counts, and marks (1 for positives, 2 more where a value begins, 4 more without one)."""
     held, seq = None, 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        name, missing = np.array(batch.column(1).to_pylist(), dtype=object), batch.column(2).is_null().to_numpy(zero_copy_only=False)
-        value = batch.column(2).fill_null(0.0).to_numpy()
+        name, value = np.array(batch.column(1).to_pylist(), dtype=object), batch.column(2).fill_null(np.nan).to_numpy()
+        missing = np.isnan(value)
+        value = np.where(missing, 0.0, value)
         before = [np.r_[x[:1] if held is None else h, x[:-1]] for h, x in zip(held or [None] * 3, (name, missing, value))]
         other = name != before[0]
-        fresh = other | (missing != before[1]) | ((value != before[2]) & ~(np.isnan(value) & np.isnan(before[2])))
+        fresh = other | (missing != before[1]) | (value != before[2])
         fresh[0] |= held is None
         held = [name[-1:], missing[-1:], value[-1:]]
-        marks = batch.column(3).to_numpy(zero_copy_only=False) + 2 * fresh.astype(np.uint8)
+        marks = batch.column(3).to_numpy(zero_copy_only=False) + 2 * fresh + 4 * missing
         clusters, counts = batch.column(4).to_numpy(), batch.column(5).to_numpy()
         starts = np.flatnonzero(np.r_[True, other[1:]])
         spans = list(zip(starts.tolist(), [*starts[1:].tolist(), len(name)]))
@@ -480,7 +481,8 @@ def _rank_sums(n: int, draws: int, block: int, shards: int):
     """For the rows of a shard and a block of draws: won pairs and both sizes of every draw.
 
     Rows come in the order of their values, so a draw's negatives below a positive are one
-    running sum; a task holds the counts of its draws, rows pass through.
+    running sum; a task holds the counts of its draws, rows pass through.  Rows without a
+    value (null, NaN) add to the sizes, but win and lose nothing.
     """
     kind = np.uint16 if n < 1 << 16 else np.uint32      # no count is above n
 
@@ -502,7 +504,7 @@ def _rank_sums(n: int, draws: int, block: int, shards: int):
             size = times.shape[2]
             return pa.record_batch([pa.array([name] * size, pa.string()), pa.array([cell % shards] * size, pa.int32()),
                                     pa.array(range(cell // shards * block, cell // shards * block + size), pa.int32()),
-                                    *[pa.array(x) for x in state[:3]]], names=["name", "shard", "draw", "won", "pos", "neg"])
+                                    *[pa.array(x) for x in state[:5]]], names=["name", "shard", "draw", "won", "pos", "neg", "no_pos", "no_neg"])
 
         for batch in batches:
             where = batch.column("cell").to_numpy()
@@ -519,13 +521,16 @@ def _rank_sums(n: int, draws: int, block: int, shards: int):
                     if state is None or who != name:
                         if state is not None:
                             yield result()
-                        name, state = who, [*np.zeros((3, times.shape[2])), None]
-                    won, have, below, tie = state
+                        name, state = who, [*np.zeros((5, times.shape[2])), None]
+                    won, have, below, *without, tie = state
                     clusters, counts, marks = (np.frombuffer(x, dtype=d) for x, d in zip(parts, (np.int64, np.int64, np.uint8)))
-                    starts = np.flatnonzero(np.r_[True, (marks[1:] >= 2) | (marks[1:] % 2 != marks[:-1] % 2)])
+                    starts = np.flatnonzero(np.r_[True, (marks[1:] & 2 > 0) | (marks[1:] % 2 != marks[:-1] % 2)])
                     for s, e, mark in zip(starts.tolist(), [*starts[1:].tolist(), len(marks)], marks[starts].tolist()):
                         x = taken(times[1 - mark % 2], clusters[s:e], counts[s:e])
-                        if mark >= 2:
+                        if mark & 4:
+                            without[1 - mark % 2] += x
+                            continue
+                        if mark & 2:
                             tie = None                              # the negatives of this value, which come first
                         if mark % 2:
                             won += x * (below if tie is None else below - tie / 2.0)
@@ -533,7 +538,7 @@ def _rank_sums(n: int, draws: int, block: int, shards: int):
                         else:
                             below += x
                             tie = x if tie is None else tie + x
-                    state[3] = tie
+                    state[5] = tie
         if state is not None:
             yield result()
     return run
@@ -568,10 +573,10 @@ def auc_interval(scores: DataFrame, key: str = "factor", cluster: str = "mix_id"
         cell.cast("int").alias("cell"), F.lit(-1).alias("seq"), none.cast("string").alias("name"), *[none.cast("binary").alias(x) for x in ("at", "k", "marks")],
         "draw", "side", "clusters", "times")
     summed = (left.unionByName(right).repartitionById(blocks * shards, c("cell")).sortWithinPartitions("cell", "seq")
-              .mapInArrow(_rank_sums(n, draws, block, shards), "name string, shard int, draw int, won double, pos double, neg double"))
+              .mapInArrow(_rank_sums(n, draws, block, shards), "name string, shard int, draw int, won double, pos double, neg double, no_pos double, no_neg double"))
     earlier = Window.partitionBy("name", "draw").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     drawn = (summed.withColumn("won", c("won") + c("pos") * F.coalesce(F.sum("neg").over(earlier), F.lit(0.0)))
-             .groupBy(c("name").alias(key), "draw").agg(*[F.sum(x).alias(x) for x in ("won", "pos", "neg")]))
+             .groupBy(c("name").alias(key), "draw").agg(F.sum("won").alias("won"), F.sum(c("pos") + c("no_pos")).alias("pos"), F.sum(c("neg") + c("no_neg")).alias("neg")))
     value = F.when((c("pos") > 0) & (c("neg") > 0), c("won") / (c("pos") * c("neg")))
     bounds = drawn.groupBy(key).agg(F.percentile(value, F.array(F.lit(0.025), F.lit(0.975))).alias("p")) \
         .select(key, F.coalesce(F.get("p", F.lit(0)), F.lit(0.0)).alias("lower"), F.coalesce(F.get("p", F.lit(1)), F.lit(1.0)).alias("upper"))   # a number a draw

@@ -116,7 +116,7 @@ def _drawn_bounds(rows, draws, seed=42):
     number = lambda *parts: int(hashlib.md5("/".join(map(str, parts)).encode()).hexdigest()[:15], 16)
     clusters = sorted({m for *_, m in rows}, key=lambda m: (number(m), m))
     n, out = len(clusters), {}
-    place = lambda v: (v is not None, v is not None and v != v, 0.0 if v is None or v != v else v)  # noqa: E731   null first, NaN last
+    place = lambda v: float("nan") if v is None else v  # noqa: E731   a missing value wins and loses nothing
     picks = [[[clusters[number(seed, draw * 2 * n + 2 * k + side) % n] for k in range(n)] for side in (0, 1)] for draw in range(draws)]
     for factor in {f for f, *_ in rows}:
         found = []
